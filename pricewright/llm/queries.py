@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .chat import op4, op4_sql
 from .mixing import op6, op6_sql
 
 QUERIES = {
+    "op4_chat_prefixes": op4,
     "op6_mix_sources": op6,
 }
 
 SQL = {
+    "op4_chat_prefixes": op4_sql(),
     "op6_mix_sources": op6_sql(),
 }
