@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .chat import op4, op4_sql
 from .mixing import op6, op6_sql
+from .rules import op8
 
 QUERIES = {
     "op4_chat_prefixes": op4,
     "op6_mix_sources": op6,
+    "op8_quality_rules": op8,
 }
 
 SQL = {
