@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .chat import op4, op4_sql
 from .mixing import op6, op6_sql
+from .packing import op1
 from .rules import op8
 
 QUERIES = {
+    "op1_pack_windows": op1,
     "op4_chat_prefixes": op4,
     "op6_mix_sources": op6,
     "op8_quality_rules": op8,
