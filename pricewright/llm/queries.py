@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .chat import op4, op4_sql
+from .media import op2
 from .mixing import op6, op6_sql
 from .packing import op1
 from .rules import op8
 
 QUERIES = {
     "op1_pack_windows": op1,
+    "op2_media_columns": op2,
     "op4_chat_prefixes": op4,
     "op6_mix_sources": op6,
     "op8_quality_rules": op8,
