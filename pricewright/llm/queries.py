@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op4, op4_sql
+from .langid import op9
 from .media import op2
 from .mixing import op6, op6_sql
 from .packing import op1
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_chat_prefixes": op4,
     "op6_mix_sources": op6,
     "op8_quality_rules": op8,
+    "op9_language_id": op9,
 }
 
 SQL = {
