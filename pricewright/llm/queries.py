@@ -8,6 +8,7 @@ from .media import op2
 from .mixing import op6, op6_sql
 from .packing import op1
 from .rules import op8
+from .urlfilter import op10, op10_sql
 
 QUERIES = {
     "op1_pack_windows": op1,
@@ -16,9 +17,11 @@ QUERIES = {
     "op6_mix_sources": op6,
     "op8_quality_rules": op8,
     "op9_language_id": op9,
+    "op10_url_cascade": op10,
 }
 
 SQL = {
+    "op10_url_cascade": op10_sql(),
     "op4_chat_prefixes": op4_sql(),
     "op6_mix_sources": op6_sql(),
 }
