@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op4, op4_sql
+from .jaccard import op7
 from .langid import op9
 from .media import op2
 from .mixing import op6, op6_sql
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_media_columns": op2,
     "op4_chat_prefixes": op4,
     "op6_mix_sources": op6,
+    "op7_jaccard_join": op7,
     "op8_quality_rules": op8,
     "op9_language_id": op9,
     "op10_url_cascade": op10,
