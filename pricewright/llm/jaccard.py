@@ -149,7 +149,7 @@ def sieve_of(values: DataFrame, column: str) -> Sieve:
 
 
 def prefix_rows(docs: DataFrame, frequent, only=None) -> DataFrame:
-    """(token, fp) for every shingle in a prefix under the order "frequent last".
+    """(token, fp, size of the set) for every shingle in a prefix under the order "frequent last".
     ``frequent`` is a broadcast; ``only``, if given, a broadcast sieve of tokens."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,27 +157,29 @@ def prefix_rows(docs: DataFrame, frequent, only=None) -> DataFrame:
         sieve = only.value if only else None
         for batch in batches:
             for part in parts(_texts(batch)):
-                tokens, fps, seen = [], [], set()
+                tokens, fps, sizes, seen = [], [], [], set()
                 for s in shingle_sets(part):
                     fp = fingerprint(s)
                     if fp is None or fp in seen:
                         continue
                     seen.add(fp)
-                    n = prefix_length(len(s))
+                    size, n = len(s), prefix_length(len(s))
                     if len(last):
                         at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                         common = last[at] == s
                         s = np.concatenate([s[~common], s[common]])
                     tokens.append(s[:n])
                     fps.append(np.full(n, fp, np.int64))
+                    sizes.append(np.full(n, size, np.int32))
                 token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
                 fp = np.concatenate(fps) if fps else np.zeros(0, np.int64)
+                size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
                 if sieve:
                     hit = sieve.holds(token)
-                    token, fp = token[hit], fp[hit]
-                yield _batch({"token": token.view(np.int64), "fp": fp})
+                    token, fp, size = token[hit], fp[hit], size[hit]
+                yield _batch({"token": token.view(np.int64), "fp": fp, "size": size})
 
-    return docs.select("text").mapInArrow(rows, "token bigint, fp bigint")
+    return docs.select("text").mapInArrow(rows, "token bigint, fp bigint, size int")
 
 
 def wanted_sets(docs: DataFrame, sieve) -> DataFrame:
@@ -240,6 +242,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
+def _near_in_size(a: str, b: str):
+    return OF * F.least(a, b) >= SHARE * F.greatest(a, b)
+
+
 def _bucket_tops(rows: DataFrame) -> DataFrame:
     """Buckets with two classes or more: token, pivot (the least class under one of
     the pivot orders), n (rows)."""
@@ -250,22 +256,32 @@ def _bucket_tops(rows: DataFrame) -> DataFrame:
     return tops.filter("low <> high").select("token", F.col("low").bitwiseXOR(mask).alias("pivot"), "n")
 
 
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of a class and a pivot that are near enough in size. ``rows``:
+    token, fp, size, pivot."""
+    sizes = rows.filter("fp = pivot").select(F.col("fp").alias("pivot"), F.col("size").alias("pivot_size")).distinct()
+    stars = rows.filter("fp <> pivot").select("fp", "size", "pivot").distinct().join(sizes, "pivot")
+    near = stars.filter(_near_in_size("size", "pivot_size"))
+    return near.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
+
+
 def _across(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of classes that share a bucket but no component yet, pivots aside.
-    ``rows``: token, fp, pivot. One of each pair is outside its bucket's largest
+    ``rows``: token, fp, size, pivot. One of each pair is outside its bucket's largest
     component, so a bucket that is one component but for a few costs little."""
     rooted = (
         rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-        .select("token", "fp", "pivot", F.coalesce("root", "fp").alias("root"))
+        .select("token", "fp", "size", "pivot", F.coalesce("root", "fp").alias("root"))
     )
     mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
     rooted = materialize(rooted.join(mixed, "token").filter("fp <> pivot"), "jaccard-mixed")
     sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     few = rooted.join(largest, "token").filter("root <> largest")
-    left = few.select("token", F.col("fp").alias("p"), F.col("root").alias("rp"), "largest")
-    right = rooted.select("token", F.col("fp").alias("q"), F.col("root").alias("rq"))
-    pairs = left.join(right, "token").filter("rp <> rq AND (rq = largest OR p < q)")
+    left = few.select("token", F.col("fp").alias("p"), F.col("size").alias("np"), F.col("root").alias("rp"), "largest")
+    right = rooted.select("token", F.col("fp").alias("q"), F.col("size").alias("nq"), F.col("root").alias("rq"))
+    apart = left.join(right, "token").filter("rp <> rq AND (rq = largest OR p < q)")
+    pairs = apart.filter(_near_in_size("np", "nq"))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
@@ -292,15 +308,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         tops = materialize(_bucket_tops(prefix_rows(docs, frequent)), "jaccard-tops")
         shared = share(sieve_of(tops, "token"))
         rows = materialize(
-            prefix_rows(docs, frequent, shared).join(tops, "token").select("token", "fp", "pivot", "n"),
+            prefix_rows(docs, frequent, shared).join(tops, "token").select("token", "fp", "size", "pivot", "n"),
             "jaccard-rows",
         )
         sieve = share(sieve_of(rows.select("fp").distinct(), "fp"))
         sets = materialize(wanted_sets(docs, sieve), "jaccard-sets")
-        stars = rows.filter("fp <> pivot").select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))
-        links = materialize(verified(stars.distinct(), sets), "jaccard-stars")
+        links = materialize(verified(_star_pairs(rows), sets), "jaccard-stars")
         roots = connected_components(links)
-        more = _across(rows.filter("n > 2").select("token", "fp", "pivot"), roots)
+        more = _across(rows.filter("n > 2").select("token", "fp", "size", "pivot"), roots)
         others = materialize(verified(more, sets), "jaccard-others")
         discard(sets)
         discard(rows)
