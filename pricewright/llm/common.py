@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,10 @@ def word_count(text: Column) -> Column:
     return F.length(
         F.regexp_replace(trimmed, WORD_PATTERN + BLANK_CLASS + "*", "x")
     ).cast("long")
+
+
+def shared(spark: SparkSession, value):
+    """Broadcast ``value`` and return a function that gives it on executors. It is
+    pickled with its class's code, so executors need not have this package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, shared
 from .components import connected_components
 from .shingles import fingerprint, mix, parts, shingle_sets
 
@@ -150,11 +150,11 @@ def sieve_of(values: DataFrame, column: str) -> Sieve:
 
 def prefix_rows(docs: DataFrame, frequent, only=None) -> DataFrame:
     """(token, fp, size of the set) for every shingle in a prefix under the order "frequent last".
-    ``frequent`` is a broadcast; ``only``, if given, a broadcast sieve of tokens."""
+    ``frequent`` gives the frequent shingles, ``only``, if given, a sieve of tokens."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value
-        sieve = only.value if only else None
+        last = frequent()
+        sieve = only() if only else None
         for batch in batches:
             for part in parts(_texts(batch)):
                 tokens, fps, sizes, seen = [], [], [], set()
@@ -183,9 +183,10 @@ def prefix_rows(docs: DataFrame, frequent, only=None) -> DataFrame:
 
 
 def wanted_sets(docs: DataFrame, sieve) -> DataFrame:
-    """(fp, shingles) of the classes that pass the broadcast ``sieve``."""
+    """(fp, shingles) of the classes that pass the sieve that ``sieve`` gives."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sieve()
         for batch in batches:
             for part in parts(_texts(batch)):
                 found = {}
@@ -194,7 +195,7 @@ def wanted_sets(docs: DataFrame, sieve) -> DataFrame:
                     if fp is not None and fp not in found:
                         found[fp] = s.tobytes()
                 fps = np.array(list(found), np.int64)
-                hit = sieve.value.holds(fps.view(np.uint64))
+                hit = own.holds(fps.view(np.uint64))
                 kept = [b for b, h in zip(found.values(), hit, strict=True) if h]
                 yield pa.RecordBatch.from_arrays([pa.array(fps[hit]), pa.array(kept, pa.binary())], names=["fp", "shingles"])
 
@@ -222,8 +223,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     for order in ORDERS:
         if not _shares(_first(a, order), _first(b, order)):
             return False
-    shared = _shares(a, b)
-    return OF * shared >= SHARE * (len(a) + len(b) - shared)
+    both = _shares(a, b)
+    return OF * both >= SHARE * (len(a) + len(b) - both)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -299,19 +300,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    share = spark.sparkContext.broadcast
     with shuffle_files_freed(spark):
         classes = materialize(set_classes(docs), "jaccard-classes")
         length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * SHARE / OF) + 1
         total = classes.filter("n_shingles > 0").agg(F.sum(length)).first()[0] or 0
-        frequent = share(frequent_shingles(docs, total))
+        frequent = shared(spark, frequent_shingles(docs, total))
         tops = materialize(_bucket_tops(prefix_rows(docs, frequent)), "jaccard-tops")
-        shared = share(sieve_of(tops, "token"))
+        tokens = shared(spark, sieve_of(tops, "token"))
         rows = materialize(
-            prefix_rows(docs, frequent, shared).join(tops, "token").select("token", "fp", "size", "pivot", "n"),
+            prefix_rows(docs, frequent, tokens).join(tops, "token").select("token", "fp", "size", "pivot", "n"),
             "jaccard-rows",
         )
-        sieve = share(sieve_of(rows.select("fp").distinct(), "fp"))
+        sieve = shared(spark, sieve_of(rows.select("fp").distinct(), "fp"))
         sets = materialize(wanted_sets(docs, sieve), "jaccard-sets")
         links = materialize(verified(_star_pairs(rows), sets), "jaccard-stars")
         roots = connected_components(links)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared
+
 BUCKET_BITS, ORDERS = 15, (1, 2, 3)
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
@@ -138,13 +140,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null text, or a text without letters: ``und``, 0. Texts of any length are scored
     whole. Repeated rows: scored alike. Empty table: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
     limit = max(1, GATHERED // max(1, len(model.languages)))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = sent()
         for batch in batches:
             names, scores = [], []
             for part in _parts((t.as_py() for t in batch["text"]), limit):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, shared
 
 BITS_PER_KEY, PROBES = 10, 5
 #: Bits a level may have (128 MB); a longer list is refused, not truncated.
@@ -103,11 +103,13 @@ def _level(keys: DataFrame, level: int, bits: int) -> np.ndarray:
 
 
 def _passing(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
-    shared = keys.sparkSession.sparkContext.broadcast(Cascade(cascade.levels))
+    sent = shared(keys.sparkSession, Cascade(list(cascade.levels)))
 
     @F.pandas_udf("boolean")
-    def passes(h: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.passes(h.to_numpy(np.int64), level))
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = sent()
+        for h in batches:
+            yield pd.Series(own.passes(h.to_numpy(np.int64), level))
 
     return keys.filter(passes("h"))
 
@@ -171,15 +173,18 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     # distinct hosts first: a hot host is one row from here on
     hosts = rows.select("host").distinct()
     universe = hosts.select(F.explode(host_suffixes(F.col("host"))).alias("key"))
-    shared = pages.sparkSession.sparkContext.broadcast(build_cascade(universe, listed))
+    sent = shared(pages.sparkSession, build_cascade(universe, listed))
 
     @F.pandas_udf(T.BooleanType())
-    def any_listed(keys: pd.Series) -> pd.Series:
-        sizes = keys.str.len().to_numpy(np.int64)
-        if not len(sizes):
-            return pd.Series([], dtype=bool)
-        hits = shared.value.listed(np.concatenate(keys.to_list()).astype(np.int64))
-        return pd.Series(np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes) > 0)
+    def any_listed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = sent()
+        for keys in batches:
+            sizes = keys.str.len().to_numpy(np.int64)
+            if not len(sizes):
+                yield pd.Series([], dtype=bool)
+                continue
+            hits = own.listed(np.concatenate(keys.to_list()).astype(np.int64))
+            yield pd.Series(np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes) > 0)
 
     hashes = F.transform(host_suffixes(F.col("host")), key_hash)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
