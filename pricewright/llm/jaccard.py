@@ -1,13 +1,14 @@
 r"""N-gram Jaccard join with multiple-global-order filtering.
 
 Texts are sets of hashed word shingles. Under any one global order of the shingles,
-two sets of Jaccard similarity t or more share a shingle among their first
-n - ceil(t n) + 1 ones. The join uses several orders:
+two sets of Jaccard similarity t or more share l shingles or more among their first
+n - ceil(t n) + l ones. The join uses several orders:
 
 1. the hash order finds the frequent shingles among its prefixes (their number is
    bounded by the threshold, so the list can be broadcast);
-2. the order "frequent shingles last, then by hash" makes the candidates: sets that
-   share one of its prefix shingles. Boilerplate rarely gets into a prefix;
+2. the order "frequent shingles last, then by hash" makes the candidates: sets near
+   enough in size whose prefixes share l shingles, l growing with the set. Prefix
+   shingles that only one set has are dropped early, so this count is cheap;
 3. two further orders (other bijections of the hash) must agree on a candidate
    before the sets are compared.
 
@@ -59,8 +60,12 @@ def shuffle_files_freed(spark: SparkSession):
             spark.conf.set(_SHUFFLE_CLEANUP, before)
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-SHARE * n // OF) + 1
+#: Two prefixes must share 1 + n // ``PER_SHARED`` shingles, n the smaller set's size.
+PER_SHARED = 20
+
+
+def prefix_length(n: int, shared: int = 1) -> int:
+    return n - -(-SHARE * n // OF) + shared
 
 
 def _batch(arrays: dict) -> pa.RecordBatch:
@@ -163,7 +168,7 @@ def prefix_rows(docs: DataFrame, frequent, only=None) -> DataFrame:
                     if fp is None or fp in seen:
                         continue
                     seen.add(fp)
-                    size, n = len(s), prefix_length(len(s))
+                    size, n = len(s), prefix_length(len(s), 1 + len(s) // PER_SHARED)
                     if len(last):
                         at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                         common = last[at] == s
@@ -227,6 +232,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= SHARE * (len(a) + len(b) - both)
 
 
+def prefixes_of(rows: DataFrame) -> DataFrame:
+    """Per class its prefix shingles that another class has too: fp, size, tokens."""
+    return rows.groupBy("fp", "size").agg(F.collect_list("token").alias("tokens"))
+
+
+def candidates(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose prefixes share as many shingles as they must."""
+    named = lambda c, n, t: prefixes.select(F.col("fp").alias(c), F.col("size").alias(n), F.col("tokens").alias(t))
+    both = pairs.join(named("a", "na", "ta"), "a").join(named("b", "nb", "tb"), "b")
+    least = 1 + F.floor(F.least("na", "nb") / PER_SHARED)
+    return both.filter(F.size(F.array_intersect("ta", "tb")) >= least).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) of classes that link."""
 
@@ -286,6 +304,19 @@ def _across(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
+def _links(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs that link; sets are made only of classes in a candidate."""
+    spark = docs.sparkSession
+    pairs = materialize(candidates(pairs, prefixes), "jaccard-candidates")
+    fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    if pairs.isEmpty():
+        return pairs
+    sets = materialize(wanted_sets(docs, shared(spark, sieve_of(fps, "fp"))), "jaccard-sets")
+    links = materialize(verified(pairs, sets), "jaccard-links")
+    discard(sets)
+    return links
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, one row per row.
 
@@ -311,14 +342,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             prefix_rows(docs, frequent, tokens).join(tops, "token").select("token", "fp", "size", "pivot", "n"),
             "jaccard-rows",
         )
-        sieve = shared(spark, sieve_of(rows.select("fp").distinct(), "fp"))
-        sets = materialize(wanted_sets(docs, sieve), "jaccard-sets")
-        links = materialize(verified(_star_pairs(rows), sets), "jaccard-stars")
+        prefixes = materialize(prefixes_of(rows), "jaccard-prefixes")
+        links = _links(docs, _star_pairs(rows), prefixes)
         roots = connected_components(links)
-        more = _across(rows.filter("n > 2").select("token", "fp", "size", "pivot"), roots)
-        others = materialize(verified(more, sets), "jaccard-others")
-        discard(sets)
+        others = _links(docs, _across(rows.filter("n > 2").select("token", "fp", "size", "pivot"), roots), prefixes)
         discard(rows)
+        discard(prefixes)
         if not others.isEmpty():
             roots = connected_components(links.union(others))
         least = classes.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))

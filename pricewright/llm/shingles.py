@@ -12,13 +12,27 @@ SIZE = 5
 PART_BYTES = 1 << 20
 
 _RANDOM = np.random.Generator(np.random.PCG64(20231))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Random odd values of the bytes; a blank counts nothing.
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[_BLANK] = 0
 _PLACE = _RANDOM.integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: What a shingle of so many words starts from.
 _COUNT = np.arange(SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A byte's value counts times a power of the base by its place in the part; the
+#: inverse base's power at a word's start makes that its place in the word.
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least the first ``n`` powers of an odd base modulo 2**64."""
+    if len(_POWERS.get(base, ())) < n:
+        steps = np.full(max(n, PART_BYTES + (1 << 16)), base, np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.cumprod(steps)
+    return _POWERS[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,16 +51,14 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     joined = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     text_end = np.cumsum([len(r) + 1 for r in raw])
     blank = _BLANK[joined]
-    edge = np.diff(blank.astype(np.int8), prepend=np.int8(1))
-    first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    starts = ~blank
+    starts[1:] &= blank[:-1]
+    first = np.flatnonzero(starts)
     if not len(first):
         return [np.zeros(0, np.uint64) for _ in texts]
-    lengths = stop - first
-    inside = np.flatnonzero(~blank)
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(len(inside)) - np.repeat(begin, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
-    words = mix(np.add.reduceat(_BYTE[joined[inside]] * powers[place], begin))
+    size_all = len(joined)
+    sums = np.add.reduceat(_BYTE[joined] * _powers(_BASE, size_all)[:size_all], first)
+    words = mix(sums * _powers(pow(_BASE, -1, 1 << 64), size_all)[first])
     upto = np.searchsorted(first, text_end)
     out, at = [], 0
     span = len(words) - size + 1
@@ -58,7 +70,10 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     for end in upto.tolist():
         n = end - at
         if n >= size:
-            out.append(np.unique(rolled[at : end - size + 1]))
+            own = np.sort(rolled[at : end - size + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
         elif n:
             own = _COUNT[n : n + 1] + (words[at:end] * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True)
             out.append(mix(own))
