@@ -29,7 +29,7 @@ FEATURES, LEAST_DOCS, BEGINNINGS = 6000, 6, (4, 5)
 STATISTICS = 6
 RIDGE, ROUNDS, RATE = 0.002, 400, 0.05
 #: A document is rejected above this probability of being bad.
-REJECT = 0.5
+REJECT = 0.45
 #: Bounds of the strength with which sites are shrunk.
 WEAKEST, STRONGEST = 20.0, 10_000.0
 

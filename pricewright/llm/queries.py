@@ -8,6 +8,7 @@ from .langid import op9
 from .media import op2
 from .mixing import op6, op6_sql
 from .packing import op1
+from .quality import op5
 from .rules import op8
 from .urlfilter import op10, op10_sql
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_pack_windows": op1,
     "op2_media_columns": op2,
     "op4_chat_prefixes": op4,
+    "op5_quality_classifier": op5,
     "op6_mix_sources": op6,
     "op7_jaccard_join": op7,
     "op8_quality_rules": op8,
