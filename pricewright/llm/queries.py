@@ -11,10 +11,12 @@ from .packing import op1
 from .quality import op5
 from .rules import op8
 from .urlfilter import op10, op10_sql
+from .warc import op3, op3_sql
 
 QUERIES = {
     "op1_pack_windows": op1,
     "op2_media_columns": op2,
+    "op3_warc_ranges": op3,
     "op4_chat_prefixes": op4,
     "op5_quality_classifier": op5,
     "op6_mix_sources": op6,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_warc_ranges": op3_sql(),
     "op10_url_cascade": op10_sql(),
     "op4_chat_prefixes": op4_sql(),
     "op6_mix_sources": op6_sql(),
