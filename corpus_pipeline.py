@@ -1,9 +1,76 @@
-"""The corpus pipeline (filled in as its operators arrive)."""
+"""The corpus pipeline: documents to packed token windows in five stages.
 
-STAGES = []
+Every stage works on all that its predecessor kept, is written as Parquet and read
+again. All stages but the last return the columns of documents. A stage's decision
+is joined back by doc_id, nulls included; rows that share a doc_id but not a text
+share the more favourable decision.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pricewright.llm.common import materialize
+from pricewright.llm.jaccard import jaccard_components
+from pricewright.llm.mixing import mix_sources
+from pricewright.llm.packing import packed_pieces
+from pricewright.llm.quality import classify
+from pricewright.llm.rules import judge
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null too) is among ``ids``."""
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
+def quality_rules(spark, docs, sf_dir) -> DataFrame:
+    """Drop what the quality rules reject."""
+    return _with_ids(docs, judge(docs).filter("kept"))
+
+
+def quality_classifier(spark, docs, sf_dir) -> DataFrame:
+    """Drop what the quality classifier rejects; it learns from the labels table."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _with_ids(docs, classify(docs, labels).filter("kept"))
+
+
+def near_duplicates(spark, docs, sf_dir) -> DataFrame:
+    """Keep of each group of near duplicates the document with the least doc_id,
+    and of repeated rows one."""
+    kept = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _with_ids(docs, kept).dropDuplicates(["doc_id", "text"])
+
+
+def source_mix(spark, docs, sf_dir) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, once, or twice."""
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    mix = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies"))
+    rows = docs.join(mix.filter("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*docs.columns)
+
+
+def token_windows(spark, docs, sf_dir) -> DataFrame:
+    """Pack the documents' tokens into windows: one row per piece."""
+    return packed_pieces(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("near duplicates", near_duplicates),
+    ("source mix", source_mix),
+    ("token windows", token_windows),
+]
+
+#: Tokens cannot be made in SQL; the stages are tested against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
