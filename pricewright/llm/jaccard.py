@@ -43,21 +43,25 @@ PIVOT_MASKS = (0x0, 0x5A827999D5A3C1F7, 0x6ED9EBA18F1BBCDC, 0x3C6EF372A54FF53A)
 #: Bits of a prefilter at most (32 MB); a full one lets more through, nothing less.
 FILTER_BITS = 1 << 28
 
-_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While the join runs: shuffle files go as soon as their query has ended, and Arrow
+#: batches of texts and sets stay small.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 @contextmanager
-def shuffle_files_freed(spark: SparkSession):
-    """Delete shuffle files as soon as the query that made them has ended."""
-    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+def session_settings(spark: SparkSession, settings: dict[str, str]):
+    """Set session settings, and put back what they were."""
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(_SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 #: Two prefixes must share 1 + n // ``PER_SHARED`` shingles, n the smaller set's size.
@@ -331,7 +335,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    with shuffle_files_freed(spark):
+    with session_settings(spark, SETTINGS):
         classes = materialize(set_classes(docs), "jaccard-classes")
         length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * SHARE / OF) + 1
         total = classes.filter("n_shingles > 0").agg(F.sum(length)).first()[0] or 0
