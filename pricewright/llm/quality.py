@@ -23,7 +23,7 @@ from .common import materialize, shared
 from .shingles import mix, parts
 
 #: The training sample: rows at most (in expectation), and the longest text in it.
-TRAIN_ROWS, TRAIN_CHARS = 12_000, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 20_000
 #: Features: chosen at most, least documents for one, and word beginnings used.
 FEATURES, LEAST_DOCS, BEGINNINGS = 6000, 6, (4, 5)
 STATISTICS = 6
@@ -119,6 +119,27 @@ class Classifier:
         return self.bias + wide + self.shapes(shape) @ self.weights[k:]
 
 
+def _featurized(texts: list[str | None]):
+    """(first text's number, features, statistics) of parts of the texts."""
+    first = 0
+    for part in parts(texts):
+        yield first, *featurize(part)
+        first += len(part)
+
+
+def _feature_counts(texts: list[str | None], bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every feature with its documents and its bad documents; sorted counts are
+    merged part by part, so the features of all texts are never held at once."""
+    names, n, n1 = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for first, found, _ in _featurized(texts):
+        flat = np.concatenate([names, *found])
+        row = np.repeat(np.arange(first, first + len(found)), [len(f) for f in found])
+        weight, weight1 = np.concatenate([n, np.ones(len(row))]), np.concatenate([n1, bad[row]])
+        names, at = np.unique(flat, return_inverse=True)
+        n, n1 = np.bincount(at, weight), np.bincount(at, weight1)
+    return names, n, n1
+
+
 def fit(texts: list[str | None], bad: np.ndarray) -> Classifier:
     """Logistic regression by full-batch gradient steps on the features whose counts
     differ most between the classes. Equal texts weigh as one. Without rows of both
@@ -131,26 +152,21 @@ def fit(texts: list[str | None], bad: np.ndarray) -> Classifier:
     zero = np.zeros(STATISTICS)
     if not 0 < bad.sum() < len(bad):
         return Classifier(np.zeros(0, np.uint64), zero, zero, zero + 1, 0.0)
-    found, shapes = [], []
-    for part in parts(texts):
-        f, s = featurize(part)
-        found += f
-        shapes.append(s)
-    shape = np.concatenate(shapes)
-    flat = np.concatenate(found)
-    names, at = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    n1 = np.bincount(at, bad[row], minlength=len(names))
-    n = np.bincount(at, minlength=len(names)).astype(float)
+    names, n, n1 = _feature_counts(texts, bad)
     rate = bad.mean()
     share = (n1 + rate) / (n + 1)
     gain = n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
     gain[(n < LEAST_DOCS) | (names == 0)] = -1
+    shape = np.concatenate([s for _, _, s in _featurized(texts)])
     chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
     chosen = chosen[gain[chosen] > 0]
     centre, scale = np.median(shape, axis=0), shape.std(axis=0) + 1e-3
     model = Classifier(names[chosen], np.zeros(len(chosen) + STATISTICS), centre, scale, float(np.log(rate / (1 - rate))))
-    row, col = model.columns(found)
+    cells = []
+    for first_row, found, _ in _featurized(texts):
+        row, col = model.columns(found)
+        cells.append((row + first_row, col))
+    row, col = (np.concatenate(c) for c in zip(*cells, strict=True))
     dense, k = model.shapes(shape), len(chosen)
     w, b = np.zeros(k + STATISTICS), model.bias
     m, v = np.zeros(k + STATISTICS + 1), np.zeros(k + STATISTICS + 1)
