@@ -8,7 +8,8 @@ n - ceil(t n) + l ones. The join uses several orders:
    bounded by the threshold, so the list can be broadcast);
 2. the order "frequent shingles last, then by hash" makes the candidates: sets near
    enough in size whose prefixes share l shingles, l growing with the set. Prefix
-   shingles that only one set has are dropped early, so this count is cheap;
+   shingles that only one set has are dropped early; how many a set has of them
+   bounds what it can share, which drops most sets and pairs before any comparison;
 3. two further orders (other bijections of the hash) must agree on a candidate
    before the sets are compared.
 
@@ -37,9 +38,13 @@ SHARE, OF = 80, 100
 #: A shingle is frequent beyond this many prefixes, or beyond the total divided by
 #: ``MOST_FREQUENT`` if that is more; so there are never more than that many.
 FREQUENT, MOST_FREQUENT = 48, 1 << 18
-#: Orders checked on a candidate, by their multiplier; and pivot orders by mask.
+#: Orders checked on a candidate, by their multiplier.
 ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-PIVOT_MASKS = (0x0, 0x5A827999D5A3C1F7, 0x6ED9EBA18F1BBCDC, 0x3C6EF372A54FF53A)
+#: Orders of the classes by which buckets pick their pivots, one for each token class.
+PIVOT_ORDERS = 16
+#: From this many classes in a bucket, what a class can share is counted over whole
+#: sets before pairs are made.
+CROWD = 32
 #: Bits of a prefilter at most (32 MB); a full one lets more through, nothing less.
 FILTER_BITS = 1 << 28
 
@@ -72,6 +77,11 @@ def prefix_length(n: int, shared: int = 1) -> int:
     return n - -(-SHARE * n // OF) + shared
 
 
+def prefix_size(size):
+    """The length of the prefixes that ``prefix_rows`` makes, as a column."""
+    return size - F.ceil(size * SHARE / OF) + 1 + F.floor(size / PER_SHARED)
+
+
 def _batch(arrays: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays.values()], names=list(arrays))
 
@@ -236,8 +246,36 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= SHARE * (len(a) + len(b) - both)
 
 
+def _near(na, nb, ma, mb):
+    """Whether two sets of ``na`` and ``nb`` shingles, of which other sets have only
+    ``ma`` and ``mb``, can be similar: near enough in size, and enough left to share."""
+    size = OF * F.least(na, nb) >= SHARE * F.greatest(na, nb)
+    return size & ((OF + SHARE) * F.least(ma, mb) >= SHARE * (F.col(na) + F.col(nb)))
+
+
+def live_classes(rows: DataFrame) -> DataFrame:
+    """fp, size, common of the classes that can link at all. ``rows`` are prefix
+    shingles that two classes or more have, so what a prefix lacks there no other
+    class has: ``common`` bounds what a class can share."""
+    size = F.col("size")
+    least = 1 + F.floor(F.floor(SHARE * size / OF) / PER_SHARED)
+    counts = rows.groupBy("fp", "size").agg(F.count("*").alias("held"))
+    counts = counts.withColumn("common", (size - prefix_size(size) + F.col("held")).cast("int"))
+    return counts.filter((F.col("held") >= least) & (OF * F.col("common") >= SHARE * size)).drop("held")
+
+
+def bucket_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """token, fp, size, common, pivot, n for live classes in buckets of two or more.
+    A bucket's pivot is its first class under one of ``PIVOT_ORDERS`` orders, so a
+    group that shares many shingles is measured against as many pivots."""
+    kept = rows.select("token", "fp").join(classes, "fp")
+    turn = F.xxhash64(F.col("token").bitwiseAND(PIVOT_ORDERS - 1), "fp")
+    tops = kept.groupBy("token").agg(F.max(F.struct(turn.alias("t"), F.col("fp").alias("pivot"))).alias("top"), F.count("*").alias("n"))
+    return kept.join(tops.filter("n > 1").select("token", "top.pivot", "n"), "token")
+
+
 def prefixes_of(rows: DataFrame) -> DataFrame:
-    """Per class its prefix shingles that another class has too: fp, size, tokens."""
+    """Per class its prefix shingles that another live class has too: fp, size, tokens."""
     return rows.groupBy("fp", "size").agg(F.collect_list("token").alias("tokens"))
 
 
@@ -265,46 +303,80 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def _near_in_size(a: str, b: str):
-    return OF * F.least(a, b) >= SHARE * F.greatest(a, b)
-
-
-def _bucket_tops(rows: DataFrame) -> DataFrame:
-    """Buckets with two classes or more: token, pivot (the least class under one of
-    the pivot orders), n (rows)."""
-    masks = F.array(*[F.lit(m).cast("long") for m in PIVOT_MASKS])
-    mask = F.get(masks, F.col("token").bitwiseAND(len(PIVOT_MASKS) - 1).cast("int"))
-    ranked = rows.select("token", F.col("fp").bitwiseXOR(mask).alias("rank"))
-    tops = ranked.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count("*").alias("n"))
-    return tops.filter("low <> high").select("token", F.col("low").bitwiseXOR(mask).alias("pivot"), "n")
+def _shared_tokens(rows: DataFrame) -> DataFrame:
+    """The tokens that two classes or more have."""
+    ends = rows.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    return ends.filter("low <> high").select("token")
 
 
 def _star_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of a class and a pivot that are near enough in size. ``rows``:
-    token, fp, size, pivot."""
-    sizes = rows.filter("fp = pivot").select(F.col("fp").alias("pivot"), F.col("size").alias("pivot_size")).distinct()
-    stars = rows.filter("fp <> pivot").select("fp", "size", "pivot").distinct().join(sizes, "pivot")
-    near = stars.filter(_near_in_size("size", "pivot_size"))
+    """Distinct pairs of a class and a pivot that can be similar."""
+    pivots = rows.filter("fp = pivot").select(F.col("fp").alias("pivot"), F.col("size").alias("pn"), F.col("common").alias("pm")).distinct()
+    stars = rows.filter("fp <> pivot").select("fp", "size", "common", "pivot").distinct().join(pivots, "pivot")
+    near = stars.filter(_near("size", "pn", "common", "pm"))
     return near.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket but no component yet, pivots aside.
-    ``rows``: token, fp, size, pivot. One of each pair is outside its bucket's largest
-    component, so a bucket that is one component but for a few costs little."""
-    rooted = (
-        rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-        .select("token", "fp", "size", "pivot", F.coalesce("root", "fp").alias("root"))
+def _whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(token, fp) for every shingle of the given classes."""
+    spark = docs.sparkSession
+    sieve = shared(spark, sieve_of(classes, "fp"))
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sieve()
+        for batch in batches:
+            for part in parts(_texts(batch)):
+                found = {fingerprint(s): s for s in shingle_sets(part) if len(s)}
+                fps = np.array(list(found), np.int64)
+                kept = fps[own.holds(fps.view(np.uint64))].tolist()
+                token = np.concatenate([found[f] for f in kept]) if kept else np.zeros(0, np.uint64)
+                fp = np.repeat(np.array(kept, np.int64), [len(found[f]) for f in kept])
+                yield _batch({"token": token.view(np.int64), "fp": fp})
+
+    tokens = docs.select("text").mapInArrow(rows, "token bigint, fp bigint")
+    return tokens.join(classes, "fp", "left_semi").dropDuplicates(["token", "fp"])
+
+
+def _crowd_bound(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of buckets, those of crowded ones with ``common`` counted over whole
+    sets: what a class has that no other class of a crowded bucket has, it cannot
+    share there. Classes with too little left go."""
+    sizes = rows.groupBy("token").agg(F.count("*").alias("here"))
+    rows = materialize(rows.join(sizes, "token"), "jaccard-sized")
+    few, many = rows.filter(F.col("here") < CROWD).drop("here"), rows.filter(F.col("here") >= CROWD).drop("here")
+    classes = materialize(many.select("fp").distinct(), "jaccard-crowd")
+    if classes.isEmpty():
+        return few
+    tokens = materialize(_whole_sets(docs, classes), "jaccard-whole")
+    again = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    held = tokens.join(again, "token").groupBy("fp").agg(F.count("*").cast("int").alias("held"))
+    left = many.join(held, "fp").withColumn("common", F.least("common", "held")).drop("held")
+    return few.unionByName(left.filter(OF * F.col("common") >= SHARE * F.col("size")))
+
+
+def _across(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of classes that share a bucket but no component yet, pivots aside. One
+    of each pair is outside its bucket's largest component, so a bucket that is one
+    component but for a few costs little."""
+    rooted = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+        "token", "fp", "size", "common", "pivot", F.coalesce("root", "fp").alias("root")
     )
     mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    rooted = materialize(rooted.join(mixed, "token").filter("fp <> pivot"), "jaccard-mixed")
+    rooted = materialize(_crowd_bound(docs, rooted.join(mixed, "token").filter("fp <> pivot")), "jaccard-mixed")
     sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     few = rooted.join(largest, "token").filter("root <> largest")
-    left = few.select("token", F.col("fp").alias("p"), F.col("size").alias("np"), F.col("root").alias("rp"), "largest")
-    right = rooted.select("token", F.col("fp").alias("q"), F.col("size").alias("nq"), F.col("root").alias("rq"))
-    apart = left.join(right, "token").filter("rp <> rq AND (rq = largest OR p < q)")
-    pairs = apart.filter(_near_in_size("np", "nq"))
+    # sets near in size lie in one size band or in neighbouring ones
+    band = F.floor(F.log("size") / -F.log(F.lit(SHARE / OF)))
+    left = few.select(
+        "token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("fp").alias("p"),
+        F.col("size").alias("np"), F.col("common").alias("mp"), F.col("root").alias("rp"), "largest",
+    )
+    right = rooted.select(
+        "token", band.alias("band"), F.col("fp").alias("q"), F.col("size").alias("nq"), F.col("common").alias("mq"), F.col("root").alias("rq")
+    )
+    apart = (F.col("rp") != F.col("rq")) & ((F.col("rq") == F.col("largest")) | (F.col("p") < F.col("q")))
+    pairs = left.join(right, ["token", "band"]).filter(apart & _near("np", "nq", "mp", "mq"))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
@@ -312,9 +384,9 @@ def _links(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The pairs that link; sets are made only of classes in a candidate."""
     spark = docs.sparkSession
     pairs = materialize(candidates(pairs, prefixes), "jaccard-candidates")
-    fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     if pairs.isEmpty():
         return pairs
+    fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     sets = materialize(wanted_sets(docs, shared(spark, sieve_of(fps, "fp"))), "jaccard-sets")
     links = materialize(verified(pairs, sets), "jaccard-links")
     discard(sets)
@@ -340,17 +412,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * SHARE / OF) + 1
         total = classes.filter("n_shingles > 0").agg(F.sum(length)).first()[0] or 0
         frequent = shared(spark, frequent_shingles(docs, total))
-        tops = materialize(_bucket_tops(prefix_rows(docs, frequent)), "jaccard-tops")
-        tokens = shared(spark, sieve_of(tops, "token"))
-        rows = materialize(
-            prefix_rows(docs, frequent, tokens).join(tops, "token").select("token", "fp", "size", "pivot", "n"),
-            "jaccard-rows",
-        )
-        prefixes = materialize(prefixes_of(rows), "jaccard-prefixes")
-        links = _links(docs, _star_pairs(rows), prefixes)
-        roots = connected_components(links)
-        others = _links(docs, _across(rows.filter("n > 2").select("token", "fp", "size", "pivot"), roots), prefixes)
+        shareds = materialize(_shared_tokens(prefix_rows(docs, frequent)), "jaccard-tokens")
+        tokens = shared(spark, sieve_of(shareds, "token"))
+        rows = prefix_rows(docs, frequent, tokens).join(shareds, "token").dropDuplicates(["token", "fp"])
+        rows = materialize(rows.select("token", "fp", "size"), "jaccard-rows")
+        live = materialize(live_classes(rows), "jaccard-live")
+        buckets = materialize(bucket_rows(rows, live), "jaccard-buckets")
         discard(rows)
+        prefixes = materialize(prefixes_of(buckets), "jaccard-prefixes")
+        links = _links(docs, _star_pairs(buckets), prefixes)
+        roots = connected_components(links)
+        others = _links(docs, _across(docs, buckets.filter("n > 2"), roots), prefixes)
+        discard(buckets)
         discard(prefixes)
         if not others.isEmpty():
             roots = connected_components(links.union(others))
