@@ -28,6 +28,8 @@ TRAIN_ROWS, TRAIN_CHARS = 8_000, 20_000
 FEATURES, LEAST_DOCS, BEGINNINGS = 6000, 6, (4, 5)
 STATISTICS = 6
 RIDGE, ROUNDS, RATE = 0.002, 400, 0.05
+#: The evidence of every text where nothing could be learned.
+UNTRAINED = -4.0
 #: A document is rejected above this probability of being bad.
 REJECT = 0.45
 #: Bounds of the strength with which sites are shrunk.
@@ -143,7 +145,7 @@ def _feature_counts(texts: list[str | None], bad: np.ndarray) -> tuple[np.ndarra
 def fit(texts: list[str | None], bad: np.ndarray) -> Classifier:
     """Logistic regression by full-batch gradient steps on the features whose counts
     differ most between the classes. Equal texts weigh as one. Without rows of both
-    classes the evidence is 0 for every text."""
+    classes every text has the evidence ``UNTRAINED``."""
     first = {}
     for i, t in enumerate(texts):
         first.setdefault(t, i)
@@ -151,7 +153,7 @@ def fit(texts: list[str | None], bad: np.ndarray) -> Classifier:
     texts, bad = [texts[i] for i in keep], bad[keep].astype(float)
     zero = np.zeros(STATISTICS)
     if not 0 < bad.sum() < len(bad):
-        return Classifier(np.zeros(0, np.uint64), zero, zero, zero + 1, 0.0)
+        return Classifier(np.zeros(0, np.uint64), zero, zero, zero + 1, UNTRAINED)
     names, n, n1 = _feature_counts(texts, bad)
     rate = bad.mean()
     share = (n1 + rate) / (n + 1)

@@ -231,7 +231,7 @@ def test_classifier_finds_planted_words(spark):
     rng, rows, marks = random.Random(3), [], []
     for i in range(900):
         ws = [f"w{rng.randint(0, 400)}" for _ in range(40)]
-        toxic = i % 6 == 0
+        toxic = i % 5 == 0
         if toxic:
             ws[rng.randint(0, 39)] = f"vile{rng.randint(0, 99)}"
         rows.append((i, " ".join(ws), "en", f"s{i % 7}"))
@@ -240,7 +240,7 @@ def test_classifier_finds_planted_words(spark):
     known = spark.createDataFrame([m for m in marks if m[0] % 3], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r.kept for r in quality.classify(docs, known).collect()}
     unseen = [i for i, *_ in marks if i % 3 == 0]
-    assert sum(got[i] == bool(i % 6) for i in unseen) >= 0.98 * len(unseen)
+    assert sum(got[i] == bool(i % 5) for i in unseen) >= 0.98 * len(unseen)
 
 
 def test_no_labels_reject_nothing(spark):
