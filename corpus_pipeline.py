@@ -46,10 +46,12 @@ def near_duplicates(spark, docs, sf_dir) -> DataFrame:
 def source_mix(spark, docs, sf_dir) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once, or twice."""
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    mix = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies"))
-    rows = docs.join(mix.filter("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    mix = mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max(copies).alias("copies"))
+    # a row travels as one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    taken = rows.join(mix.filter("copies > 0"), F.col("row.doc_id").eqNullSafe(F.col("id")))
+    repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return repeated.select("row.*")
 
 
 def token_windows(spark, docs, sf_dir) -> DataFrame:
