@@ -34,7 +34,9 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
 def boxes_hit(points: DataFrame, boxes: DataFrame, page: str, least: float, cells: int = 8) -> DataFrame:
     """Per point (id, page, px, py) the box it hits: a direct hit before one in the
     box widened to ``least``, then the smaller box, then the first. Boxes (box_id, x,
-    y, w, h; page fractions) are dealt to grid cells, so points meet only near ones."""
+    y, w, h; page fractions) are dealt to grid cells, so points meet only near ones. Of
+    boxes alike in page and place only the first can be hit, so only it is dealt."""
+    boxes = boxes.groupBy(page, "x", "y", "w", "h").agg(F.min("box_id").alias("box_id"))
     wide, tall = F.greatest("w", F.lit(least)), F.greatest("h", F.lit(least))
     boxes = boxes.withColumns(
         {"x0": F.col("x") + F.col("w") / 2 - wide / 2, "y0": F.col("y") + F.col("h") / 2 - tall / 2, "ww": wide, "hh": tall}

@@ -356,12 +356,12 @@ def url_provenance(spark, d):
 
 
 def spatial_hit(spark, d):
-    """Documents' ids as points on a page, products as boxes."""
+    """Events as points on a page, all products as boxes."""
     points = table(spark, d, "events").select(
         F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("page"), ((F.col("event_id") * 37 % 1000) / 1000).alias("px"), ((F.col("event_id") * 91 % 997) / 997).alias("py")
     )
     k = F.col("p_partkey")
-    boxes = products(spark, d).filter("p_partkey < 400").select(
+    boxes = products(spark, d).select(
         (k % 4).alias("page"), k.alias("box_id"), ((k * 53 % 90) / 100).alias("x"), ((k * 29 % 90) / 100).alias("y"), (((k % 7) + 1) / 100).alias("w"), (((k % 5) + 1) / 100).alias("h")
     )
     return resolve.boxes_hit(points, boxes, "page", 0.04)
