@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OUTLIER = 6.0
+#: Prices this near are one price.
+SAME_PRICE = 0.005
 
 
 def first_wins(rows: DataFrame, per: list[str], order: list) -> DataFrame:

@@ -171,7 +171,7 @@ def shared_best_price(spark, d):
     rows = listings(spark, d)
     head = statistics.first_of_group(rows.select("l_partkey", "price", *ORDER), ["l_partkey"], ["price", *ORDER])
     head = head.select("l_partkey", F.col("price").alias("best"), F.col("l_suppkey").alias("head"))
-    other = rows.join(head, "l_partkey").filter((F.col("l_suppkey") != F.col("head")) & (F.col("price") - F.col("best") <= 0.01 * F.col("best")))
+    other = rows.join(head, "l_partkey").filter((F.col("l_suppkey") != F.col("head")) & (F.abs(F.col("price") - F.col("best")) <= statistics.SAME_PRICE))
     return other.groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("shared_with"))
 
 

@@ -1,7 +1,10 @@
 """Queries against brute force where their SQL covers a part of the job."""
 
+import datetime as dt
+
 from pricewright.operators import resolve
 from pricewright.plans import queries as plans
+from tests.compare import duck
 
 
 def hits(points, boxes, least=0.04):
@@ -40,3 +43,38 @@ def test_equal_boxes_give_the_first(spark):
     b = spark.createDataFrame(boxes, "page int, box_id int, x double, y double, w double, h double")
     got = {r.id: (r.page, r.box_id, r.direct) for r in resolve.boxes_hit(p, b, "page", 0.04).collect()}
     assert got == hits(points, boxes) == {1: (0, 3, True), 2: (1, 4, True)}
+
+
+def write_listings(spark, path, rows):
+    """rows: order, line, product, store, quantity, price before discount, discount, day."""
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp"
+    spark.createDataFrame(rows, columns).write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_best_price_is_shared_at_equal_prices_only(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    prices = {
+        1: [(1, 40000.0), (2, 40000.004), (3, 40000.006), (4, 40350.0), (2, 40000.0), (1, 40000.0)],
+        2: [(7, 9.0), (8, 9.05), (9, 9.09)],
+        3: [(5, 3.0), (6, 3.0), (7, 3.0)],
+    }
+    rows = [(i, 1, p, s, 1.0, v, 0.0, day) for p, offers in prices.items() for i, (s, v) in enumerate(offers)]
+    write_listings(spark, tmp_path, rows)
+    got = {r.l_partkey: r.shared_with for r in plans.shared_best_price(spark, str(tmp_path)).collect()}
+    want = {}
+    for product, offers in prices.items():
+        store, best = min(offers, key=lambda o: o[1])
+        others = {s for s, v in offers if s != store and abs(v - best) <= 0.005}
+        if others:
+            want[product] = len(others)
+    assert got == want == {1: 1, 3: 2}
+
+
+def test_shared_best_price_equals_brute_force_on_tables(spark, data):
+    """As in the SQL of this query, but for the tolerance."""
+    want = duck(data).sql("""
+WITH l AS (SELECT *, l_extendedprice * (1 - l_discount) AS price FROM lineitem),
+h AS (SELECT l_partkey, price AS best, l_suppkey AS head FROM l QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY price, l_orderkey, l_linenumber, l_suppkey) = 1)
+SELECT l_partkey, count(DISTINCT l_suppkey) AS shared_with FROM l JOIN h USING (l_partkey)
+WHERE l_suppkey <> head AND abs(price - best) <= 0.005::DOUBLE GROUP BY l_partkey""").fetchall()
+    assert sorted(tuple(r) for r in plans.shared_best_price(spark, data).collect()) == sorted(want)
