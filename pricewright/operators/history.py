@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import size, text
+from . import statistics
+
 EPSILON, NEAR = 1e-9, 0.1
 
 
@@ -54,14 +57,54 @@ def back_on_offer(rows: DataFrame, per: list[str], order: list[str], day: str, g
 
 
 #: Points of an exceptional deal, and the score that qualifies.
-LOWEST_POINTS, CHEAPER_POINTS, DEEP_POINTS, BRAND_POINTS = 50, 30, 20, 10
+LOWEST_POINTS, DEEP_POINTS, BIG_POINTS, RARE_POINTS, MULTI_POINTS, RETURN_POINTS = 50, 30, 15, 20, 10, 15
 QUALIFIES = 50
-
-
-def deal_score(lowest: Column, under_median: Column, deep: Column, branded: Column) -> Column:
-    """Points for a lowest-ever price, one under the median, a deep discount and a
-    known brand."""
+#: Weeks seen for a lowest ever, advertised drops in percent, weeks known
+#: and share of them on offer for a rarity, days away for a return.
+LEAST_WEEKS, DEEP_DROP, BIG_DROP, KNOWN_WEEKS, RARE_SHARE, AWAY_DAYS = 4, 40, 25, 8, 0.25, 28
+#: A gift in normalized words, and what a product is only free of.
+GIFT = "(^| )(free|مجانا)( |$)"
+FREE_OF = "(^| )(sugar|gluten|fat|lactose|dairy|salt|caffeine|alcohol|cholesterol) free( |$)"
+
+
+def multi_buy(name: Column) -> Column:
+    """Whether a name carries a multi-buy: a plausible "a+b", or free ones."""
+    gift = F.regexp_replace(text.normalize(name), FREE_OF, " ").rlike(GIFT)
+    return size.bonus_count(size.size_text(name)).isNotNull() | gift
+
+
+def deal_signals(rows: DataFrame, per: list[str], order: list[str], price: str, paid: Column, listed: Column, day: str) -> DataFrame:
+    """+ the inputs of ``deal_score`` but the multi-buy, from the rows up to each one.
+    ``order`` begins with ``day``; every row is an offer. weeks_seen: weeks with an
+    offer; weeks_known: weeks since the first; drop: percent of ``listed`` that
+    ``paid`` is less; away_days: since the low was last met, if this row meets it."""
+    upto = Window.partitionBy(*per).orderBy(*order)
+    earlier = upto.rowsBetween(Window.unboundedPreceding, -1)
+    all_upto = upto.rowsBetween(Window.unboundedPreceding, 0)
+    rows = lowest_so_far(rows, per, order, price).withColumn("_week", F.date_trunc("week", F.col(day).cast("timestamp")))
+    rows = rows.withColumn("_new", F.coalesce(F.col("_week") != F.lag("_week").over(upto), F.lit(True)))
+    met = F.col(price) <= F.coalesce("low_before", price) + EPSILON
+    rows = rows.withColumn("_met", F.when(met, F.col(day)))
+    away = F.datediff(F.col(day), F.max("_met").over(earlier))
+    return rows.withColumns(
+        {
+            "weeks_seen": F.count_if("_new").over(all_upto),
+            "weeks_known": F.floor(F.datediff(F.col("_week"), F.min("_week").over(all_upto)) / 7) + 1,
+            "drop": statistics.discount_percent(listed, paid),
+            "away_days": F.when(F.abs(F.col(price) - F.col("low_before")) <= EPSILON, away),
+        }
+    ).drop("_week", "_new", "_met")
+
+
+def deal_score(lowest: Column, weeks_seen: Column, drop: Column, weeks_known: Column, multi: Column, away_days: Column) -> Column:
+    """Points for a lowest-ever price over enough weeks, a deep or a big advertised
+    cut, a product rarely on offer, a multi-buy, and a return to the low."""
     points = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    cut = lambda percent: F.coalesce(drop >= percent - EPSILON, F.lit(False))
     return (
-        points(lowest, LOWEST_POINTS) + points(under_median, CHEAPER_POINTS) + points(deep, DEEP_POINTS) + points(branded, BRAND_POINTS)
+        points(lowest & (weeks_seen >= LEAST_WEEKS), LOWEST_POINTS)
+        + F.when(cut(DEEP_DROP), DEEP_POINTS).when(cut(BIG_DROP), BIG_POINTS).otherwise(0)
+        + points((weeks_known >= KNOWN_WEEKS) & (weeks_seen <= RARE_SHARE * weeks_known), RARE_POINTS)
+        + points(multi, MULTI_POINTS)
+        + points(away_days >= AWAY_DAYS, RETURN_POINTS)
     )

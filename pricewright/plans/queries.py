@@ -267,10 +267,10 @@ def back_on_offer(spark, d):
 
 
 def deal_score(spark, d):
-    rows = history.lowest_so_far(listings(spark, d), ["l_partkey"], HISTORY_ORDER, "unit")
-    rows = statistics.with_upper_median(rows, ["l_partkey"], "unit", "median")
-    rows = rows.join(products(spark, d).select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    score = history.deal_score(F.col("is_lowest"), F.col("unit") < F.col("median"), F.col("l_discount") >= 0.08, F.col("p_brand") == "Brand#1")
+    named = products(spark, d).select(F.col("p_partkey").alias("l_partkey"), history.multi_buy(F.col("p_name")).alias("multi"))
+    rows = listings(spark, d).join(named, "l_partkey")
+    rows = history.deal_signals(rows, ["l_partkey"], HISTORY_ORDER, "unit", F.col("price"), F.col("l_extendedprice"), "day")
+    score = history.deal_score(F.col("is_lowest"), F.col("weeks_seen"), F.col("drop"), F.col("weeks_known"), F.col("multi"), F.col("away_days"))
     rows = rows.withColumn("score", score).filter(F.col("score") >= history.QUALIFIES)
     return rows.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "score")
 

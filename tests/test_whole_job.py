@@ -78,3 +78,68 @@ h AS (SELECT l_partkey, price AS best, l_suppkey AS head FROM l QUALIFY row_numb
 SELECT l_partkey, count(DISTINCT l_suppkey) AS shared_with FROM l JOIN h USING (l_partkey)
 WHERE l_suppkey <> head AND abs(price - best) <= 0.005::DOUBLE GROUP BY l_partkey""").fetchall()
     assert sorted(tuple(r) for r in plans.shared_best_price(spark, data).collect()) == sorted(want)
+
+
+MULTI = {"cola 1+1", "cola 2 + 1 free", "buy two get one free", "عصير مجاناً"}
+
+
+def deal_points(offers, multi):
+    """order, line and store -> score of one product's offers (day, order, line, store, unit, drop)."""
+    out, seen = {}, []
+    for day, order, line, store, unit, drop in sorted(offers):
+        week = day - dt.timedelta(days=day.weekday())
+        weeks = {week, *(d - dt.timedelta(days=d.weekday()) for d, _ in seen)}
+        known = (week - min(weeks)).days // 7 + 1
+        low = min((u for _, u in seen), default=None)
+        score = 50 if low is not None and unit <= low and len(weeks) >= 4 else 0
+        score += 30 if drop >= 40 - 1e-9 else 15 if drop >= 25 - 1e-9 else 0
+        score += 20 if known >= 8 and len(weeks) <= known / 4 else 0
+        score += 10 if multi else 0
+        if low is not None and abs(unit - low) <= 1e-9:
+            last = max(d for d, u in seen if u <= low + 1e-9)
+            score += 15 if (day - last).days >= 28 else 0
+        out[order, line, store] = score
+        seen.append((day, unit))
+    return out
+
+
+def all_points(lines, names):
+    products = {}
+    for order, line, part, store, quantity, listed, discount, ts in lines:
+        paid = listed * (1 - discount)
+        drop = (listed - paid) / listed * 100 if listed > paid else 0
+        products.setdefault(part, []).append((ts.date(), order, line, store, paid / quantity, drop))
+    return {(p, *k): v for p, offers in products.items() for k, v in deal_points(offers, names[p] in MULTI).items() if v >= 50}
+
+
+def test_deal_score_has_six_signals(spark, tmp_path):
+    names = {1: "cola", 2: "cola 1+1", 3: "cola 2 + 1 free", 4: "buy two get one free", 5: "عصير مجاناً", 6: "sugar free cola", 7: "omega 3+6+9"}
+    week = lambda n, d=0: dt.datetime(2024, 1, 1) + dt.timedelta(weeks=n, days=d)
+    histories = [
+        [(0, 10, 0), (1, 9, 0)],  # a low at the second observation
+        [(0, 10, 0), (1, 9, 0), (2, 9.5, 0), (3, 8.9, 0), (4, 8.9, 0), (9, 8.9, 0)],  # a lowest ever in week 4, a return
+        [(0, 10, 0.4), (12, 20, 0.4), (30, 20, 0.3), (40, 20, 0.25), (41, 20, 0.39)],  # deep and big cuts, rarely on offer
+        [(0, 10, 0), (4, 10, 0), (7, 50, 0.4), (8, 30, 0.45)],  # known 8 weeks, 3 of them on offer
+        [(0, 6, 0), (30, 10, 0.4), (60, 10, 0.4), (70, 10, 0.4)],  # back at the low of 6
+        [(n, 10 + n % 3, 0.08) for n in range(12)],  # no more than under the median
+    ]
+    rows, order = [], 0
+    for part in range(1, 8 * len(histories)):
+        for n, listed, discount in histories[part % len(histories)]:
+            order += 1
+            rows.append((order, 1, part, 1 + order % 3, 1.0, float(listed), float(discount), week(n, order % 3)))
+    names = {p: names[1 + p % 7] for p in range(1, 8 * len(histories))}
+    write_listings(spark, tmp_path, rows)
+    spark.createDataFrame(list(names.items()), "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    want = all_points(rows, names)
+    got = {(r.l_partkey, r.l_orderkey, r.l_linenumber, r.l_suppkey): r.score for r in plans.deal_score(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {50, 60, 65, 75} <= set(want.values())
+
+
+def test_deal_score_equals_brute_force_on_tables(spark, data):
+    lines = duck(data).sql("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_shipdate FROM lineitem").fetchall()
+    names = dict(duck(data).sql("SELECT p_partkey, p_name FROM part").fetchall())
+    got = {(r.l_partkey, r.l_orderkey, r.l_linenumber, r.l_suppkey): r.score for r in plans.deal_score(spark, data).collect()}
+    assert got == all_points(lines, names)
+    assert len(got) > 0
