@@ -368,10 +368,13 @@ def spatial_hit(spark, d):
 
 
 def history_size_join(spark, d):
-    """Products and others of their brand whose size differs by 3% at most."""
-    rows = products(spark, d).select("p_brand", F.col("p_partkey").alias("a"), F.col("p_size").cast("double").alias("sa"))
-    other = products(spark, d).filter("p_partkey % 20 = 0").select("p_brand", F.col("p_partkey").alias("b"), F.col("p_size").cast("double").alias("sb"))
-    return resolve.band_join(rows, other, ["p_brand"], "sa", "sb", 0.03).groupBy("b").agg(F.count("*").alias("alike"))
+    """Per product the products of its brand, itself too, whose size differs by 3% at
+    most; counted per size, so that no pairs of products are made."""
+    rows = products(spark, d).select("p_brand", F.col("p_partkey").alias("b"), F.col("p_size").cast("double").alias("size"))
+    sizes = rows.groupBy("p_brand", "size").agg(F.count("*").alias("n"))
+    mine, other = sizes.select("p_brand", F.col("size").alias("sb")), sizes.withColumnRenamed("size", "sa")
+    alike = resolve.band_join(other, mine, ["p_brand"], "sa", "sb", 0.03).groupBy("p_brand", F.col("sb").alias("size")).agg(F.sum("n").alias("alike"))
+    return rows.join(alike, ["p_brand", "size"]).select("b", "alike")
 
 
 def recent_searches(spark, d):

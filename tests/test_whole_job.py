@@ -143,3 +143,11 @@ def test_deal_score_equals_brute_force_on_tables(spark, data):
     got = {(r.l_partkey, r.l_orderkey, r.l_linenumber, r.l_suppkey): r.score for r in plans.deal_score(spark, data).collect()}
     assert got == all_points(lines, names)
     assert len(got) > 0
+
+
+def test_size_join_has_all_products(spark, data):
+    rows = duck(data).sql("SELECT p_partkey, p_brand, p_size FROM part").fetchall()
+    want = {k: sum(b == brand and abs(s - own) <= 0.03 * max(s, own) for _, b, s in rows) for k, brand, own in rows}
+    got = plans.history_size_join(spark, data).collect()
+    assert len(got) == len(rows)
+    assert {r.b: r.alike for r in got} == want
