@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from pricewright.llm import mixing
+from pricewright.llm import mixing, quality
 from tests.llm.odd import odd_documents
 
 
@@ -27,3 +29,11 @@ def test_odd_documents_pass_through(spark, data):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, data).count() >= 0, name
         assert stage(spark, docs.filter("false"), data).count() == 0, name
+
+
+def test_classifier_learns_from_12000_labels(spark, monkeypatch):
+    n = 11_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    monkeypatch.setattr(quality, "fit", lambda texts, bad: len(texts))
+    assert quality.train(docs, labels) == n
