@@ -2,13 +2,13 @@
 
 Every stage works on all that its predecessor kept, is written as Parquet and read
 again. All stages but the last return the columns of documents. A stage's decision
-is joined back by doc_id, nulls included; rows that share a doc_id but not a text
-share the more favourable decision.
+is joined back by doc_id, nulls included, and a digest of text, lang and source, so
+that only rows alike in all of them share one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.llm.common import materialize
@@ -19,37 +19,59 @@ from pricewright.llm.quality import classify
 from pricewright.llm.rules import judge
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null too) is among ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+def _digest(docs: DataFrame) -> Column:
+    """A digest of text, lang and source that tells nulls from empty values."""
+    told = [docs[c].cast("string") for c in ("text", "lang", "source")]
+    return F.xxhash64(*told, *[c.isNull() for c in told])
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", "lang", "source", _digest(docs).alias("digest"))
+
+
+def _row_ids(docs: DataFrame) -> DataFrame:
+    """The same with doc_id and digest as doc_id; rows without an id come last."""
+    row_id = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "digest")
+    return _with_digest(docs).select(row_id.alias("doc_id"), "text", "lang", "source")
+
+
+def _decided(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
+    """``row``, and with an inner join the columns of ``decisions`` (id, digest, ...),
+    null-safe. A row travels as one struct, so that its columns may have any names."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _digest(docs).alias("_digest"))
+    return rows.join(decisions, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest")), how)
+
+
+def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose decision is among ``decisions``."""
+    return _decided(docs, decisions, "left_semi").select("row.*")
 
 
 def quality_rules(spark, docs, sf_dir) -> DataFrame:
     """Drop what the quality rules reject."""
-    return _with_ids(docs, judge(docs).filter("kept"))
+    return _kept(docs, judge(_row_ids(docs)).filter("kept").select("doc_id.id", "doc_id.digest"))
 
 
 def quality_classifier(spark, docs, sf_dir) -> DataFrame:
     """Drop what the quality classifier rejects; it learns from the labels table."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _with_ids(docs, classify(docs, labels).filter("kept"))
+    judged = classify(_with_digest(docs), labels, carry=("digest",)).filter("kept")
+    return _kept(docs, judged.select(F.col("doc_id").alias("id"), "digest"))
 
 
 def near_duplicates(spark, docs, sf_dir) -> DataFrame:
-    """Keep of each group of near duplicates the document with the least doc_id,
-    and of repeated rows one."""
-    kept = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _with_ids(docs, kept).dropDuplicates(["doc_id", "text"])
+    """Keep of each group of near duplicates the document with the least doc_id (of
+    equals the least digest), and of repeated rows one."""
+    kept = jaccard_components(_row_ids(docs)).filter(F.col("doc_id") == F.col("component_id"))
+    return _kept(docs, kept.select("doc_id.id", "doc_id.digest")).dropDuplicates(["doc_id", "text"])
 
 
 def source_mix(spark, docs, sf_dir) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once, or twice."""
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    mix = mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max(copies).alias("copies"))
-    # a row travels as one struct, so that its columns may have any names
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    taken = rows.join(mix.filter("copies > 0"), F.col("row.doc_id").eqNullSafe(F.col("id")))
+    mix = mix_sources(_with_digest(docs), carry=("digest",))
+    mix = mix.groupBy(F.col("doc_id").alias("id"), "digest").agg(F.max(copies).alias("copies"))
+    taken = _decided(docs, mix.filter("copies > 0"), "inner")
     repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return repeated.select("row.*")
 

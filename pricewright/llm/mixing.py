@@ -96,7 +96,7 @@ def _boundary(rows: DataFrame, shift: int) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0
+    docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Decide how many words of each document the mix takes.
 
@@ -109,11 +109,12 @@ def mix_sources(
     Null text: size 0, taken 0. Null source: a source of its own, last in order.
     Null doc_id: hashed as an empty id. Repeated rows (same id and text) share one
     hash and one decision. A source without words: target 0. Empty table: no rows.
-    Further columns of ``docs`` are ignored.
+    Further columns of ``docs`` are ignored, but those of ``carry`` are returned.
     """
     base = materialize(
         docs.select(
             "doc_id",
+            *carry,
             F.col("source").cast("string").alias("source"),
             word_count(text_or_empty()).alias("size"),
             _hash60(docs).alias("h"),
@@ -173,6 +174,7 @@ def mix_sources(
     once_more = F.when(F.col("h") < F.col("below"), 1).otherwise(0)
     return base.join(ready, base["source"].eqNullSafe(ready["_source"])).select(
         "doc_id",
+        *carry,
         "source",
         "size",
         "source_size",

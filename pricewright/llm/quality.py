@@ -250,24 +250,25 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return materialize(sites, "quality-sites")
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text and two site columns -> doc_id, evidence, site_rate, p_bad, kept,
     one row per row.
 
     ``host`` names the site column and ``path`` the finer one within a host. Null
     text: an empty text. Null host or path: a site of its own. Null doc_id: judged,
     never trained on. Repeated rows: judged alike. Without labels of both classes no
-    document is rejected. Empty table: no rows. Further columns are ignored.
+    document is rejected. Empty table: no rows. Further columns are ignored, but those
+    of ``carry`` are returned.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(host).alias("host"), F.col(path).alias("path"))
+    docs = docs.select("doc_id", *carry, F.col("text").cast("string").alias("text"), F.col(host).alias("host"), F.col(path).alias("path"))
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"))
     key = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
-    rows = docs.select("doc_id", key("host").alias("host_key"), key("path").alias("path_key"), "text")
+    rows = docs.select("doc_id", *carry, key("host").alias("host_key"), key("path").alias("path_key"), "text")
     scored = with_evidence(rows, model).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
     scored = materialize(scored, "quality-scored")
     odds = F.col("evidence") + _logit(F.col("site_rate")) - _logit(F.col("rate"))
     return scored.join(site_posteriors(scored), ["host_key", "path_key"]).select(
-        "doc_id", "evidence", "site_rate", (1 / (1 + F.exp(-odds))).alias("p_bad")
+        "doc_id", *carry, "evidence", "site_rate", (1 / (1 + F.exp(-odds))).alias("p_bad")
     ).withColumn("kept", F.col("p_bad") <= REJECT)
 
 

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pricewright.llm import mixing, quality
-from tests.llm.odd import odd_documents
+from tests.llm.odd import PROSE, odd_documents
 
 
 def test_stages_take_effect(spark):
@@ -37,3 +37,28 @@ def test_classifier_learns_from_12000_labels(spark, monkeypatch):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
     monkeypatch.setattr(quality, "fit", lambda texts, bad: len(texts))
     assert quality.train(docs, labels) == n
+
+
+def test_rows_that_share_an_id_have_their_own_decisions(spark, data, monkeypatch):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.source or "") for r in df.collect())
+    good_text = " ".join(f"word{n}" for n in range(120))
+    docs = make([(i, t, "en", "a") for i in (None, 1) for t in (good_text, "too short", None)])
+    good = [(False, 1, good_text, "a"), (True, 0, good_text, "a")]
+    assert texts(corpus_pipeline.quality_rules(spark, docs, data)) == good
+
+    judged = lambda docs, labels, carry: docs.select("doc_id", *carry, (F.col("text") == good_text).alias("kept"))
+    monkeypatch.setattr(corpus_pipeline, "classify", judged)
+    assert texts(corpus_pipeline.quality_classifier(spark, docs, data)) == good
+
+    other = " ".join(f"other{n}" for n in range(30))
+    near = make([(i, t, "en", "a") for i, t in [(None, PROSE), (None, PROSE + " now"), (5, PROSE), (None, other), (None, other + " x"), (5, None)]])
+    kept = texts(corpus_pipeline.near_duplicates(spark, near, data))
+    assert kept[:2] == [(False, 5, "", "a"), (False, 5, PROSE, "a")]
+    assert len(kept) == 3 and kept[2][:2] == (True, 0) and kept[2][2].startswith(other)
+
+    pool = make([(n % 3 or None, f"w{n} " * (1 + n % 7), "en", "abc"[n % 2]) for n in range(200)])
+    want = {r.source: r.taken for r in mixing.mix_sources(pool).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    mixed = corpus_pipeline.source_mix(spark, pool, data)
+    got = {r.source: r.taken for r in mixed.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("taken")).collect()}
+    assert got == want
