@@ -89,7 +89,7 @@ STAGES = [
     ("token windows", token_windows),
 ]
 
-#: Tokens cannot be made in SQL; the stages are tested against plain Python.
+#: Tokens cannot be made in SQL. No plain-Python version of all stages exists yet.
 ORACLE_SQL = None
 
 
