@@ -2,21 +2,28 @@ r"""N-gram Jaccard join with multiple-global-order filtering.
 
 Texts are sets of hashed word shingles. Under any one global order of the shingles,
 two sets of Jaccard similarity t or more share l shingles or more among their first
-n - ceil(t n) + l ones. The join uses several orders:
-
-1. the hash order finds the frequent shingles among its prefixes (their number is
-   bounded by the threshold, so the list can be broadcast);
-2. the order "frequent shingles last, then by hash" makes the candidates: sets near
-   enough in size whose prefixes share l shingles, l growing with the set. Prefix
-   shingles that only one set has are dropped early; how many a set has of them
-   bounds what it can share, which drops most sets and pairs before any comparison;
-3. two further orders (other bijections of the hash) must agree on a candidate
-   before the sets are compared.
-
-Equal sets are one class from the start. Within a bucket (the classes that share a
-prefix shingle) only links with a pivot are verified first; components of these
-links then leave only pairs across components to verify. So a large group of near
-copies costs about one pair a member, and no link between components is lost.
+n - ceil(t n) + l ones (n the set's size). A pair must pass that test under several
+orders before its sets are compared:
+
+1. the hash order tests every set: of its prefix enough shingles must stand in
+   another set's prefix too. What a prefix has alone it cannot share, which bounds
+   what the whole set can share; most sets go here. The sets left are counted whole,
+   and those of which less than t is shared with another set go as well;
+2. the order "rarest first" makes the buckets: sets near in size that share a prefix
+   shingle. A bucket's pivot is the set whose shingles are the commonest. Each set
+   pairs with its buckets' pivots only, so a group of near copies costs about one
+   pair a member;
+3. two further orders (other bijections of the hash) must agree on l shared shingles;
+4. pairs without a pivot: all sets of a pivot's family differ from it by some
+   shingles, and their differences are sets again. The difference between two sets is
+   that between their differences, so sets that link share at least
+   k = (|D(a)| + |D(b)| - (|a| + |b|) / 9) / 2 of them. A prefix filter over the
+   differences, rarest first in the family, with the exact k and positions, gives the
+   candidates. It is asked only where links with pivots have left a family in two or
+   more components, and only for pairs of which one set is outside its pivot's
+   component (for those k is 1 or more, so the filter loses no link).
+
+Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -26,27 +33,27 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shared
+from .common import discard, materialize, scratch_tables, shared, spread_join, sweep
 from .components import connected_components
 from .shingles import fingerprint, mix, parts, shingle_sets
 
-#: Similarity as a fraction: 80 hundredths.
+#: Similarity as a fraction: 80 hundredths. Sets link if their difference has no more
+#: than (|a| + |b|) / ``APART`` shingles, which is the same.
 SHARE, OF = 80, 100
-#: A shingle is frequent beyond this many prefixes, or beyond the total divided by
-#: ``MOST_FREQUENT`` if that is more; so there are never more than that many.
-FREQUENT, MOST_FREQUENT = 48, 1 << 18
-#: Orders checked on a candidate, by their multiplier.
+APART = (OF + SHARE) // (OF - SHARE)
+#: Two prefixes must share 1 + n // ``PER_SHARED`` shingles, n the smaller set's size.
+PER_SHARED = 20
+#: Further orders that must agree on a pair, by their multiplier.
 ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Orders of the classes by which buckets pick their pivots, one for each token class.
-PIVOT_ORDERS = 16
-#: From this many classes in a bucket, what a class can share is counted over whole
-#: sets before pairs are made.
-CROWD = 32
-#: Bits of a prefilter at most (32 MB); a full one lets more through, nothing less.
-FILTER_BITS = 1 << 28
+#: Size bands are a little wider than sets that link can be apart, 5 / 4.
+BAND = 1.2501
+#: Bits of the prefilter at most (16 MB); a full one lets more through, nothing less.
+FILTER_BITS = 1 << 27
+#: Rows that a batch of exploded sets may have, beyond one set.
+BATCH_ROWS = 1 << 17
 
 #: While the join runs: shuffle files go as soon as their query has ended, and Arrow
 #: batches of texts and sets stay small.
@@ -69,19 +76,10 @@ def session_settings(spark: SparkSession, settings: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: Two prefixes must share 1 + n // ``PER_SHARED`` shingles, n the smaller set's size.
-PER_SHARED = 20
-
-
 def prefix_length(n: int, shared: int = 1) -> int:
     return n - -(-SHARE * n // OF) + shared
 
 
-def prefix_size(size):
-    """The length of the prefixes that ``prefix_rows`` makes, as a column."""
-    return size - F.ceil(size * SHARE / OF) + 1 + F.floor(size / PER_SHARED)
-
-
 def _batch(arrays: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays.values()], names=list(arrays))
 
@@ -90,8 +88,12 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
     return (t.as_py() for t in batch["text"])
 
 
+def _set(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
 def set_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, fp. ``fp`` is a 64-bit digest of the set,
+    """doc_id, text -> doc_id, n_shingles, fp. ``fp`` is a 128-bit digest of the set,
     null if it is empty."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,27 +104,31 @@ def set_classes(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     fp.append(fingerprint(s))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n_shingles", "fp"]
+                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.binary())], names=["doc_id", "n_shingles", "fp"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n_shingles bigint, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n_shingles bigint, fp binary")
+
+
+def _hash_prefix(s: np.ndarray) -> np.ndarray:
+    """The prefix under the hash order (sets are sorted by it)."""
+    return s[: prefix_length(len(s), 1 + len(s) // PER_SHARED)]
 
 
-def frequent_shingles(docs: DataFrame, prefixes: int) -> np.ndarray:
-    """Sorted hashes of the shingles that stand in the hash-order prefixes of many
-    documents. ``prefixes``: all prefix lengths together."""
-    least = max(FREQUENT, prefixes // MOST_FREQUENT)
+def prefix_rows(docs: DataFrame) -> DataFrame:
+    """(token, tag) for every shingle of a set's prefix under the hash order; sets
+    that differ have different tags (64 bits of their digests)."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [s[: prefix_length(len(s))] for part in parts(_texts(batch)) for s in shingle_sets(part)]
-            token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
-            yield _batch({"token": token.view(np.int64), "n": n.astype(np.int64)})
+            for part in parts(_texts(batch)):
+                found = {fingerprint(s): _hash_prefix(s) for s in shingle_sets(part) if len(s)}
+                token = np.concatenate(list(found.values())) if found else np.zeros(0, np.uint64)
+                tag = np.frombuffer(b"".join(f[:8] for f in found), np.int64)
+                yield _batch({"token": token.view(np.int64), "tag": np.repeat(tag, [len(s) for s in found.values()])})
 
-    counts = docs.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") > least).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+    return docs.select("text").mapInArrow(rows, "token bigint, tag bigint")
 
 
 class Sieve:
@@ -135,9 +141,6 @@ class Sieve:
         h = mix(x ^ np.uint64(0x2545F4914F6CDD1D))
         return tuple((h >> np.uint64(s)) & np.uint64(self.bits - 1) for s in (0, 32))
 
-    def __contains__(self, x):
-        raise TypeError("use holds()")
-
     def holds(self, x: np.ndarray) -> np.ndarray:
         hit = np.ones(len(x), bool)
         for p in self.at(x):
@@ -158,67 +161,124 @@ def sieve_of(values: DataFrame, column: str) -> Sieve:
             word, first = np.unique((p >> np.uint64(6)).astype(np.int64), return_index=True)
             mask = np.uint64(1) << (p & np.uint64(63))
             mask = np.bitwise_or.reduceat(mask, first) if len(first) else mask
-            yield _batch({"word": word, "mask": mask.view(np.int64)})
+            yield _batch({"word": word.astype(np.int32), "mask": mask.view(np.int64)})
 
-    # at most bits / 64 rows
-    found = values.select(column).mapInArrow(words, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("m")).toPandas()
+    # at most bits / 64 rows of 12 bytes, read as Arrow
+    found = values.select(column).mapInArrow(words, "word int, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("m")).toArrow()
     out = Sieve(bits)
-    out.words[found["word"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64).view(np.uint64)
+    out.words[found["word"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
     return out
 
 
-def prefix_rows(docs: DataFrame, frequent, only=None) -> DataFrame:
-    """(token, fp, size of the set) for every shingle in a prefix under the order "frequent last".
-    ``frequent`` gives the frequent shingles, ``only``, if given, a sieve of tokens."""
+def candidate_sets(docs: DataFrame, tokens) -> DataFrame:
+    """(cid, fp, shingles), a row for each class that can link by its hash-order
+    prefix. ``tokens`` gives a sieve of the prefix shingles that two classes have; what
+    a prefix lacks there no other class has in its own."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent()
-        sieve = only() if only else None
+        sieve = tokens()
         for batch in batches:
             for part in parts(_texts(batch)):
-                tokens, fps, sizes, seen = [], [], [], set()
+                found = {}
                 for s in shingle_sets(part):
-                    fp = fingerprint(s)
-                    if fp is None or fp in seen:
+                    n, prefix = len(s), _hash_prefix(s)
+                    if not n:
                         continue
-                    seen.add(fp)
-                    size, n = len(s), prefix_length(len(s), 1 + len(s) // PER_SHARED)
-                    if len(last):
-                        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        common = last[at] == s
-                        s = np.concatenate([s[~common], s[common]])
-                    tokens.append(s[:n])
-                    fps.append(np.full(n, fp, np.int64))
-                    sizes.append(np.full(n, size, np.int32))
-                token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-                fp = np.concatenate(fps) if fps else np.zeros(0, np.int64)
-                size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
-                if sieve:
-                    hit = sieve.holds(token)
-                    token, fp, size = token[hit], fp[hit], size[hit]
-                yield _batch({"token": token.view(np.int64), "fp": fp, "size": size})
-
-    return docs.select("text").mapInArrow(rows, "token bigint, fp bigint, size int")
-
-
-def wanted_sets(docs: DataFrame, sieve) -> DataFrame:
-    """(fp, shingles) of the classes that pass the sieve that ``sieve`` gives."""
+                    held = int(sieve.holds(prefix).sum())
+                    if held > SHARE * n // OF // PER_SHARED and OF * (n - len(prefix) + held) >= SHARE * n:
+                        found[fingerprint(s)] = s.tobytes()
+                yield _batch({"fp": pa.array(list(found), pa.binary()), "shingles": pa.array(list(found.values()), pa.binary())})
+
+    found = docs.select("text").mapInArrow(rows, "fp binary, shingles binary").dropDuplicates(["fp"])
+    return found.select(F.monotonically_increasing_id().alias("cid"), "fp", "shingles")
+
+
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(token, cid, n) for every shingle of every set."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sieve()
         for batch in batches:
-            for part in parts(_texts(batch)):
-                found = {}
-                for s in shingle_sets(part):
-                    fp = fingerprint(s)
-                    if fp is not None and fp not in found:
-                        found[fp] = s.tobytes()
-                fps = np.array(list(found), np.int64)
-                hit = own.holds(fps.view(np.uint64))
-                kept = [b for b, h in zip(found.values(), hit, strict=True) if h]
-                yield pa.RecordBatch.from_arrays([pa.array(fps[hit]), pa.array(kept, pa.binary())], names=["fp", "shingles"])
+            cid, own = batch["cid"].to_numpy(), [_set(x) for x in batch["shingles"]]
+            sizes = np.array([len(s) for s in own], np.int64)
+            for a, b in _runs(sizes):
+                yield _batch(
+                    {
+                        "token": np.concatenate(own[a:b]).view(np.int64),
+                        "cid": np.repeat(cid[a:b], sizes[a:b]),
+                        "n": np.repeat(sizes[a:b].astype(np.int32), sizes[a:b]),
+                    }
+                )
+
+    return sets.select("cid", "shingles").mapInArrow(rows, "token bigint, cid bigint, n int")
+
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to ``BATCH_ROWS`` at most, or of one row."""
+    a, total = 0, 0
+    for b, size in enumerate(sizes.tolist()):
+        if b > a and total + size > BATCH_ROWS:
+            yield a, b
+            a, total = b, 0
+        total += size
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """token, cid, n, c, held, common: the shingles that ``c`` (two or more) classes
+    have, of classes of which enough is shared. ``held`` is how many shingles of the
+    class are, ``common`` how common they are on average."""
+    counts = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    found = materialize(rows.join(counts, "token").select("token", "cid", "n", "c"), "jaccard-shared")
+    weight = F.sum((F.log("c") * 1024).cast("long")) / F.col("n")
+    held = found.groupBy("cid", "n").agg(F.count("*").alias("held"), weight.alias("common"))
+    return found.join(held.filter(OF * F.col("held") >= SHARE * F.col("n")).drop("n"), "cid")
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """(a, p): every class with the pivots of its buckets under the order "rarest
+    first". Shingles that one class alone has come first in it and need no row. Sets
+    near enough in size share one of two size bands."""
+    rarest = Window.partitionBy("cid").orderBy("c", "token")
+    alone = F.col("n") - F.col("held")
+    length = F.col("n") - F.ceil(F.col("n") * SHARE / OF) + 1
+    prefix = rows.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= length - alone)
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
+    placed = materialize(prefix.select("token", F.explode(F.array(band, band + 1)).alias("band"), "cid", "common"), "jaccard-prefixes")
+    tops = placed.groupBy("token", "band").agg(F.max(F.struct("common", "cid"))["cid"].alias("p"))
+    pairs = placed.join(tops, ["token", "band"]).filter("cid <> p").select(F.col("cid").alias("a"), "p").distinct()
+    pairs = materialize(pairs, "jaccard-families")
+    discard(placed)
+    return pairs
+
+
+def order_prefixes(sets: DataFrame) -> DataFrame:
+    """cid, n and the prefixes under ``ORDERS`` as arrays."""
 
-    return docs.select("text").mapInArrow(rows, "fp bigint, shingles binary").dropDuplicates(["fp"])
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_set(x) for x in batch["shingles"]]
+            columns = [batch["cid"], pa.array([len(s) for s in own], pa.int32())]
+            for order in ORDERS:
+                turned = [np.sort(s * np.uint64(order))[: prefix_length(len(s), 1 + len(s) // PER_SHARED)] for s in own]
+                flat = np.concatenate(turned) if turned else np.zeros(0, np.uint64)
+                ends = np.cumsum([0, *map(len, turned)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "o0", "o1"])
+
+    return sets.select("cid", "shingles").mapInArrow(rows, "cid bigint, n int, o0 array<bigint>, o1 array<bigint>")
+
+
+def agreed(pairs: DataFrame, orders: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are near in size and share enough under all of
+    the further orders."""
+    named = lambda c: orders.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "o0", "o1")])
+    both = pairs.join(named("a"), "a").join(named("b"), "b")
+    near = OF * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")
+    least = 1 + F.floor(F.least("n_a", "n_b") / PER_SHARED)
+    for order in ("o0", "o1"):
+        near &= F.size(F.array_intersect(f"{order}_a", f"{order}_b")) >= least
+    return both.filter(near).select("a", "b")
 
 
 def _shares(a: np.ndarray, b: np.ndarray) -> int:
@@ -228,63 +288,16 @@ def _shares(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _first(s: np.ndarray, order: int) -> np.ndarray:
-    """The prefix of a set under another order, sorted."""
-    n = prefix_length(len(s))
-    turned = s * np.uint64(order)
-    return np.sort(np.partition(turned, n - 1)[:n])
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets link: size filter, order filters, then the exact test."""
-    if OF * min(len(a), len(b)) < SHARE * max(len(a), len(b)):
-        return False
-    for order in ORDERS:
-        if not _shares(_first(a, order), _first(b, order)):
-            return False
+    """Whether two sets link."""
     both = _shares(a, b)
     return OF * both >= SHARE * (len(a) + len(b) - both)
 
 
-def _near(na, nb, ma, mb):
-    """Whether two sets of ``na`` and ``nb`` shingles, of which other sets have only
-    ``ma`` and ``mb``, can be similar: near enough in size, and enough left to share."""
-    size = OF * F.least(na, nb) >= SHARE * F.greatest(na, nb)
-    return size & ((OF + SHARE) * F.least(ma, mb) >= SHARE * (F.col(na) + F.col(nb)))
-
-
-def live_classes(rows: DataFrame) -> DataFrame:
-    """fp, size, common of the classes that can link at all. ``rows`` are prefix
-    shingles that two classes or more have, so what a prefix lacks there no other
-    class has: ``common`` bounds what a class can share."""
-    size = F.col("size")
-    least = 1 + F.floor(F.floor(SHARE * size / OF) / PER_SHARED)
-    counts = rows.groupBy("fp", "size").agg(F.count("*").alias("held"))
-    counts = counts.withColumn("common", (size - prefix_size(size) + F.col("held")).cast("int"))
-    return counts.filter((F.col("held") >= least) & (OF * F.col("common") >= SHARE * size)).drop("held")
-
-
-def bucket_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, fp, size, common, pivot, n for live classes in buckets of two or more.
-    A bucket's pivot is its first class under one of ``PIVOT_ORDERS`` orders, so a
-    group that shares many shingles is measured against as many pivots."""
-    kept = rows.select("token", "fp").join(classes, "fp")
-    turn = F.xxhash64(F.col("token").bitwiseAND(PIVOT_ORDERS - 1), "fp")
-    tops = kept.groupBy("token").agg(F.max(F.struct(turn.alias("t"), F.col("fp").alias("pivot"))).alias("top"), F.count("*").alias("n"))
-    return kept.join(tops.filter("n > 1").select("token", "top.pivot", "n"), "token")
-
-
-def prefixes_of(rows: DataFrame) -> DataFrame:
-    """Per class its prefix shingles that another live class has too: fp, size, tokens."""
-    return rows.groupBy("fp", "size").agg(F.collect_list("token").alias("tokens"))
-
-
-def candidates(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose prefixes share as many shingles as they must."""
-    named = lambda c, n, t: prefixes.select(F.col("fp").alias(c), F.col("size").alias(n), F.col("tokens").alias(t))
-    both = pairs.join(named("a", "na", "ta"), "a").join(named("b", "nb", "tb"), "b")
-    least = 1 + F.floor(F.least("na", "nb") / PER_SHARED)
-    return both.filter(F.size(F.array_intersect("ta", "tb")) >= least).select("a", "b")
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs with the sets of ``a`` as x and of ``b`` as y."""
+    one = pairs.join(sets.select(F.col("cid").alias(a), F.col("shingles").alias("x")), a)
+    return one.join(sets.select(F.col("cid").alias(b), F.col("shingles").alias("y")), b)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -292,105 +305,113 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [
-                similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
-                for x, y in zip(batch["x"], batch["y"], strict=True)
-            ]
+            hit = [similar(_set(x), _set(y)) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    both = one.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    return _with_sets(pairs, sets, "a", "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def _shared_tokens(rows: DataFrame) -> DataFrame:
-    """The tokens that two classes or more have."""
-    ends = rows.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-    return ends.filter("low <> high").select("token")
+def mixed_families(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, p, root, outside: the members of the families that are not one component;
+    ``outside`` if the member is not in its pivot's."""
+    own = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
+    rooted = pairs.join(own("a", "ra"), "a", "left")
+    rooted = spread_join(rooted, pairs.select("p").distinct().join(own("p", "rp"), "p", "left"), ["p"])
+    rooted = rooted.select("a", "p", F.coalesce("ra", "a").alias("root"), (F.coalesce("ra", "a") != F.coalesce("rp", "p")).alias("outside"))
+    rooted = materialize(rooted, "jaccard-rooted")
+    return spread_join(rooted, rooted.filter("outside").select("p").distinct(), ["p"])
 
 
-def _star_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of a class and a pivot that can be similar."""
-    pivots = rows.filter("fp = pivot").select(F.col("fp").alias("pivot"), F.col("size").alias("pn"), F.col("common").alias("pm")).distinct()
-    stars = rows.filter("fp <> pivot").select("fp", "size", "common", "pivot").distinct().join(pivots, "pivot")
-    near = stars.filter(_near("size", "pn", "common", "pm"))
-    return near.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
-
-
-def _whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, fp) for every shingle of the given classes."""
-    spark = docs.sparkSession
-    sieve = shared(spark, sieve_of(classes, "fp"))
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, p, root, outside, na, np, nd, token: every shingle in which a member differs
+    from its pivot; ``nd`` of them in all."""
+    kept = ("a", "p", "root", "outside")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sieve()
         for batch in batches:
-            for part in parts(_texts(batch)):
-                found = {fingerprint(s): s for s in shingle_sets(part) if len(s)}
-                fps = np.array(list(found), np.int64)
-                kept = fps[own.holds(fps.view(np.uint64))].tolist()
-                token = np.concatenate([found[f] for f in kept]) if kept else np.zeros(0, np.uint64)
-                fp = np.repeat(np.array(kept, np.int64), [len(found[f]) for f in kept])
-                yield _batch({"token": token.view(np.int64), "fp": fp})
-
-    tokens = docs.select("text").mapInArrow(rows, "token bigint, fp bigint")
-    return tokens.join(classes, "fp", "left_semi").dropDuplicates(["token", "fp"])
-
-
-def _crowd_bound(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of buckets, those of crowded ones with ``common`` counted over whole
-    sets: what a class has that no other class of a crowded bucket has, it cannot
-    share there. Classes with too little left go."""
-    sizes = rows.groupBy("token").agg(F.count("*").alias("here"))
-    rows = materialize(rows.join(sizes, "token"), "jaccard-sized")
-    few, many = rows.filter(F.col("here") < CROWD).drop("here"), rows.filter(F.col("here") >= CROWD).drop("here")
-    classes = materialize(many.select("fp").distinct(), "jaccard-crowd")
-    if classes.isEmpty():
-        return few
-    tokens = materialize(_whole_sets(docs, classes), "jaccard-whole")
-    again = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    held = tokens.join(again, "token").groupBy("fp").agg(F.count("*").cast("int").alias("held"))
-    left = many.join(held, "fp").withColumn("common", F.least("common", "held")).drop("held")
-    return few.unionByName(left.filter(OF * F.col("common") >= SHARE * F.col("size")))
-
-
-def _across(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket but no component yet, pivots aside. One
-    of each pair is outside its bucket's largest component, so a bucket that is one
-    component but for a few costs little."""
-    rooted = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "token", "fp", "size", "common", "pivot", F.coalesce("root", "fp").alias("root")
-    )
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    rooted = materialize(_crowd_bound(docs, rooted.join(mixed, "token").filter("fp <> pivot")), "jaccard-mixed")
-    sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    few = rooted.join(largest, "token").filter("root <> largest")
-    # sets near in size lie in one size band or in neighbouring ones
-    band = F.floor(F.log("size") / -F.log(F.lit(SHARE / OF)))
-    left = few.select(
-        "token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("fp").alias("p"),
-        F.col("size").alias("np"), F.col("common").alias("mp"), F.col("root").alias("rp"), "largest",
-    )
-    right = rooted.select(
-        "token", band.alias("band"), F.col("fp").alias("q"), F.col("size").alias("nq"), F.col("common").alias("mq"), F.col("root").alias("rq")
-    )
-    apart = (F.col("rp") != F.col("rq")) & ((F.col("rq") == F.col("largest")) | (F.col("p") < F.col("q")))
-    pairs = left.join(right, ["token", "band"]).filter(apart & _near("np", "nq", "mp", "mq"))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-
-
-def _links(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The pairs that link; sets are made only of classes in a candidate."""
+            x, y = [_set(v) for v in batch["x"]], [_set(v) for v in batch["y"]]
+            found = [np.setxor1d(a, b, assume_unique=True) for a, b in zip(x, y, strict=True)]
+            sizes = np.array([len(d) for d in found], np.int64)
+            fixed = {k: batch[k].to_numpy(zero_copy_only=False) for k in kept}
+            fixed |= {"na": np.array([*map(len, x)], np.int32), "np": np.array([*map(len, y)], np.int32), "nd": sizes.astype(np.int32)}
+            for a, b in _runs(sizes):
+                part = {k: np.repeat(v[a:b], sizes[a:b]) for k, v in fixed.items()}
+                yield _batch(part | {"token": np.concatenate(found[a:b]).view(np.int64)})
+
+    schema = "a bigint, p bigint, root bigint, outside boolean, na int, np int, nd int, token bigint"
+    return _with_sets(members, sets, "a", "p").select(*kept, "x", "y").mapInArrow(rows, schema)
+
+
+def difference_pairs(found: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that can link by a prefix filter over their differences
+    from a pivot they have in common. One of each pair is outside its pivot's
+    component, and the two are in different components.
+
+    A set outside has more than (na + np) / 9 differences. Sets that link share
+    k >= max(nd_a, nd_b) - (na + nb) / 9, and nb <= 5/4 na; with a partner outside
+    also k > (nd_a + (np - na) / 9) / 2. The prefixes are as long as the bounds ask.
+    """
+    counts = found.groupBy("p", "token").agg(F.count("*").alias("c")).filter("c > 1")
+    again = found.join(counts, ["p", "token"])
+    member = Window.partitionBy("p", "a")
+    # differences that one member alone has come first and need no row
+    place = F.col("nd") - F.count("*").over(member) + F.row_number().over(member.orderBy("c", "token"))
+    any_k = F.greatest(F.lit(1), F.ceil(F.col("nd") - F.col("na") / 4))
+    outer_k = F.greatest(any_k, F.ceil((APART * F.col("nd") + F.col("np") - F.col("na")) / (2 * APART)))
+    index = again.withColumn("place", place.cast("int"))  # 1 for the first
+    index = index.withColumn("short", F.col("place") <= F.col("nd") - outer_k + 1)
+    index = index.filter(F.col("short") | F.col("outside") & (F.col("place") <= F.col("nd") - any_k + 1))
+    index = materialize(index.select("p", "token", "a", "root", "outside", "na", "nd", "place", "short"), "jaccard-index")
+    one = index.filter("outside").alias("l")
+    two = index.filter("short").alias("r")
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))  # noqa: E741
+    near = OF * F.least(l("na"), r("na")) >= SHARE * F.greatest(l("na"), r("na"))
+    # at the first shared difference, what is left must do
+    left = F.least(l("nd") - l("place"), r("nd") - r("place"))
+    enough = 2 * APART * (1 + left) >= APART * (l("nd") + r("nd")) - (l("na") + r("na"))
+    once = ~r("outside") | (l("short") & (l("a") < r("a")))
+    on = (l("p") == r("p")) & (l("token") == r("token")) & (l("root") != r("root")) & near & enough & once
+    pairs = one.join(two, on).select(F.least(l("a"), r("a")).alias("a"), F.greatest(l("a"), r("a")).alias("b")).distinct()
+    pairs = materialize(pairs, "jaccard-pairs")
+    discard(index)
+    return pairs
+
+
+def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid, fp) of classes that may link, and links (a, b) between cids that make the
+    same components as all links."""
     spark = docs.sparkSession
-    pairs = materialize(candidates(pairs, prefixes), "jaccard-candidates")
-    if pairs.isEmpty():
-        return pairs
-    fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = materialize(wanted_sets(docs, shared(spark, sieve_of(fps, "fp"))), "jaccard-sets")
-    links = materialize(verified(pairs, sets), "jaccard-links")
+    ends = prefix_rows(docs).groupBy("token").agg(F.min("tag").alias("low"), F.max("tag").alias("high"))
+    tokens = materialize(ends.filter("low <> high").select("token"), "jaccard-tokens")
+    sets = materialize(candidate_sets(docs, shared(spark, sieve_of(tokens, "token"))), "jaccard-sets")
+    discard(tokens)
+    first = materialize(shared_rows(shingle_rows(sets)).select("token", "cid", "n"), "jaccard-counted")
+    pairs = families(shared_rows(first))
+    discard(first)
+    members = pairs.select(F.col("a").alias("cid")).union(pairs.select("p")).distinct()
+    live = materialize(sets.join(members, "cid"), "jaccard-live")
     discard(sets)
-    return links
+    orders = materialize(order_prefixes(live), "jaccard-orders")
+    stars = materialize(agreed(pairs.select("a", F.col("p").alias("b")), orders), "jaccard-stars")
+    links = materialize(verified(stars, live), "jaccard-links")
+    discard(stars)
+    roots = connected_components(links)
+    mixed = materialize(mixed_families(pairs, roots), "jaccard-mixed")
+    others = difference_pairs(materialize(differences(mixed, live), "jaccard-differences"))
+    more = materialize(verified(agreed(others, orders), live), "jaccard-more")
+    return live.select("cid", "fp"), links.union(more)
+
+
+def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fp, component): the least doc_id of each class's component."""
+    least = classes.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = materialize(least, "jaccard-least")
+    live, links = class_links(docs)
+    linked = live.join(connected_components(links), F.col("cid") == F.col("node")).select("fp", "root").join(least, "fp")
+    linked = materialize(linked, "jaccard-linked")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component"))
+    named = spread_join(linked, ids, ["root"]).select("fp", "component")
+    return least.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -400,38 +421,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     similarity 0.8 or more between sets of distinct five-word shingles. Null or
     empty text, or one of blanks: an empty set, linked with nothing, its own
     doc_id. Null doc_id: takes part in links; the id of its component is the least
-    that is not null. Repeated rows: equal sets, so one component. Empty table: no
-    rows. Further columns of ``docs`` are ignored.
+    that is not null. Repeated rows: equal sets, so one component. Very long texts:
+    compared whole. Empty table: no rows. Further columns of ``docs`` are ignored.
 
-    Sets are told apart by 64-bit digests of 64-bit shingle hashes.
+    Sets are told apart by 128-bit digests of 64-bit shingle hashes.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    with session_settings(spark, SETTINGS):
+    with session_settings(docs.sparkSession, SETTINGS):
         classes = materialize(set_classes(docs), "jaccard-classes")
-        length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * SHARE / OF) + 1
-        total = classes.filter("n_shingles > 0").agg(F.sum(length)).first()[0] or 0
-        frequent = shared(spark, frequent_shingles(docs, total))
-        shareds = materialize(_shared_tokens(prefix_rows(docs, frequent)), "jaccard-tokens")
-        tokens = shared(spark, sieve_of(shareds, "token"))
-        rows = prefix_rows(docs, frequent, tokens).join(shareds, "token").dropDuplicates(["token", "fp"])
-        rows = materialize(rows.select("token", "fp", "size"), "jaccard-rows")
-        live = materialize(live_classes(rows), "jaccard-live")
-        buckets = materialize(bucket_rows(rows, live), "jaccard-buckets")
-        discard(rows)
-        prefixes = materialize(prefixes_of(buckets), "jaccard-prefixes")
-        links = _links(docs, _star_pairs(buckets), prefixes)
-        roots = connected_components(links)
-        others = _links(docs, _across(docs, buckets.filter("n > 2"), roots), prefixes)
-        discard(buckets)
-        discard(prefixes)
-        if not others.isEmpty():
-            roots = connected_components(links.union(others))
-        least = classes.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
-        rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-        rooted = materialize(rooted, "jaccard-roots")
-        ids = rooted.groupBy("root").agg(F.min("least").alias("component"))
-        named = materialize(rooted.join(ids, "root").select("fp", "component"), "jaccard-ids")
+        with scratch_tables() as inner:
+            named = materialize(class_components(docs, classes), "jaccard-components")
+        sweep([p for p in inner if "/jaccard-components-" not in p])
     return classes.join(named, "fp", "left").select(
         "doc_id",
         "n_shingles",

@@ -96,8 +96,6 @@ def parts(texts: Iterable[str | None], limit: int = PART_BYTES) -> Iterator[list
         yield part
 
 
-def fingerprint(shingles: np.ndarray) -> int | None:
-    """A 64-bit digest of a set, signed; None for the empty set."""
-    if not len(shingles):
-        return None
-    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def fingerprint(shingles: np.ndarray) -> bytes | None:
+    """A 128-bit digest of a set; None for the empty set."""
+    return blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
