@@ -3,14 +3,18 @@ r"""Quality rules: base statistics and robust multivariate outliers.
 Base statistics of a text come from array and regular expressions; a document whose
 base rules fail is rejected. The others' statistics are transformed to a vector, and
 per language and source its centre and covariance are estimated by the minimum
-covariance determinant: start from medians and quartile ranges, then repeat C-steps
-(keep the ``SUBSET`` share of rows that are nearest in Mahalanobis distance, take
-their mean and covariance). Rows beyond ``CUTOFF`` from their group's estimate are
-rejected.
-
-Quantiles come from histograms of fixed resolution, grouped before any shuffle by
-key, so a group with a third of all rows costs no more than others; nothing is
-sorted or sampled. Only DataFrame expressions run; there is no Python on executors.
+covariance determinant. Three deterministic starts (medians and quartile ranges; the
+half of the rows nearest to those; all rows) each make two C-steps: keep the
+``SUBSET`` share of rows that are nearest in Mahalanobis distance, take their mean and
+covariance. Each group's start of least determinant goes on until its determinant
+stands still. Rows within the 97.5 % quantile of that estimate give the reweighted one, and
+rows beyond ``CUTOFF`` from it are rejected.
+
+Quantiles come from histograms on a logarithmic scale (some thousand buckets at most
+for any values), grouped before any shuffle by key, and rows meet their group's
+estimate by a spread join, so a group with a third of all rows costs no more than
+others; nothing is sorted or sampled. Only DataFrame expressions run; there is no
+Python on executors.
 """
 
 from __future__ import annotations
@@ -18,14 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD_PATTERN, materialize, text_or_empty, words_of
+from .common import BLANKS, WORD_PATTERN, materialize, spread_join, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-#: The vector: name, its SQL over the base statistics, and the least standard
-#: deviation that an estimate may claim. The floors keep groups whose rows hardly
-#: differ (or do not differ at all) from rejecting ordinary rows.
+#: The vector: name, its SQL over the base statistics, and the standard deviation that
+#: every estimate has at least (its square is added to the variance, so a determinant
+#: is never 0). They are about a tenth of the range that ordinary prose covers, and
+#: keep groups whose rows hardly differ (or not at all) from rejecting ordinary rows.
 VECTOR = (
     ("x_length", "ln(1.0D + n_words)", 0.5),
     ("x_word", "word_chars / cast(n_words AS double)", 0.5),
@@ -34,12 +39,24 @@ VECTOR = (
     ("x_repeat", "n_repeat_words / cast(n_words AS double)", 0.15),
 )
 D = len(VECTOR)
-#: Share of rows in the MCD subset; number of C-steps; the factor that makes the
-#: covariance of the nearest 75% of a five-dimensional normal sample consistent.
-SUBSET, C_STEPS, CONSISTENCY = 0.75, 3, 1.41
-#: Squared Mahalanobis distance beyond which a row is an outlier, and the rows a
-#: group needs for an estimate of its own.
-CUTOFF, MIN_GROUP = 40.0, 100
+NAMES = [n for n, _, _ in VECTOR]
+#: Share of rows in the MCD subset, and that of the rows that one of the starts takes.
+SUBSET, HALF = 0.75, 0.5
+#: Squared distance within which rows count for the reweighted estimate: the 97.5 %
+#: quantile of chi-square with five degrees of freedom.
+INSIDE = 12.8325
+#: Factors that make the covariance of the nearest share of a five-dimensional normal
+#: sample consistent: share / P(chi-square with seven degrees <= the share's quantile
+#: with five), for 75 %, 50 % and 97.5 %.
+CONSISTENCY, HALF_CONSISTENCY, INSIDE_CONSISTENCY = 1.412, 1.912, 1.056
+#: C-steps of every start, and of the best one at most; it ends before that when the
+#: group's log determinant moves by no more than this.
+FIRST_STEPS, MORE_STEPS, STILL = 2, 8, 1e-3
+#: Squared Mahalanobis distance beyond which a row is an outlier: the quantile of
+#: chi-square with five degrees of freedom that 1.5 of 10 million clean rows exceed.
+CUTOFF = 40.0
+#: Rows that a group needs for an estimate of its own.
+MIN_GROUP = 100
 
 
 def let(value: Column, body) -> Column:
@@ -77,32 +94,29 @@ def repeat_words(words: Column) -> Column:
     ).cast("long")
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, lang, source, the base statistics (long) and
-    base_failed. Null text counts as empty."""
+def base_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, lang, source, the columns of ``carry``, the base
+    statistics (long) and base_failed. Null text counts as empty."""
     text = text_or_empty()
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_PATTERN))
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD_PATTERN))
+    kept = ["doc_id", "lang", "source", *carry]
     return (
-        docs.select("doc_id", "lang", "source", text.alias("text"))
+        docs.select(*kept, text.alias("_text"))
         .select(
-            "doc_id",
-            "lang",
-            "source",
-            let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r"))).alias("w"),
-            F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-            (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            let(lines, lambda a: F.struct(F.size(a).cast("long").alias("n"), F.size(F.array_distinct(a)).cast("long").alias("d"))).alias("l"),
+            *kept,
+            let(words_of(F.col("_text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r"))).alias("_w"),
+            F.length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
+            (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda a: F.struct(F.size(a).cast("long").alias("n"), F.size(F.array_distinct(a)).cast("long").alias("d"))).alias("_l"),
         )
         .select(
-            "doc_id",
-            "lang",
-            "source",
-            F.col("w.n").alias("n_words"),
+            *kept,
+            F.col("_w.n").alias("n_words"),
             "word_chars",
             "n_symbols",
-            (F.col("l.n") - F.col("l.d")).alias("n_dup_lines"),
-            F.col("w.r").alias("n_repeat_words"),
-            F.col("l.n").alias("n_lines"),
+            (F.col("_l.n") - F.col("_l.d")).alias("n_dup_lines"),
+            F.col("_w.r").alias("n_repeat_words"),
+            F.col("_l.n").alias("n_lines"),
         )
         .withColumn(
             "base_failed",
@@ -128,8 +142,8 @@ def _groups(rows: DataFrame) -> DataFrame:
     """(lang_key, source_key) -> gid: the pair itself, or its language's sparse
     sources together, or all that is sparse."""
     pairs = rows.groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
-    sparse = F.when(F.col("n") < MIN_GROUP, F.col("n")).otherwise(0)
-    return pairs.withColumn("n_lang", F.sum(sparse).over(Window.partitionBy("lang_key"))).select(
+    sparse = pairs.filter(F.col("n") < MIN_GROUP).groupBy("lang_key").agg(F.sum("n").alias("n_lang"))
+    return spread_join(pairs, sparse, ["lang_key"], "left").select(
         "lang_key",
         "source_key",
         F.when(F.col("n") >= MIN_GROUP, F.concat_ws("|", F.lit("s"), "lang_key", "source_key"))
@@ -139,19 +153,20 @@ def _groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Centre and whitening of the first subset: medians and quartile ranges."""
+def _middle_start(rows: DataFrame) -> DataFrame:
+    """Centre and whitening of the first start: medians and quartile ranges."""
     per_unit = 256.0
     long = rows.select(
         "gid",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(n) * per_unit).alias("b")) for i, (n, _, _) in enumerate(VECTOR)])).alias("v"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.asinh(F.col(n)) * per_unit).alias("b")) for i, n in enumerate(NAMES)])).alias("v"),
     ).select("gid", "v.i", "v.b")
     q = _quantile(long, ["gid", "i"], "b", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    value = lambda c: F.sinh((F.col(c) + 0.5) / per_unit)
     aggs = []
     for i, (_, _, floor) in enumerate(VECTOR):
         here = F.col("i") == i
-        spread = F.greatest((F.col("q3") - F.col("q1")) / per_unit / 1.349, F.lit(floor))
-        aggs.append(F.max(F.when(here, (F.col("q2") + 0.5) / per_unit)).alias(f"m{i}"))
+        spread = F.greatest((value("q3") - value("q1")) / 1.349, F.lit(floor))
+        aggs.append(F.max(F.when(here, value("q2"))).alias(f"m{i}"))
         aggs += [
             (F.max(F.when(here, 1.0 / spread)) if i == j else F.max(F.lit(0.0))).alias(f"k{i}_{j}")
             for j in range(i + 1)
@@ -159,17 +174,17 @@ def _start(rows: DataFrame) -> DataFrame:
     return q.groupBy("gid").agg(*aggs)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and whitening (inverse Cholesky factor) of each group's covariance."""
-    names = [n for n, _, _ in VECTOR]
-    out = rows.groupBy("gid").agg(
-        *[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)],
-        *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i in range(D) for j in range(i + 1)],
+def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """Per key the mean, the whitening (inverse Cholesky factor) of the covariance
+    times ``factor`` and with the least variances, and its log determinant."""
+    out = rows.groupBy(*keys).agg(
+        *[F.avg(n).alias(f"m{i}") for i, n in enumerate(NAMES)],
+        *[F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}_{j}") for i in range(D) for j in range(i + 1)],
     )
     # Cholesky, then its inverse, unrolled over columns of the small group table
     for i in range(D):
         for j in range(i + 1):
-            s = F.col(f"c{i}_{j}") * CONSISTENCY
+            s = F.col(f"c{i}_{j}") * factor
             if i == j:
                 s = s + VECTOR[i][2] ** 2
             for k in range(j):
@@ -185,58 +200,94 @@ def _moments(rows: DataFrame) -> DataFrame:
                     v = v - F.col(f"l{i}_{k}") * F.col(f"k{k}_{j}")
                 v = v / F.col(f"l{i}_{i}")
             out = out.withColumn(f"k{i}_{j}", v)
-    return out.select(
-        "gid", *[f"m{i}" for i in range(D)], *[f"k{i}_{j}" for i in range(D) for j in range(i + 1)]
-    )
+    determinant = sum((2 * F.log(f"l{i}_{i}") for i in range(D)), F.lit(0.0))
+    return out.withColumn("log_det", determinant).select(*keys, *ESTIMATE, "log_det")
+
+
+#: The columns of an estimate.
+ESTIMATE = [f"m{i}" for i in range(D)] + [f"k{i}_{j}" for i in range(D) for j in range(i + 1)]
 
 
-def _with_distance(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
+def _distance() -> Column:
+    """The squared Mahalanobis distance of a row's vector under its row's estimate."""
     total = F.lit(0.0)
     for i in range(D):
         z = F.lit(0.0)
         for j in range(i + 1):
-            z = z + F.col(f"k{i}_{j}") * (F.col(VECTOR[j][0]) - F.col(f"m{j}"))
+            z = z + F.col(f"k{i}_{j}") * (F.col(NAMES[j]) - F.col(f"m{j}"))
         total = total + z * z
-    return rows.join(estimate, "gid", how).withColumn("d2", total).select(*rows.columns, "d2")
-
-
-def _resolved(d2: Column) -> Column:
-    return F.floor(F.log(d2 + 1e-6) * 32).cast("long")
-
-
-def with_mcd_distance(rows: DataFrame) -> DataFrame:
-    """Rows with the vector and gid -> + d2, the squared Mahalanobis distance from
-    their group's minimum-covariance-determinant estimate."""
-    estimate = materialize(_start(rows), "mcd-start")
-    for _ in range(C_STEPS):
-        near = _with_distance(rows, estimate).withColumn("bucket", _resolved(F.col("d2")))
-        limit = materialize(_quantile(near, ["gid"], "bucket", {"edge": SUBSET}), "mcd-limit")
-        subset = near.join(limit, "gid").filter("bucket <= edge")
-        estimate = materialize(_moments(subset), "mcd-estimate")
-    return _with_distance(rows, estimate)
-
-
-def judge(docs: DataFrame) -> DataFrame:
+    return total
+
+
+def _bucket() -> Column:
+    return F.floor(F.log(_distance() + 1e-6) * 32).cast("long")
+
+
+def _c_step(rows: DataFrame, estimate: DataFrame, share: float = SUBSET, factor: float = CONSISTENCY) -> DataFrame:
+    """The estimate of the ``share`` of each group's rows nearest to its estimate; one
+    for each start ``s`` of a group."""
+    near = spread_join(rows, estimate, ["gid"]).select("gid", "s", _bucket().alias("bucket"))
+    edges = _quantile(near, ["gid", "s"], "bucket", {"edge": share})
+    bounded = materialize(estimate.join(edges, ["gid", "s"]), "mcd-limit")
+    subset = spread_join(rows, bounded, ["gid"]).filter(_bucket() <= F.col("edge"))
+    return materialize(_moments(subset, ["gid", "s"], factor), "mcd-estimate")
+
+
+def mcd_estimates(rows: DataFrame) -> DataFrame:
+    """Rows with the vector and gid -> gid, the reweighted minimum covariance
+    determinant estimate."""
+    start = lambda df, s: df.withColumn("s", F.lit(s)).select("gid", "s", *ESTIMATE)
+    middle = materialize(start(_middle_start(rows), 0), "mcd-middle")
+    nearest = start(_c_step(rows, middle, HALF, HALF_CONSISTENCY), 1)
+    everything = start(_moments(rows, ["gid"], 1.0), 2)
+    estimate = materialize(middle.unionByName(nearest).unionByName(everything), "mcd-starts")
+    for _ in range(FIRST_STEPS):
+        estimate = _c_step(rows, estimate)
+    columns = ["s", *ESTIMATE, "log_det"]
+    least = F.min(F.struct(F.col("log_det").alias("_least"), *columns)).alias("_best")
+    best = materialize(estimate.groupBy("gid").agg(least).select("gid", *[f"_best.{c}" for c in columns]), "mcd-best")
+    ended = []
+    for _ in range(MORE_STEPS):
+        after = _c_step(rows, best).join(best.select("gid", F.col("log_det").alias("before")), "gid")
+        after = after.withColumn("moves", F.abs(F.col("log_det") - F.col("before")) > STILL)
+        ended.append(after.filter("NOT moves").drop("before", "moves"))
+        best = after.filter("moves").drop("before", "moves")
+        if best.isEmpty():
+            break
+    for part in ended:
+        best = best.unionByName(part)
+    best = materialize(best, "mcd-ended")
+    inside = spread_join(rows, best, ["gid"]).filter(_distance() <= INSIDE)
+    return materialize(_moments(inside, ["gid"], INSIDE_CONSISTENCY), "mcd-final")
+
+
+def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, source, text -> doc_id, the base statistics, base_failed, d2
     (null if base_failed) and kept, one row per input row.
 
     Null or empty text: no words, base_failed. Null lang or source: a group of its
-    own. Repeated rows: judged alike. Groups under ``MIN_GROUP`` rows pool with the
-    sparse groups of their language, else with all sparse groups. Empty table: no
-    rows. Further columns are ignored.
+    own. Null doc_id, repeated rows: judged alike. Very long texts: judged whole. Groups
+    under ``MIN_GROUP`` rows pool with the sparse groups of their language, else with
+    all sparse groups. Empty table: no rows. Further columns are ignored, but those of
+    ``carry``, whatever their names, are returned as one struct ``carried``.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    carried = ("carried",) if carry else ()
+    if carry:
+        docs = docs.select("doc_id", "lang", "source", "text", F.struct(*[docs[c] for c in carry]).alias("carried"))
     stats = materialize(
-        base_statistics(docs).withColumns({"lang_key": key("lang"), "source_key": key("source")}), "rules-stats"
+        base_statistics(docs, carried).withColumns({"lang_key": key("lang"), "source_key": key("source")}), "rules-stats"
     )
-    passed = stats.filter(~F.col("base_failed")).withColumns({n: F.expr(e) for n, e, _ in VECTOR})
+    judged = stats.withColumns({n: F.when(~F.col("base_failed"), F.expr(e)) for n, e, _ in VECTOR})
+    passed = judged.filter(~F.col("base_failed")).select("lang_key", "source_key", *NAMES)
     groups = materialize(_groups(passed), "rules-groups")
-    distance = with_mcd_distance(passed.join(groups, ["lang_key", "source_key"]))
+    vectors = spread_join(passed, groups, ["lang_key", "source_key"]).select("gid", *NAMES)
+    estimates = mcd_estimates(materialize(vectors, "rules-vectors"))
+    sites = materialize(groups.join(estimates, "gid").select("lang_key", "source_key", *ESTIMATE), "rules-sites")
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    failed = stats.filter("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return (
-        distance.select(*base, "d2")
-        .unionByName(failed.select(*base, "d2"))
+        spread_join(judged, sites, ["lang_key", "source_key"], "left")
+        .select(*base, F.when(~F.col("base_failed"), _distance()).alias("d2"), *carried)
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF))
     )
 
