@@ -6,7 +6,8 @@ document is bad (low quality or toxic) is evidence of the document alone. Groupe
 sums of these probabilities over all documents give every host, and every path
 under a host, a posterior rate: a path is shrunk toward its host and a host toward
 the global rate, with strengths estimated from the spread of the rates. A document's
-verdict combines its own evidence with its path's posterior.
+verdict combines its own evidence with its path's posterior, from which its own
+evidence is left out.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared
+from .common import materialize, shared, spread_join
+from .urlfilter import split_url
 from .shingles import mix, parts
 
-#: The training sample: rows at most (in expectation), and the longest text in it.
-TRAIN_ROWS, TRAIN_CHARS = 12_000, 20_000
-#: Features: chosen at most, least documents for one, and word beginnings used.
-FEATURES, LEAST_DOCS, BEGINNINGS = 6000, 6, (4, 5)
+#: The training sample: rows at most (in expectation).
+TRAIN_ROWS = 12_000
+#: Features: chosen at most, least documents and least gain (in nats) of one, and word
+#: beginnings used.
+FEATURES, LEAST_DOCS, LEAST_GAIN, BEGINNINGS = 6000, 3, 5.0, (4, 5)
 STATISTICS = 6
 RIDGE, ROUNDS, RATE = 0.002, 400, 0.05
 #: The evidence of every text where nothing could be learned.
@@ -121,55 +124,76 @@ class Classifier:
         return self.bias + wide + self.shapes(shape) @ self.weights[k:]
 
 
-def _featurized(texts: list[str | None]):
-    """(first text's number, features, statistics) of parts of the texts."""
-    first = 0
-    for part in parts(texts):
-        yield first, *featurize(part)
-        first += len(part)
-
-
-def _feature_counts(texts: list[str | None], bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every feature with its documents and its bad documents; sorted counts are
-    merged part by part, so the features of all texts are never held at once."""
-    names, n, n1 = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    for first, found, _ in _featurized(texts):
-        flat = np.concatenate([names, *found])
-        row = np.repeat(np.arange(first, first + len(found)), [len(f) for f in found])
-        weight, weight1 = np.concatenate([n, np.ones(len(row))]), np.concatenate([n1, bad[row]])
-        names, at = np.unique(flat, return_inverse=True)
-        n, n1 = np.bincount(at, weight), np.bincount(at, weight1)
-    return names, n, n1
-
-
-def fit(texts: list[str | None], bad: np.ndarray) -> Classifier:
-    """Logistic regression by full-batch gradient steps on the features whose counts
-    differ most between the classes. Equal texts weigh as one. Without rows of both
-    classes every text has the evidence ``UNTRAINED``."""
-    first = {}
-    for i, t in enumerate(texts):
-        first.setdefault(t, i)
-    keep = sorted(first.values())
-    texts, bad = [texts[i] for i in keep], bad[keep].astype(float)
-    zero = np.zeros(STATISTICS)
-    if not 0 < bad.sum() < len(bad):
-        return Classifier(np.zeros(0, np.uint64), zero, zero, zero + 1, UNTRAINED)
-    names, n, n1 = _feature_counts(texts, bad)
-    rate = bad.mean()
-    share = (n1 + rate) / (n + 1)
-    gain = n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
-    gain[(n < LEAST_DOCS) | (names == 0)] = -1
-    shape = np.concatenate([s for _, _, s in _featurized(texts)])
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > 0]
+def _features_of(sample: DataFrame) -> DataFrame:
+    """digest, bad, features (binary), shape: a row for each distinct text."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features, shapes = [], []
+            for part in parts(t.as_py() for t in batch["text"]):
+                found, shape = featurize(part)
+                features += [f[f != 0].tobytes() for f in found]
+                shapes += shape.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [batch["digest"], batch["bad"], pa.array(features, pa.binary()), pa.array(shapes, pa.list_(pa.float64()))],
+                names=["digest", "bad", "features", "shape"],
+            )
+
+    once = sample.groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("bad").alias("bad"), F.first("text").alias("text"))
+    return once.mapInArrow(rows, "digest string, bad int, features binary, shape array<double>")
+
+
+def _feature_counts(sample: DataFrame) -> DataFrame:
+    """name, n, n1: every feature with its documents and its bad documents."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch["features"]]
+            bad = np.repeat(batch["bad"].to_numpy(), [len(f) for f in own])
+            name, at = np.unique(np.concatenate(own), return_inverse=True) if own else (np.zeros(0, np.uint64),) * 2
+            n, n1 = np.bincount(at.astype(np.int64), minlength=len(name)), np.bincount(at.astype(np.int64), bad, len(name))
+            columns = [pa.array(name.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(n1.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "n", "n1"])
+
+    counts = sample.select("bad", "features").mapInArrow(rows, "name bigint, n bigint, n1 bigint")
+    return counts.groupBy("name").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+
+
+def _chosen(sample: DataFrame, rate: float) -> np.ndarray:
+    """Sorted features whose documents differ most in their share of bad ones."""
+    share = (F.col("n1") + rate) / (F.col("n") + 1)
+    gain = F.col("n") * (share * F.log(share / rate) + (1 - share) * F.log((1 - share) / (1 - rate)))
+    counts = _feature_counts(sample).filter(F.col("n") >= LEAST_DOCS).withColumn("gain", gain)
+    best = counts.filter(F.col("gain") >= LEAST_GAIN).orderBy(F.col("gain").desc(), "name").limit(FEATURES)
+    return np.sort(best.select("name").toArrow()["name"].to_numpy().view(np.uint64))
+
+
+def _cells(sample: DataFrame, chosen: np.ndarray) -> pa.Table:
+    """digest, bad, shape, columns (the chosen features a text has) of the sample, in
+    one order however it was read."""
+    sent = shared(sample.sparkSession, chosen)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent()
+        for batch in batches:
+            held = [np.flatnonzero(np.isin(own, np.frombuffer(x.as_buffer(), np.uint64))).astype(np.int32) for x in batch["features"]]
+            columns = [*(batch[c] for c in ("digest", "bad", "shape")), pa.array(held, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "bad", "shape", "columns"])
+
+    # at most TRAIN_ROWS rows with FEATURES numbers each
+    found = sample.mapInArrow(rows, "digest string, bad int, shape array<double>, columns array<int>").toArrow()
+    return found.sort_by("digest")
+
+
+def fit(bad: np.ndarray, shape: np.ndarray, held: list[np.ndarray], features: np.ndarray) -> Classifier:
+    """Logistic regression by full-batch gradient steps. ``held`` are the numbers of
+    the features that each text has."""
+    rate, k = bad.mean(), len(features)
     centre, scale = np.median(shape, axis=0), shape.std(axis=0) + 1e-3
-    model = Classifier(names[chosen], np.zeros(len(chosen) + STATISTICS), centre, scale, float(np.log(rate / (1 - rate))))
-    cells = []
-    for first_row, found, _ in _featurized(texts):
-        row, col = model.columns(found)
-        cells.append((row + first_row, col))
-    row, col = (np.concatenate(c) for c in zip(*cells, strict=True))
-    dense, k = model.shapes(shape), len(chosen)
+    model = Classifier(features, np.zeros(k + STATISTICS), centre, scale, float(np.log(rate / (1 - rate))))
+    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    col = np.concatenate(held).astype(np.int64) if held else np.zeros(0, np.int64)
+    dense = model.shapes(shape)
     w, b = np.zeros(k + STATISTICS), model.bias
     m, v = np.zeros(k + STATISTICS + 1), np.zeros(k + STATISTICS + 1)
     for step in range(1, ROUNDS + 1):
@@ -185,17 +209,26 @@ def fit(texts: list[str | None], bad: np.ndarray) -> Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
-    """Fit on about ``rows`` labelled documents, picked by a hash of their id, with
-    texts of at most ``TRAIN_CHARS`` characters. Labels are (doc_id, quality, toxic);
-    a null quality counts as good, a null toxic as harmless."""
+    """Fit on about ``rows`` labelled documents, picked by a hash of their id, of any
+    length. Features are counted and chosen in Spark; the driver gets the chosen ones
+    only. Equal texts weigh as one. Labels are (doc_id, quality, toxic); a null quality
+    counts as good, a null toxic as harmless. Without labelled documents of both kinds
+    every text has the evidence ``UNTRAINED``."""
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(bad.cast("int")).alias("bad"))
     share = min(1.0, rows / max(1, known.count()))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= min(2**63 - 1, int(share * 2.0**63)))
     # about ``rows`` rows, whatever the input's size
-    sample = docs.join(F.broadcast(picked), "doc_id").filter(F.length("text") <= TRAIN_CHARS)
-    got = sample.select("doc_id", "text", "bad").toPandas().sort_values(["doc_id", "text"])
-    return fit(got["text"].tolist(), got["bad"].to_numpy(float))
+    sample = docs.join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "bad")
+    sample = materialize(_features_of(sample), "quality-features")
+    n, n_bad = sample.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    if not 0 < n_bad < n:
+        zero = np.zeros(STATISTICS)
+        return Classifier(np.zeros(0, np.uint64), zero, zero, zero + 1, UNTRAINED)
+    chosen = _chosen(sample, n_bad / n)
+    cells = _cells(sample, chosen)
+    held = [np.array(x.as_py(), np.int32) for x in cells["columns"]]
+    return fit(cells["bad"].to_numpy().astype(float), np.array(cells["shape"].to_pylist()), held, chosen)
 
 
 def with_evidence(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -220,7 +253,7 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def _strength(sites: DataFrame, rate: str, around: str):
+def _strength(rate: str, around: str):
     """Beta strength by moments: how little the rates of well-filled sites spread."""
     spread = F.sum(F.col("n") * (F.col(rate) - F.col(around)) ** 2) / F.sum("n")
     noise = F.sum(F.col(around) * (1 - F.col(around))) / F.sum("n")
@@ -229,47 +262,79 @@ def _strength(sites: DataFrame, rate: str, around: str):
     return F.least(F.greatest(mean * (1 - mean) / excess, F.lit(WEAKEST)), F.lit(STRONGEST))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """host_key, path_key, p (probability of being bad) -> per path: its posterior
-    rate and the global rate."""
+def _sure(p: Column) -> Column:
+    return F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+
+
+def site_counts(scored: DataFrame) -> DataFrame:
+    """host_key, path_key, p (probability of being bad) -> a row per path with the
+    documents and sums of p of path, host and all (n, bad; host_n, host_bad; all_n,
+    all_bad) and the strengths k_host and k_path of their shrinkage."""
     paths = scored.groupBy("host_key", "path_key").agg(F.count("*").alias("n"), F.sum("p").alias("bad"))
     paths = materialize(paths, "quality-paths")
-    least = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
-    overall = paths.agg(least(F.sum("bad") / F.sum("n")).alias("rate"))
-    hosts = paths.groupBy("host_key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(overall)
-    hosts = hosts.withColumn("own", F.col("bad") / F.col("n"))
-    strength = hosts.agg(_strength(hosts, "own", "rate").alias("k"))
-    hosts = hosts.crossJoin(strength).select(
-        "host_key", "rate", ((F.col("bad") + F.col("k") * F.col("rate")) / (F.col("n") + F.col("k"))).alias("host_rate")
-    )
+    # one row each
+    overall = F.broadcast(paths.agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad")))
+    hosts = paths.groupBy("host_key").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad")).crossJoin(overall)
     hosts = materialize(hosts, "quality-hosts")
-    paths = paths.join(hosts, "host_key").withColumn("own", F.col("bad") / F.col("n"))
-    strength = paths.agg(_strength(paths, "own", "host_rate").alias("k"))
-    posterior = (F.col("bad") + F.col("k") * F.col("host_rate")) / (F.col("n") + F.col("k"))
-    sites = paths.crossJoin(strength).select("host_key", "path_key", "rate", least(posterior).alias("site_rate"))
-    return materialize(sites, "quality-sites")
+    own = lambda c: F.col(f"{c}bad") / F.col(f"{c}n")
+    spread = hosts.select(F.col("host_n").alias("n"), own("host_").alias("own"), _sure(own("all_")).alias("rate"))
+    hosts = hosts.crossJoin(F.broadcast(spread.agg(_strength("own", "rate").alias("k_host"))))
+    host_rate = _posterior("host_bad", "host_n", "k_host", _sure(own("all_")))
+    paths = spread_join(paths, materialize(hosts, "quality-strong"), ["host_key"])
+    spread = paths.select("n", own("").alias("own"), host_rate.alias("rate"))
+    return materialize(paths.crossJoin(F.broadcast(spread.agg(_strength("own", "rate").alias("k_path")))), "quality-sites")
+
+
+def _posterior(bad, n, k, around: Column) -> Column:
+    """The rate of a site of ``n`` documents, shrunk toward the rate around it."""
+    value = lambda c: F.col(c) if isinstance(c, str) else c
+    return _sure((value(bad) + value(k) * around) / (value(n) + value(k)))
+
+
+def site_rates(p: Column) -> tuple[Column, Column]:
+    """The rates of a document's path and of all documents, from the columns of
+    ``site_counts`` and without the document's own ``p``."""
+    less = lambda c: (F.greatest(F.col(f"{c}bad") - p, F.lit(0.0)), F.col(f"{c}n") - 1)
+    bad, n = less("all_")
+    overall = F.when(n > 0, _sure(bad / n)).otherwise(_sure(p))
+    bad, n = less("host_")
+    host = _posterior(bad, n, "k_host", overall)
+    bad, n = less("")
+    return _posterior(bad, n, "k_path", host), overall
+
+
+def url_sites(url: Column) -> tuple[Column, Column]:
+    """Host and first path segment of a URL, for ``classify``'s ``host`` and ``path``."""
+    host, path = split_url(url)
+    return host, F.regexp_extract(path, "^/[^/]*", 0)
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text and two site columns -> doc_id, evidence, site_rate, p_bad, kept,
     one row per row.
 
-    ``host`` names the site column and ``path`` the finer one within a host. Null
-    text: an empty text. Null host or path: a site of its own. Null doc_id: judged,
-    never trained on. Repeated rows: judged alike. Without labels of both classes no
+    ``host`` names the site column and ``path`` the finer one within a host; documents
+    that have no URL give two flat columns for that hierarchy, such as source and
+    language, others those of ``url_sites``. Null text: an empty text. Null host or path:
+    a site of its own. Null doc_id: judged, never trained on. Very long texts: learned
+    and judged whole. Repeated rows: judged alike. Without labels of both classes no
     document is rejected. Empty table: no rows. Further columns are ignored, but those
-    of ``carry`` are returned.
+    of ``carry``, whatever their names, are returned as one struct ``carried``.
     """
-    docs = docs.select("doc_id", *carry, F.col("text").cast("string").alias("text"), F.col(host).alias("host"), F.col(path).alias("path"))
+    carried = ("carried",) if carry else ()
+    box = [F.struct(*[docs[c] for c in carry]).alias("carried")] if carry else []
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(host).alias("host"), F.col(path).alias("path"), *box)
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"))
     key = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
-    rows = docs.select("doc_id", *carry, key("host").alias("host_key"), key("path").alias("path_key"), "text")
+    rows = docs.select("doc_id", *carried, key("host").alias("host_key"), key("path").alias("path_key"), "text")
     scored = with_evidence(rows, model).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
     scored = materialize(scored, "quality-scored")
+    site, overall = site_rates(F.col("p"))
     odds = F.col("evidence") + _logit(F.col("site_rate")) - _logit(F.col("rate"))
-    return scored.join(site_posteriors(scored), ["host_key", "path_key"]).select(
-        "doc_id", *carry, "evidence", "site_rate", (1 / (1 + F.exp(-odds))).alias("p_bad")
-    ).withColumn("kept", F.col("p_bad") <= REJECT)
+    judged = spread_join(scored, site_counts(scored), ["host_key", "path_key"]).withColumns({"site_rate": site, "rate": overall})
+    return judged.select("doc_id", *carried, "evidence", "site_rate", (1 / (1 + F.exp(-odds))).alias("p_bad")).withColumn(
+        "kept", F.col("p_bad") <= REJECT
+    )
 
 
 def op5(spark, sf_dir):
