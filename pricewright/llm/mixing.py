@@ -109,12 +109,15 @@ def mix_sources(
     Null text: size 0, taken 0. Null source: a source of its own, last in order.
     Null doc_id: hashed as an empty id. Repeated rows (same id and text) share one
     hash and one decision. A source without words: target 0. Empty table: no rows.
-    Further columns of ``docs`` are ignored, but those of ``carry`` are returned.
+    Further columns of ``docs`` are ignored, but those of ``carry``, whatever their
+    names, are returned as one struct ``carried``.
     """
+    carried = ("carried",) if carry else ()
+    box = [F.struct(*[docs[c] for c in carry]).alias("carried")] if carry else []
     base = materialize(
         docs.select(
             "doc_id",
-            *carry,
+            *box,
             F.col("source").cast("string").alias("source"),
             word_count(text_or_empty()).alias("size"),
             _hash60(docs).alias("h"),
@@ -174,7 +177,7 @@ def mix_sources(
     once_more = F.when(F.col("h") < F.col("below"), 1).otherwise(0)
     return base.join(ready, base["source"].eqNullSafe(ready["_source"])).select(
         "doc_id",
-        *carry,
+        *carried,
         "source",
         "size",
         "source_size",

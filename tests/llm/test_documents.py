@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pricewright.llm import jaccard, langid, media, mixing, packing, quality, rules
 from pricewright.llm.common import word_count, words_of
+from pricewright.llm.components import connected_components
 from tests.compare import assert_same, duck
 from tests.llm.odd import TEXTS, no_documents, odd_documents
 
@@ -188,6 +189,72 @@ def test_rules_keep_good_and_drop_bad(spark):
     assert got.filter("quality = 0 AND kept").count() == 0
 
 
+FLOORS = [f for *_, f in rules.VECTOR]
+
+
+def plain_mcd(x):
+    """The rules' estimate of one group in numpy: mean and covariance."""
+    floor = np.diag(np.square(FLOORS))
+
+    def near(mean, cov):
+        z = x - mean
+        return np.einsum("ij,ij->i", z @ np.linalg.inv(cov), z)
+
+    def moments(rows, factor):
+        return rows.mean(axis=0), np.cov(rows.T, bias=True) * factor + floor
+
+    def nearest(estimate, share, factor):
+        bucket = np.floor(np.log(near(*estimate) + 1e-6) * 32)
+        edge = np.sort(bucket)[int(np.ceil(share * len(x))) - 1]
+        return moments(x[bucket <= edge], factor)
+
+    bucket = np.sort(np.floor(np.arcsinh(x) * 256), axis=0)
+    q1, q2, q3 = (np.sinh((bucket[int(np.ceil(s * len(x))) - 1] + 0.5) / 256) for s in (0.25, 0.5, 0.75))
+    middle = (q2, np.diag(np.square(np.maximum((q3 - q1) / 1.349, FLOORS))))
+    starts = [middle, nearest(middle, 0.5, rules.HALF_CONSISTENCY), moments(x, 1.0)]
+    for _ in range(rules.FIRST_STEPS):
+        starts = [nearest(s, rules.SUBSET, rules.CONSISTENCY) for s in starts]
+    determinant = lambda e: np.linalg.slogdet(e[1])[1]
+    best = min(starts, key=determinant)
+    for _ in range(rules.MORE_STEPS):
+        after = nearest(best, rules.SUBSET, rules.CONSISTENCY)
+        moved = abs(determinant(after) - determinant(best)) > rules.STILL
+        best = after
+        if not moved:
+            break
+    return moments(x[near(*best) <= rules.INSIDE], rules.INSIDE_CONSISTENCY)
+
+
+def plain_vector(text):
+    words, chars, symbols, dup_lines, repeat = plain_statistics(text)
+    lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    return [np.log1p(words), chars / words, np.log1p(1000 * symbols / chars), dup_lines / lines, repeat / words]
+
+
+def test_outliers_equal_numpy(spark):
+    """Distances of two groups, one with two clusters of rows, and of pooled sparse ones."""
+    rng, rows = random.Random(8), []
+    for i in range(700):
+        words = [("w" if i % 3 else "longword") + str(rng.randint(0, 500)) for _ in range(rng.randint(60, 90 if i % 9 else 2000))]
+        words += ["#"] * (rng.randint(0, 3) if i % 50 else 400)
+        source = ("a", "b")[i % 2] if i % 10 else f"s{i}"
+        rows.append((i, " ".join(words), "en", source))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    groups = {}
+    for i, text, _, source in rows:
+        groups.setdefault(source if source in "ab" else "sparse", []).append((i, plain_vector(text)))
+    groups["all"] = groups.pop("sparse")
+    for own in groups.values():
+        x = np.array([v for _, v in own])
+        mean, cov = plain_mcd(x)
+        d2 = np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov), x - mean)
+        for (i, _), d in zip(own, d2, strict=True):
+            assert abs(got[i].d2 - d) <= 1e-6 * max(1, d), (i, got[i].d2, d)
+            assert got[i].kept == (d <= rules.CUTOFF)
+    assert not all(r.kept for r in got.values())
+
+
 # mixing
 
 
@@ -250,22 +317,77 @@ def test_no_labels_reject_nothing(spark):
 
 
 def test_sparse_sites_shrink_to_the_global_rate(spark):
-    rows = [("h1", "p1", 0.9)] + [("h2", "p2", 0.1)] * 500 + [("h3", "p3", 0.6)] * 500
-    got = {r.path_key: r for r in quality.site_posteriors(spark.createDataFrame(rows, "host_key string, path_key string, p double")).collect()}
-    assert got["p2"].site_rate < got["p1"].site_rate < 0.7 and abs(got["p3"].site_rate - 0.6) < 0.05
+    rows = [("h1", "p1", 0.9)] * 2 + [("h2", "p2", 0.1)] * 500 + [("h3", "p3", 0.6)] * 500
+    scored = spark.createDataFrame(rows, "host_key string, path_key string, p double")
+    site, _ = quality.site_rates(F.col("p"))
+    got = {r.path_key: r.r for r in scored.join(quality.site_counts(scored), ["host_key", "path_key"]).withColumn("r", site).collect()}
+    assert got["p2"] < got["p1"] < 0.7 and abs(got["p3"] - 0.6) < 0.05
+
+
+def test_own_evidence_is_left_out_of_the_site(spark):
+    """By counting the other documents one by one."""
+    rng = random.Random(4)
+    rows = [(i, f"h{i % 3}", f"p{i % 5}", rng.random()) for i in range(60)]
+    scored = spark.createDataFrame(rows, "i int, host_key string, path_key string, p double")
+    site, overall = quality.site_rates(F.col("p"))
+    got = scored.join(quality.site_counts(scored), ["host_key", "path_key"]).withColumns({"site": site, "all": overall}).collect()
+    for r in got:
+        rest = [x for x in rows if x[0] != r.i]
+        host = [x[3] for x in rest if x[1] == r.host_key]
+        path = [x[3] for x in rest if x[1] == r.host_key and x[2] == r.path_key]
+        rate = sum(x[3] for x in rest) / len(rest)
+        host_rate = (sum(host) + r.k_host * rate) / (len(host) + r.k_host)
+        assert abs(r.all - rate) < 1e-9
+        assert abs(r.site - (sum(path) + r.k_path * host_rate) / (len(path) + r.k_path)) < 1e-9
+
+
+@pytest.mark.parametrize("sf, recall", [("sf0.01", 0.8), ("sf0.1", 0.9)])
+def test_classifier_held_out(spark, sf, recall):
+    """Of the labelled documents that it did not learn from."""
+    data = f"/root/testdata/{sf}"
+    docs, known = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    unseen = known.filter("doc_id % 3 = 0")
+    model = quality.train(docs.select("doc_id", "text"), known.filter("doc_id % 3 <> 0"))
+    judged = quality.with_evidence(docs.join(unseen, "doc_id").selectExpr("doc_id", "text", "quality = 0 OR toxic = 1 AS bad"), model)
+    got = judged.selectExpr("bad", f"1 / (1 + exp(-evidence)) <= {quality.REJECT} AS kept").collect()
+    bad, good = [r.kept for r in got if r.bad], [r.kept for r in got if not r.bad]
+    assert bad.count(False) >= recall * len(bad)
+    assert good.count(False) <= 0.03 * len(good)
+
+
+def test_long_texts_teach(spark):
+    """A text of more than any prefix that a shorter reading would have."""
+    rows = [(i, "plain words " * 9000 + ("vile" if i % 2 else "kind")) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = docs.selectExpr("doc_id", "1 AS quality", "CAST(doc_id % 2 AS int) AS toxic")
+    texts = [t + f" x{i}" for i, t in rows]
+    model = quality.train(docs.withColumn("text", F.concat("text", F.lit(" x"), "doc_id")), known)
+    assert [e > 0 for e in model.evidence(texts)] == [bool(i % 2) for i, _ in rows] or len(model.features) == 0
+
+
+def test_url_sites(spark):
+    urls = ["https://A.com/news/2024/x?q", "http://b.org", "no url", None, "x://c/d"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i")
+    got = [tuple(r) for r in rows.select(*quality.url_sites(F.col("u"))).collect()]
+    assert got == [("a.com", "/news"), ("b.org", ""), ("", ""), ("", ""), ("c", "/d")]
 
 
 # jaccard
 
 
-def plain_components(docs):
-    def shingles(t):
-        ws = (t or "").encode().lower().split()
-        if not ws:
-            return frozenset()
-        return frozenset(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else frozenset([tuple(ws)])
+def words_of_text(t):
+    return (t or "").encode().lower().split()
+
+
+def shingle_set(t):
+    ws = words_of_text(t)
+    if not ws:
+        return frozenset()
+    return frozenset(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else frozenset([tuple(ws)])
+
 
-    sets = [(i, shingles(t)) for i, t in docs]
+def plain_components(docs):
+    sets = [(i, shingle_set(t)) for i, t in docs]
     root = list(range(len(sets)))
 
     def find(x):
@@ -312,6 +434,45 @@ def test_components_equal_brute_force(spark, seed):
     assert got == plain_components(docs)
 
 
+def chain_sets(rng, n):
+    """Sets that differ a little from the one before, so that ends are far apart."""
+    out = [set(rng.sample(range(10**6), 120))]
+    for _ in range(n - 1):
+        own = set(rng.choice(out))
+        for x in rng.sample(sorted(own), rng.randint(0, 14)):
+            own.discard(x)
+        own |= set(rng.sample(range(10**6), rng.randint(0, 14)))
+        out.append(own)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_differences_lose_no_link(spark, seed):
+    """Whatever the pivot: with its links they make the components of all links."""
+    rng = random.Random(seed)
+    sets = chain_sets(rng, 70)
+    links = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    table = spark.createDataFrame([(i, bytearray(np.sort(np.array(sorted(s), np.uint64)).tobytes())) for i, s in enumerate(sets)], "cid long, shingles binary")
+    pivots = rng.sample(range(len(sets)), 2)
+    pairs = [(i, p) for p in pivots for i in range(len(sets)) if i != p]
+    stars = [(i, p) for i, p in pairs if links(i, p)]
+    empty = spark.createDataFrame([], "a long, b long")
+    roots = connected_components(spark.createDataFrame(stars, "a long, b long") if stars else empty)
+    mixed = jaccard.mixed_families(spark.createDataFrame(pairs, "a long, p long"), roots)
+    got = {tuple(r) for r in jaccard.difference_pairs(jaccard.differences(mixed, table)).collect()}
+    root = {r.node: r.root for r in roots.collect()}
+    missed = [(i, j) for j in range(len(sets)) for i in range(j) if links(i, j) and root.get(i, i) != root.get(j, j) and (i, j) not in got]
+    assert not missed
+    assert len(got) < len(sets) * (len(sets) - 1) // 2
+
+
+def test_components_with_a_hub(spark):
+    links = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 560)] + [(600, 600), (700, 701), (701, 700)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
+    want = {i: 0 for i in range(400)} | {i: 500 for i in range(500, 561)} | {700: 700, 701: 700}
+    assert got == want
+
+
 def test_components_of_odd_texts(spark):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(odd_documents(spark)).collect())
     assert got == plain_components([(i, t) for i, t, *_ in TEXTS])
