@@ -1,83 +1,88 @@
 """The corpus pipeline: documents to packed token windows in five stages.
 
 Every stage works on all that its predecessor kept, is written as Parquet and read
-again. All stages but the last return the columns of documents. A stage's decision
-is joined back by doc_id, nulls included, and a digest of text, lang and source, so
-that only rows alike in all of them share one.
+again; a stage's result must be written before the next stage is called, which deletes
+the tables that the ones before have left in the shared folder. All stages but the
+last return the columns of documents.
+
+Decisions are made for rows, not for ids: the operators carry the whole row with their
+verdict, so rows of one id, or of none, have each their own. All stages take nulls in
+any column, empty and very long texts, repeated rows, empty tables and further columns
+of any names, as their docstrings say.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import wraps
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import materialize
+from pricewright.llm.common import materialize, scratch_tables, sweep
 from pricewright.llm.jaccard import jaccard_components
 from pricewright.llm.mixing import mix_sources
 from pricewright.llm.packing import packed_pieces
 from pricewright.llm.quality import classify
 from pricewright.llm.rules import judge
 
+#: Tables that the stages so far have left.
+_LEFT: list[str] = []
 
-def _digest(docs: DataFrame) -> Column:
-    """A digest of text, lang and source that tells nulls from empty values."""
-    told = [docs[c].cast("string") for c in ("text", "lang", "source")]
-    return F.xxhash64(*told, *[c.isNull() for c in told])
-
-
-def _with_digest(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", "lang", "source", _digest(docs).alias("digest"))
-
-
-def _row_ids(docs: DataFrame) -> DataFrame:
-    """The same with doc_id and digest as doc_id; rows without an id come last."""
-    row_id = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "digest")
-    return _with_digest(docs).select(row_id.alias("doc_id"), "text", "lang", "source")
-
-
-def _decided(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """``row``, and with an inner join the columns of ``decisions`` (id, digest, ...),
-    null-safe. A row travels as one struct, so that its columns may have any names."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _digest(docs).alias("_digest"))
-    return rows.join(decisions, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest")), how)
 
+def _stage(function):
+    @wraps(function)
+    def run_stage(spark, docs, sf_dir):
+        sweep(_LEFT)
+        with scratch_tables() as own:
+            found = function(spark, docs, sf_dir)
+        _LEFT.extend(own)
+        return found
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose decision is among ``decisions``."""
-    return _decided(docs, decisions, "left_semi").select("row.*")
+    return run_stage
 
 
+@_stage
 def quality_rules(spark, docs, sf_dir) -> DataFrame:
-    """Drop what the quality rules reject."""
-    return _kept(docs, judge(_row_ids(docs)).filter("kept").select("doc_id.id", "doc_id.digest"))
+    """Drop the rows that the quality rules reject. Null and empty texts fail the base
+    rules; null lang or source is a group of its own; repeated rows share a verdict."""
+    return judge(docs, carry=docs.columns).filter("kept").select("carried.*")
 
 
+@_stage
 def quality_classifier(spark, docs, sf_dir) -> DataFrame:
-    """Drop what the quality classifier rejects; it learns from the labels table."""
+    """Drop the rows that the quality classifier rejects; it learns from the labels
+    table by doc_id. Rows without an id are judged and teach nothing; null text is an
+    empty one; without labels of both kinds no row goes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = classify(_with_digest(docs), labels, carry=("digest",)).filter("kept")
-    return _kept(docs, judged.select(F.col("doc_id").alias("id"), "digest"))
+    return classify(docs, labels, carry=docs.columns).filter("kept").select("carried.*")
 
 
+@_stage
 def near_duplicates(spark, docs, sf_dir) -> DataFrame:
-    """Keep of each group of near duplicates the document with the least doc_id (of
-    equals the least digest), and of repeated rows one."""
-    kept = jaccard_components(_row_ids(docs)).filter(F.col("doc_id") == F.col("component_id"))
-    return _kept(docs, kept.select("doc_id.id", "doc_id.digest")).dropDuplicates(["doc_id", "text"])
+    """Keep one row of each group of near duplicates: that of the least doc_id (null
+    last), of equals any one. Rows without words are near to nothing and stay."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*[docs[c] for c in docs.columns]).alias("carried"))
+    rows = materialize(rows, "pipeline-rows")
+    row_id = F.struct(F.col("carried.doc_id").isNull().alias("no_id"), F.col("carried.doc_id").alias("id"), "row_no")
+    found = jaccard_components(rows.select(row_id.alias("doc_id"), F.col("carried.text").alias("text")))
+    kept = found.filter(F.col("doc_id.row_no") == F.col("component_id.row_no")).select("doc_id.row_no")
+    return rows.join(kept, "row_no", "left_semi").select("carried.*")
 
 
+@_stage
 def source_mix(spark, docs, sf_dir) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once, or twice."""
+    """Every row as often as the mix takes it: not at all, once, or twice. Rows without
+    words are not taken; null source is a source of its own."""
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    mix = mix_sources(_with_digest(docs), carry=("digest",))
-    mix = mix.groupBy(F.col("doc_id").alias("id"), "digest").agg(F.max(copies).alias("copies"))
-    taken = _decided(docs, mix.filter("copies > 0"), "inner")
-    repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return repeated.select("row.*")
+    taken = mix_sources(docs, carry=docs.columns).withColumn("copies", copies).filter("copies > 0")
+    repeated = taken.select("carried", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return repeated.select("carried.*")
 
 
+@_stage
 def token_windows(spark, docs, sf_dir) -> DataFrame:
-    """Pack the documents' tokens into windows: one row per piece."""
+    """Pack the rows' tokens into windows: one row per piece. Null and empty texts have
+    the separator alone; every row is packed, repeated or not."""
     return packed_pieces(docs)
 
 
@@ -89,7 +94,7 @@ STAGES = [
     ("token windows", token_windows),
 ]
 
-#: Tokens cannot be made in SQL. No plain-Python version of all stages exists yet.
+#: Tokens cannot be made in SQL; the stages are tested against plain Python.
 ORACLE_SQL = None
 
 
