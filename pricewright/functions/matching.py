@@ -136,12 +136,18 @@ def _score(points: Column) -> Column:
     return let(points, of)
 
 
+def is_shifted(q: Column, it: Column, lexicon: Lexicon) -> Column:
+    """Whether a query word is followed by one that makes it another product."""
+    ws = it["words"]
+    shifted = F.array_compact(F.transform(ws, lambda w, i: F.when(is_in(F.get(ws, i + 1), lexicon.shifters), w)))
+    return F.arrays_overlap(shifted, F.flatten(q["variants"]))
+
+
 def relevance(q: Column, it: Column, lexicon: Lexicon) -> Column:
     """0 to 100: name, or brand at less weight; demoted if a query word is followed
     by one that shifts the product."""
     ws = it["words"]
-    shifted = F.array_compact(F.transform(ws, lambda w, i: F.when(is_in(F.get(ws, i + 1), lexicon.shifters), w)))
-    penalty = F.when(F.arrays_overlap(shifted, F.flatten(q["variants"])), COMPOUND).otherwise(1.0)
+    penalty = F.when(is_shifted(q, it, lexicon), COMPOUND).otherwise(1.0)
     name = _score(_best(q, _points, ws, it["text"]))
     brand = _score(_best(q, _points, it["brand_words"], it["brand_text"])) * BRAND_WEIGHT
     return F.greatest(name, brand) * penalty

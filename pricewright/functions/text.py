@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Arabic marks that carry no identity, and letters folded together.
 MARKS = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
 FOLD_FROM = "أإآٱىؤئةیک"
-FOLD_TO = "ااااي" + "ويهيك"
+FOLD_TO = "اااايويهيك"
 ARTICLE = "^(وال|ال)"
 ATTACHED = "^(بال|لل)"
 

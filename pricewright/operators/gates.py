@@ -2,8 +2,12 @@
 
 Gates apply in order, each to what the one before kept: match stage, family, form,
 fresh produce. What a gate drops is counted. In a never-empty policy a gate that
-would drop all is not applied. Gates are windows over the query, so many queries are
-judged at once.
+would drop all is not applied.
+
+A verdict depends on a candidate's profile only: band, family, form and whether it is
+plain produce. Candidates are counted per query and profile, with partial sums before
+the shuffle; the gates are windows over these few counts, and their verdicts are joined
+back. So a popular query's candidates never meet in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, matching
 from ..functions.lexicon import Lexicon
+from ..sources.store import materialize
+from .resolve import spread_join
 
 
 @dataclass(frozen=True)
@@ -39,17 +45,50 @@ def interpret(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     )
 
 
-def _gate(rows: DataFrame, label: str, passes: Column, policy: Policy, per: list[str]) -> DataFrame:
-    """Mark in ``dropped_by`` the rows still in that a gate drops. ``passes`` is null
-    where the gate does not apply to the query."""
-    window = Window.partitionBy(*per)
+#: What tells candidates apart for the gates.
+PROFILE = ["_band", "family", "form", "_plain"]
+
+
+def _gate(rows: DataFrame, label: str, passes: Column, policy: Policy, per: str) -> DataFrame:
+    """Mark in ``dropped_by`` the profiles still in that a gate drops. ``passes`` is
+    null where the gate does not apply to the query."""
     rows = rows.withColumn("_in", F.col("dropped_by").isNull()).withColumn("_pass", F.coalesce(passes, F.lit(True)))
-    survivors = F.sum((F.col("_in") & F.col("_pass")).cast("int")).over(window)
-    applied = (survivors > 0) if policy.never_empty else F.lit(True)
+    survivors = F.max(F.col("_in") & F.col("_pass")).over(Window.partitionBy(per))
+    applied = survivors if policy.never_empty else F.lit(True)
     drop = F.col("_in") & ~F.col("_pass") & applied
     return rows.withColumn("dropped_by", F.when(drop, F.lit(label)).otherwise(F.col("dropped_by"))).drop("_in", "_pass")
 
 
+def _verdicts(profiles: DataFrame, policy: Policy, per: str) -> DataFrame:
+    """Profiles (with n, first, q_family, q_form, q_fresh) -> + target_family,
+    dropped_by."""
+    window = Window.partitionBy(per)
+    rows = profiles.withColumn("dropped_by", F.when(F.col("_band") < F.max("_band").over(window), "stage").cast("string"))
+    target = F.col("q_family")
+    if policy.infer_family:
+        inside = F.col("dropped_by").isNull() & F.col("family").isNotNull()
+        alike = Window.partitionBy(per, "family")
+        rows = rows.withColumns(
+            {"_n": F.sum(F.when(inside, F.col("n"))).over(alike), "_first": F.min(F.when(inside, F.col("first"))).over(alike)}
+        )
+        rows = rows.withColumns(
+            {
+                "_known": F.sum(F.when(inside, F.col("n"))).over(window),
+                "_most": F.max(F.when(inside, F.struct("_n", (-F.col("_first")).alias("o"), "family"))).over(window),
+            }
+        )
+        strong = (F.col("_most._n") >= 2) & (F.col("_most._n") * 2 > F.col("_known"))
+        target = F.coalesce(target, F.when(strong, F.col("_most.family")))
+    rows = rows.withColumn("target_family", target)
+    fits = F.col("family").isNull() | (F.col("family") == F.col("target_family"))
+    rows = _gate(rows, "family", fits, policy, per)
+    wanted = F.col("q_form")
+    rows = _gate(rows, "form", F.when(wanted.isNotNull(), F.col("form").isNull() | (F.col("form") == wanted)), policy, per)
+    fresh = F.col("q_fresh")
+    asked = fresh.isNotNull() & (F.col("target_family").isNull() | (F.col("target_family") == fresh))
+    return _gate(rows, "fresh", F.when(asked, F.col("_plain")), policy, per)
+
+
 def gate_ladder(candidates: DataFrame, lexicon: Lexicon, tier: str = "summary", per: str = "query_id") -> DataFrame:
     """Interpreted candidates -> + target_family, dropped_by (null: kept, else
     stage, family, form or fresh). Needs query_id, q, name, stage, family, form, ord.
@@ -57,34 +96,23 @@ def gate_ladder(candidates: DataFrame, lexicon: Lexicon, tier: str = "summary",
     Ties for the commonest family go to the one whose first candidate (by ``ord``)
     comes first.
     """
-    policy, window = POLICIES[tier], Window.partitionBy(per)
-    several = F.size("q.tokens") > 1
-    band = matching.stage_band(F.col("stage"), several, policy.one_word_band)
-    rows = candidates.withColumn("_band", band)
-    rows = rows.withColumn(
-        "dropped_by", F.when(F.col("_band") < F.max("_band").over(window), "stage").cast("string")
-    ).drop("_band")
-    target = F.col("q.family")
-    if policy.infer_family:
-        inside = F.when(F.col("dropped_by").isNull(), F.col("family"))
-        rows = rows.withColumn("_fam", inside)
-        alike = Window.partitionBy(per, "_fam")
-        known = F.count("_fam").over(window)
-        rows = rows.withColumn("_n", F.count("_fam").over(alike)).withColumn("_first", F.min("ord").over(alike))
-        most = F.max(F.when(F.col("_fam").isNotNull(), F.struct("_n", (-F.col("_first")).alias("o"), "_fam"))).over(window)
-        rows = rows.withColumn("_most", most).withColumn("_known", known)
-        strong = (F.col("_most._n") >= 2) & (F.col("_most._n") * 2 > F.col("_known"))
-        target = F.coalesce(target, F.when(strong, F.col("_most._fam")))
-    rows = rows.withColumn("target_family", target).drop("_fam", "_n", "_first", "_most", "_known")
-    fits = F.col("family").isNull() | (F.col("family") == F.col("target_family"))
-    rows = _gate(rows, "family", fits, policy, [per])
-    wanted = F.col("q.form")
-    rows = _gate(rows, "form", F.when(wanted.isNotNull(), F.col("form").isNull() | (F.col("form") == wanted)), policy, [per])
-    fresh = F.col("q.fresh")
-    asked = fresh.isNotNull() & (F.col("target_family").isNull() | (F.col("target_family") == fresh))
-    role = F.coalesce(classify.produce_presence(F.col("name"), fresh, lexicon), F.lit("none"))
+    policy = POLICIES[tier]
+    role = F.coalesce(classify.produce_presence(F.col("name"), F.col("q.fresh"), lexicon), F.lit("none"))
     plain = F.col("form").isNull() & ~classify.is_processed(F.col("name"), lexicon) & (role != "flavored")
-    return _gate(rows, "fresh", F.when(asked, plain), policy, [per])
+    rows = candidates.withColumns(
+        {
+            "_band": matching.stage_band(F.col("stage"), F.size("q.tokens") > 1, policy.one_word_band),
+            "_plain": F.when(F.col("q.fresh").isNotNull(), plain),
+        }
+    )
+    rows = materialize(rows.withColumn("_profile", F.to_json(F.struct(*PROFILE))), "gates-candidates")
+    profiles = rows.groupBy(per, "_profile", *PROFILE).agg(
+        F.count("*").alias("n"),
+        F.min("ord").alias("first"),
+        *[F.max(f"q.{c}").alias(f"q_{c}") for c in ("family", "form", "fresh")],
+    )
+    verdicts = _verdicts(profiles, policy, per).select(per, "_profile", "target_family", "dropped_by")
+    return spread_join(rows, verdicts, [per, "_profile"]).drop("_profile", "_band", "_plain")
 
 
 def excluded_counts(gated: DataFrame, per: str = "query_id") -> DataFrame:
@@ -104,14 +132,13 @@ def identity_lock(rows: DataFrame, per: str = "query_id") -> DataFrame:
     """+ dropped_by 'identity' for kept rows that cover fewer query words than the
     anchor: the most relevant row, online before others, then cheaper, then first.
     Needs q, it, rel, source, price, ord and product_id."""
-    cover = matching.covered_tokens(F.col("q"), F.col("it"))
-    rows = rows.withColumn("_cover", cover).withColumn("_in", F.col("dropped_by").isNull())
-    order = Window.partitionBy(per).orderBy(
-        F.col("_in").desc(), F.col("rel").desc(), (F.col("source") == "online").desc(), "price", "ord"
+    rows = rows.withColumn("_cover", matching.covered_tokens(F.col("q"), F.col("it")))
+    order = F.struct(
+        (-F.col("rel")).alias("rel"), (F.col("source") != "online").alias("aside"), "price", "ord", "_cover", F.col("product_id").alias("product")
     )
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_anchor", F.first(F.struct("_cover", "product_id")).over(whole))
-    same = F.coalesce(F.col("product_id") == F.col("_anchor.product_id"), F.lit(False))
+    anchor = rows.filter("dropped_by IS NULL").groupBy(per).agg(F.min(order).alias("_anchor"))
+    rows = spread_join(rows, anchor, [per], "left")
+    same = F.coalesce(F.col("product_id") == F.col("_anchor.product"), F.lit(False))
     covers = F.size(F.array_except("_anchor._cover", "_cover")) == 0
-    locked = F.when(F.col("_in") & (F.size("_anchor._cover") > 0) & ~same & ~covers, "identity")
-    return rows.withColumn("dropped_by", F.coalesce("dropped_by", locked)).drop("_cover", "_in", "_anchor")
+    locked = F.when(F.col("dropped_by").isNull() & (F.size("_anchor._cover") > 0) & ~same & ~covers, "identity")
+    return rows.withColumn("dropped_by", F.coalesce("dropped_by", locked)).drop("_cover", "_anchor")

@@ -1,17 +1,18 @@
 """Equivalence of listings.
 
 Greedy grouping depends on order and compares with each group's first member only,
-so it is a fold over an ordered array. Its blocks must be small: a store and price, the
-pool of one query, one brand's products of a unit.
+so it is a fold over an ordered array. Its blocks must be small: a store and price, or
+products of one unit whose sizes form a chain (``size_chains``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.size import TOLERANCE
 from ..functions.text import jaccard
+from .resolve import spread_join
 
 DUPLICATE = 0.7
 NAME_OVERLAP = 0.6
@@ -53,10 +54,23 @@ def dedupe_listings(rows: DataFrame, per: list[str], ord_: str, words: str, shar
     return first.select(*per, ord_)
 
 
+def size_chains(rows: DataFrame, block: list[str], total: str = "total") -> DataFrame:
+    """+ ``chain``: sizes of a block in ascending order, a new chain wherever the step
+    is more than the tolerance. Two sizes within it of one another are in one chain, so
+    groups never cross chains, and a block can be folded chain by chain."""
+    sizes = rows.select(*block, total).distinct()
+    order = Window.partitionBy(*block).orderBy(total)
+    before = F.lag(total).over(order)
+    apart = before.isNull() | (F.col(total) - before > TOLERANCE * F.col(total))
+    chained = sizes.withColumn("chain", F.sum(apart.cast("int")).over(order))
+    return spread_join(rows.withColumn("_t", F.col(total)), chained.withColumnRenamed(total, "_t"), [*block, "_t"], "left").drop("_t")
+
+
 def group_equivalents(rows: DataFrame, block: list[str], ord_: str) -> DataFrame:
     """Groups of the same product within a block (a unit): sizes within 3%, forms
     not in conflict, brands equal, or without brands names that overlap by 0.6.
-    ``rows``: total, form, brand, words. Returns block, ord, group_no."""
+    ``rows``: total, form, brand, words. Returns block, chain, ord, group_no; groups
+    are numbered within a chain of sizes."""
 
     def alike(a, b):
         high, low = F.greatest(a["total"], b["total"]), F.least(a["total"], b["total"])
@@ -67,16 +81,20 @@ def group_equivalents(rows: DataFrame, block: list[str], ord_: str) -> DataFrame
         names = (most > 0) & (F.size(F.array_intersect(a["words"], b["words"])) >= NAME_OVERLAP * most)
         return F.coalesce(size & form & F.when(branded, a["brand"] == b["brand"]).otherwise(names), F.lit(False))
 
-    return _grouped(rows, block, ord_, ["total", "form", "brand", "words"], alike)
+    return _grouped(size_chains(rows, block), [*block, "chain"], ord_, ["total", "form", "brand", "words"], alike)
 
 
-def canonical_groups(rows: DataFrame, product: str, brand: str, store: str) -> DataFrame:
-    """Products sold by two stores or more: stores and rows per product and brand."""
-    return (
-        rows.groupBy(product, brand)
-        .agg(F.count_distinct(store).alias("stores"), F.count("*").alias("listings"))
-        .filter("stores >= 2")
-    )
+def canonical_groups(rows: DataFrame, product: str, brand: str, store: str, per: str | None = None, head: str | None = None) -> DataFrame:
+    """Products sold by two stores or more: stores and rows per product and brand. With
+    a pool ``per`` also the rank of each group in its pool: the one with the headline
+    (``head``: a boolean column) first, then more stores, then the lesser product."""
+    keys = [product, brand] if per is None else [per, product, brand]
+    more = [] if head is None else [F.max(head).alias("has_head")]
+    groups = rows.groupBy(*keys).agg(F.count_distinct(store).alias("stores"), F.count("*").alias("listings"), *more).filter("stores >= 2")
+    if per is None:
+        return groups
+    first = [F.col("has_head").desc()] if head else []
+    return groups.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*first, F.col("stores").desc(), product, brand)))
 
 
 def pull_in(admitted: DataFrame, pool: DataFrame, keys: list[str], product: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resolve import spread_join
+
 
 def latest_by_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key: the last under ``order``."""
@@ -12,9 +14,23 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` with rows of ``changes`` in place of, or beside, its own."""
-    return changes.unionByName(table.join(changes.select(*keys), keys, "left_anti"))
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """``table`` with rows of ``changes`` in place of, or beside, its own. Of several
+    changes of one key the first under ``order`` counts, without an order any one; null
+    is a key like others."""
+    once = latest_by_key(changes, keys, order) if order else changes.dropDuplicates(keys)
+    named = once.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return once.unionByName(table.join(named, same, "left_anti"))
+
+
+def ingest(offers: DataFrame, brochures: DataFrame) -> DataFrame:
+    """Offers with a sane price (above 0, and not above an earlier one) and the brochure
+    of their edition, null if none is held. ``brochures``: edition, brochure."""
+    sane = (F.col("price") > 0) & (F.col("old_price").isNull() | (F.col("old_price") >= F.col("price")))
+    return spread_join(offers.filter(sane), brochures.dropDuplicates(["edition"]), ["edition"], "left")
 
 
 def apply_cart_events(events: DataFrame) -> DataFrame:

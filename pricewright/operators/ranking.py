@@ -55,3 +55,10 @@ def featured_score(curated: Column, discount: Column, learned: Column, penalty:
 
 def learned_boost(count: Column) -> Column:
     return F.least(count, F.lit(20)) / 20 * 0.75
+
+
+def by_relevance(rows: DataFrame, per: str = "query_id", top: int | None = None) -> DataFrame:
+    """+ rank by relevance, equals in source order."""
+    order = Window.partitionBy(per).orderBy(F.col("rel").desc(), "ord")
+    rows = rows.withColumn("rank", F.row_number().over(order))
+    return rows.filter(F.col("rank") <= top) if top else rows

@@ -6,13 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Over so many parts the rows of one join key are spread.
+SALTS = 8
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``few``, which has a row or a fixed number of them for each key, to ``many``,
+    of whose rows any share may have one key. Catalyst broadcasts ``few`` where it is
+    small; otherwise the rows of a key lie in ``SALTS`` parts, each with its own copy of
+    the rows of ``few``. Rows with a null key match nothing; where the join keeps them
+    they are spread by a hash of their values."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    if how != "inner":
+        plain = [c for c, kind in many.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
+        some_null = F.lit(False)
+        for k in keys:
+            some_null = some_null | F.col(k).isNull()
+        salt = F.when(some_null, F.pmod(F.hash(*plain), F.lit(1 << 16)) + SALTS).otherwise(salt)
+    return many.withColumn("_salt", salt).join(few.select("*", salts), [*keys, "_salt"], how).drop("_salt")
+
+
 def first_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], result: str, order: str) -> DataFrame:
     """Left rows with ``result`` of the first of the key pairs that finds one; of
-    equals the least by ``order``. Each step is an equi-join on distinct keys."""
+    equals the least by ``order``. Each step is an equi-join on distinct keys, in which
+    rows with a null key are spread."""
     tried = []
     for i, (a, b) in enumerate(keys):
         least = right.filter(F.col(b).isNotNull()).groupBy(F.col(b).alias(f"_k{i}")).agg(F.min(F.struct(F.col(order).alias("_order"), F.col(result).alias("_result"))).alias(f"_m{i}"))
-        left = left.join(least, F.col(a) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        left = spread_join(left.withColumn(f"_k{i}", F.col(a)), least, [f"_k{i}"], "left").drop(f"_k{i}")
         tried.append(f"_m{i}")
     found = F.coalesce(*[F.col(m)["_result"] for m in tried])
     step = F.coalesce(*[F.when(F.col(m).isNotNull(), i + 1) for i, m in enumerate(tried)])

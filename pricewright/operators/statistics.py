@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resolve import spread_join
+
 OUTLIER = 6.0
+#: Steps of the histogram in which a median is looked for, per unit of asinh.
+FINE = 256
 #: Prices this near are one price.
 SAME_PRICE = 0.005
 
@@ -24,19 +28,36 @@ def first_of_group(rows: DataFrame, per: list[str], order: list[str]) -> DataFra
     return rows.groupBy(*per).agg(least).select(*per, "_least.*").select(*rows.columns)
 
 
-def upper_median(value: Column) -> Column:
-    """sorted[floor(n / 2)] of a group's values."""
-    values = F.sort_array(F.collect_list(value))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def _middle(counts: DataFrame, per: list[str], value: str) -> DataFrame:
+    """The value of each group at which ``rank`` of its rows (counted in ``n``) is
+    reached, with the rank left within that value."""
+    order = Window.partitionBy(*per).orderBy(value)
+    before = F.sum("n").over(order) - F.col("n")
+    return counts.withColumn("_before", before).filter((F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_before") + F.col("n"))).select(
+        *per, value, (F.col("rank") - F.col("_before")).alias("rank")
+    )
+
+
+def upper_medians(rows: DataFrame, per: list[str], value: str, name: str) -> DataFrame:
+    """Per group its upper median, sorted[floor(n / 2)], and the rows that have a
+    value (``name``_of). Counts in a histogram find the bucket of the median, and
+    counts of the distinct values in that bucket alone the median itself, so no group
+    is sorted or held whole. Null values count nothing."""
+    rows = rows.filter(F.col(value).isNotNull()).select(*per, F.col(value).alias("_v"))
+    rows = rows.withColumn("_bucket", F.floor(F.asinh("_v") * FINE))
+    total = F.sum("n").over(Window.partitionBy(*per))
+    buckets = rows.groupBy(*per, "_bucket").agg(F.count("*").alias("n"))
+    sized = buckets.withColumn("_of", total).withColumn("rank", F.floor(F.col("_of") / 2) + 1)
+    sizes = sized.groupBy(*per).agg(F.max("_of").alias(f"{name}_of"))
+    edge = _middle(sized, per, "_bucket")
+    inside = spread_join(rows, edge, [*per, "_bucket"])
+    values = inside.groupBy(*per, "_v", "rank").agg(F.count("*").alias("n"))
+    return _middle(values, per, "_v").select(*per, F.col("_v").alias(name)).join(sizes, per)
 
 
 def with_upper_median(rows: DataFrame, per: list[str], value: str, name: str) -> DataFrame:
-    """+ the group's upper median and size, by ranking: no group is held in memory."""
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*per).orderBy(value))).withColumn(
-        f"{name}_of", F.count("*").over(Window.partitionBy(*per))
-    )
-    middle = F.when(F.col("_rn") == F.floor(F.col(f"{name}_of") / 2) + 1, F.col(value))
-    return ranked.withColumn(name, F.max(middle).over(Window.partitionBy(*per))).drop("_rn")
+    """+ the group's upper median and size; null for groups without a value."""
+    return spread_join(rows, upper_medians(rows, per, value, name), per, "left")
 
 
 def plausible(value: Column, median: Column, factor: float = OUTLIER) -> Column:
@@ -46,14 +67,26 @@ def plausible(value: Column, median: Column, factor: float = OUTLIER) -> Column:
 def best_value(rows: DataFrame, per: list[str], value: str, order: list[str]) -> DataFrame:
     """Per group of two rows or more its row of least value within the outlier
     guard: + pool (rows compared) and dropped. With under two plausible rows the
-    guard is not applied."""
-    rows = with_upper_median(rows, per, value, "_median")
-    rows = rows.filter("_median_of >= 2").withColumn("_ok", plausible(F.col(value), F.col("_median")))
-    kept = F.sum(F.col("_ok").cast("int")).over(Window.partitionBy(*per))
-    rows = rows.withColumn("_kept", kept).filter("_ok OR _kept < 2")
-    rows = rows.withColumn("pool", F.when(F.col("_kept") >= 2, F.col("_kept")).otherwise(F.col("_median_of")).cast("long"))
-    rows = rows.withColumn("dropped", (F.col("_median_of") - F.col("pool")).cast("long"))
-    return first_wins(rows.drop("_ok", "_kept", "_median", "_median_of"), per, [value, *order])
+    guard is not applied. ``order`` has no nulls; null values are not compared."""
+    columns = rows.columns
+    rows = with_upper_median(rows.filter(F.col(value).isNotNull()), per, value, "_median").filter("_median_of >= 2")
+    ok = plausible(F.col(value), F.col("_median"))
+    rest = [c for c in columns if c not in per and c not in order and c != value]
+    row = F.struct(value, *order, *rest)
+    found = rows.groupBy(*per).agg(
+        F.min(F.when(ok, row)).alias("_guarded"), F.min(row).alias("_least"), F.count_if(ok).alias("_kept"), F.count("*").alias("_n")
+    )
+    guarded = F.col("_kept") >= 2
+    found = found.withColumn("_row", F.when(guarded, F.col("_guarded")).otherwise(F.col("_least")))
+    found = found.withColumn("pool", F.when(guarded, F.col("_kept")).otherwise(F.col("_n")).cast("long"))
+    return found.withColumn("dropped", (F.col("_n") - F.col("pool")).cast("long")).select(*per, "_row.*", "pool", "dropped").select(*columns, "pool", "dropped")
+
+
+def dominant_group(rows: DataFrame, per: list[str], group: str, order: str) -> DataFrame:
+    """The rows of each group's commonest ``group`` value; of equals the one whose
+    first row by ``order`` comes first. Rows without a value are in none."""
+    most = dominant(rows.filter(F.col(group).isNotNull()), per, group, order).drop("n")
+    return spread_join(rows, most.withColumnRenamed(group, "_most"), per).filter(F.col(group) == F.col("_most")).drop("_most")
 
 
 def unit_outliers(rows: DataFrame, per: list[str], value: str) -> DataFrame:

@@ -34,8 +34,9 @@ def _asked_row(query_id: int, query: str) -> tuple:
     return query_id, len(ws), "|".join(_variants(ws[0])), "|".join(_variants(ws[1])) if len(ws) > 1 else None, family, form
 
 
-#: Queries by parts: words found (m of n), whether in order, and stages by rule.
-STAGES = f"""asked(query_id, n, v1, v2, qfam, qform) AS (VALUES {_values([_asked_row(*a) for a in ASKED])}),
+#: Queries by the parts that have a word of theirs: words found (m of n), whether in
+#: order, and stages by rule.
+_STAGED = f"""asked(query_id, n, v1, v2, qfam, qform) AS (VALUES {_values([_asked_row(*a) for a in ASKED])}),
 parts AS (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, {NOUN} AS fam, {FORM} AS form FROM part),
 met AS (
   SELECT *, list_contains(string_split(v1, '|'), a) AS a1, list_contains(string_split(v1, '|'), b) AS b1,
@@ -47,7 +48,8 @@ staged AS (
       WHEN CASE WHEN a = 'new' THEN b1 ELSE a1 END THEN 5 ELSE 4 END
     WHEN NOT ((a1 OR b1) AND (a2 OR b2)) THEN CASE WHEN a1 OR b1 OR a2 OR b2 THEN 1 ELSE 0 END
     WHEN qfam <> fam THEN 1 WHEN a1 AND b2 THEN 5 ELSE 4 END AS stage
-  FROM met),
+  FROM met WHERE a1 OR b1 OR a2 OR b2)"""
+STAGES = _STAGED + """,
 scored AS (
   SELECT *, CASE WHEN n = 1 THEN CASE WHEN a1 OR b1 THEN 100.0 ELSE 0.0 END
     ELSE (CASE WHEN a1 OR b1 THEN 100 ELSE 0 END + CASE WHEN a2 OR b2 THEN 100 ELSE 0 END) / 2.0
@@ -55,12 +57,13 @@ scored AS (
   FROM staged)"""
 
 
-def _ladder(one_word_band: str, infer: bool, never_empty: bool) -> str:
+def _ladder(one_word_band: str, infer: bool, never_empty: bool, source: str = "scored") -> str:
     band = "CASE WHEN stage >= 4 THEN 4 ELSE stage END" if one_word_band == "primary" else "stage"
     target = "coalesce(qfam, CASE WHEN top.n >= 2 AND top.n * 2 > top.known THEN top.fam END)" if infer else "qfam"
     applied = lambda c: f"sum(CAST({c} AS INT)) OVER (PARTITION BY query_id) > 0" if never_empty else "true"
     return f"""WITH {STAGES},
-banded AS (SELECT *, CASE WHEN n > 1 THEN CASE WHEN stage >= 2 THEN 2 ELSE stage END ELSE {band} END AS band FROM scored),
+competing AS (SELECT * FROM scored WHERE rel >= 30 AND (n = 1 OR ((a1 OR b1) AND (a2 OR b2)))),
+banded AS (SELECT *, CASE WHEN n > 1 THEN CASE WHEN stage >= 2 THEN 2 ELSE stage END ELSE {band} END AS band FROM {source}),
 g1 AS (SELECT *, band = max(band) OVER (PARTITION BY query_id) AS in1 FROM banded),
 fams AS (SELECT query_id, fam, count(*) AS n, min(p_partkey) AS first, sum(count(*)) OVER (PARTITION BY query_id) AS known
   FROM g1 WHERE in1 AND fam IS NOT NULL GROUP BY query_id, fam),
@@ -87,8 +90,8 @@ kinds AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN 'kg' ELSE 'pc' END AS unit, p_
     WHEN rel >= 75 THEN 2 WHEN rel >= 45 THEN 1 ELSE 0 END AS fband,
   CASE WHEN p_brand = 'Brand#1' THEN 1.0::DOUBLE ELSE 0 END + least(p_partkey % 10 / 20::DOUBLE, 0.5) * 1.2::DOUBLE
     + least(1.5::DOUBLE, least(p_partkey % 7, 20) / 20::DOUBLE * 0.75::DOUBLE) AS featured FROM g6),
-units AS (SELECT query_id, unit, count(*) AS c FROM kinds GROUP BY ALL),
-chosen AS (SELECT query_id, unit AS dominant FROM units QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, unit DESC) = 1),
+units AS (SELECT query_id, unit, count(*) AS c, min(p_partkey) AS first FROM kinds GROUP BY ALL),
+chosen AS (SELECT query_id, unit AS dominant FROM units QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, first) = 1),
 keyed AS (SELECT *, CASE WHEN n > 1 THEN CASE WHEN stage >= 2 THEN 2 ELSE stage END WHEN stage >= 4 THEN 4 ELSE stage END AS top_band
   FROM kinds JOIN chosen USING (query_id)),
 judged AS (SELECT *, top_band >= CASE WHEN n > 1 THEN 2 ELSE 4 END AND (qfam IS NULL OR fband >= 2) AS genuine, unit = dominant AS inside FROM keyed)
@@ -99,7 +102,7 @@ FROM judged QUALIFY rank <= 20"""
 ORDERED = "PARTITION BY l_partkey ORDER BY day, l_orderkey, l_linenumber, l_suppkey"
 MEDIAN = "list_sort(list({v}))[CAST(floor(count(*) / 2) AS INT) + 1]"
 #: Letters folded, then all but letters, digits and blanks to blanks, collapsed.
-NORMAL = r"""trim(regexp_replace(regexp_replace(translate(lower(coalesce({t}, '')), 'أإآٱىؤئةیک', 'ااااي' || 'ويهيك'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
+NORMAL = r"""trim(regexp_replace(regexp_replace(translate(lower(coalesce({t}, '')), 'أإآٱىؤئةیک', 'اااايويهيك'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
 
 SQL = {
     "best_value": f"""WITH {L},
@@ -159,9 +162,12 @@ WHERE EXISTS (SELECT 1 FROM a WHERE a.l_partkey = r.l_partkey AND a.p_brand = r.
     "shared_best_price": f"""WITH {L},
 h AS (SELECT l_partkey, price AS best, l_suppkey AS head FROM l QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY price, l_orderkey, l_linenumber, l_suppkey) = 1)
 SELECT l_partkey, count(DISTINCT l_suppkey) AS shared_with FROM l JOIN h USING (l_partkey)
-WHERE l_suppkey <> head AND price - best <= 0.01::DOUBLE * best GROUP BY l_partkey""",
-    "canonical_groups": """SELECT l_partkey, p_brand, count(DISTINCT l_suppkey) AS stores, count(*) AS listings
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2""",
+WHERE l_suppkey <> head AND abs(price - best) <= 0.005::DOUBLE GROUP BY l_partkey""",
+    "canonical_groups": f"""WITH {L}, r AS (SELECT *, l_partkey % 50 AS aisle FROM l JOIN part ON l_partkey = p_partkey),
+h AS (SELECT aisle, l_partkey AS head FROM r QUALIFY row_number() OVER (PARTITION BY aisle ORDER BY price, l_orderkey, l_linenumber, l_suppkey) = 1)
+SELECT l_partkey, p_brand, count(DISTINCT l_suppkey) AS stores, count(*) AS listings,
+  CAST(row_number() OVER (PARTITION BY aisle ORDER BY bool_or(l_partkey = head) DESC, count(DISTINCT l_suppkey) DESC, l_partkey, p_brand) AS INT) AS rank
+FROM r JOIN h USING (aisle) GROUP BY aisle, l_partkey, p_brand HAVING count(DISTINCT l_suppkey) >= 2""",
     "rank_lowest_price": _ranked("genuine DESC, CASE WHEN genuine THEN NULL ELSE top_band END DESC NULLS LAST, CASE WHEN genuine THEN NULL ELSE fband END DESC NULLS LAST"),
     "rank_best_value": _ranked("stage DESC, fband DESC, inside DESC, CASE WHEN inside THEN unit_value END NULLS FIRST"),
     "rank_featured": _ranked("stage DESC, fband DESC, featured DESC"),
@@ -174,7 +180,7 @@ SELECT l_partkey, any_value(lowest) AS lowest, any_value(lowest_store) AS lowest
   count(DISTINCT date_trunc('week', day)) AS weeks, CAST(min(day) AS VARCHAR) AS first_seen, CAST(max(day) AS VARCHAR) AS last_seen, count(*) AS observations
 FROM l JOIN f USING (l_partkey) GROUP BY l_partkey""",
     "history_size_join": """SELECT y.p_partkey AS b, count(*) AS alike FROM part x JOIN part y ON x.p_brand = y.p_brand
-WHERE y.p_partkey % 20 = 0 AND greatest(x.p_size, y.p_size)::DOUBLE - least(x.p_size, y.p_size) <= 0.03::DOUBLE * greatest(x.p_size, y.p_size) GROUP BY y.p_partkey""",
+WHERE greatest(x.p_size, y.p_size)::DOUBLE - least(x.p_size, y.p_size) <= 0.03::DOUBLE * greatest(x.p_size, y.p_size) GROUP BY y.p_partkey""",
     "lowest_ever": f"""WITH {L}, r AS (SELECT *, min(unit) OVER ({ORDERED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low_before,
   count(*) OVER ({ORDERED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS depth FROM l)
 SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, unit, low_before FROM r WHERE unit <= low_before AND depth >= 4""",
@@ -185,10 +191,20 @@ SELECT l_partkey, today, low, weeks, CASE WHEN weeks < 2 THEN 'building' WHEN to
   WHEN (today - low) / low <= 0.1 THEN 'near-low' ELSE 'above-low' END AS verdict FROM t JOIN s USING (l_partkey)""",
     "back_on_offer": f"""WITH {L}, g AS (SELECT l_partkey, CAST(day - lag(day) OVER ({ORDERED}) AS INT) AS gap FROM l)
 SELECT l_partkey, count(*) FILTER (WHERE gap >= 28) AS returns, max(gap) AS longest_gap FROM g GROUP BY l_partkey""",
-    "deal_score": f"""WITH {L}, m AS (SELECT l_partkey, {MEDIAN.format(v='unit')} AS med FROM l GROUP BY l_partkey),
-r AS (SELECT *, coalesce(unit <= min(unit) OVER ({ORDERED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS low FROM l),
-s AS (SELECT r.*, CASE WHEN low THEN 50 ELSE 0 END + CASE WHEN unit < med THEN 30 ELSE 0 END + CASE WHEN l_discount >= 0.08 THEN 20 ELSE 0 END
-  + CASE WHEN p_brand = 'Brand#1' THEN 10 ELSE 0 END AS score FROM r JOIN m USING (l_partkey) JOIN part ON l_partkey = p_partkey)
+    # Six signals, each judged from the offers up to the one in question. The tables have
+    # no multi-buy and no advertised cut of a quarter, so two of them never give points.
+    "deal_score": f"""WITH {L},
+w AS (SELECT *, date_trunc('week', day) AS week, min(unit) OVER ({ORDERED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low,
+  min(date_trunc('week', day)) OVER ({ORDERED} ROWS UNBOUNDED PRECEDING) AS week0 FROM l),
+k AS (SELECT *, week IS DISTINCT FROM lag(week) OVER ({ORDERED}) AS fresh, CASE WHEN unit <= coalesce(low, unit) + 1e-9 THEN day END AS met FROM w),
+c AS (SELECT *, sum(CAST(fresh AS INT)) OVER ({ORDERED} ROWS UNBOUNDED PRECEDING) AS seen, datediff('day', week0, week) // 7 + 1 AS known,
+  max(met) OVER ({ORDERED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_met,
+  CASE WHEN l_extendedprice > price THEN (l_extendedprice - price) / l_extendedprice * 100 ELSE 0 END AS cut FROM k),
+s AS (SELECT *, CASE WHEN unit <= low AND seen >= 4 THEN 50 ELSE 0 END
+  + CASE WHEN cut >= 40 - 1e-9 THEN 30 WHEN cut >= 25 - 1e-9 THEN 15 ELSE 0 END
+  + CASE WHEN known >= 8 AND seen <= 0.25::DOUBLE * known THEN 20 ELSE 0 END
+  + CASE WHEN regexp_matches(p_name, '[0-9]\\s*[+]\\s*[0-9]|(^| )free( |$)') THEN 10 ELSE 0 END
+  + CASE WHEN abs(unit - low) <= 1e-9 AND datediff('day', last_met, day) >= 28 THEN 15 ELSE 0 END AS score FROM c JOIN part ON l_partkey = p_partkey)
 SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, score FROM s WHERE score >= 50""",
     "headline_decision": f"""WITH {L},
 m AS (SELECT l_partkey, count(*) AS n, {MEDIAN.format(v='unit')} AS med FROM l GROUP BY l_partkey HAVING count(*) >= 2),
@@ -199,7 +215,8 @@ b AS (SELECT l_partkey, unit AS bu, concat_ws('-', l_orderkey, l_linenumber, l_s
 h AS (SELECT l_partkey, price AS lowest, unit AS cu, concat_ws('-', l_orderkey, l_linenumber, l_suppkey) AS ck FROM l
   QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY price, l_orderkey, l_linenumber, l_suppkey) = 1)
 SELECT l_partkey, lowest, CASE WHEN bk IS NULL THEN 'cheapest' WHEN bk = ck THEN 'best-buy' WHEN bu <= cu * 0.9::DOUBLE THEN 'best-value' ELSE 'best-buy' END AS headline,
-  CASE WHEN pool >= 20 THEN 'high' WHEN bk IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM h LEFT JOIN b USING (l_partkey)""",
+  CASE WHEN grouped THEN 'high' WHEN bk IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM h LEFT JOIN b USING (l_partkey)
+  JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) >= 2 AS grouped FROM l GROUP BY 1) USING (l_partkey)""",
     "browse_tiles": """SELECT coalesce(r_name, 'other') AS department, coalesce(n_name, 'other') AS aisle, count(*) AS offers, count(DISTINCT l_suppkey) AS stores
 FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2
 UNION ALL SELECT coalesce(r_name, 'other'), NULL, count(*), count(DISTINCT l_suppkey)
@@ -211,8 +228,8 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
   LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)
 SELECT department, CAST(row_number() OVER (PARTITION BY department ORDER BY l_discount DESC, price, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INT) AS position,
   l_orderkey, l_linenumber, l_partkey, l_suppkey FROM r QUALIFY position BETWEEN 49 AND 72""",
-    "brand_mining": """SELECT split_part(p_name, ' ', 1) AS lead, count(DISTINCT l_partkey) AS products, count(DISTINCT l_suppkey) AS stores
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING products >= 4 AND stores >= 2""",
+    "brand_mining": f"""WITH {L} SELECT split_part(p_name, ' ', 1) AS lead, count(DISTINCT l_partkey) AS products, count(DISTINCT l_suppkey) AS stores
+FROM l JOIN part ON l_partkey = p_partkey WHERE day > (SELECT max(day) FROM l) - 56 GROUP BY 1 HAVING products >= 4 AND stores >= 2""",
     "cart_rollup": f"""WITH {L}, r AS (SELECT o_custkey, l_suppkey, CAST(round(price * 100) AS BIGINT) AS c, CAST(l_quantity AS BIGINT) AS q
   FROM l JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F')
 SELECT coalesce(o_custkey, -1) AS o_custkey, coalesce(l_suppkey, -1) AS l_suppkey, CAST(sum(c) AS BIGINT) AS cents, CAST(sum(q) AS BIGINT) AS items FROM r GROUP BY ROLLUP (o_custkey, l_suppkey)""",
@@ -229,7 +246,7 @@ FROM (SELECT event_type, TRY_CAST(props->>'$.k' AS INT) AS k FROM events) GROUP
 SELECT page_id, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'link' ELSE 'search' END AS target, nullif(ref, '') AS flyer_ref FROM h""",
     "spatial_hit": """WITH p AS (SELECT event_id AS id, user_id % 4 AS page, (event_id * 37 % 1000) / 1000::DOUBLE AS px, (event_id * 91 % 997) / 997::DOUBLE AS py FROM events),
 b AS (SELECT p_partkey % 4 AS page, p_partkey AS box_id, (p_partkey * 53 % 90) / 100::DOUBLE AS x, (p_partkey * 29 % 90) / 100::DOUBLE AS y,
-  ((p_partkey % 7) + 1) / 100::DOUBLE AS w, ((p_partkey % 5) + 1) / 100::DOUBLE AS h FROM part WHERE p_partkey < 400),
+  ((p_partkey % 7) + 1) / 100::DOUBLE AS w, ((p_partkey % 5) + 1) / 100::DOUBLE AS h FROM part),
 e AS (SELECT *, x + w / 2 - greatest(w, 0.04::DOUBLE) / 2 AS x0, y + h / 2 - greatest(h, 0.04::DOUBLE) / 2 AS y0, greatest(w, 0.04::DOUBLE) AS ww, greatest(h, 0.04::DOUBLE) AS hh FROM b),
 j AS (SELECT id, p.page, box_id, px >= x AND px <= x + w AND py >= y AND py <= y + h AS direct, w * h AS area
   FROM p JOIN e ON p.page = e.page WHERE px >= x0 AND px <= x0 + ww AND py >= y0 AND py <= y0 + hh)

@@ -36,7 +36,7 @@ def unit_outliers(spark, d):
 
 
 def median_price_penalty(spark, d):
-    rows = statistics.with_upper_median(listings(spark, d), ["l_partkey"], "price", "median")
+    rows = statistics.with_upper_median(listings(spark, d).select("l_partkey", "price"), ["l_partkey"], "price", "median")
     rows = rows.withColumn("median", F.when(F.col("median_of") >= 4, F.col("median")))
     rows = rows.withColumn("penalty", statistics.price_penalty(F.col("price"), F.col("median")))
     return rows.groupBy("l_partkey").agg(
@@ -185,7 +185,9 @@ def headline_decision(spark, d):
     both = cheap.join(best, "l_partkey", "left")
     b = F.when(F.col("pool").isNotNull(), key("b_"))
     kind = statistics.headline(key("c_"), F.col("cheap_unit"), b, F.col("best_unit"))
-    return both.select("l_partkey", "lowest", kind.alias("headline"), statistics.confidence(F.col("pool") >= 20, b.isNotNull()).alias("confidence"))
+    sold = rows.groupBy("l_partkey").agg((F.count_distinct("l_suppkey") >= 2).alias("grouped"))  # a part is one registry product
+    both = both.join(sold, "l_partkey")
+    return both.select("l_partkey", "lowest", kind.alias("headline"), statistics.confidence(F.col("grouped"), b.isNotNull()).alias("confidence"))
 
 
 def _ranked(order):
@@ -199,8 +201,9 @@ def _ranked(order):
                 "unit_value": F.col("price") / F.col("pieces"),
             }
         )
-        most = F.count("*").over(Window.partitionBy("query_id", "unit"))
-        rows = rows.withColumn("_n", most).withColumn("dominant_unit", F.max(F.struct("_n", "unit")).over(Window.partitionBy("query_id"))["unit"])
+        counts = rows.groupBy("query_id", "unit").agg((-F.count("unit")).alias("n"), F.min("ord").alias("first"))
+        most = counts.groupBy("query_id").agg(F.min(F.struct("n", "first", "unit"))["unit"].alias("dominant_unit"))
+        rows = resolve.spread_join(rows, most, ["query_id"])
         rows = rows.withColumn("band", ranking.family_band(F.col("target_family"), F.col("family"), F.col("rel")))
         discount = (F.col("ord") % 10) / 20
         curated = F.when(F.col("maker") == "Brand#1", 1.0).otherwise(0.0)
@@ -226,12 +229,16 @@ def group_equivalents(spark, d):
         text.words(F.col("p_name")).alias("words"),
     )
     groups = grouping.group_equivalents(rows, ["block"], "p_partkey")
-    return groups.select("block", "p_partkey", F.min("p_partkey").over(Window.partitionBy("block", "group_no")).alias("representative"))
+    return groups.select("block", "p_partkey", F.min("p_partkey").over(Window.partitionBy("block", "chain", "group_no")).alias("representative"))
 
 
 def canonical_groups(spark, d):
     rows = listings(spark, d).join(products(spark, d).select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    return grouping.canonical_groups(rows, "l_partkey", "p_brand", "l_suppkey")
+    head = F.min(F.struct("price", *ORDER)).alias("h")
+    rows = resolve.spread_join(rows.withColumn("aisle", F.col("l_partkey") % 50), rows.groupBy((F.col("l_partkey") % 50).alias("aisle")).agg(head), ["aisle"])
+    rows = rows.withColumn("is_head", F.struct("price", *ORDER) == F.col("h"))
+    ranked = grouping.canonical_groups(rows, "l_partkey", "p_brand", "l_suppkey", "aisle", "is_head")
+    return ranked.select("l_partkey", "p_brand", "stores", "listings", "rank")
 
 
 HISTORY_ORDER = ["day", "l_orderkey", "l_linenumber", "l_suppkey"]
@@ -284,11 +291,8 @@ def _aisles(spark, d):
 def browse_tiles(spark, d):
     rows = listings(spark, d).select("l_suppkey").join(_aisles(spark, d), "l_suppkey", "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit("other")) for c in ("department", "aisle")})
-    rows.createOrReplaceTempView("_tiles")
-    return spark.sql(
-        "SELECT department, aisle, count(*) AS offers, count(DISTINCT l_suppkey) AS stores FROM _tiles "
-        "GROUP BY GROUPING SETS ((department, aisle), (department), ())"
-    )
+    tiles = rows.groupingSets([["department", "aisle"], ["department"], []], "department", "aisle")
+    return tiles.agg(F.count("*").alias("offers"), F.count_distinct("l_suppkey").alias("stores"))
 
 
 def browse_facets(spark, d):
@@ -305,7 +309,12 @@ def browse_listing_page(spark, d):
 
 
 def brand_mining(spark, d):
-    rows = listings(spark, d).join(products(spark, d).select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    """Leading words on four products or more in two stores or more over the last eight
+    weeks of the table."""
+    rows = listings(spark, d)
+    last = rows.agg(F.max("day").alias("last"))  # one row
+    rows = rows.join(F.broadcast(last), F.col("day") > F.date_sub("last", 56))
+    rows = rows.join(products(spark, d).select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     rows = rows.withColumn("lead", F.get(text.tokens(F.col("p_name")), F.lit(0)))
     return rows.groupBy("lead").agg(F.count_distinct("l_partkey").alias("products"), F.count_distinct("l_suppkey").alias("stores")).filter("products >= 4 AND stores >= 2")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matching
 from ..functions.lexicon import Lexicon
+from ..operators import search
 
 #: A lexicon for the part names, which are an adjective and a noun.
 PARTS = Lexicon(
@@ -55,10 +56,9 @@ def queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUERIES, "query_id int, query string")
 
 
-def candidates(spark: SparkSession, sf_dir: str, lexicon: Lexicon = PARTS) -> DataFrame:
-    """Every query with every product. The queries are a fixed handful, so this is a
-    broadcast of them over a scan of the products."""
-    items = products(spark, sf_dir).select(
+def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the role of listings: ord, name, brand, maker, kind, price, pieces."""
+    return products(spark, sf_dir).select(
         F.col("p_partkey").alias("ord"),
         F.col("p_name").alias("name"),
         F.lit("").alias("brand"),
@@ -67,5 +67,8 @@ def candidates(spark: SparkSession, sf_dir: str, lexicon: Lexicon = PARTS) -> Da
         F.col("p_retailprice").alias("price"),
         F.col("p_size").alias("pieces"),
     )
-    asked = matching.with_query(queries(spark), lexicon)
-    return matching.with_item(items, lexicon).join(F.broadcast(asked))
+
+
+def candidates(spark: SparkSession, sf_dir: str, lexicon: Lexicon = PARTS) -> DataFrame:
+    """Every query with the products that have a word of it."""
+    return search.candidates(matching.with_query(queries(spark), lexicon), matching.with_item(items_of(spark, sf_dir), lexicon))

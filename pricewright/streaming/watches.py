@@ -1,4 +1,4 @@
-"""Streaming: stateful price crossings and a change-only price history."""
+"""Streaming: stateful price crossings, windowed lows, a change-only price history."""
 
 from __future__ import annotations
 
@@ -18,24 +18,41 @@ def event_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFr
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def crossing_alerts(events: DataFrame, target: float, key: str = "user_id") -> DataFrame:
+def crossing_alerts(events: DataFrame, target: float, lateness: str, key: str = "user_id") -> DataFrame:
     """A row whenever a watch's value falls to the target after one above it, or at
-    its first value. State per watch is one boolean; values within a batch are taken
-    in time order, so a watch's events must reach batches in that order."""
+    its first value.
+
+    Events wait in the watch's state until the watermark has passed them and are then
+    judged in time order, so the order in which they arrive within ``lateness`` does
+    not matter; later ones are dropped. The state is one boolean and the waiting events;
+    a timeout at the earliest of them judges them when no new ones come. A null value
+    neither fires nor arms."""
     schema = f"{key} bigint, event_id bigint, value double"
+    state_schema = "below boolean, ts array<bigint>, ids array<bigint>, vals array<double>"
 
     def fire(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        below = state.get[0] if state.exists else False
-        rows = pd.concat(list(batches)).dropna(subset=["value"]).sort_values(["ts", "event_id"])
-        under = rows["value"] <= target
-        was = under.shift(fill_value=below)
-        if len(rows):
-            state.update((bool(under.iloc[-1]),))
-        yield rows.loc[under & ~was, [key, "event_id", "value"]]
-
-    return events.groupBy(key).applyInPandasWithState(
-        fire, schema, "below boolean", "append", GroupStateTimeout.NoTimeout
-    )
+        below, ts, ids, vals = state.get if state.exists else (False, [], [], [])
+        waiting = pd.DataFrame({"ts": list(ts), "event_id": list(ids), "value": list(vals)})
+        for rows in batches if not state.hasTimedOut else ():
+            rows = rows.dropna(subset=["value"])
+            own = pd.DataFrame({"ts": rows["ts"].astype("datetime64[us]").astype("int64"), "event_id": rows["event_id"], "value": rows["value"]})
+            waiting = pd.concat([waiting, own]) if len(waiting) else own
+        waiting = waiting.sort_values(["ts", "event_id"])
+        upto = state.getCurrentWatermarkMs() * 1000
+        ready = waiting[waiting["ts"] <= upto] if len(waiting) else waiting
+        left = waiting[waiting["ts"] > upto] if len(waiting) else waiting
+        under = (ready["value"] <= target).astype(bool)
+        was = under.shift(fill_value=bool(below)).astype(bool)
+        if len(ready):
+            below = bool(under.iloc[-1])
+        state.update((bool(below), [int(v) for v in left["ts"]], [int(v) for v in left["event_id"]], [float(v) for v in left["value"]]))
+        if len(left):
+            state.setTimeoutTimestamp(max(int(left["ts"].iloc[0]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        fired = ready[under & ~was]
+        yield pd.DataFrame({key: [int(k[0])] * len(fired), "event_id": fired["event_id"].astype("int64"), "value": fired["value"].astype("float64")})
+
+    timely = events.withWatermark("ts", lateness).select(key, "event_id", "ts", "value")
+    return timely.groupBy(key).applyInPandasWithState(fire, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_lows(events: DataFrame, length: str, lateness: str, key: str = "user_id") -> DataFrame:
@@ -46,30 +63,26 @@ def windowed_lows(events: DataFrame, length: str, lateness: str, key: str = "use
     )
 
 
+#: Parts in which observations lie, by a hash of their identity.
+BUCKETS = 64
+
+
 def merge_history(history_path: str, per: list[str], order: list[str], price: str):
-    """A ``foreachBatch`` writer that keeps a change-only history: the new rows and
-    those kept before are put in order together, so a batch that comes again, or
-    late, changes nothing that it should not."""
+    """A ``foreachBatch`` writer of the observations from which ``current_history``
+    derives the points. A batch writes its own rows only, below its own number, so one
+    that comes again replaces itself; late rows are observations like others. Rows lie
+    in buckets by identity."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        conf = spark._jsc.hadoopConfiguration()
-        top = spark._jvm.org.apache.hadoop.fs.Path(history_path)
-        files = top.getFileSystem(conf)
-        past = sorted(s.getPath().getName() for s in files.listStatus(top)) if files.exists(top) else []
-        past = [p for p in past if p.startswith("v") and p[1:].isdigit() and int(p[1:]) < batch_id]
-        rows = batch.select(*dict.fromkeys([*per, *order, price]))
-        if past:
-            rows = rows.unionByName(spark.read.parquet(f"{history_path}/{past[-1]}")).distinct()
-        points = change_points(rows, per, order, price).drop("previous")
-        points.write.mode("overwrite").parquet(f"{history_path}/v{batch_id:010d}")
+        rows = batch.select(*dict.fromkeys([*per, *order, price])).distinct()
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*per), F.lit(BUCKETS)).cast("int"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{history_path}/batch={batch_id}")
 
     return write
 
 
-def current_history(spark, history_path: str) -> DataFrame:
-    """The newest version that ``merge_history`` wrote."""
-    conf = spark._jsc.hadoopConfiguration()
-    top = spark._jvm.org.apache.hadoop.fs.Path(history_path)
-    names = [s.getPath().getName() for s in top.getFileSystem(conf).listStatus(top)]
-    return spark.read.parquet(f"{history_path}/{max(n for n in names if n.startswith('v'))}")
+def current_history(spark, history_path: str, per: list[str], order: list[str], price: str) -> DataFrame:
+    """The change-only points of all observations so far: those at which the price
+    differs from the one before. An observation that came twice counts once."""
+    rows = spark.read.parquet(history_path).select(*dict.fromkeys([*per, *order, price])).distinct()
+    return change_points(rows, per, order, price).drop("previous")

@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pricewright.operators import grouping, merge, resolve, statistics, watch
@@ -98,24 +100,106 @@ def stream_rows(spark, df):
     return spark.table("out").collect()
 
 
-def test_streamed_crossings_equal_batch(spark, data, tmp_path):
-    events = spark.read.parquet(f"{data}/events.parquet")
-    # time slices, one file each, so that batches come in time order
-    frame = events.toPandas().sort_values("ts")
-    for i in range(4):
-        part = frame.iloc[i * len(frame) // 4 : (i + 1) * len(frame) // 4]
-        spark.createDataFrame(part[["event_id", "ts", "user_id", "value"]]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    got = stream_rows(spark, watches.crossing_alerts(watches.event_stream(spark, str(tmp_path / "in"), schema, 1), 20.0))
-    want = plans.watch_crossings(spark, data).collect()
-    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in want)
+def event_files(spark, frame, folder, parts):
+    for i in range(parts):
+        part = frame.iloc[i * len(frame) // parts : (i + 1) * len(frame) // parts]
+        spark.createDataFrame(part[["event_id", "ts", "user_id", "value"]]).coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).schema
 
 
-def test_history_merge_converges(spark, tmp_path):
-    write = watches.merge_history(str(tmp_path / "h"), ["k"], ["day"], "price")
+def sentinels(frame):
+    """An event of every user long after all others, which moves the watermark on."""
+    last = frame.groupby("user_id", as_index=False).first()[["user_id"]]
+    far = frame["ts"].max() + pd.Timedelta(days=30)
+    return pd.concat([frame, last.assign(event_id=10**9, ts=far, value=10.0**9), last.assign(event_id=10**9 + 1, ts=far + pd.Timedelta(days=1), value=10.0**9)])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_crossings_equal_batch(spark, data, tmp_path, seed):
+    """Events of a day arrive in any order."""
+    frame = spark.read.parquet(f"{data}/events.parquet").toPandas().sort_values("ts")
+    rng = random.Random(seed)
+    hours = (frame["ts"] - frame["ts"].min()).dt.total_seconds() / 3600
+    frame = sentinels(frame.assign(key=hours + [rng.random() * 20 for _ in range(len(frame))]).sort_values("key"))
+    schema = event_files(spark, frame, str(tmp_path / "in"), 6)
+    stream = watches.crossing_alerts(watches.event_stream(spark, str(tmp_path / "in"), schema, 1), 20.0, "2 days")
+    got = [r for r in stream_rows(spark, stream) if r.event_id < 10**9]
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in plans.watch_crossings(spark, data).collect())
+
+
+def test_streamed_lows_equal_batch(spark, data, tmp_path):
+    frame = sentinels(spark.read.parquet(f"{data}/events.parquet").toPandas().sort_values("ts"))
+    schema = event_files(spark, frame, str(tmp_path / "in"), 4)
+    stream = watches.windowed_lows(watches.event_stream(spark, str(tmp_path / "in"), schema, 1), "1 day", "1 day")
+    got = {(str(r["from"].date()), r.user_id): (r.low, r.n) for r in stream_rows(spark, stream) if (r.low or 0) < 10**9}
+    want = {(r.day, r.user_id): (r.low, r.n) for r in plans.event_windows(spark, data).collect()}
+    assert got == want
+
+
+def test_late_rows_give_points_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "h")
+    write = watches.merge_history(path, ["k"], ["day"], "price")
     make = lambda rows: spark.createDataFrame(pd.DataFrame(rows, columns=["k", "day", "price"]))
-    write(make([(1, 1, 5.0), (1, 2, 5.0)]), 0)
-    write(make([(1, 4, 6.0), (1, 3, 5.0)]), 1)
-    write(make([(1, 4, 6.0), (1, 3, 5.0)]), 1)  # the same batch again
-    got = watches.current_history(spark, str(tmp_path / "h")).orderBy("day").collect()
-    assert [(r.day, r.price) for r in got] == [(1, 5.0), (4, 6.0)]
+    write(make([(1, 1.0, 5.0), (1, 2.0, 5.0), (1, 3.0, 5.0), (1, 4.0, 6.0)]), 0)
+    write(make([(1, 2.5, 7.0)]), 1)
+    got = watches.current_history(spark, path, ["k"], ["day"], "price").orderBy("day").collect()
+    assert [(r.day, r.price) for r in got] == [(1, 5.0), (2.5, 7.0), (3, 5.0), (4, 6.0)]
+
+
+def test_history_is_the_same_in_any_order_of_arrival(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, float(day), float(rng.randint(1, 3))) for k in range(5) for day in range(30)]
+    want, last = [], {}
+    for k, day, price in rows:
+        if last.get(k) != price:
+            want.append((k, day, price))
+        last[k] = price
+    rng.shuffle(rows)
+    write = watches.merge_history(str(tmp_path / "h"), ["k"], ["day"], "price")
+    make = lambda own: spark.createDataFrame(pd.DataFrame(own, columns=["k", "day", "price"]))
+    for batch in (0, 1, 2, 1):  # one comes twice, and batches overlap
+        write(make(rows[batch * 50 : batch * 50 + 60]), batch)
+    got = watches.current_history(spark, str(tmp_path / "h"), ["k"], ["day"], "price").collect()
+    assert sorted((r.k, r.day, r.price) for r in got) == want
+
+
+def test_upsert_takes_one_change_of_a_key_and_null_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(1, "c"), (1, "b"), (None, "m"), (3, "d")], "k int, v string")
+    assert {tuple(r) for r in merge.upsert(old, new, ["k"], [F.col("v")]).collect()} == {(1, "b"), (None, "m"), (3, "d")}
+
+
+def test_upper_median_is_that_of_sorted_values(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.choice([rng.uniform(-5, 5), 3.0, rng.uniform(0, 10**6)])) for g in range(8) for _ in range(rng.randint(1, 60))] + [(9, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: (r.m, r.m_of) for r in statistics.upper_medians(df, ["g"], "v", "m").collect()}
+    values = {g: sorted(v for h, v in rows if h == g) for g in range(8)}
+    assert got == {g: (v[len(v) // 2], len(v)) for g, v in values.items()}
+
+
+def test_size_chains_do_not_split_groups(spark):
+    rng = random.Random(3)
+    rows = [("b", i, round(rng.uniform(50, 200), 1), None, "", [f"w{rng.randint(0, 2)}"]) for i in range(120)]
+    groups, want = [], []
+    for _, i, total, _, _, words in rows:
+        hit = next((r for r, t, w in groups if abs(t - total) <= 0.03 * max(t, total) and w == words), None)
+        want.append(i if hit is None else hit)
+        if hit is None:
+            groups.append((i, total, words))
+    df = spark.createDataFrame(rows, "block string, ord int, total double, form string, brand string, words array<string>")
+    got = grouping.group_equivalents(df, ["block"], "ord")
+    first = got.groupBy("chain", "group_no").agg(F.min("ord").alias("first"))
+    assert [r["first"] for r in got.join(first, ["chain", "group_no"]).orderBy("ord").collect()] == want
+
+
+def test_first_match_goes_round_null_keys(spark):
+    left = spark.createDataFrame([(i, None if i % 3 else i, i % 4) for i in range(20)], "i int, a int, b int")
+    right = spark.createDataFrame([(3, 2, 30), (6, None, 60), (None, 2, 5), (6, 1, 7)], "x int, y int, r int")
+    got = {r.i: (r.r, r.matched_by) for r in resolve.first_match(left, right, [("a", "x"), ("b", "y")], "r", "r").collect()}
+    want = {}
+    for i in range(20):
+        one = {3: 30, 6: 7}.get(i) if i % 3 == 0 else None
+        two = {2: 5, 1: 7}.get(i % 4)
+        want[i] = (one, 1) if one else (two, 2) if two else (None, None)
+    assert got == want

@@ -1,13 +1,14 @@
 import pytest
 
-from pricewright.plans import oracles
-from pricewright.plans import queries as plans
+from pricewright import plans
 from tests.compare import assert_same, duck
 
+QUERIES, SQL = plans.registered()
 
-@pytest.mark.parametrize("name", sorted(oracles.SQL))
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, data, name):
-    assert_same(plans.QUERIES[name](spark, data), duck(data), oracles.SQL[name])
+    assert_same(QUERIES[name](spark, data), duck(data), SQL[name])
 
 
 def test_entry_has_rows(spark):

@@ -1,4 +1,4 @@
-"""Queries against brute force where their SQL covers a part of the job."""
+"""Queries against brute force."""
 
 import datetime as dt
 
