@@ -98,6 +98,12 @@ def expand_prefixes(formatted: DataFrame, targets=("assistant",)) -> DataFrame:
     )
 
 
+def target_text(turn: Column) -> Column:
+    """The text of one rendered turn, unescaped."""
+    body = turn.substr(F.lit(len(OPEN + HEAD) + 1), F.length(turn) - len(OPEN + HEAD) - len(END))
+    return unescape(body.substr(F.length(F.substring_index(body, ":", 1)) + 3, F.length(body)))
+
+
 def with_context(examples: DataFrame, formatted: DataFrame) -> DataFrame:
     """The examples with their contexts as text."""
     chars = F.col("context_chars").cast("int")
@@ -121,24 +127,30 @@ def op4(spark, sf_dir):
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(PROBE).alias("text"),
     )
-    turns = expand_prefixes(format_conversations(rows.unionByName(probe)))
+    formatted = format_conversations(rows.unionByName(probe))
+    turns = expand_prefixes(formatted)
+    example = F.struct("turn_no", F.col("context_chars").alias("start"), F.col("turn_chars").alias("chars"))
     ordered = turns.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"),
         F.array_sort(F.collect_list(F.struct("turn_no", "role", "text"))).alias("all"),
-        F.array_sort(F.collect_list(F.when(F.col("trainable"), F.struct("turn_no", "text")))).alias("replies"),
+        F.array_sort(F.collect_list(F.when(F.col("trainable"), example))).alias("examples"),
         F.sum("turn_chars").alias("formatted_chars"),
     )
     whole = F.array_join(
         F.transform("all", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )
-    loss = F.array_join(F.transform("replies", lambda t: t["text"]), "")
-    return ordered.select(
+    # what an example trains on is what follows its context in the rendering
+    cut = F.transform("examples", lambda e: target_text(F.col("formatted").substr((e["start"] + 1).cast("int"), e["chars"].cast("int"))))
+    found = ordered.join(formatted.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id"))).withColumn("loss", F.array_join(cut, ""))
+    return found.select(
         "conv_id",
         "n_turns",
         F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
+        F.size("examples").cast("long").alias("n_examples"),
+        F.aggregate("examples", F.lit(0).cast("long"), lambda n, e: n + e["start"]).alias("context_chars"),
     )
 
 
@@ -149,17 +161,20 @@ WITH rows AS (
   UNION ALL SELECT -7, 0, 'user', '{PROBE}'
   UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
 sized AS (
-  SELECT *,
+  SELECT *, row_number() OVER (ORDER BY conv_id, turn NULLS LAST, role, text) AS place,
     length(replace(replace(replace(replace(text, '\', '\\'), '<turn>', '<\turn>'), '</turn>', '<\/turn>'), '### ', '##\# '))
     + length(replace(replace(replace(replace(role, '%', '%25'), ':', '%3A'), '<', '%3C'), '#', '%23'))
     + {len(OPEN + HEAD + ": " + END)} AS chars
   FROM rows),
+placed AS (
+  SELECT *, coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized),
 joined AS (
-  SELECT conv_id, count(*) AS n_turns,
+  SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'assistant') AS n_examples,
+    CAST(coalesce(sum(before) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS context_chars,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS whole,
     coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
     CAST(sum(chars) AS BIGINT) AS formatted_chars
-  FROM sized GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+  FROM placed GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_examples, context_chars
 FROM joined
 """

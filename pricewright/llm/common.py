@@ -2,104 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from contextlib import contextmanager
-
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.resolve import spread_join  # noqa: F401
+from ..sources.store import _LEFT, discard, materialize, scratch_path, scratch_tables, sweep  # noqa: F401
+
 #: ASCII white space, and the words between: the contract's pattern [^\x20\x09-\x0D]+.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-#: Over so many parts the rows of one join key are spread.
-SALTS = 8
-
-#: Tables that ``materialize`` has written and nothing has discarded: path -> session.
-_LEFT: dict[str, SparkSession] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` where the cluster
-    names it, else the context's checkpoint folder. Where neither is set, a local
-    session gets a folder of its own, and a cluster one in the warehouse."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named and context.master.startswith("local["):
-        context.setCheckpointDir("/tmp/checkpoints")
-        named = context.getCheckpointDir()
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a scan of it.
-
-    It cuts the lineage durably: a lost executor costs a task, not the plan, and
-    Catalyst sees the written size when it chooses between join strategies. What is
-    not discarded before goes when the driver ends.
-    """
-    path = scratch_path(df.sparkSession, label)
-    _LEFT[path] = df.sparkSession
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and that nothing reads any more."""
-    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        _delete(df.sparkSession, path)
-        for known in [k for k in _LEFT if k.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]]:
-            del _LEFT[known]
-
-
-@contextmanager
-def scratch_tables():
-    """A list that, when the block ends, names the tables written in it and left."""
-    before, found = set(_LEFT), []
-    try:
-        yield found
-    finally:
-        found += [p for p in _LEFT if p not in before]
-
-
-def sweep(paths: list[str]) -> None:
-    """Delete the tables at these paths, if they are still there."""
-    for path in paths:
-        if spark := _LEFT.pop(path, None):
-            _delete(spark, path)
-    paths.clear()
-
-
-@atexit.register
-def _sweep_all() -> None:
-    try:
-        sweep(list(_LEFT))
-    except Exception:  # the session has ended before the driver
-        _LEFT.clear()
-
-
-def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join ``few``, which has a row or a fixed number of them for each key, to
-    ``many``, of whose rows any share may have one key: they are spread over ``SALTS``
-    parts, and each part has its own copy of the rows of ``few``."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    salted = many.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    return salted.join(few.select("*", salts), [*keys, "_salt"], how).drop("_salt")
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

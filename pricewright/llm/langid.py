@@ -21,8 +21,9 @@ from .common import shared
 BUCKET_BITS, ORDERS = 15, (1, 2, 3)
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
-#: The matrix has 128 kB a language; more languages than this are refused.
-MAX_LANGUAGES = 1000
+#: The matrix has 128 kB a language. A column with more values than this (ISO 639-3 has
+#: fewer than 8000 codes) is no language column and is refused; none is left out.
+MAX_LANGUAGES = 8000
 UNKNOWN = "und"
 #: Matrix entries gathered at once, which bounds a batch's memory.
 GATHERED = 1 << 21
@@ -79,10 +80,7 @@ class Model:
         if not scored or not self.languages:
             return names, scores
         grams, starts = _grams([texts[i] for i in scored])
-        gathered = self.log_probability[grams[0]]
-        for buckets in grams[1:]:
-            gathered += self.log_probability[buckets]
-        total = np.add.reduceat(gathered, starts, axis=0, dtype=np.float64) + self.log_prior
+        total = self._sums(grams, starts) + self.log_prior
         total -= total.max(axis=1, keepdims=True)
         best = total.argmax(axis=1)
         scores[scored] = 1.0 / np.exp(total).sum(axis=1)
@@ -91,6 +89,22 @@ class Model:
         return names, scores
 
 
+    def _sums(self, grams: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """Per text the sum of its n-grams' rows, gathered a slice of the texts' letters
+        at a time, so that a very long text needs no more memory than others."""
+        n, step = len(grams[0]), max(1, GATHERED // max(1, len(self.languages)))
+        total = np.zeros((len(starts), len(self.languages)))
+        for a in range(0, n, step):
+            b = min(n, a + step)
+            gathered = self.log_probability[grams[0][a:b]]
+            for buckets in grams[1:]:
+                gathered += self.log_probability[buckets[a:b]]
+            first = int(np.searchsorted(starts, a, side="right")) - 1
+            edges = np.maximum(starts[first : np.searchsorted(starts, b)], a) - a
+            total[first : first + len(edges)] += np.add.reduceat(gathered, edges, axis=0, dtype=np.float64)
+        return total
+
+
 def train(docs: DataFrame, smoothing: float = SMOOTHING) -> Model:
     """Learn from every row (text, lang) whose lang is not null. Texts that are
     null or have no letters teach nothing."""
@@ -122,12 +136,14 @@ def train(docs: DataFrame, smoothing: float = SMOOTHING) -> Model:
         .mapInArrow(count, "lang string, bucket int, n bigint")
     )
     table = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = sorted(r.lang for r in table.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    known = table.select("lang").distinct()
+    names = sorted(r.lang for r in known.limit(MAX_LANGUAGES + 1).collect())
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    numbered = docs.sparkSession.createDataFrame(list(enumerate(names)), "number int, lang string")
+    found = table.join(F.broadcast(numbered), "lang").select("number", "bucket", "n").toArrow()  # numbers only
     counts = np.zeros((BUCKETS + 1, len(names)))
-    found = table.toPandas()
-    counts[found["bucket"].to_numpy(np.int64), np.searchsorted(names, found["lang"].to_numpy(str)) if names else []] = found["n"]
+    counts[found["bucket"].to_numpy(), found["number"].to_numpy()] = found["n"].to_numpy()
     smooth = counts[:BUCKETS] + smoothing
     with np.errstate(divide="ignore"):
         prior = np.log(counts[BUCKETS] / max(counts[BUCKETS].sum(), 1))
@@ -135,13 +151,15 @@ def train(docs: DataFrame, smoothing: float = SMOOTHING) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Replace ``text`` by lang_pred and score; all other columns are kept.
+    """Replace ``text`` by lang_pred and score; all other columns are kept, but those
+    that have these names.
 
     Null text, or a text without letters: ``und``, 0. Texts of any length are scored
-    whole. Repeated rows: scored alike. Empty table: no rows.
+    whole. Null doc_id, repeated rows: scored alike. Empty table: no rows.
     """
     sent = shared(docs.sparkSession, model)
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
+    docs = docs.select("text", *[f.name for f in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
     limit = max(1, GATHERED // max(1, len(model.languages)))
 

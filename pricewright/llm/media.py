@@ -96,16 +96,21 @@ def _media_batches(batches: Iterable[pa.RecordBatch], name: str, store: bool, sc
 def read_media(files: DataFrame, column: str = "media") -> DataFrame:
     """Append the media features (images, width, height, thumbnail, thumbnail_hash)
     of a binary column of baseline JPEG. A null or unreadable file has null features.
+    Other columns are kept, but those that have the features' names.
     """
-    schema = T.StructType([*files.schema.fields, *FEATURES.fields])
+    kept = [f for f in files.schema.fields if f.name not in FEATURES.names or f.name == column]
+    files = files.select(*[f.name for f in kept])
+    schema = T.StructType([*kept, *FEATURES.fields])
     return files.mapInArrow(lambda b: _media_batches(b, column, False, schema), schema)
 
 
 def store_payloads(rows: DataFrame, column: str = "payload") -> DataFrame:
     """Replace a binary column by ``media``, the JPEG that stores it, and the
     features of that JPEG as read back from its bytes. The thumbnail is the payload
-    with bytes 0 up to a positive multiple of 64. Null counts as empty."""
-    kept = [f for f in rows.schema.fields if f.name != column]
+    with bytes 0 up to a positive multiple of 64. Null counts as empty. Other columns are
+    kept, but those that have the new ones' names."""
+    kept = [f for f in rows.schema.fields if f.name not in (column, "media", *FEATURES.names)]
+    rows = rows.select(column, *[f.name for f in kept])
     schema = T.StructType([*kept, T.StructField("media", T.BinaryType()), *FEATURES.fields])
     return rows.mapInArrow(lambda b: _media_batches(b, column, True, schema), schema)
 
