@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .columns import is_in, let, lookup, mapping
 from .lexicon import Lexicon
-from .text import ATTACHED, normalize, strip_article, words
+from .text import ATTACHED, strip_article, words
 
 
 def _at(ws: Column, i: Column) -> Column:
@@ -97,10 +97,3 @@ def produce_presence(text: Column, fam: Column, lexicon: Lexicon) -> Column:
         return let(roles, lambda r: F.when(F.array_contains(r, "product"), "product").when(F.array_contains(r, "flavored"), "flavored"))
 
     return let(words(text), of)
-
-
-def signals(text: Column, phrases: dict[str, str]) -> Column:
-    """Names of the phrases (in normalized form) that occur as whole words."""
-    padded = F.concat(F.lit(" "), normalize(text), F.lit(" "))
-    found = [F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(n)) for n, p in phrases.items()]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,10 +31,6 @@ def is_in(value: Column, values) -> Column:
     return F.coalesce(value.isin(*values), F.lit(False)) if values else F.lit(False)
 
 
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def first_where(cases: list[tuple[Column, Column]]) -> Column:
     """The value of the first case whose condition holds, else null."""
     out = F.when(*cases[0])

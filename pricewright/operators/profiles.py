@@ -14,7 +14,6 @@ from ..functions import matching
 from ..functions.lexicon import Lexicon
 from .lists import near_size
 from .merge import upsert
-from .resolve import spread_join
 
 #: Active watches of a profile and of all, reading positions kept, alerts
 #: and the least relevance of a candidate of a watch.
@@ -135,8 +134,3 @@ def identity_gate(pinned: Column, evidence: Column, strict: bool) -> Column:
     first = lambda a: F.get(a, F.lit(0))
     missing = F.concat(F.lit("abstain:" if strict else "unpinned:"), first(unknown))
     return F.when(F.size(conflict) > 0, F.concat(F.lit("conflict:"), first(conflict))).when(F.size(unknown) > 0, missing).otherwise("match")
-
-
-def with_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Rows of known profiles only, with what is kept of them."""
-    return spread_join(rows, profiles, ["profile_id"])

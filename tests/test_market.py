@@ -162,3 +162,21 @@ def test_pull_in_keeps_to_the_brand(spark):
     kept = spark.createDataFrame([(1, 1, "flyer", "p", "x"), (1, 9, "online", None, None)], "query_id int, ord int, source string, product_id string, brand_slug string")
     offers = spark.createDataFrame([(1, "p", "x", 3.0), (2, "p", "x", 4.0), (3, "p", "y", 1.0), (4, "p", None, 1.0), (5, "p", "x", None)], "ord int, product_id string, brand_slug string, price double")
     assert [r.ord for r in comparison.by_identity(kept, offers).collect()] == [2]
+
+
+def test_names_in_the_script_of_the_query(spark):
+    rows = [("milk", "Milk", "حليب"), ("حليب", "Milk", "حليب"), ("حليب", "Milk", " "), ("milk", None, "حليب"), ("milk", "", None)]
+    got = column(spark, rows, "q string, n string, a string", comparison.display_name(F.col("q"), F.col("n"), F.col("a")))
+    assert got == ["Milk", "حليب", "Milk", "حليب", None]
+
+
+def test_choices_are_filed_by_family_or_first_word(spark):
+    asked = spark.createDataFrame([(1, "fresh milk"), (2, "nadec"), (3, "")], "query_id int, query string")
+    rows = matching.with_query(asked, GROCERY).select("query_id", featured.learn_key(F.col("q")).alias("k")).orderBy("query_id").collect()
+    assert [r.k for r in rows] == ["f:milk", "t:nadec", None]
+
+
+def test_kinds_of_brochures(spark):
+    rows = [("link", "https://x"), ("link", ""), ("pdf", None), (None, None)]
+    got = column(spark, rows, "t string, u string", F.struct(brochures.is_external(F.col("t"), F.col("u")).alias("e"), brochures.is_pdf(F.col("t")).alias("p")))
+    assert [(g.e, g.p) for g in got] == [(True, False), (False, False), (False, True), (False, False)]
