@@ -432,7 +432,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         with scratch_tables() as inner:
             named = materialize(class_components(docs, classes), "jaccard-components")
         sweep([p for p in inner if "/jaccard-components-" not in p])
-    return classes.join(named, "fp", "left").select(
+    return spread_join(classes, named, ["fp"], "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),

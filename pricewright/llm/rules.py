@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD_PATTERN, materialize, spread_join, text_or_empty, words_of
+from .common import BLANKS, WORD_PATTERN, materialize, scratch_tables, spread_join, sweep, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -40,6 +40,9 @@ VECTOR = (
 )
 D = len(VECTOR)
 NAMES = [n for n, _, _ in VECTOR]
+#: The cells of a lower triangle, row by row, and the columns of an estimate.
+CELLS = [(i, j) for i in range(D) for j in range(i + 1)]
+ESTIMATE = [f"m{i}" for i in range(D)] + [f"k{i}_{j}" for i, j in CELLS]
 #: Share of rows in the MCD subset, and that of the rows that one of the starts takes.
 SUBSET, HALF = 0.75, 0.5
 #: Squared distance within which rows count for the reweighted estimate: the 97.5 %
@@ -51,7 +54,7 @@ INSIDE = 12.8325
 CONSISTENCY, HALF_CONSISTENCY, INSIDE_CONSISTENCY = 1.412, 1.912, 1.056
 #: C-steps of every start, and of the best one at most; it ends before that when the
 #: group's log determinant moves by no more than this.
-FIRST_STEPS, MORE_STEPS, STILL = 2, 8, 1e-3
+FIRST_STEPS, MORE_STEPS, STILL = 2, 8, 1e-2
 #: Squared Mahalanobis distance beyond which a row is an outlier: the quantile of
 #: chi-square with five degrees of freedom that 1.5 of 10 million clean rows exceed.
 CUTOFF = 40.0
@@ -175,62 +178,59 @@ def _middle_start(rows: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """Per key the mean, the whitening (inverse Cholesky factor) of the covariance
-    times ``factor`` and with the least variances, and its log determinant."""
+    """The estimate of each key's rows: their mean and covariance, whitened."""
     out = rows.groupBy(*keys).agg(
-        *[F.avg(n).alias(f"m{i}") for i, n in enumerate(NAMES)],
-        *[F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}_{j}") for i in range(D) for j in range(i + 1)],
+        *[F.expr(f"avg({n})").alias(f"m{i}") for i, n in enumerate(NAMES)],
+        *[F.expr(f"covar_pop({NAMES[i]}, {NAMES[j]})").alias(f"c{i}_{j}") for i, j in CELLS],
     )
-    # Cholesky, then its inverse, unrolled over columns of the small group table
-    for i in range(D):
-        for j in range(i + 1):
-            s = F.col(f"c{i}_{j}") * factor
-            if i == j:
-                s = s + VECTOR[i][2] ** 2
-            for k in range(j):
-                s = s - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(s) if i == j else s / F.col(f"l{j}_{j}"))
-    for i in range(D):
-        for j in range(i + 1):
-            if i == j:
-                v = 1.0 / F.col(f"l{i}_{i}")
-            else:
-                v = F.lit(0.0)
-                for k in range(j, i):
-                    v = v - F.col(f"l{i}_{k}") * F.col(f"k{k}_{j}")
-                v = v / F.col(f"l{i}_{i}")
-            out = out.withColumn(f"k{i}_{j}", v)
-    determinant = sum((2 * F.log(f"l{i}_{i}") for i in range(D)), F.lit(0.0))
-    return out.withColumn("log_det", determinant).select(*keys, *ESTIMATE, "log_det")
-
-
-#: The columns of an estimate.
-ESTIMATE = [f"m{i}" for i in range(D)] + [f"k{i}_{j}" for i in range(D) for j in range(i + 1)]
-
-
-def _distance() -> Column:
-    """The squared Mahalanobis distance of a row's vector under its row's estimate."""
-    total = F.lit(0.0)
-    for i in range(D):
-        z = F.lit(0.0)
-        for j in range(i + 1):
-            z = z + F.col(f"k{i}_{j}") * (F.col(NAMES[j]) - F.col(f"m{j}"))
-        total = total + z * z
-    return total
-
-
-def _bucket() -> Column:
-    return F.floor(F.log(_distance() + 1e-6) * 32).cast("long")
+    return _whitened(out, keys, factor)
+
+
+def _whitened(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """Means and covariances -> the mean, the whitening (inverse Cholesky factor) of the
+    covariance times ``factor`` and with the least variances, and its log determinant:
+    column by column of the factor, then diagonal by diagonal of its inverse. One SQL
+    text with a subquery for each level, so that Catalyst analyses it once."""
+    added = lambda terms: " + ".join(terms) or "0D"
+    levels = []
+    for j in range(D):
+        levels.append([f"sqrt(c{j}_{j} * {factor}D + {VECTOR[j][2] ** 2}D - ({added([f'l{j}_{k} * l{j}_{k}' for k in range(j)])})) AS l{j}_{j}"])
+        levels.append([f"(c{i}_{j} * {factor}D - ({added([f'l{i}_{k} * l{j}_{k}' for k in range(j)])})) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, D)])
+    levels.append([f"1D / l{i}_{i} AS k{i}_{i}" for i in range(D)])
+    for d in range(1, D):
+        levels.append([f"-({added([f'l{i}_{k} * k{k}_{i - d}' for k in range(i - d, i)])}) / l{i}_{i} AS k{i}_{i - d}" for i in range(d, D)])
+    levels.append([f"2D * ({added([f'ln(l{i}_{i})' for i in range(D)])}) AS log_det"])
+    query = "{moments}"
+    for cells in filter(None, levels):
+        query = f"(SELECT *, {', '.join(cells)} FROM {query})"
+    return moments.sparkSession.sql(f"SELECT {', '.join([*keys, *ESTIMATE, 'log_det'])} FROM {query}", moments=moments)
+
+
+#: The squared Mahalanobis distance of a row's vector under its row's estimate, and its
+#: bucket, as SQL.
+_TERMS = ["(" + " + ".join(f"k{i}_{j} * ({NAMES[j]} - m{j})" for j in range(i + 1)) + ")" for i in range(D)]
+DISTANCE = " + ".join(f"{t} * {t}" for t in _TERMS)
+BUCKET = f"cast(floor(ln({DISTANCE} + 1e-6D) * 32) AS bigint)"
 
 
 def _c_step(rows: DataFrame, estimate: DataFrame, share: float = SUBSET, factor: float = CONSISTENCY) -> DataFrame:
     """The estimate of the ``share`` of each group's rows nearest to its estimate; one
-    for each start ``s`` of a group."""
-    near = spread_join(rows, estimate, ["gid"]).select("gid", "s", _bucket().alias("bucket"))
-    edges = _quantile(near, ["gid", "s"], "bucket", {"edge": share})
-    bounded = materialize(estimate.join(edges, ["gid", "s"]), "mcd-limit")
-    subset = spread_join(rows, bounded, ["gid"]).filter(_bucket() <= F.col("edge"))
-    return materialize(_moments(subset, ["gid", "s"], factor), "mcd-estimate")
+    for each start ``s`` of a group. One pass over the rows sums their deviations by
+    bucket of distance, and the buckets up to the share are added up."""
+    deviation = [f"({n} - m{i})" for i, n in enumerate(NAMES)]
+    sums = {"n": "count(*)"} | {f"a{i}": f"sum({d})" for i, d in enumerate(deviation)}
+    sums |= {f"b{i}_{j}": f"sum({deviation[i]} * {deviation[j]})" for i, j in CELLS}
+    found = ", ".join(f"{v} AS {c}" for c, v in sums.items())
+    near = spread_join(rows, estimate, ["gid"])
+    parts = rows.sparkSession.sql(f"SELECT gid, s, {BUCKET} AS bucket, {found} FROM {{near}} GROUP BY ALL", near=near)
+    start = Window.partitionBy("gid", "s")
+    before = F.sum("n").over(start.orderBy("bucket")) - F.col("n")
+    parts = parts.withColumns({"_before": before, "_all": F.sum("n").over(start)}).filter(F.col("_before") < share * F.col("_all"))
+    near = parts.groupBy("gid", "s").agg(*[F.sum(c).alias(c) for c in sums])
+    near = near.join(estimate.select("gid", "s", *[F.col(f"m{i}").alias(f"o{i}") for i in range(D)]), ["gid", "s"])
+    mean = [f"o{i} + a{i} / n AS m{i}" for i in range(D)]
+    moments = near.selectExpr("gid", "s", *mean, *[f"b{i}_{j} / n - (a{i} / n) * (a{j} / n) AS c{i}_{j}" for i, j in CELLS])
+    return materialize(_whitened(moments, ["gid", "s"], factor), "mcd-estimate")
 
 
 def mcd_estimates(rows: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def mcd_estimates(rows: DataFrame) -> DataFrame:
     ended = []
     for _ in range(MORE_STEPS):
         after = _c_step(rows, best).join(best.select("gid", F.col("log_det").alias("before")), "gid")
-        after = after.withColumn("moves", F.abs(F.col("log_det") - F.col("before")) > STILL)
+        after = materialize(after.withColumn("moves", F.abs(F.col("log_det") - F.col("before")) > STILL), "mcd-moved")
         ended.append(after.filter("NOT moves").drop("before", "moves"))
         best = after.filter("moves").drop("before", "moves")
         if best.isEmpty():
@@ -257,7 +257,7 @@ def mcd_estimates(rows: DataFrame) -> DataFrame:
     for part in ended:
         best = best.unionByName(part)
     best = materialize(best, "mcd-ended")
-    inside = spread_join(rows, best, ["gid"]).filter(_distance() <= INSIDE)
+    inside = spread_join(rows, best, ["gid"]).filter(f"{DISTANCE} <= {INSIDE}D")
     return materialize(_moments(inside, ["gid"], INSIDE_CONSISTENCY), "mcd-final")
 
 
@@ -282,12 +282,14 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     passed = judged.filter(~F.col("base_failed")).select("lang_key", "source_key", *NAMES)
     groups = materialize(_groups(passed), "rules-groups")
     vectors = spread_join(passed, groups, ["lang_key", "source_key"]).select("gid", *NAMES)
-    estimates = mcd_estimates(materialize(vectors, "rules-vectors"))
-    sites = materialize(groups.join(estimates, "gid").select("lang_key", "source_key", *ESTIMATE), "rules-sites")
+    with scratch_tables() as inner:
+        estimates = mcd_estimates(materialize(vectors, "rules-vectors"))
+        sites = materialize(groups.join(estimates, "gid").select("lang_key", "source_key", *ESTIMATE), "rules-sites")
+    sweep([p for p in inner if "/rules-sites-" not in p])
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return (
         spread_join(judged, sites, ["lang_key", "source_key"], "left")
-        .select(*base, F.when(~F.col("base_failed"), _distance()).alias("d2"), *carried)
+        .select(*base, F.when(~F.col("base_failed"), F.expr(DISTANCE)).alias("d2"), *carried)
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF))
     )
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, shared
+from .common import materialize, shared, spread_join
 
 BITS_PER_KEY, PROBES = 10, 5
 #: Bits a level may have (128 MB); a longer list is refused, not truncated.
@@ -164,14 +164,14 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
     The longest fitting rule decides; without one, a host that is listed, or under a
     listed domain, is blocked and any other allowed. ``listed`` has a column ``key``
-    of domains in lower case. Null url, or one without ``://``: empty host and path,
+    of domains in lower case. Each host is looked up once. Null url, or one without ``://``: empty host and path,
     allowed unless a rule fits. Null page_id, repeated rows: judged like others.
     Empty table: no rows. Further columns of ``pages`` are ignored.
     """
     host, path = split_url(F.col("url").cast("string"))
     rows = materialize(pages.select("page_id", host.alias("host"), path.alias("path")), "url-rows")
     # distinct hosts first: a hot host is one row from here on
-    hosts = rows.select("host").distinct()
+    hosts = materialize(rows.select("host").distinct(), "url-hosts")
     universe = hosts.select(F.explode(host_suffixes(F.col("host"))).alias("key"))
     sent = shared(pages.sparkSession, build_cascade(universe, listed))
 
@@ -192,8 +192,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
         fits = _rule_fits(F.col("host"), F.col("path"), r)
         rule = F.when(fits, r[1] + r[2]).otherwise(rule)
         verdict = F.when(fits, r[0]).otherwise(verdict)
+    known = materialize(hosts.select("host", any_listed(hashes).alias("listed")), "url-known")
     return (
-        rows.withColumn("listed", any_listed(hashes))
+        spread_join(rows, known, ["host"])
         .withColumn("rule", rule)
         .withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
         .select("page_id", "host", "path", "rule", "listed", "verdict")
