@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import matching
 from ..functions.columns import let
 from ..functions.lexicon import Lexicon
+from ..sources.store import materialize
 from .resolve import spread_join
 
 
@@ -52,7 +53,8 @@ def query_keys(q: Column) -> Column:
 def candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
     """Queries (query_id, q) with the products (ord, it) of which name or brand has a
     word of theirs: the columns of both, a row per pair. A query without words has
-    none. Products that share a name are keyed once."""
+    none. The analyses are written to scratch, for they are read twice."""
+    items, queries = materialize(items, "search-items"), materialize(queries, "search-queries")
     asked = queries.select("query_id", F.explode(query_keys(F.col("q"))).alias("_key"))
     keyed = items.select("ord", F.explode(item_keys(F.col("it"))).alias("_key"))
     pairs = keyed.join(asked, "_key").select("query_id", "ord").distinct()
