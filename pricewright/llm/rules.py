@@ -215,8 +215,9 @@ BUCKET = f"cast(floor(ln({DISTANCE} + 1e-6D) * 32) AS bigint)"
 
 def _c_step(rows: DataFrame, estimate: DataFrame, share: float = SUBSET, factor: float = CONSISTENCY) -> DataFrame:
     """The estimate of the ``share`` of each group's rows nearest to its estimate; one
-    for each start ``s`` of a group. One pass over the rows sums their deviations by
-    bucket of distance, and the buckets up to the share are added up."""
+    for each start ``s`` of a group, with the log determinant of the one ``before``. One
+    pass over the rows sums their deviations by bucket of distance, and the buckets up to
+    the share are added up."""
     deviation = [f"({n} - m{i})" for i, n in enumerate(NAMES)]
     sums = {"n": "count(*)"} | {f"a{i}": f"sum({d})" for i, d in enumerate(deviation)}
     sums |= {f"b{i}_{j}": f"sum({deviation[i]} * {deviation[j]})" for i, j in CELLS}
@@ -224,13 +225,14 @@ def _c_step(rows: DataFrame, estimate: DataFrame, share: float = SUBSET, factor:
     near = spread_join(rows, estimate, ["gid"])
     parts = rows.sparkSession.sql(f"SELECT gid, s, {BUCKET} AS bucket, {found} FROM {{near}} GROUP BY ALL", near=near)
     start = Window.partitionBy("gid", "s")
-    before = F.sum("n").over(start.orderBy("bucket")) - F.col("n")
-    parts = parts.withColumns({"_before": before, "_all": F.sum("n").over(start)}).filter(F.col("_before") < share * F.col("_all"))
+    upto = F.sum("n").over(start.orderBy("bucket")) - F.col("n")
+    parts = parts.withColumns({"_before": upto, "_all": F.sum("n").over(start)}).filter(F.col("_before") < share * F.col("_all"))
     near = parts.groupBy("gid", "s").agg(*[F.sum(c).alias(c) for c in sums])
-    near = near.join(estimate.select("gid", "s", *[F.col(f"m{i}").alias(f"o{i}") for i in range(D)]), ["gid", "s"])
+    before = F.col("log_det") if "log_det" in estimate.columns else F.lit(None).cast("double")
+    near = near.join(estimate.select("gid", "s", before.alias("before"), *[F.col(f"m{i}").alias(f"o{i}") for i in range(D)]), ["gid", "s"])
     mean = [f"o{i} + a{i} / n AS m{i}" for i in range(D)]
-    moments = near.selectExpr("gid", "s", *mean, *[f"b{i}_{j} / n - (a{i} / n) * (a{j} / n) AS c{i}_{j}" for i, j in CELLS])
-    return materialize(_whitened(moments, ["gid", "s"], factor), "mcd-estimate")
+    moments = near.selectExpr("gid", "s", "before", *mean, *[f"b{i}_{j} / n - (a{i} / n) * (a{j} / n) AS c{i}_{j}" for i, j in CELLS])
+    return materialize(_whitened(moments, ["gid", "s", "before"], factor), "mcd-estimate")
 
 
 def mcd_estimates(rows: DataFrame) -> DataFrame:
@@ -248,10 +250,10 @@ def mcd_estimates(rows: DataFrame) -> DataFrame:
     best = materialize(estimate.groupBy("gid").agg(least).select("gid", *[f"_best.{c}" for c in columns]), "mcd-best")
     ended = []
     for _ in range(MORE_STEPS):
-        after = _c_step(rows, best).join(best.select("gid", F.col("log_det").alias("before")), "gid")
-        after = materialize(after.withColumn("moves", F.abs(F.col("log_det") - F.col("before")) > STILL), "mcd-moved")
-        ended.append(after.filter("NOT moves").drop("before", "moves"))
-        best = after.filter("moves").drop("before", "moves")
+        after = _c_step(rows, best)
+        moves = F.abs(F.col("log_det") - F.col("before")) > STILL
+        ended.append(after.filter(~moves).drop("before"))
+        best = after.filter(moves).drop("before")
         if best.isEmpty():
             break
     for part in ended:
