@@ -38,3 +38,35 @@ def shared(spark: SparkSession, value):
     pickled with its class's code, so executors need not have this package."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(sent.value)
+
+
+#: What separates word characters once A-Z are lower: the contract's [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
+GAP_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def alphanumeric_words(text: Column) -> Column:
+    """The runs of ASCII letters, digits and non-ASCII characters of a text, A-Z
+    lowered and nothing else, in order; none for a null text."""
+    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
+    return F.array_remove(F.split(lowered, GAP_CLASS + "+"), "")
+
+
+def long_array(values) -> Column:
+    """An array<bigint> constant. The optimizer folds it into one literal; as one
+    string it reaches the JVM in one call."""
+    return F.expr(f"CAST(split('{','.join(map(str, values))}', ',') AS ARRAY<BIGINT>)")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a string's UTF-8 bytes, which has no
+    function there: half a byte a step, the low half first."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    digit = f"substr(hex(encode({text})), CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END, 1)"
+    halves = f"list_transform(range(length(hex(encode({text})))), lambda i: CAST(instr('0123456789ABCDEF', {digit}) - 1 AS BIGINT))"
+    step = f"lambda c, h: xor(c >> 4, CAST({table} AS BIGINT[])[(xor(c, h) & 15) + 1])"
+    return f"xor(list_reduce({halves}, {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
