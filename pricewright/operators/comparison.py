@@ -125,7 +125,7 @@ def lexical_equivalents(pool: DataFrame) -> DataFrame:
         F.coalesce("brand", F.lit("")).alias("brand"), text.words(F.col("name")).alias("words"), "store", "seq", "head",
     )
     numbered = grouping.group_equivalents(rows, ["query_id", "unit"], "ord")
-    groups = rows.join(numbered, ["query_id", "unit", "ord"]).groupBy("query_id", "unit", "chain", "group_no").agg(
+    groups = rows.join(numbered, ["query_id", "unit", "ord"]).groupBy("query_id", "unit", "leader").agg(
         F.count_distinct("store").alias("stores"), F.max(F.col("seq") == F.col("head.seq")).alias("has_head"), F.min("seq").alias("first")
     )
     order = F.struct((~F.col("has_head")).alias("h"), (-F.col("stores")).alias("s"), "first")

@@ -1,87 +1,88 @@
 """Equivalence of listings.
 
-Greedy grouping depends on order and compares with each group's first member only,
-so it is a fold over an ordered array. Its blocks must be small: a store and price, or
-products of one unit whose sizes form a chain (``size_chains``).
+Greedy grouping depends on order and compares with each group's first member only, so
+its groups are those of the first independent set in order (``overlap.leaders``). Equal
+listings are one node; pairs come from a prefix filter over their words, or, where
+brands decide, from classes of size, form and brand.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.size import TOLERANCE
+from ..functions.size import TOLERANCE, within
 from ..functions.text import jaccard
+from ..sources.store import materialize
+from . import overlap
 from .resolve import spread_join
 
 DUPLICATE = 0.7
 NAME_OVERLAP = 0.6
 
 
-def _fold(items: Column, alike, kind: str) -> Column:
-    """Each item's group number: that of the first group whose representative is
-    ``alike``, else a new one. ``items``: ordered array of ``kind`` structs."""
-    start = F.struct(
-        F.array().cast(f"array<{kind}>").alias("reps"), F.array().cast("array<int>").alias("groups")
-    )
-
-    def step(acc, item):
-        hits = F.filter(F.transform(acc["reps"], lambda r, i: F.when(alike(r, item), i)), lambda i: i.isNotNull())
-        found = F.get(hits, F.lit(0))
-        return F.struct(
-            F.when(found.isNull(), F.concat(acc["reps"], F.array(item))).otherwise(acc["reps"]).alias("reps"),
-            F.concat(acc["groups"], F.array(F.coalesce(found, F.size(acc["reps"])))).alias("groups"),
-        )
-
-    return F.aggregate(items, start, step, lambda acc: acc["groups"])
-
-
-def _grouped(rows: DataFrame, per: list[str], ord_: str, columns: list[str], alike) -> DataFrame:
-    item = F.struct(F.col(ord_).alias("ord"), *columns)
-    held = rows.groupBy(*per).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    kind = held.schema["_items"].dataType.elementType.simpleString()
-    held = held.withColumn("_groups", _fold(F.col("_items"), alike, kind))
-    pairs = held.select(*per, F.explode(F.arrays_zip("_items", "_groups")).alias("_p"))
-    return pairs.select(*per, F.col("_p._items.ord").alias(ord_), F.col("_p._groups").alias("group_no"))
+def _profiles(rows: DataFrame, columns: list[str], ord_: str, label: str) -> DataFrame:
+    """Distinct ``columns`` with the first ``ord_`` of each, as ``node``: a struct that
+    the first column (a struct of the block) and ``ord_`` make unique and orderable."""
+    first = rows.groupBy(*columns).agg(F.min(ord_).alias("ord"))
+    return materialize(first.withColumn("node", F.struct(F.col(columns[0]).alias("block"), "ord")), label)
 
 
 def dedupe_listings(rows: DataFrame, per: list[str], ord_: str, words: str, share: float = DUPLICATE) -> DataFrame:
     """Listings left after dropping those whose words overlap an earlier kept one's
-    of the same ``per`` (store and price) by ``share`` or more (Jaccard)."""
-    alike = lambda a, b: F.coalesce(jaccard(a[words], b[words]) >= share, F.lit(False))
-    groups = _grouped(rows.withColumn(words, F.array_distinct(words)), per, ord_, [words], alike)
-    first = groups.groupBy(*per, "group_no").agg(F.min(ord_).alias(ord_))
-    return first.select(*per, ord_)
-
-
-def size_chains(rows: DataFrame, block: list[str], total: str = "total") -> DataFrame:
-    """+ ``chain``: sizes of a block in ascending order, a new chain wherever the step
-    is more than the tolerance. Two sizes within it of one another are in one chain, so
-    groups never cross chains, and a block can be folded chain by chain."""
-    sizes = rows.select(*block, total).distinct()
-    order = Window.partitionBy(*block).orderBy(total)
-    before = F.lag(total).over(order)
-    apart = before.isNull() | (F.col(total) - before > TOLERANCE * F.col(total))
-    chained = sizes.withColumn("chain", F.sum(apart.cast("int")).over(order))
-    return spread_join(rows.withColumn("_t", F.col(total)), chained.withColumnRenamed(total, "_t"), [*block, "_t"], "left").drop("_t")
+    of the same ``per`` (store and price; nulls are equal) by ``share`` or more
+    (Jaccard). ``ord_`` is unique within ``per``. Listings without words stay."""
+    box = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(per)])
+    rows = rows.select(box.alias("block"), F.array_sort(F.array_distinct(F.array_compact(words))).alias("words"), F.col(ord_).alias("ord"))
+    bare = F.coalesce(F.size("words"), F.lit(0)) <= 0
+    nodes = _profiles(rows.filter(~bare), ["block", "words"], "ord", "dedupe-nodes")
+    pairs = overlap.alike_pairs(overlap.rare_first(nodes, "node", "words", per=["block"]), "node", share, ["block"])
+    pairs = pairs.filter(jaccard(F.col("a.words"), F.col("b.words")) >= share).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    led = overlap.leaders(nodes.select("node", F.lit(None).cast("string").alias("cls")), pairs)
+    kept = led.filter("node = leader").select("node.block", "node.ord").union(rows.filter(bare).select("block", "ord"))
+    return kept.select(*[F.col("block")[f"k{i}"].alias(c) for i, c in enumerate(per)], F.col("ord").alias(ord_))
 
 
 def group_equivalents(rows: DataFrame, block: list[str], ord_: str) -> DataFrame:
     """Groups of the same product within a block (a unit): sizes within 3%, forms
     not in conflict, brands equal, or without brands names that overlap by 0.6.
-    ``rows``: total, form, brand, words. Returns block, chain, ord, group_no; groups
-    are numbered within a chain of sizes."""
-
-    def alike(a, b):
-        high, low = F.greatest(a["total"], b["total"]), F.least(a["total"], b["total"])
-        size = (high > 0) & (high - low <= TOLERANCE * high)
-        form = a["form"].isNull() | b["form"].isNull() | (a["form"] == b["form"])
-        branded = (F.length(a["brand"]) > 0) & (F.length(b["brand"]) > 0)
-        most = F.greatest(F.size(a["words"]), F.size(b["words"]))
-        names = (most > 0) & (F.size(F.array_intersect(a["words"], b["words"])) >= NAME_OVERLAP * most)
-        return F.coalesce(size & form & F.when(branded, a["brand"] == b["brand"]).otherwise(names), F.lit(False))
-
-    return _grouped(size_chains(rows, block), [*block, "chain"], ord_, ["total", "form", "brand", "words"], alike)
+    ``rows``: total, form, brand, words; ``ord_`` is unique within a block. Returns
+    block, ord, leader: the ``ord_`` of its group's first member. Rows that are like
+    nothing, for want of a size or of words, are groups of their own."""
+    box = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(block)])
+    rows = materialize(
+        rows.select(
+            box.alias("block"), F.col(ord_).alias("ord"), F.col("total").cast("double").alias("total"), "form",
+            F.coalesce("brand", F.lit("")).alias("brand"), F.array_sort(F.array_distinct(F.array_compact(F.coalesce("words", F.array().cast("array<string>"))))).alias("words"),
+        ),
+        "group-rows",
+    )
+    same = ["block", "total", "form", "brand", "words"]
+    can = F.coalesce(F.col("total") > 0, F.lit(False)) & ((F.col("brand") != "") | (F.size("words") > 0))
+    nodes = _profiles(rows.filter(can), same, "ord", "group-nodes")
+    bucket = F.floor(F.log("total") / F.lit(-1.000001 * math.log(1 - TOLERANCE)))
+    fits = lambda a, b: within(a["total"], b["total"]) & F.coalesce(a["form"] == b["form"], F.lit(True))
+    pairs = overlap.alike_pairs(overlap.rare_first(nodes, "node", "words", per=["block"]), "node", NAME_OVERLAP, ["block"], bucket)
+    a, b = F.col("a"), F.col("b")
+    bare = (a["brand"] == "") | (b["brand"] == "")
+    pairs = pairs.filter(bare & fits(a, b)).select(a["node"].alias("a"), b["node"].alias("b"))
+    kind = F.struct("block", "total", "form", "brand")
+    nodes_of = nodes.select("node", F.when(F.col("brand") != "", kind).alias("cls"))
+    kinds = nodes.filter("brand <> ''").select("block", "brand", kind.alias("cls"), bucket.alias("_near")).distinct()
+    wide = kinds.select("block", "brand", F.col("cls").alias("c"), F.explode(F.array(F.col("_near") - 1, F.col("_near"), F.col("_near") + 1)).alias("_near"))
+    classes = wide.join(kinds.withColumnRenamed("cls", "d"), ["block", "brand", "_near"]).filter(fits(F.col("c"), F.col("d"))).select("c", "d")
+    led = overlap.leaders(nodes_of, pairs, classes)
+    known = nodes.join(led, "node").select(*[F.col(c).alias(f"_{c}") for c in same], F.col("leader.ord").alias("leader"))
+    every = rows.withColumn("_key", F.xxhash64(*same))
+    known = known.withColumn("_key", F.xxhash64(*[f"_{c}" for c in same]))
+    equal = F.lit(True)
+    for c in same:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = spread_join(every.filter(can), known, ["_key"]).filter(equal)
+    out = found.select("block", "ord", "leader").union(rows.filter(~can).select("block", "ord", F.col("ord").alias("leader")))
+    return out.select(*[F.col("block")[f"k{i}"].alias(c) for i, c in enumerate(block)], F.col("ord").alias(ord_), "leader")
 
 
 def canonical_groups(rows: DataFrame, product: str, brand: str, store: str, per: str | None = None, head: str | None = None) -> DataFrame:

@@ -1,24 +1,24 @@
 """A product registry: sightings are matched into products by tolerance.
 
 Products: product_id, tokens (distinctive words), brand, unit, total, state, last_seen.
-Sightings: sighting_id, tokens, brand, unit, total, store, week. Sightings and products
-meet by a shared distinctive token, rarest first; how much of the smaller token set the
-two share decides, a different size vetoes, a different brand counts against.
+Sightings: sighting_id, tokens, brand, unit, total, store, week. How much of the smaller
+token set the two share decides, a different size vetoes, a different brand counts
+against; an exact prefix filter finds all pairs that share enough.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.size import within
+from ..sources.store import materialize
+from . import overlap
 from .resolve import spread_join
 
 #: The bands of the score, what another brand costs, the weeks until a
 #: product sleeps, and the bar for merging two.
 ATTACH, REVIEW, BRAND_PENALTY, DORMANT_WEEKS, MERGE = 0.6, 0.45, 0.25, 6, 0.85
-#: Tokens of a set that block: its rarest ones.
-BLOCKING = 3
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -37,48 +37,49 @@ def brand_conflicts(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & (a != b), F.lit(False))
 
 
-def _blocked(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """key, token for the ``BLOCKING`` rarest tokens of each row."""
-    tokens = rows.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
-    rated = spread_join(tokens, counts, ["token"])
-    order = Window.partitionBy(key).orderBy("n", "token")
-    return rated.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= BLOCKING).select(key, "token")
-
-
-def scored_pairs(sightings: DataFrame, products: DataFrame) -> DataFrame:
-    """sighting_id, product_id, score for pairs that share a rare token of the products'
-    and whose sizes do not differ. Dormant products take part."""
-    counts = products.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    pairs = _blocked(products, "product_id", counts).join(_blocked(sightings, "sighting_id", counts), "token").select("sighting_id", "product_id").distinct()
-    p = products.select("product_id", *[F.col(c).alias(f"p_{c}") for c in ("tokens", "brand", "unit", "total")])
-    both = pairs.join(sightings, "sighting_id").join(p, "product_id")
-    both = both.filter(~size_differs(F.col("unit"), F.col("total"), F.col("p_unit"), F.col("p_total")))
-    penalty = F.when(brand_conflicts(F.coalesce("brand", F.lit("")), F.coalesce("p_brand", F.lit(""))), BRAND_PENALTY).otherwise(0.0)
-    return both.select("sighting_id", "product_id", (containment(F.col("tokens"), F.col("p_tokens")) - penalty).alias("score"))
+def scored_pairs(sightings: DataFrame, products: DataFrame, share: float = REVIEW) -> DataFrame:
+    """sighting_id, product_id, score for all pairs of which one shares ``share`` of the
+    smaller token set with the other, and whose sizes do not differ. Dormant products
+    take part. No pair is lost: they come from ``overlap.contained_pairs``."""
+    counts = overlap.word_counts(products, "tokens")
+    pairs = overlap.contained_pairs(overlap.rare_first(sightings, "sighting_id", "tokens", counts), overlap.rare_first(products, "product_id", "tokens", counts), share)
+    a, b = F.col("a"), F.col("b")
+    pairs = pairs.filter(~size_differs(a["unit"], a["total"], b["unit"], b["total"]))
+    penalty = F.when(brand_conflicts(F.coalesce(a["brand"], F.lit("")), F.coalesce(b["brand"], F.lit(""))), BRAND_PENALTY).otherwise(0.0)
+    return pairs.select(a["sighting_id"].alias("sighting_id"), b["product_id"].alias("product_id"), (containment(a["ordered"], b["ordered"]) - penalty).alias("score"))
 
 
 def resolve_sightings(sightings: DataFrame, products: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per sighting: product_id, score, band. ``attach`` and ``review`` bind to the best
     product (of equals the one that the sighting had before, ``known``, then the least
-    id); ``create`` has none. Sightings without tokens are ``create``."""
-    pairs = scored_pairs(sightings, products)
-    held = F.lit(False)
+    id); ``create`` has none. Sightings without tokens are ``create``. Sightings that
+    are alike in tokens, brand and size are scored once."""
+    kind = F.struct(F.array_sort(F.array_distinct("tokens")).alias("tokens"), F.coalesce("brand", F.lit("")).alias("brand"), "unit", "total")
+    seen = sightings.select("sighting_id", kind.alias("_kind"))
+    kinds = seen.select("_kind").distinct().select(F.col("_kind").alias("sighting_id"), "_kind.*")
+    pairs = scored_pairs(kinds, products).withColumnRenamed("sighting_id", "_kind")
+    pairs = pairs if known is None else materialize(pairs, "registry-pairs")
+    order = F.struct((-F.col("score")).alias("s"), "product_id")
+    best = pairs.groupBy("_kind").agg(F.min_by(F.struct("product_id", "score"), order).alias("b"))
+    rows = spread_join(seen, best, ["_kind"], "left").select("sighting_id", "_kind", "b.*")
     if known is not None:
-        pairs = pairs.join(known.select("sighting_id", F.col("product_id").alias("_held")), "sighting_id", "left")
-        held = F.coalesce(F.col("_held") == F.col("product_id"), F.lit(False))
-    best = pairs.groupBy("sighting_id").agg(F.max_by(F.struct("product_id", "score"), F.struct("score", held.alias("h"), (-F.xxhash64("product_id")).alias("tie"))).alias("b"))
-    rows = sightings.select("sighting_id").join(best, "sighting_id", "left")
-    band = F.when(F.col("b.score") >= ATTACH, "attach").when(F.col("b.score") >= REVIEW, "review").otherwise("create")
+        held = known.select("sighting_id", F.col("product_id").alias("_held")).filter("_held IS NOT NULL").dropDuplicates(["sighting_id"])
+        rows = rows.join(held, "sighting_id", "left")
+        again = pairs.select("_kind", F.col("product_id").alias("_held"), F.col("score").alias("_score"))
+        rows = spread_join(rows, again, ["_kind", "_held"], "left")
+        rows = rows.withColumn("product_id", F.when(F.col("_score") == F.col("score"), F.col("_held")).otherwise(F.col("product_id")))
+    band = F.when(F.col("score") >= ATTACH, "attach").when(F.col("score") >= REVIEW, "review").otherwise("create")
     rows = rows.withColumn("band", band)
     bound = F.col("band") != "create"
-    return rows.select("sighting_id", F.when(bound, F.col("b.product_id")).alias("product_id"), F.when(bound, F.col("b.score")).alias("score"), "band")
+    return rows.select("sighting_id", F.when(bound, F.col("product_id")).alias("product_id"), F.when(bound, F.col("score")).alias("score"), "band")
 
 
 def taught(products: DataFrame, sightings: DataFrame, resolved: DataFrame) -> DataFrame:
     """Products with the tokens of the sightings attached to them; those in review
     teach nothing. A dormant product that is seen again is active."""
     own = resolved.filter("band = 'attach'").join(sightings.select("sighting_id", "tokens", "week"), "sighting_id")
-    words = own.groupBy("product_id").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("_new"), F.max("week").alias("_week"))
+    each = own.select("product_id", "week", F.explode_outer("tokens").alias("token")).groupBy("product_id", "token").agg(F.max("week").alias("week"))
+    words = each.groupBy("product_id").agg(F.collect_list("token").alias("_new"), F.max("week").alias("_week"))
     rows = products.join(words, "product_id", "left")
     seen = F.col("_week").isNotNull()
     return rows.withColumns(
@@ -99,21 +100,25 @@ def put_to_sleep(products: DataFrame, today: Column) -> DataFrame:
 def merge_targets(products: DataFrame, stores: DataFrame) -> DataFrame:
     """product_id, merged_into: products that are another's double. The bar is above
     that for a sighting, brands must not conflict, and the two have a store in common
-    (stores: product_id, store) or the same known size. The least id survives, and a
-    product that is merged is no other's survivor, so a step leads to the end."""
-    one = products.select(F.col("product_id").alias("sighting_id"), "tokens", "brand", "unit", "total")
-    pairs = scored_pairs(one, products).filter((F.col("product_id") < F.col("sighting_id")) & (F.col("score") >= MERGE))
-    a = products.select("product_id", *[F.col(c).alias(f"a_{c}") for c in ("brand", "unit", "total")])
-    b = one.select("sighting_id", *[F.col(c).alias(f"b_{c}") for c in ("brand", "unit", "total")])
-    rows = pairs.join(a, "product_id").join(b, "sighting_id")
-    rows = rows.filter(~brand_conflicts(F.coalesce("a_brand", F.lit("")), F.coalesce("b_brand", F.lit(""))))
-    held = stores.groupBy("product_id").agg(F.collect_set("store").alias("s"))
-    rows = rows.join(held.withColumnRenamed("s", "sa"), "product_id", "left")
-    rows = rows.join(held.select(F.col("product_id").alias("sighting_id"), F.col("s").alias("sb")), "sighting_id", "left")
-    same_size = F.coalesce((F.col("a_unit") == F.col("b_unit")) & within(F.col("a_total"), F.col("b_total")), F.lit(False))
-    rows = rows.filter(F.coalesce(F.arrays_overlap("sa", "sb"), F.lit(False)) | same_size)
-    merged = rows.groupBy(F.col("sighting_id").alias("product_id")).agg(F.min("product_id").alias("merged_into"))
-    return merged.join(merged.select(F.col("product_id").alias("merged_into")), "merged_into", "left_anti").select("product_id", "merged_into")
+    (stores: product_id, store) or the same known size. Products are taken by id: one
+    merges into the first survivor before it that is its double, or else survives. So
+    every step leads to a survivor, and a second run has nothing to merge. Products that
+    are alike in all of this are one node of the rounds that find the survivors."""
+    held = stores.filter("store IS NOT NULL").groupBy("product_id").agg(F.array_sort(F.collect_set("store")).alias("stores"))
+    kind = F.struct(F.array_sort(F.array_distinct("tokens")).alias("tokens"), F.coalesce("brand", F.lit("")).alias("brand"), "unit", "total", "stores")
+    sized = F.col("unit").isNotNull() & F.coalesce(F.col("total") >= 0, F.lit(False))
+    rows = products.select("product_id", "tokens", "brand", "unit", "total").join(held, "product_id", "left")
+    rows = materialize(rows.filter((F.size("tokens") > 0) & (F.col("stores").isNotNull() | sized)).select("product_id", kind.alias("kind")), "merge-rows")
+    nodes = materialize(rows.groupBy("kind").agg(F.min("product_id").alias("node")), "merge-nodes")
+    ordered = overlap.rare_first(nodes.select("node", "kind.*"), "node", "tokens")
+    pairs = overlap.contained_pairs(ordered, ordered, MERGE)
+    a, b = F.col("a"), F.col("b")
+    same_size = F.coalesce((a["unit"] == b["unit"]) & within(a["total"], b["total"]), F.lit(False))
+    pairs = pairs.filter((a["node"] < b["node"]) & ~brand_conflicts(a["brand"], b["brand"]) & ~size_differs(a["unit"], a["total"], b["unit"], b["total"]))
+    pairs = pairs.filter(F.coalesce(F.arrays_overlap(a["stores"], b["stores"]), F.lit(False)) | same_size)
+    led = overlap.leaders(nodes.select("node", F.lit(None).cast("string").alias("cls")), pairs.select(a["node"].alias("a"), b["node"].alias("b")))
+    survivors = nodes.join(led, "node").select("kind", F.col("leader").alias("merged_into"))
+    return spread_join(rows, survivors, ["kind"]).filter("product_id <> merged_into").select("product_id", "merged_into")
 
 
 def current_ids(ids: DataFrame, merged: DataFrame, column: str = "product_id") -> DataFrame:
@@ -148,17 +153,6 @@ def with_enrichment(offers: DataFrame, enriched: DataFrame, columns: list[str])
     return rows.withColumn("enriched", F.coalesce("_have", F.lit(False))).drop("_have", *[f"_{c}" for c in columns])
 
 
-def shelf_phrase(words: Column, phrases: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Per row the phrase of a dictionary (phrase, meaning) that its words contain: the
-    longest, of equals the one furthest right. ``words`` are a column of ``rows``."""
-    most = 4
-    spans = F.flatten(F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(
-        F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)), lambda i: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("phrase"), n.alias("n"), i.alias("i")))), lambda a: a.isNotNull()))
-    found = rows.select(key, F.explode(spans).alias("s")).select(key, "s.*")
-    found = spread_join(found, phrases.select("phrase", "meaning").dropDuplicates(["phrase"]), ["phrase"])
-    return found.groupBy(key).agg(F.max_by(F.struct("phrase", "meaning", "n", "i"), F.struct("n", "i")).alias("head")).select(key, "head.*")
-
-
 def arabic_name(category: Column, descriptors: Column, flavour: Column, brand: Column, size: Column, words: dict[str, str]) -> Column:
     """An Arabic name from the parts of a Latin one: category, descriptors, flavour,
     brand, size. Parts without a translation are left out, the brand stays; null if the
@@ -176,20 +170,6 @@ def counted_in_arabic(n: Column, one: str, two: str, few: str, many: str) -> Col
     return F.when(n == 1, one).when(n == 2, two).when(n.between(3, 10), counted(few)).otherwise(counted(many))
 
 
-def branded(rows: DataFrame, words: str, brands: DataFrame, department: str) -> DataFrame:
-    """+ brand: the first word of a row that is a brand allowed in its department and not
-    beside a word that bars it. ``brands``: word, brand, departments (null: all),
-    barred (neighbours, null: none). Words must match whole."""
-    spread = rows.select("*", F.posexplode_outer(words).alias("_i", "word"))
-    beside = lambda k: F.get(F.col(words), F.greatest(F.col("_i") + k, F.lit(0)))
-    near = F.array_compact(F.array(F.when(F.col("_i") > 0, beside(-1)), beside(1)))
-    found = spread_join(spread.withColumn("_near", near), brands, ["word"], "left")
-    fits = F.col("brand").isNotNull() & (F.col("departments").isNull() | F.array_contains("departments", F.col(department)))
-    fits = fits & ~F.coalesce(F.arrays_overlap("_near", "barred"), F.lit(False))
-    first = F.min(F.when(F.coalesce(fits, F.lit(False)), F.struct("_i", "brand")))
-    return found.groupBy(*rows.columns).agg(first["brand"].alias("brand"))
-
-
 def produce_shelf(text: Column, shelf: Column, moved: dict[str, tuple[list[str], list[str]]]) -> Column:
     """The shelf of a product, moved where its text has one of the markers and none of
     the guards: shelf -> (new shelf as the key's value). Null text moves nothing."""

@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Over so many parts the rows of one join key are spread.
-SALTS = 8
+#: Over how many parts the rows of one join key are spread: a share of the session's
+#: shuffle partitions, within bounds, for each part has its own copy of the small side.
+SALT_SHARE, LEAST_SALTS, MOST_SALTS = 8, 8, 64
 
 
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join ``few``, which has a row or a fixed number of them for each key, to ``many``,
     of whose rows any share may have one key. Catalyst broadcasts ``few`` where it is
-    small; otherwise the rows of a key lie in ``SALTS`` parts, each with its own copy of
-    the rows of ``few``. Rows with a null key match nothing; where the join keeps them
-    they are spread by a hash of their values."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    small; otherwise a row's part comes from a hash of its values and of the part it lies
+    in, so rows of one key are spread whether they differ or are repeated, and a task
+    that runs again deals as before. What is still large in a part, Spark's skew join
+    splits. Rows with a null key match nothing; where the join keeps them they are spread
+    by the same hash."""
+    parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = max(LEAST_SALTS, min(MOST_SALTS, parts // SALT_SHARE))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_salt")
+    plain = [c for c, kind in many.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
+    dealt = F.xxhash64(F.spark_partition_id(), *plain)
+    salt = F.pmod(dealt, F.lit(n)).cast("int")
     if how != "inner":
-        plain = [c for c, kind in many.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
         some_null = F.lit(False)
         for k in keys:
             some_null = some_null | F.col(k).isNull()
-        salt = F.when(some_null, F.pmod(F.hash(*plain), F.lit(1 << 16)) + SALTS).otherwise(salt)
+        salt = F.when(some_null, (F.pmod(dealt, F.lit(1 << 16)) + n).cast("int")).otherwise(salt)
     return many.withColumn("_salt", salt).join(few.select("*", salts), [*keys, "_salt"], how).drop("_salt")
 
 
@@ -45,7 +53,7 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
     """Pairs with equal keys and positive amounts that differ by at most ``share`` of
     the larger. Amounts fall into logarithmic buckets one tolerance wide, so only
     neighbouring buckets meet."""
-    width = -F.log(F.lit(1 - share))
+    width = F.lit(-1.000001 * math.log(1 - share))  # a little wide, so that rounding loses no pair
     bucket = lambda c: F.floor(F.log(F.col(c)) / width)
     near = left.filter(F.col(a) > 0).withColumn("_bucket", F.explode(F.array(*[bucket(a) + d for d in (-1, 0, 1)])))
     far = right.filter(F.col(b) > 0).withColumn("_bucket", bucket(b))

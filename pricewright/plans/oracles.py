@@ -104,7 +104,36 @@ MEDIAN = "list_sort(list({v}))[CAST(floor(count(*) / 2) AS INT) + 1]"
 #: Letters folded, then all but letters, digits and blanks to blanks, collapsed.
 NORMAL = r"""trim(regexp_replace(regexp_replace(translate(lower(coalesce({t}, '')), 'أإآٱىؤئةیک', 'اااايويهيك'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
 
+def greedy(rows: str, columns: str, alike: str) -> str:
+    """``rows`` (block, ord, ``columns``) one after the other, each against the leaders
+    ``k`` before it."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    return f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY ord) AS i FROM ({rows})),
+r AS (SELECT block, 0::BIGINT AS i, NULL::BIGINT AS ord, NULL::BIGINT AS leader, []::STRUCT(ord BIGINT, {columns})[] AS led FROM n GROUP BY block
+  UNION ALL
+  SELECT block, i, ord, coalesce(hit, ord), CASE WHEN hit IS NULL THEN list_append(led, {{'ord': ord, {", ".join(f"'{c}': {c}" for c in names)}}}) ELSE led END
+  FROM (SELECT n.*, r.led, list_filter(r.led, lambda k: {alike})[1].ord AS hit FROM r JOIN n ON n.block = r.block AND n.i = r.i + 1))"""
+
+
+EQUIVALENT = greedy(
+    "SELECT {block} AS block, p_partkey AS ord, {total} AS total, " + FORM + " AS form, {brand} AS brand, list_distinct(string_split(p_name, ' ')) AS words FROM part",
+    "total DOUBLE, form VARCHAR, brand VARCHAR, words VARCHAR[]",
+    """abs(k.total - n.total) <= 0.03 * greatest(k.total, n.total) AND coalesce(k.form = n.form, true)
+    AND CASE WHEN k.brand <> '' AND n.brand <> '' THEN k.brand = n.brand ELSE len(list_intersect(k.words, n.words)) >= 0.6 * greatest(len(k.words), len(n.words)) END""",
+) + " SELECT block, ord AS p_partkey, leader AS representative FROM r WHERE i > 0"
+
+
+def _equivalent(block: str, total: str, brand: str) -> str:
+    return EQUIVALENT.replace("{block}", block).replace("{total}", total).replace("{brand}", brand)
+
+
 SQL = {
+    "dedupe_jaccard": greedy(
+        "SELECT p_brand || '|' || CAST(floor(p_retailprice / 10) AS VARCHAR) AS block, p_partkey AS ord, list_distinct(string_split(p_name, ' ')) AS words FROM part", "words VARCHAR[]",
+        "len(list_intersect(k.words, n.words)) >= 0.7 * len(list_distinct(list_concat(k.words, n.words)))",
+    ) + " SELECT ord AS p_partkey FROM r WHERE i > 0 AND leader = ord",
+    "group_equivalents": _equivalent("p_brand", "p_size::DOUBLE", "''"),
+    "group_branded": _equivalent("p_type", "p_size * CASE WHEN p_partkey % 3 = 0 THEN 1.02::DOUBLE ELSE 1.0::DOUBLE END", "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END"),
     "best_value": f"""WITH {L},
 m AS (SELECT l_partkey, count(*) AS n, {MEDIAN.format(v='unit')} AS med FROM l GROUP BY l_partkey HAVING count(*) >= 2),
 k AS (SELECT l.*, m.n, unit <= med * 6 AND unit >= med / 6 AS ok FROM l JOIN m USING (l_partkey)),

@@ -229,7 +229,17 @@ def group_equivalents(spark, d):
         text.words(F.col("p_name")).alias("words"),
     )
     groups = grouping.group_equivalents(rows, ["block"], "p_partkey")
-    return groups.select("block", "p_partkey", F.min("p_partkey").over(Window.partitionBy("block", "chain", "group_no")).alias("representative"))
+    return groups.select("block", "p_partkey", F.col("leader").alias("representative"))
+
+
+def group_branded(spark, d):
+    """Groups within a type, where every other part is known by its brand."""
+    k = F.col("p_partkey")
+    rows = products(spark, d).select(
+        F.col("p_type").alias("block"), "p_partkey", (F.col("p_size") * F.when(k % 3 == 0, 1.02).otherwise(1.0)).alias("total"),
+        classify.form(F.col("p_name"), PARTS).alias("form"), F.when(k % 2 == 0, F.col("p_brand")).otherwise("").alias("brand"), text.words(F.col("p_name")).alias("words"),
+    )
+    return grouping.group_equivalents(rows, ["block"], "p_partkey").select("block", "p_partkey", F.col("leader").alias("representative"))
 
 
 def canonical_groups(spark, d):
@@ -467,6 +477,7 @@ QUERIES = {
     "rank_featured": _ranked("featured"),
     "dedupe_jaccard": dedupe_jaccard,
     "group_equivalents": group_equivalents,
+    "group_branded": group_branded,
     "canonical_groups": canonical_groups,
     "history_points": history_points,
     "history_summary": history_summary,

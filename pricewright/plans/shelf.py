@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import matching, size
-from ..operators import lists, profiles, rails, registry, search
-from .oracles import _STAGED, L, NOUN
+from ..operators import lists, phrases, profiles, rails, registry, search
+from .oracles import _STAGED, L, NOUN, greedy
 from .queries import HISTORY_ORDER
 from .tables import PARTS, items_of, listings, products, queries, table
 
@@ -301,7 +301,7 @@ REGISTRY = """WITH s AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, spli
 r AS (SELECT DISTINCT 'pr_' || replace(p_name, ' ', '_') AS product_id, split_part(p_name, ' ', 1) AS ra, split_part(p_name, ' ', 2) AS rb, CASE WHEN length(split_part(p_name, ' ', 1)) > 3 THEN 2 ELSE 1 END AS rt FROM part),
 m AS (SELECT p_partkey, product_id, (CASE WHEN a = ra THEN 1 ELSE 0 END + CASE WHEN NOT odd AND b = rb THEN 1 ELSE 0 END) / 2.0 - CASE WHEN brand <> '' AND brand <> rb THEN 0.25 ELSE 0 END AS score
   FROM s JOIN r ON (a = ra OR (NOT odd AND b = rb)) WHERE total IS NULL OR total = rt),
-t AS (SELECT p_partkey, max(score) AS score, max_by(product_id, score) AS product_id FROM m GROUP BY 1)
+t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, product_id) = 1)
 SELECT p_partkey, CASE WHEN t.score >= 0.6 THEN t.product_id END AS product_id, CASE WHEN t.score >= 0.45 THEN round(t.score::DOUBLE, 6) END AS score,
   CASE WHEN t.score >= 0.6 THEN 'attach' WHEN t.score >= 0.45 THEN 'review' ELSE 'create' END AS band FROM s LEFT JOIN t USING (p_partkey)"""
 
@@ -324,17 +324,19 @@ def registry_merges(spark, d):
     """Doubles among products that bear the same words: each part is one, minted by its
     brand; they merge where a store or the size is the same."""
     k = F.col("p_partkey")
-    rows = products(spark, d).filter("p_size <= 3").select(
+    rows = products(spark, d).select(
         k.alias("product_id"), F.split("p_name", " ").alias("tokens"), F.when(k % 2 == 0, F.col("p_brand")).otherwise("").alias("brand"), F.when(k % 3 != 0, "kg").alias("unit"),
         F.when(k % 3 != 0, F.col("p_size").cast("double")).alias("total"), (k % 4).alias("store"),
     )
     return registry.merge_targets(rows, rows.select("product_id", "store")).select(F.col("product_id").alias("p_partkey"), "merged_into")
 
 
-MERGES = """WITH p AS (SELECT p_partkey AS k, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS brand, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS total, p_partkey % 4 AS store FROM part WHERE p_size <= 3),
-m AS (SELECT y.k AS p_partkey, min(x.k) AS merged_into FROM p x JOIN p y ON x.p_name = y.p_name AND x.k < y.k
-  WHERE (x.total IS NULL OR y.total IS NULL OR x.total = y.total) AND (x.brand = '' OR y.brand = '' OR x.brand = y.brand) AND (x.store = y.store OR x.total = y.total) GROUP BY 1)
-SELECT * FROM m WHERE merged_into NOT IN (SELECT p_partkey FROM m)"""
+MERGES = greedy(
+    "SELECT p_name AS block, p_partkey AS ord, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS brand, CASE WHEN p_partkey % 3 <> 0 THEN p_size::DOUBLE END AS total, p_partkey % 4 AS store FROM part",
+    "brand VARCHAR, total DOUBLE, store BIGINT",
+    """(k.total IS NULL OR n.total IS NULL OR abs(k.total - n.total) <= 0.03 * greatest(k.total, n.total)) AND (k.brand = '' OR n.brand = '' OR k.brand = n.brand)
+    AND (k.store = n.store OR coalesce(abs(k.total - n.total) <= 0.03 * greatest(k.total, n.total), false))""",
+) + " SELECT ord AS p_partkey, leader AS merged_into FROM r WHERE i > 0 AND leader <> ord"
 
 
 def acceptance(spark, d):
@@ -361,15 +363,42 @@ ENRICHED = """SELECT p_partkey AS offer_id, CASE WHEN p_partkey % 2 = 0 AND p_pa
   CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 <> 0 AND p_partkey % 3 = 0 THEN 'Seen' ELSE p_brand END AS p_brand, p_partkey % 2 = 0 AND p_partkey % 5 <> 0 AS enriched FROM part"""
 
 
-def shelf_phrases(spark, d):
-    """The head of each name: its longest phrase in a dictionary, the rightmost."""
-    heads = spark.createDataFrame([("bolt", "fastener"), ("red", "colour"), ("red bolt", "fastener"), ("hot gear", "tool"), ("gear", "tool"), ("red", "again")], "phrase string, meaning string").limit(5)
-    rows = products(spark, d).select("p_partkey", F.concat(F.lit("red "), F.col("p_name")).alias("n"))
-    return registry.shelf_phrase(F.split("n", " "), heads, rows, "p_partkey").select("p_partkey", "phrase", "meaning")
+def _long_names(spark, d):
+    """Parts with names of three words and up to two more."""
+    k = F.col("p_partkey")
+    more = F.when(k % 4 == 0, " quite odd").when(k % 4 == 1, " 12 pcs").when(k % 4 == 2, " odd").otherwise("")
+    return products(spark, d).select("*", F.split(F.concat(F.lower("p_type"), F.lit(" "), "p_name", more), " ").alias("words"), F.concat(F.lit("d"), k % 2).alias("department"))
 
 
-PHRASES = """SELECT p_partkey, CASE WHEN p_name = 'red bolt' THEN 'red bolt' WHEN p_name = 'hot gear' THEN 'hot gear' WHEN ends_with(p_name, ' bolt') THEN 'bolt' WHEN ends_with(p_name, ' gear') THEN 'gear' ELSE 'red' END AS phrase,
-  CASE WHEN ends_with(p_name, ' bolt') THEN 'fastener' WHEN ends_with(p_name, ' gear') THEN 'tool' ELSE 'colour' END AS meaning FROM part"""
+def shelf_phrases(spark, d):
+    """The head of each name in a dictionary drawn from the parts: nouns, names of every
+    other, names with their type of those of one size; adjectives, of which some are
+    claimed twice. Heads before two unknown words are refused."""
+    parts = products(spark, d)
+    noun, adjective = F.substring_index("p_name", " ", -1), F.substring_index("p_name", " ", 1)
+    found = parts.select(noun.alias("phrase"), F.concat(F.lit("k_"), noun).alias("meaning"))
+    found = found.union(parts.filter("p_partkey % 20 = 0").select("p_name", F.concat(F.lit("n_"), "p_name")))
+    found = found.union(parts.filter("p_size = 7").select(F.concat(F.lower("p_type"), F.lit(" "), "p_name"), F.concat(F.lit("t_"), "p_name")))
+    found = found.union(parts.select(adjective, F.when(F.length(adjective) > 3, F.concat(F.lit("a"), F.col("p_partkey") % 2)).otherwise("a")))
+    heads = phrases.head_phrases(_long_names(spark, d), "p_partkey", "words", found.distinct())
+    return heads.select("p_partkey", "phrase", "meaning", F.col("n").cast("int").alias("n"), "refused")
+
+
+LONG_NAMES = """names AS (SELECT p_partkey, 'd' || p_partkey % 2 AS department,
+  string_split(lower(p_type) || ' ' || p_name || CASE p_partkey % 4 WHEN 0 THEN ' quite odd' WHEN 1 THEN ' 12 pcs' WHEN 2 THEN ' odd' ELSE '' END, ' ') AS w FROM part),
+places AS (SELECT p_partkey, department, w, unnest(range(1, len(w) + 1)) AS i FROM names),
+grams AS (SELECT p_partkey, department, w, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM places, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w))"""
+
+PHRASES = f"""WITH claimed AS (SELECT split_part(p_name, ' ', 2) AS phrase, 'k_' || split_part(p_name, ' ', 2) AS meaning FROM part
+  UNION SELECT p_name, 'n_' || p_name FROM part WHERE p_partkey % 20 = 0 UNION SELECT lower(p_type) || ' ' || p_name, 't_' || p_name FROM part WHERE p_size = 7
+  UNION SELECT split_part(p_name, ' ', 1), CASE WHEN length(split_part(p_name, ' ', 1)) > 3 THEN 'a' || p_partkey % 2 ELSE 'a' END FROM part),
+known AS (SELECT phrase, min(meaning) AS meaning FROM claimed GROUP BY 1 HAVING count(*) = 1),
+{LONG_NAMES},
+hits AS (SELECT * FROM grams JOIN known USING (phrase)),
+heads AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, i DESC) = 1),
+behind AS (SELECT h.p_partkey, count(*) AS unknown FROM heads h JOIN places p ON p.p_partkey = h.p_partkey AND p.i >= h.i + h.n
+  WHERE NOT regexp_matches(p.w[p.i], '^[0-9]') AND NOT EXISTS (FROM hits x WHERE x.p_partkey = p.p_partkey AND p.i >= x.i AND p.i < x.i + x.n) GROUP BY 1)
+SELECT p_partkey, phrase, meaning, CAST(n AS INT) AS n, coalesce(unknown, 0) >= 2 AS refused FROM heads LEFT JOIN behind USING (p_partkey)"""
 
 
 def arabic_names(spark, d):
@@ -387,15 +416,41 @@ SELECT p_partkey, CASE WHEN b IN ('bolt', 'ring') THEN concat_ws(' ', CASE b WHE
   CASE WHEN c = 1 THEN 'قطعة' WHEN c = 2 THEN 'قطعتان' WHEN c <= 10 THEN c || ' قطع' ELSE c || ' قطعة' END) END AS name, p_partkey % 2 = 0 AS either FROM n"""
 
 
+def _brands(spark, d):
+    """A dictionary drawn from the parts: nouns, some of one department, names of those
+    of one size, which some types bar, and a noun that two brands claim."""
+    parts = products(spark, d)
+    noun = F.substring_index("p_name", " ", -1)
+    none = F.lit(None).cast("array<string>")
+    one = F.when(F.length(noun) % 2 == 0, F.array(F.lit("d1")))
+    found = parts.select(noun.alias("phrase"), F.concat(F.lit("Noun "), noun).alias("brand"), one.alias("departments"), none.alias("barred"))
+    found = found.union(parts.filter("p_size = 3").select("p_name", F.concat(F.lit("Line "), "p_name"), none, F.array(F.lit("promo"), F.lit("small"))))
+    return found.union(parts.filter("p_name LIKE '% bolt'").select(noun, F.lit("Other"), none, none)).distinct()
+
+
 def brand_tags(spark, d):
-    """Brands as whole words, one only in one department, one barred by a neighbour."""
-    known = spark.createDataFrame([("red", "Red Co", None, ["bolt"]), ("gear", "Gear Inc", ["d1"], None), ("hot", "Hot Ltd", None, None)], "word string, brand string, departments array<string>, barred array<string>")
-    rows = products(spark, d).select("p_partkey", F.split("p_name", " ").alias("words"), F.concat(F.lit("d"), F.col("p_partkey") % 2).alias("department"))
-    return registry.branded(rows, "words", known, "department").select("p_partkey", "brand")
+    """Brands of one word or two, of one department, barred by a neighbour; names are
+    there twice."""
+    rows = _long_names(spark, d).select("p_partkey", "words", "department")
+    return phrases.branded(rows.union(rows), "words", _brands(spark, d), "department").select("p_partkey", "brand")
+
+
+BRAND_TAGS = f"""WITH {LONG_NAMES},
+nouns AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS phrase FROM part),
+lines AS (SELECT DISTINCT p_name AS phrase FROM part WHERE p_size = 3),
+hits AS (SELECT p_partkey, i, n, 'Noun ' || phrase AS brand FROM grams JOIN nouns USING (phrase) WHERE phrase <> 'bolt' AND (length(phrase) % 2 = 1 OR department = 'd1')
+  UNION ALL SELECT p_partkey, i, n, 'Line ' || phrase FROM grams JOIN lines USING (phrase)
+  WHERE coalesce(CASE WHEN i > 1 THEN w[i - 1] END, '') NOT IN ('promo', 'small') AND coalesce(w[i + 2], '') NOT IN ('promo', 'small')),
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY i, n DESC) = 1)
+SELECT p_partkey, brand FROM (SELECT p_partkey FROM part UNION ALL SELECT p_partkey FROM part) LEFT JOIN best USING (p_partkey)"""
+
+
+def brand_collisions(spark, d):
+    """Phrases that two brands claim."""
+    return phrases.collisions(_brands(spark, d), "brand").select("phrase", F.array_join("claims", ", ").alias("claims"))
 
 
-BRAND_TAGS = """WITH n AS (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
-SELECT p_partkey, CASE WHEN a = 'red' AND b <> 'bolt' THEN 'Red Co' WHEN a = 'hot' THEN 'Hot Ltd' WHEN b = 'gear' AND p_partkey % 2 = 1 THEN 'Gear Inc' END AS brand FROM n"""
+BRAND_COLLISIONS = "SELECT DISTINCT 'bolt' AS phrase, 'Noun bolt, Other' AS claims FROM part WHERE p_name LIKE '% bolt'"
 
 
 def moved_shelves(spark, d):
@@ -430,7 +485,7 @@ QUERIES = {
     "price_variants": price_variants, "new_products": new_products, "seasons": seasons, "biggest_drops": biggest_drops, "identity_badges": identity_badges, "collections": collections,
     "watch_checks": watch_checks, "identity_gates": identity_gates, "checked_watches": checked_watches, "changed_watches": changed_watches, "seen_profiles": seen_profiles,
     "reading_positions": reading_positions, "source_scopes": source_scopes, "registry_resolve": registry_resolve, "registry_lifecycle": registry_lifecycle, "registry_merges": registry_merges,
-    "acceptance": acceptance, "enriched_offers": enriched_offers, "shelf_phrases": shelf_phrases, "arabic_names": arabic_names, "brand_tags": brand_tags, "moved_shelves": moved_shelves,
+    "acceptance": acceptance, "enriched_offers": enriched_offers, "shelf_phrases": shelf_phrases, "arabic_names": arabic_names, "brand_tags": brand_tags, "brand_collisions": brand_collisions, "moved_shelves": moved_shelves,
     "comparable_quantities": comparable_quantities,
 }
 SQL = {
@@ -465,6 +520,7 @@ SELECT cart, store, CAST(row_number() OVER (PARTITION BY cart, store ORDER BY bo
     "shelf_phrases": PHRASES,
     "arabic_names": ARABIC,
     "brand_tags": BRAND_TAGS,
+    "brand_collisions": BRAND_COLLISIONS,
     "moved_shelves": MOVED,
     "comparable_quantities": QUANTITIES,
 }

@@ -1,11 +1,14 @@
 """The comparison model's parts that the registered query does not reach, names, and rules
 on single rows."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pricewright.functions import display, featured, matching, names, navigation
 from pricewright.functions.lexicon import GROCERY
-from pricewright.operators import brochures, comparison, profiles, rails, registry, search
+from pricewright.operators import brochures, comparison, phrases, profiles, rails, registry, search
 
 
 def pool_of(spark, rows):
@@ -180,3 +183,82 @@ def test_kinds_of_brochures(spark):
     rows = [("link", "https://x"), ("link", ""), ("pdf", None), (None, None)]
     got = column(spark, rows, "t string, u string", F.struct(brochures.is_external(F.col("t"), F.col("u")).alias("e"), brochures.is_pdf(F.col("t")).alias("p")))
     assert [(g.e, g.p) for g in got] == [(True, False), (False, False), (False, True), (False, False)]
+
+
+def plain_containment(a, b):
+    a, b = set(a), set(b)
+    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_no_pair_of_the_registry_is_lost(spark, seed):
+    """Every pair that the review band needs, by brute force, for small and large sets."""
+    rng = random.Random(seed)
+    make = lambda: [f"t{min(rng.randint(0, 40), rng.randint(0, 40))}" for _ in range(rng.choice((0, 1, 2, 4, 9, 15)))]
+    size = lambda: (rng.choice(("kg", None)), rng.choice((1.0, 1.02, 2.0, None)))
+    seen = [(i, make(), rng.choice(("", "a", "b", None)), *size()) for i in range(60)]
+    held = [(f"p{i:02}", make(), rng.choice(("", "a", "b", None)), *size()) for i in range(50)]
+    s = spark.createDataFrame(seen, "sighting_id int, tokens array<string>, brand string, unit string, total double").repartition(3)
+    p = spark.createDataFrame(held, "product_id string, tokens array<string>, brand string, unit string, total double")
+    want = {}
+    for i, a, brand, u, t in seen:
+        for j, b, other, v, w in held:
+            differs = None not in (u, t, v, w) and (u != v or abs(t - w) > 0.03 * max(t, w))
+            if plain_containment(a, b) >= 0.45 - 1e-12 and not differs:
+                want[i, j] = plain_containment(a, b) - (0.25 if brand and other and brand != other else 0)
+    got = {(r.sighting_id, r.product_id): r.score for r in registry.scored_pairs(s, p).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    bound = {r.sighting_id: r.product_id for r in registry.resolve_sightings(s, p).collect()}
+    for i, *_ in seen:
+        best = min(((-round(c, 9), j) for (k, j), c in want.items() if k == i), default=(0, None))
+        assert bound[i] == (best[1] if -best[0] >= 0.45 else None)
+
+
+def test_six_of_nine_tokens_attach(spark):
+    seen = spark.createDataFrame([(1, [f"a{i}" for i in range(3)] + [f"c{i}" for i in range(6)], "", None, None)], "sighting_id int, tokens array<string>, brand string, unit string, total double")
+    known = spark.createDataFrame([("p", [f"b{i}" for i in range(3)] + [f"c{i}" for i in range(6)], "", None, None)], "product_id string, tokens array<string>, brand string, unit string, total double")
+    assert registry.resolve_sightings(seen, known).first().band == "attach"
+
+
+def test_merges_lead_to_survivors(spark):
+    """By brute force in order of id; a second run over the survivors merges nothing."""
+    rng = random.Random(4)
+    rows = [(i, rng.sample(["a", "b", "c", "d", "e", "f", "g"], rng.randint(1, 7)), rng.choice(("", "", "x", "y")), rng.choice(("kg", None)), rng.choice((1.0, 1.02, 1.04, None))) for i in range(80)]
+    stores = [(i, rng.choice(("s", "t", None))) for i in range(80) for _ in range(rng.randint(0, 2))]
+    by_id = {}
+    for i, s in stores:
+        by_id.setdefault(i, set()).update({s} - {None})
+
+    def double(p, q):
+        known = None not in (p[3], p[4], q[3], q[4])
+        near = known and p[3] == q[3] and abs(p[4] - q[4]) <= 0.03 * max(p[4], q[4])
+        if plain_containment(p[1], q[1]) < 0.85 or (known and not near) or (p[2] and q[2] and p[2] != q[2]):
+            return False
+        return near or bool(by_id.get(p[0], set()) & by_id.get(q[0], set()))
+
+    survivors, want = [], {}
+    for p in rows:
+        first = next((q[0] for q in survivors if double(q, p)), None)
+        if first is None:
+            survivors.append(p)
+        else:
+            want[p[0]] = first
+    schema = "product_id int, tokens array<string>, brand string, unit string, total double"
+    held = spark.createDataFrame(stores, "product_id int, store string")
+    got = {r.product_id: r.merged_into for r in registry.merge_targets(spark.createDataFrame(rows, schema), held).collect()}
+    assert got == want
+    assert registry.merge_targets(spark.createDataFrame(survivors, schema), held).count() == 0
+
+
+def test_phrases_of_any_length(spark):
+    words = "the very long name of a rather tall red box".split()
+    rows = spark.createDataFrame([(1, words, "d"), (1, words, "d"), (2, ["red"], "d"), (3, None, "d"), (4, [], None), (5, ["box", None, "red", "box", "odd", "2x", "things"], "e")], "k int, words array<string>, department string")
+    known = [(" ".join(words[:8]), "Long", None, None), ("red box", "Box", ["e"], None), ("red", "Red", None, ["tall"]), ("box", "One", None, None), ("box", "Two", None, None), (None, "Null", None, None)]
+    brands = spark.createDataFrame(known, "phrase string, brand string, departments array<string>, barred array<string>")
+    got = sorted(((r.k, r.brand) for r in phrases.branded(rows, "words", brands, "department").collect()))
+    assert got == [(1, "Long"), (1, "Long"), (2, "Red"), (3, None), (4, None), (5, "Box")]
+    assert [tuple(r) for r in phrases.collisions(brands, "brand").collect()] == [("box", ["One", "Two"])]
+    heads = phrases.head_phrases(rows.dropDuplicates(["k"]), "k", "words", brands.select("phrase", F.col("brand").alias("meaning")))
+    assert {r.k: (r.phrase, r.unknown, r.refused) for r in heads.collect()} == {1: (" ".join(words[:8]), 0, False), 2: ("red", 0, False), 5: ("red box", 2, True)}
+    assert phrases.branded(rows, "words", brands.filter("false"), "department").filter("brand IS NULL").count() == 6

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pricewright.operators import grouping, merge, resolve, statistics, watch
+from pricewright.operators import grouping, merge, overlap, resolve, statistics, watch
 from pricewright.plans import queries as plans
 from pricewright.sources import listings
 from pricewright.streaming import watches
@@ -34,7 +34,8 @@ def test_greedy_groups_compare_with_representatives(spark):
         rows = [("b", i, t, None, "x", ["w"]) for i, (_, t) in enumerate(order)]
         df = spark.createDataFrame(rows, "block string, ord int, total double, form string, brand string, words array<string>")
         got = grouping.group_equivalents(df, ["block"], "ord").orderBy("ord").collect()
-        assert [r.group_no for r in got] == want
+        first = [want.index(g) for g in want]
+        assert [r.leader for r in got] == first
 
 
 def test_first_wins_on_equal_prices(spark):
@@ -178,19 +179,63 @@ def test_upper_median_is_that_of_sorted_values(spark):
     assert got == {g: (v[len(v) // 2], len(v)) for g, v in values.items()}
 
 
-def test_size_chains_do_not_split_groups(spark):
-    rng = random.Random(3)
-    rows = [("b", i, round(rng.uniform(50, 200), 1), None, "", [f"w{rng.randint(0, 2)}"]) for i in range(120)]
-    groups, want = [], []
-    for _, i, total, _, _, words in rows:
-        hit = next((r for r, t, w in groups if abs(t - total) <= 0.03 * max(t, total) and w == words), None)
-        want.append(i if hit is None else hit)
-        if hit is None:
-            groups.append((i, total, words))
-    df = spark.createDataFrame(rows, "block string, ord int, total double, form string, brand string, words array<string>")
-    got = grouping.group_equivalents(df, ["block"], "ord")
-    first = got.groupBy("chain", "group_no").agg(F.min("ord").alias("first"))
-    assert [r["first"] for r in got.join(first, ["chain", "group_no"]).orderBy("ord").collect()] == want
+def plain_groups(rows):
+    """The leader of each (block, ord, total, form, brand, words), by comparing each row
+    with the leaders before it."""
+    led, out = {}, {}
+    for block, i, total, form, brand, words in rows:
+        words = set(words or ())
+        for r, t, f, b, w in led.setdefault(block, []):
+            size = t is not None and total is not None and max(t, total) > 0 and abs(t - total) <= 0.03 * max(t, total)
+            forms = f is None or form is None or f == form
+            most = max(len(w), len(words))
+            same = b == brand if b and brand else most > 0 and len(w & words) >= 0.6 * most
+            if size and forms and same:
+                out[block, i] = r
+                break
+        else:
+            led[block].append((i, total, form, brand, words))
+            out[block, i] = i
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_equal_the_fold(spark, seed):
+    """Sizes in long chains, brands and none, forms and none, rows that are like nothing."""
+    rng = random.Random(seed)
+    rows = [
+        (
+            rng.choice(("b", "c", None)), i, rng.choice((None, 0.0, -1.0, 100.0, *[round(rng.uniform(95, 115), 1)] * 6)), rng.choice((None, None, "x", "y")),
+            rng.choice(("", "", "m", "n", None)), rng.choice((None, [], *[[f"w{rng.randint(0, 4)}" for _ in range(rng.randint(1, 4))]] * 8)),
+        )
+        for i in range(150)
+    ]
+    df = spark.createDataFrame(rows, "block string, ord int, total double, form string, brand string, words array<string>").repartition(5)
+    got = {(r.block, r.ord): r.leader for r in grouping.group_equivalents(df, ["block"], "ord").collect()}
+    assert got == plain_groups(rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_dedupe_equals_the_fold(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(("s", None)), i, rng.choice((None, [], *[[f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, 9))]] * 9))) for i in range(160)]
+    df = spark.createDataFrame(rows, "store string, ord int, words array<string>").repartition(3)
+    kept, want = {}, set()
+    for store, i, words in rows:
+        own = set(words or ())
+        if not any(own and len(own & k) / len(own | k) >= 0.7 for k in kept.setdefault(store, [])):
+            kept[store].append(own)
+            want.add((store, i))
+    assert {(r.store, r.ord) for r in grouping.dedupe_listings(df, ["store"], "ord", "words").collect()} == want
+
+
+def test_leaders_of_a_path_and_a_hub(spark):
+    path = [(i, i + 1) for i in range(9)]
+    hub = [(100, 101 + i) for i in range(500)] + [(101, 700), (102, 700)]
+    nodes = sorted({x for e in path + hub for x in e} | {5000})
+    df = spark.createDataFrame([(n, None) for n in nodes], "node int, cls string")
+    got = {r.node: r.leader for r in overlap.leaders(df, spark.createDataFrame(path + hub, "a int, b int")).collect()}
+    assert got == {n: n - n % 2 if n < 10 else 100 if 100 < n < 700 else n for n in nodes}
 
 
 def test_first_match_goes_round_null_keys(spark):
