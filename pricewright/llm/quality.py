@@ -1,8 +1,9 @@
 """Quality classifier with hierarchical empirical Bayes site priors.
 
-A logistic regression over hashed words and word beginnings, and a few shape
-statistics, is fitted on a bounded sample of labelled rows. Its probability that a
-document is bad (low quality or toxic) is evidence of the document alone. Grouped
+Two logistic regressions, of low quality and of toxicity, over hashed words, word
+beginnings and frequent beginnings, and a few shape statistics, are fitted on a bounded
+sample of labelled rows. Their probability that a document is either (bad) is evidence
+of the document alone. Grouped
 sums of these probabilities over all documents give every host, and every path
 under a host, a posterior rate: a path is shrunk toward its host and a host toward
 the global rate, with strengths estimated from the spread of the rates. A document's
@@ -26,15 +27,18 @@ from .shingles import mix, parts
 
 #: The training sample: rows at most (in expectation).
 TRAIN_ROWS = 12_000
-#: Features: chosen at most, least documents and least gain (in nats) of one, and word
-#: beginnings used.
-FEATURES, LEAST_DOCS, LEAST_GAIN, BEGINNINGS = 6000, 3, 5.0, (4, 5)
+#: Features for each label: chosen at most, least documents and least gain (in nats) of
+#: one, word beginnings used, and how often a beginning is frequent: twice, and one word
+#: in so many.
+FEATURES, LEAST_DOCS, LEAST_GAIN, BEGINNINGS, FREQUENT = 6000, 3, 4.0, (4, 5), 100
 STATISTICS = 6
+LABELS = ("low", "toxic")
 RIDGE, ROUNDS, RATE = 0.002, 400, 0.05
 #: The evidence of every text where nothing could be learned.
 UNTRAINED = -4.0
-#: A document is rejected above this probability of being bad.
-REJECT = 0.45
+#: A document is rejected above this probability of being bad: one that is kept and bad
+#: costs as much as two that are dropped and good.
+REJECT = 1 / 3
 #: Bounds of the strength with which sites are shrunk.
 WEAKEST, STRONGEST = 20.0, 10_000.0
 
@@ -44,7 +48,7 @@ _KIND = np.arange(8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def featurize(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per text its distinct hashed features, and its shape statistics: log words,
+    """Per text its distinct hashed features (0 is none), and its shape statistics: log words,
     word length, and the shares of distinct words, upper case letters, characters
     that are neither letters nor blanks, and symbols."""
     texts = [t or "" for t in texts]
@@ -77,8 +81,13 @@ def featurize(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
     raw_start = 0
     for i, (b, end) in enumerate(zip(upto.tolist(), raw_ends.tolist(), strict=True)):
         words = np.unique(hashes[0][a:b])
-        found.append(np.concatenate([words, *(np.unique(h[a:b]) for h in hashes[1:])]))
         n, chars = b - a, max(1, end - raw_start - 1)
+        own = [words]
+        for h in hashes[1:]:
+            beginnings, times = np.unique(h[a:b], return_counts=True)
+            often = beginnings[(times >= 2) & (times * FREQUENT >= n) & (beginnings != 0)]
+            own += [beginnings, mix(often + _KIND[7])]
+        found.append(np.concatenate(own))
         if n:
             shape[i] = (
                 np.log1p(n),
@@ -94,7 +103,7 @@ def featurize(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
 
 @dataclass
 class Classifier:
-    """Chosen features (sorted), their weights, scaling of the statistics."""
+    """One label's chosen features (sorted), their weights, scaling of the statistics."""
 
     features: np.ndarray
     weights: np.ndarray
@@ -115,17 +124,31 @@ class Classifier:
     def shapes(self, shape: np.ndarray) -> np.ndarray:
         return np.clip((shape - self.centre) / self.scale, -6, 6)
 
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """Log odds that each text is bad."""
-        found, shape = featurize(texts)
+    def odds(self, found: list[np.ndarray], shape: np.ndarray) -> np.ndarray:
+        """Log odds that each text has the label."""
         row, at = self.columns(found)
         k = len(self.features)
-        wide = np.bincount(row, self.weights[at], minlength=len(texts)) if len(row) else 0.0
+        wide = np.bincount(row, self.weights[at], minlength=len(found)) if len(row) else 0.0
         return self.bias + wide + self.shapes(shape) @ self.weights[k:]
 
 
+@dataclass
+class Heads:
+    """A classifier for each label that could be learned."""
+
+    heads: list[Classifier]
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """Log odds that each text is bad: that it has one of the labels."""
+        if not self.heads:
+            return np.full(len(texts), UNTRAINED)
+        found, shape = featurize(texts)
+        none = sum(np.logaddexp(0, np.clip(h.odds(found, shape), -30, 300)) for h in self.heads)
+        return none + np.log(-np.expm1(-none))
+
+
 def _features_of(sample: DataFrame) -> DataFrame:
-    """digest, bad, features (binary), shape: a row for each distinct text."""
+    """digest, low, toxic, features (binary), shape: a row for each distinct text."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +158,12 @@ def _features_of(sample: DataFrame) -> DataFrame:
                 features += [f[f != 0].tobytes() for f in found]
                 shapes += shape.tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch["digest"], batch["bad"], pa.array(features, pa.binary()), pa.array(shapes, pa.list_(pa.float64()))],
-                names=["digest", "bad", "features", "shape"],
+                [*(batch[c] for c in ("digest", *LABELS)), pa.array(features, pa.binary()), pa.array(shapes, pa.list_(pa.float64()))],
+                names=["digest", *LABELS, "features", "shape"],
             )
 
-    once = sample.groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("bad").alias("bad"), F.first("text").alias("text"))
-    return once.mapInArrow(rows, "digest string, bad int, features binary, shape array<double>")
+    once = sample.groupBy(F.sha2("text", 256).alias("digest")).agg(*[F.max(c).alias(c) for c in LABELS], F.first("text").alias("text"))
+    return once.mapInArrow(rows, "digest string, low int, toxic int, features binary, shape array<double>")
 
 
 def _feature_counts(sample: DataFrame) -> DataFrame:
@@ -208,30 +231,33 @@ def fit(bad: np.ndarray, shape: np.ndarray, held: list[np.ndarray], features: np
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Heads:
     """Fit on about ``rows`` labelled documents, picked by a hash of their id, of any
-    length. Features are counted and chosen in Spark; the driver gets the chosen ones
-    only. Equal texts weigh as one. Labels are (doc_id, quality, toxic); a null quality
-    counts as good, a null toxic as harmless. Without labelled documents of both kinds
-    every text has the evidence ``UNTRAINED``."""
-    bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
-    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(bad.cast("int")).alias("bad"))
+    length. Features are counted and chosen in Spark, for each label apart; the driver
+    gets the chosen ones only. Equal texts weigh as one. Labels are (doc_id, quality,
+    toxic); a null quality counts as good, a null toxic as harmless. A label that no
+    document or every one has is not learned; without one that is learned every text has
+    the evidence ``UNTRAINED``."""
+    marks = {"low": F.coalesce("quality", F.lit(1)) == 0, "toxic": F.coalesce("toxic", F.lit(0)) == 1}
+    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(marks[c].cast("int")).alias(c) for c in LABELS])
     share = min(1.0, rows / max(1, known.count()))
     picked = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= min(2**63 - 1, int(share * 2.0**63)))
     # about ``rows`` rows, whatever the input's size
-    sample = docs.join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "bad")
+    sample = docs.join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), *LABELS)
     sample = materialize(_features_of(sample), "quality-features")
-    n, n_bad = sample.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    if not 0 < n_bad < n:
-        zero = np.zeros(STATISTICS)
-        return Classifier(np.zeros(0, np.uint64), zero, zero, zero + 1, UNTRAINED)
-    chosen = _chosen(sample, n_bad / n)
-    cells = _cells(sample, chosen)
-    held = [np.array(x.as_py(), np.int32) for x in cells["columns"]]
-    return fit(cells["bad"].to_numpy().astype(float), np.array(cells["shape"].to_pylist()), held, chosen)
-
-
-def with_evidence(docs: DataFrame, model: Classifier) -> DataFrame:
+    n, *marked = sample.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in LABELS]).first()
+    heads = []
+    for label, n_bad in zip(LABELS, marked, strict=True):
+        if 0 < n_bad < n:
+            own = sample.select("digest", F.col(label).alias("bad"), "features", "shape")
+            chosen = _chosen(own, n_bad / n)
+            cells = _cells(own, chosen)
+            held = [np.array(x.as_py(), np.int32) for x in cells["columns"]]
+            heads.append(fit(cells["bad"].to_numpy().astype(float), np.array(cells["shape"].to_pylist()), held, chosen))
+    return Heads(heads)
+
+
+def with_evidence(docs: DataFrame, model: Heads) -> DataFrame:
     """Replace ``text`` by ``evidence``, the classifier's log odds."""
     sent = shared(docs.sparkSession, model)
     kept = [f for f in docs.schema.fields if f.name != "text"]
@@ -317,8 +343,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     that have no URL give two flat columns for that hierarchy, such as source and
     language, others those of ``url_sites``. Null text: an empty text. Null host or path:
     a site of its own. Null doc_id: judged, never trained on. Very long texts: learned
-    and judged whole. Repeated rows: judged alike. Without labels of both classes no
-    document is rejected. Empty table: no rows. Further columns are ignored, but those
+    and judged whole. Repeated rows: judged alike. Without a label that some
+    documents have and some lack no document is rejected. Empty table: no rows. Further columns are ignored, but those
     of ``carry``, whatever their names, are returned as one struct ``carried``.
     """
     carried = ("carried",) if carry else ()

@@ -344,28 +344,31 @@ def test_own_evidence_is_left_out_of_the_site(spark):
         assert abs(r.site - (sum(path) + r.k_path * host_rate) / (len(path) + r.k_path)) < 1e-9
 
 
-@pytest.mark.parametrize("sf, recall", [("sf0.01", 0.8), ("sf0.1", 0.9)])
-def test_classifier_held_out(spark, sf, recall):
-    """Of the labelled documents that it did not learn from."""
+@pytest.mark.parametrize("sf, recall, langs", [("sf0.01", 0.8, ("en",)), ("sf0.1", 0.9, ("en", "de", "fr", "es"))])
+def test_classifier_held_out(spark, sf, recall, langs):
+    """Of the labelled documents that it did not learn from, by label. At sf0.01
+    languages but English have four to six toxic documents each, too few to learn from."""
     data = f"/root/testdata/{sf}"
     docs, known = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     unseen = known.filter("doc_id % 3 = 0")
     model = quality.train(docs.select("doc_id", "text"), known.filter("doc_id % 3 <> 0"))
-    judged = quality.with_evidence(docs.join(unseen, "doc_id").selectExpr("doc_id", "text", "quality = 0 OR toxic = 1 AS bad"), model)
-    got = judged.selectExpr("bad", f"1 / (1 + exp(-evidence)) <= {quality.REJECT} AS kept").collect()
-    bad, good = [r.kept for r in got if r.bad], [r.kept for r in got if not r.bad]
-    assert bad.count(False) >= recall * len(bad)
-    assert good.count(False) <= 0.03 * len(good)
+    judged = quality.with_evidence(docs.join(unseen, "doc_id").selectExpr("doc_id", "text", "lang", "quality = 0 AS low", "toxic = 1 AS toxic"), model)
+    got = judged.selectExpr("lang", "low", "toxic", f"1 / (1 + exp(-evidence)) <= {quality.REJECT} AS kept").collect()
+    rejected = lambda rows: sum(not r.kept for r in rows) / len(rows)
+    assert rejected([r for r in got if r.low]) >= 0.95
+    assert rejected([r for r in got if r.toxic and r.lang in langs]) >= 0.95
+    assert rejected([r for r in got if r.toxic or r.low]) >= recall
+    assert rejected([r for r in got if not r.low and not r.toxic]) <= 0.03
 
 
 def test_long_texts_teach(spark):
-    """A text of more than any prefix that a shorter reading would have."""
-    rows = [(i, "plain words " * 9000 + ("vile" if i % 2 else "kind")) for i in range(12)]
+    """The word that tells stands behind any prefix that a shorter reading would have."""
+    rows = [(i, "plain words " * 9000 + ("vile" if i % 2 else "kind")) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     known = docs.selectExpr("doc_id", "1 AS quality", "CAST(doc_id % 2 AS int) AS toxic")
     texts = [t + f" x{i}" for i, t in rows]
     model = quality.train(docs.withColumn("text", F.concat("text", F.lit(" x"), "doc_id")), known)
-    assert [e > 0 for e in model.evidence(texts)] == [bool(i % 2) for i, _ in rows] or len(model.features) == 0
+    assert [e > 0 for e in model.evidence(texts)] == [bool(i % 2) for i, _ in rows]
 
 
 def test_url_sites(spark):

@@ -151,7 +151,7 @@ def table(rows):
 
 def labels_for(spark, rows, folder):
     marks = {r[0]: int(any(w in r[1].split() for w in ("vile", "rotten"))) for r in rows if r[0] is not None and r[1]}
-    known = spark.createDataFrame([(i, 1, t) for i, t in marks.items() if i % 3], "doc_id long, quality int, toxic int")
+    known = spark.createDataFrame([(i, 1, t) for i, t in marks.items() if i % 10], "doc_id long, quality int, toxic int")
     known.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
 
 
@@ -251,5 +251,5 @@ def test_classifier_learns_from_all_labels_below_its_bound(spark, monkeypatch):
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
     monkeypatch.setattr(quality, "fit", lambda bad, shape, held, features: len(bad))
-    assert quality.train(docs, labels) == n
-    assert abs(quality.train(docs, labels, rows=1000) - 1000) < 200
+    assert quality.train(docs, labels).heads == [n]
+    assert abs(quality.train(docs, labels, rows=1000).heads[0] - 1000) < 200
