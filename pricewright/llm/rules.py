@@ -149,7 +149,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     return spread_join(pairs, sparse, ["lang_key"], "left").select(
         "lang_key",
         "source_key",
-        F.when(F.col("n") >= MIN_GROUP, F.concat_ws("|", F.lit("s"), "lang_key", "source_key"))
+        F.when(F.col("n") >= MIN_GROUP, F.concat_ws("|", F.lit("s"), F.length("lang_key"), "lang_key", "source_key"))
         .when(F.col("n_lang") >= MIN_GROUP, F.concat_ws("|", F.lit("l"), "lang_key"))
         .otherwise("all")
         .alias("gid"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,8 @@ from pyspark.sql import types as T
 from .common import materialize, shared, spread_join
 
 BITS_PER_KEY, PROBES = 10, 5
-#: Bits a level may have (128 MB); a longer list is refused, not truncated.
+#: Bits a level may have (128 MB); a longer list is dealt to several cascades.
 MAX_BITS = 1 << 30
-MAX_LEVELS = 40
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,8 +80,8 @@ class Cascade:
         return out
 
 
-def key_hash(key: Column) -> Column:
-    return F.xxhash64(key)
+def key_hash(key: Column, seed: int = 0) -> Column:
+    return F.xxhash64(key, F.lit(seed)) if seed else F.xxhash64(key)
 
 
 def _level(keys: DataFrame, level: int, bits: int) -> np.ndarray:
@@ -114,28 +114,61 @@ def _passing(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
     return keys.filter(passes("h"))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
-    """A cascade that is exact for every ``key`` of ``universe``.
-
-    Both have a column ``key``. Null keys are in neither set. Two different keys
-    with one 64-bit hash of which one is listed cannot be told apart; then the
-    levels do not end and the build fails.
-    """
-    keys = materialize(universe.select("key").filter("key IS NOT NULL").distinct().withColumn("h", key_hash(F.col("key"))), "url-universe")
-    wanted = materialize(listed.select("key").filter("key IS NOT NULL").distinct().withColumn("h", key_hash(F.col("key"))), "url-listed")
-    others = keys.join(wanted.select("key"), "key", "left_anti")
-    cascade, encoded, opposite = Cascade([]), wanted, others
-    for level in range(MAX_LEVELS):
-        n = encoded.count()
-        bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
-        if bits > MAX_BITS:
-            raise ValueError(f"{n} keys need more than {MAX_BITS} bits")
-        cascade.levels.append(_level(encoded, level, bits))
+def _hashed(universe: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Keys of the universe that are not listed, and listed keys, each with ``h``, and
+    the hash's seed: the first under which no two keys on different sides are equal."""
+    keys = materialize(universe.select("key").filter("key IS NOT NULL").distinct(), "url-universe")
+    wanted = materialize(listed.select("key").filter("key IS NOT NULL").distinct(), "url-listed")
+    others = keys.join(wanted, "key", "left_anti")
+    seed = 0
+    while True:
+        a, b = (rows.withColumn("h", key_hash(F.col("key"), seed)) for rows in (others, wanted))
+        if a.select("h").join(b.select("h"), "h", "left_semi").isEmpty():
+            return a, b, seed
+        seed += 1
+
+
+def _cascade(others: DataFrame, wanted: DataFrame) -> Cascade:
+    cascade, encoded, opposite = Cascade([]), wanted.select("h"), others.select("h")
+    while True:
+        n, level = encoded.count(), len(cascade.levels)
+        cascade.levels.append(_level(encoded, level, max(64, -(-n * BITS_PER_KEY // 64) * 64)))
         false_positives = materialize(_passing(opposite, cascade, level), "url-level")
         if false_positives.isEmpty():
             return cascade
         encoded, opposite = false_positives, encoded
-    raise ValueError("keys of equal hash lie on both sides of the list")
+
+
+def build_cascades(universe: DataFrame, listed: DataFrame) -> tuple[list[Cascade], int]:
+    """Cascades that are exact for every ``key`` of ``universe``, and the hash's seed.
+
+    Both have a column ``key``. Null keys are in neither set. Keys are dealt to as many
+    cascades, by a remainder of their hash, as keep a level within ``MAX_BITS``."""
+    others, wanted, seed = _hashed(universe, listed)
+    n = -(-max(1, wanted.count()) * BITS_PER_KEY // MAX_BITS)
+    own = lambda rows, i: rows.filter(F.pmod("h", F.lit(n)) == i)
+    return [_cascade(own(others, i), own(wanted, i)) for i in range(n)], seed
+
+
+def _is_listed(cascade: Cascade, spark):
+    sent = shared(spark, cascade)
+
+    @F.pandas_udf(T.BooleanType())
+    def listed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = sent()
+        for h in batches:
+            yield pd.Series(own.listed(h.to_numpy(np.int64)))
+
+    return listed("h")
+
+
+def listed_keys(keys: DataFrame, cascades: list[Cascade], seed: int) -> DataFrame:
+    """The rows of ``keys`` (a column ``key`` of the universe) that are listed: each
+    cascade is sent out on its own and asked for its own keys."""
+    hashed = keys.withColumn("h", key_hash(F.col("key"), seed))
+    part = F.pmod("h", F.lit(len(cascades)))
+    found = [hashed.filter(part == i).filter(_is_listed(c, keys.sparkSession)) for i, c in enumerate(cascades)]
+    return reduce(DataFrame.unionByName, found).drop("h")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -159,6 +192,24 @@ def _rule_fits(host: Column, path: Column, rule) -> Column:
     return ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
 
 
+def _any_listed(cascade: Cascade, seed: int, spark) -> Column:
+    """Whether the host or a parent domain is listed, by one cascade for all keys."""
+    sent = shared(spark, cascade)
+
+    @F.pandas_udf(T.BooleanType())
+    def any_listed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = sent()
+        for keys in batches:
+            sizes = keys.str.len().to_numpy(np.int64)
+            if not len(sizes):
+                yield pd.Series([], dtype=bool)
+                continue
+            hits = own.listed(np.concatenate(keys.to_list()).astype(np.int64))
+            yield pd.Series(np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes) > 0)
+
+    return any_listed(F.transform(host_suffixes(F.col("host")), lambda key: key_hash(key, seed)))
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, url -> page_id, host, path, rule, listed, verdict, one row per row.
 
@@ -172,27 +223,19 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     rows = materialize(pages.select("page_id", host.alias("host"), path.alias("path")), "url-rows")
     # distinct hosts first: a hot host is one row from here on
     hosts = materialize(rows.select("host").distinct(), "url-hosts")
-    universe = hosts.select(F.explode(host_suffixes(F.col("host"))).alias("key"))
-    sent = shared(pages.sparkSession, build_cascade(universe, listed))
-
-    @F.pandas_udf(T.BooleanType())
-    def any_listed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = sent()
-        for keys in batches:
-            sizes = keys.str.len().to_numpy(np.int64)
-            if not len(sizes):
-                yield pd.Series([], dtype=bool)
-                continue
-            hits = own.listed(np.concatenate(keys.to_list()).astype(np.int64))
-            yield pd.Series(np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes) > 0)
-
-    hashes = F.transform(host_suffixes(F.col("host")), key_hash)
+    keys = hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("key"))
+    cascades, seed = build_cascades(keys.select("key"), listed)
+    if len(cascades) > 1:
+        bad = listed_keys(keys, cascades, seed).select("host").distinct().withColumn("listed", F.lit(True))
+        known = hosts.join(bad, "host", "left").select("host", F.coalesce("listed", F.lit(False)).alias("listed"))
+    else:
+        known = hosts.select("host", _any_listed(cascades[0], seed, hosts.sparkSession).alias("listed"))
+    known = materialize(known, "url-known")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: len(r[1] + r[2])):  # longer ones take precedence
         fits = _rule_fits(F.col("host"), F.col("path"), r)
         rule = F.when(fits, r[1] + r[2]).otherwise(rule)
         verdict = F.when(fits, r[0]).otherwise(verdict)
-    known = materialize(hosts.select("host", any_listed(hashes).alias("listed")), "url-known")
     return (
         spread_join(rows, known, ["host"])
         .withColumn("rule", rule)

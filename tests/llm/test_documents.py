@@ -1,6 +1,7 @@
 """Document operators on odd rows and against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -285,6 +286,41 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain_grams(text):
+    """The buckets of a text's n-grams, in integers modulo 2**32."""
+    m, low = 2**32 - 1, text.lower()
+    points = [ord(c) for c in low + "  "]
+    for at in range(len(low)):
+        mixed = 0
+        for order, factor in zip((1, 2, 3), (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=True):
+            mixed = ((mixed ^ (mixed >> 15)) * 0x2C1B3C6D + points[at + order - 1] * factor) & m
+            h = (mixed + order) * 0x27D4EB2F & m
+            yield ((h ^ (h >> 13)) * 0x165667B1 & m) >> 17
+
+
+def test_language_equals_plain_bayes(spark, data):
+    """Prediction and posterior of every row, by counting and adding one by one."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()
+    teaches = lambda r: zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 4 != 2 and r.lang is not None
+    letters = lambda t: bool(t) and any(map(str.isalpha, t))
+    counts, rows = {}, Counter()
+    for r in docs:
+        if teaches(r) and letters(r.text):
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+            rows[r.lang] += 1
+    smooth = {lang: own.total() + 0.5 * 2**15 for lang, own in counts.items()}
+    got = {r.doc_id: r for r in langid.op9(spark, data).collect()}
+    for r in docs:
+        if not letters(r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        own = Counter(plain_grams(r.text))
+        odds = {lang: math.log(rows[lang] / rows.total()) + sum(k * math.log((c[b] + 0.5) / smooth[lang]) for b, k in own.items()) for lang, c in counts.items()}
+        best = max(odds, key=odds.get)
+        assert got[r.doc_id].lang_pred == best
+        assert abs(got[r.doc_id].score - 1 / sum(math.exp(o - odds[best]) for o in odds.values())) < 1e-3
+
+
 def test_language_of_odd_texts(spark):
     docs = odd_documents(spark)
     got = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text"), langid.train(docs)).collect()}

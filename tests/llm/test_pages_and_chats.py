@@ -91,14 +91,45 @@ def test_rules_and_hosts(spark):
 def test_cascade_is_exact(spark, step):
     universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = spark.range(0, 6000, step).select(F.concat(F.lit("k"), "id").alias("key"))
-    cascade = urlfilter.build_cascade(universe, listed)
+    (cascade,), _ = urlfilter.build_cascades(universe, listed)
     rows = universe.withColumn("h", urlfilter.key_hash(F.col("key"))).toPandas()
     assert (cascade.listed(rows["h"].to_numpy()) == (rows["key"].str[1:].astype(int) % step == 0)).all()
 
 
+def test_many_cascades_and_equal_hashes(spark, monkeypatch):
+    """A list beyond a level's bits, and a hash that is equal for most keys at first."""
+    universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = spark.range(0, 4000, 3).select(F.concat(F.lit("k"), "id").alias("key"))
+    monkeypatch.setattr(urlfilter, "MAX_BITS", 4096)
+    plain = urlfilter.key_hash
+    monkeypatch.setattr(urlfilter, "key_hash", lambda key, seed=0: plain(key, seed) if seed > 1 else F.lit(seed + 5).cast("long") + 0 * F.length(key))
+    cascades, seed = urlfilter.build_cascades(universe, listed)
+    assert len(cascades) == 4 and seed == 2
+    got = {int(r.key[1:]) for r in urlfilter.listed_keys(universe, cascades, seed).collect()}
+    assert got == set(range(0, 3000, 3))
+
+
+@pytest.mark.parametrize("bits", [1 << 30, 64])
+def test_a_list_as_large_as_the_universe(spark, data, monkeypatch, bits):
+    """Hosts and parent domains of the pages themselves, by a hash, with one cascade and
+    with many, against plain Python."""
+    monkeypatch.setattr(urlfilter, "MAX_BITS", bits)
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    host, _ = urlfilter.split_url(F.col("url"))
+    keys = pages.select(F.explode(urlfilter.host_suffixes(host)).alias("key")).distinct()
+    listed = keys.filter("pmod(crc32(CAST(key AS binary)), 3) = 0")
+    wanted = {r.key for r in listed.collect()}
+    got = urlfilter.judge_urls(pages, listed, rules=()).collect()
+    assert wanted and len(got) == pages.count()
+    for r in got:
+        labels = r.host.split(".")
+        assert r.listed == any(".".join(labels[i:]) in wanted for i in range(len(labels)))
+        assert r.verdict == ("block" if r.listed else "allow")
+
+
 def test_empty_list_blocks_nothing(spark):
     universe = spark.range(50).select(F.col("id").cast("string").alias("key"))
-    cascade = urlfilter.build_cascade(universe, universe.filter("false"))
+    (cascade,), _ = urlfilter.build_cascades(universe, universe.filter("false"))
     hashes = universe.select(urlfilter.key_hash(F.col("key")).alias("h")).toPandas()["h"].to_numpy()
     assert not cascade.listed(hashes).any()
 

@@ -242,7 +242,7 @@ def test_stages_leave_no_tables_behind(spark, data):
     before = set(common._LEFT)
     for _, stage in corpus_pipeline.STAGES[:4]:
         stage(spark, docs, data).count()
-    corpus_pipeline.sweep(corpus_pipeline._LEFT)
+    corpus_pipeline.sweep(corpus_pipeline._LEFT.paths)
     assert set(common._LEFT) <= before
 
 
