@@ -13,6 +13,7 @@ of any names, as their docstrings say.
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 from pyspark.sql import DataFrame
@@ -25,17 +26,24 @@ from pricewright.llm.packing import packed_pieces
 from pricewright.llm.quality import classify
 from pricewright.llm.rules import judge
 
-#: Tables that the stages so far have left.
-_LEFT: list[str] = []
+
+class _Left(threading.local):
+    """Tables that the stages so far have left, of each thread's own run."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_LEFT = _Left()
 
 
 def _stage(function):
     @wraps(function)
     def run_stage(spark, docs, sf_dir):
-        sweep(_LEFT)
+        sweep(_LEFT.paths)
         with scratch_tables() as own:
             found = function(spark, docs, sf_dir)
-        _LEFT.extend(own)
+        _LEFT.paths.extend(own)
         return found
 
     return run_stage
@@ -60,10 +68,11 @@ def quality_classifier(spark, docs, sf_dir) -> DataFrame:
 @_stage
 def near_duplicates(spark, docs, sf_dir) -> DataFrame:
     """Keep one row of each group of near duplicates: that of the least doc_id (null
-    last), of equals any one. Rows without words are near to nothing and stay."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*[docs[c] for c in docs.columns]).alias("carried"))
+    last), of equals that of the least hash over all columns, so that another order of
+    the same rows keeps the same. Rows without words are near to nothing and stay."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("digest"), F.struct(*[docs[c] for c in docs.columns]).alias("carried"))
     rows = materialize(rows, "pipeline-rows")
-    row_id = F.struct(F.col("carried.doc_id").isNull().alias("no_id"), F.col("carried.doc_id").alias("id"), "row_no")
+    row_id = F.struct(F.col("carried.doc_id").isNull().alias("no_id"), F.col("carried.doc_id").alias("id"), "digest", "row_no")
     found = jaccard_components(rows.select(row_id.alias("doc_id"), F.col("carried.text").alias("text")))
     kept = found.filter(F.col("doc_id.row_no") == F.col("component_id.row_no")).select("doc_id.row_no")
     return rows.join(kept, "row_no", "left_semi").select("carried.*")
