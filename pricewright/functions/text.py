@@ -22,6 +22,11 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
+def folded(words) -> list[str]:
+    """Dictionary words with their letter forms folded, each once, in order."""
+    return list(dict.fromkeys(w.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO)) for w in words))
+
+
 def strip_article(word: Column) -> Column:
     return F.regexp_replace(word, ARTICLE, "")
 

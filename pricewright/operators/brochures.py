@@ -122,7 +122,7 @@ def brochures_of_offers(offers: DataFrame, brochures: DataFrame, pages: DataFram
 def landings(offers: DataFrame, brochures: DataFrame, pages: DataFrame, spots: DataFrame) -> DataFrame:
     """Offers with the page of their brochure to open on (``page``): the index they
     name if it is there, else that of the page they name, else the first page with a
-    spot of theirs; null if none is certain, and for brochures that are no images."""
+    spot of theirs (spots on pages that the brochure lacks lead nowhere); null if none is certain, and for brochures that are no images."""
     found = brochures_of_offers(offers, brochures, pages)
     images = brochures.filter("source_type = 'images'").select(F.col("id").alias("held"), F.lit(True).alias("_images"))
     found = spread_join(found, images, ["held"], "left")
@@ -130,6 +130,7 @@ def landings(offers: DataFrame, brochures: DataFrame, pages: DataFrame, spots: D
     rows = found.withColumns({"_index": _keyed(held, F.col("page_index")), "_page": _keyed(held, F.col("page_ref")), "_spot": _keyed(held, F.col("offer_id"))})
     none = F.lit(None).cast("string")
     places = pages.select("index", _keyed(F.col("brochure_id"), F.col("index")).alias("by_index"), _keyed(F.col("brochure_id"), F.col("page_id")).alias("by_page"), none.alias("by_spot"))
+    spots = spots.join(pages.select("brochure_id", "index").distinct(), ["brochure_id", "index"], "left_semi")
     places = places.unionByName(spots.select("index", none.alias("by_index"), none.alias("by_page"), _keyed(F.col("brochure_id"), F.col("offer_id")).alias("by_spot")))
     keys = [("_index", "by_index"), ("_page", "by_page"), ("_spot", "by_spot")]
     rows = rows.withColumnRenamed("matched_by", "_step")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import matching
+from ..functions.columns import first_where, strings
 from ..functions.lexicon import Lexicon
 from .lists import near_size
 from .merge import upsert
@@ -90,27 +91,33 @@ def source_scope(saved: Column, known: Column, sources: Column) -> Column:
     return F.when(saved.isNull(), sources).otherwise(F.array_union(F.array_intersect(sources, saved), new))
 
 
+#: A watch's gates, in order.
+GATES = ("no-price", "relevance", "size", "name")
+
+
 def watch_candidates(pairs: DataFrame, lexicon: Lexicon, floor: float = CANDIDATE_FLOOR) -> DataFrame:
     """Offers that can be a watch's product, with the reason for the others: ``pairs``
     has watch_id, q, it, ord, price, source, size, own_size. In order: no price, too
     little relevance, another size (±25%), a flyer offer that lacks a word by name."""
     q, it = F.col("q"), F.col("it")
-    reason = (
-        F.when(F.col("price").isNull(), "no-price")
-        .when(matching.relevance(q, it, lexicon) < floor, "relevance")
-        .when(~near_size(F.col("own_size"), F.col("size")), "size")
-        .when((F.col("source") == "flyer") & ~matching.is_primary(q, it), "name")
+    fails = (
+        F.col("price").isNull(),
+        matching.relevance(q, it, lexicon) < floor,
+        ~near_size(F.col("own_size"), F.col("size")),
+        (F.col("source") == "flyer") & ~matching.is_primary(q, it),
     )
-    return pairs.withColumn("reason", reason)
+    return pairs.withColumn("reason", first_where([(f, F.lit(g)) for f, g in zip(fails, GATES, strict=True)]))
 
 
 def evaluated_watches(judged: DataFrame, watches: DataFrame) -> DataFrame:
     """Watches with the cheapest candidate and whether this check fires: the price is
-    at or under the target and was not at the last check that had one. A check without
+    at or under the target and was not at the last check that had one. Without one, the
+    resolution is the gate that its best candidate failed: the last that any came to. A check without
     a candidate leaves the state as it was. Needs target, below; gives price, best,
     fires, below, resolution."""
     best = judged.filter("reason IS NULL").groupBy("watch_id").agg(F.min(F.struct("price", "ord")).alias("_best"))
-    first = judged.filter("reason IS NOT NULL").groupBy("watch_id").agg(F.min(F.struct((-F.lit(1)).alias("k"), "reason"))["reason"].alias("_why"))
+    far = F.array_position(strings(GATES), F.col("reason"))
+    first = judged.filter("reason IS NOT NULL").groupBy("watch_id").agg(F.max_by("reason", far).alias("_why"))
     rows = watches.join(best, "watch_id", "left").join(first, "watch_id", "left")
     under = F.col("_best.price") <= F.col("target") + 1e-9
     was = F.coalesce(F.col("below"), F.lit(False))

@@ -91,10 +91,13 @@ def in_collections(offers: DataFrame, collections: DataFrame, calendar: DataFram
     it shows on that window's days (calendar: window, first, last) only."""
     open_ = calendar.filter((today >= F.col("first")) & (today <= F.col("last"))).select("window").distinct()
     shown = collections.filter("window IS NULL").unionByName(collections.join(open_, "window", "left_semi"))
-    by_aisle = shown.filter("aisles IS NOT NULL").withColumn("_aisle", F.explode("aisles"))
+    by_aisle = shown.filter("aisles IS NOT NULL").withColumn("_aisle", F.explode(F.array_distinct("aisles")))
     fits = F.col("families").isNull() | F.array_contains("families", F.col("family"))
     aisled = offers.join(by_aisle, offers["aisle"] == by_aisle["_aisle"]).drop("_aisle")
-    by_family = shown.filter("aisles IS NULL AND families IS NOT NULL").withColumn("_family", F.explode("families"))
+    by_family = shown.filter("aisles IS NULL AND families IS NOT NULL").withColumn("_family", F.explode(F.array_distinct("families")))
     named = offers.join(by_family, offers["family"] == by_family["_family"]).drop("_family")
+    # those of any aisle and family are one array, a row of each offer for each of them
+    every = shown.filter("aisles IS NULL AND families IS NULL").agg(F.collect_set("collection")).scalar()
+    whole = offers.withColumn("collection", every).withColumn("collection", F.explode("collection"))
     columns = [*offers.columns, "collection"]
-    return aisled.filter(fits).select(*columns).unionByName(named.select(*columns))
+    return aisled.filter(fits).select(*columns).unionByName(named.select(*columns)).unionByName(whole.select(*columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,26 +61,38 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
     return near.join(far, [*keys, "_bucket"]).filter(high - low <= share * high).drop("_bucket")
 
 
-def boxes_hit(points: DataFrame, boxes: DataFrame, page: str, least: float, cells: int = 8) -> DataFrame:
+#: The finest grid has 2 ** FINEST cells a side.
+FINEST = 12
+
+
+def boxes_hit(points: DataFrame, boxes: DataFrame, page: str, least: float) -> DataFrame:
     """Per point (id, page, px, py) the box it hits: a direct hit before one in the
     box widened to ``least``, then the smaller box, then the first. Boxes (box_id, x,
-    y, w, h; page fractions) are dealt to grid cells, so points meet only near ones. Of
-    boxes alike in page and place only the first can be hit, so only it is dealt."""
+    y, w, h; page fractions) are dealt to the cells of a grid as fine as the box is
+    small, so each lies in four cells at most; a point asks its cell in every grid that
+    its page has, and meets only boxes about as large as the cell. Of boxes alike in page
+    and place only the first can be hit, so only it is dealt."""
     boxes = boxes.groupBy(page, "x", "y", "w", "h").agg(F.min("box_id").alias("box_id"))
     wide, tall = F.greatest("w", F.lit(least)), F.greatest("h", F.lit(least))
     boxes = boxes.withColumns(
         {"x0": F.col("x") + F.col("w") / 2 - wide / 2, "y0": F.col("y") + F.col("h") / 2 - tall / 2, "ww": wide, "hh": tall}
     )
+    side = F.greatest("ww", "hh")
+    grid = F.when(side > 0, F.greatest(F.least(F.floor(-F.log2(side)), F.lit(FINEST)), F.lit(0))).otherwise(FINEST).cast("int")
+    boxes = boxes.withColumn("grid", grid)
 
     def cell(c: Column) -> Column:
-        return F.least(F.greatest(F.floor(c * cells), F.lit(0)), F.lit(cells - 1))
+        cells = F.expr("shiftleft(1, grid)")
+        return F.least(F.greatest(F.floor(c * cells), F.lit(0)), cells - 1)
 
-    dealt = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x0") + F.col("ww"))))).withColumn(
-        "cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y0") + F.col("hh"))))
-    )
+    over = lambda a, w: F.explode(F.sequence(cell(F.col(a)), cell(F.col(a) + F.col(w))))
+    dealt = boxes.withColumn("cx", over("x0", "ww")).withColumn("cy", over("y0", "hh"))
+    grids = boxes.groupBy(page).agg(F.collect_set("grid").alias("grids"))  # at most FINEST + 1 a page
+    points = spread_join(points, grids, [page]).withColumn("grid", F.explode("grids")).drop("grids")
     points = points.withColumn("cx", cell(F.col("px"))).withColumn("cy", cell(F.col("py")))
     inside = lambda p, a, w: (F.col(p) >= F.col(a)) & (F.col(p) <= F.col(a) + F.col(w))
-    pairs = points.join(dealt, [page, "cx", "cy"]).filter(inside("px", "x0", "ww") & inside("py", "y0", "hh"))
+    pairs = points.join(dealt, [page, "grid", "cx", "cy"]).filter(inside("px", "x0", "ww") & inside("py", "y0", "hh"))
     pairs = pairs.withColumn("direct", inside("px", "x", "w") & inside("py", "y", "h"))
-    order = Window.partitionBy("id").orderBy(F.col("direct").desc(), F.col("w") * F.col("h"), "box_id")
-    return pairs.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").select("id", page, "box_id", "direct")
+    order = F.struct((~F.col("direct")).alias("halo"), (F.col("w") * F.col("h")).alias("area"), "box_id")
+    best = pairs.groupBy("id", page).agg(F.min(order).alias("best"))
+    return best.select("id", page, "best.box_id", (~F.col("best.halo")).alias("direct"))

@@ -1,10 +1,11 @@
 """Offer search: which products have a word of a query, found by keys.
 
 A query word matches a product word whole, a word's beginning (from four letters) or
-any place in the text (from five). Each of these has keys that both sides must have: the
-word, its first four letters, five letters in a row. So queries and products meet in an
-equi-join of keys, only pairs with a key in common are looked at, and products without
-one are never paired.
+any place in the text (from five). So a product that matches a word of five letters or
+more has each five letters in a row of it, one of four has a word that begins with it,
+and a shorter one stands there whole. These are the index's keys. A query asks for each
+word by one key only, that of the fewest products among all that a match must have;
+products without it are never paired, and what the key brings is then confirmed.
 """
 
 from __future__ import annotations
@@ -34,20 +35,36 @@ def item_keys(it: Column) -> Column:
 
     def keys(it):
         words = F.concat(it["words"], it["brand_words"])
-        long = F.filter(words, lambda w: F.length(w) >= start)
-        beginnings = F.transform(long, lambda w: F.substr(w, F.lit(1), F.lit(start)))
-        return F.concat(_tagged("w", words), _tagged("p", beginnings), _tagged("g", _grams(it["text"], inside)), _tagged("g", _grams(it["brand_text"], inside)))
+        beginnings = F.transform(F.filter(words, lambda w: F.length(w) >= start), lambda w: F.substr(w, F.lit(1), F.lit(start)))
+        short = F.filter(words, lambda w: F.length(w) < start)
+        return F.concat(_tagged("w", short), _tagged("p", beginnings), _tagged("g", _grams(it["text"], inside)), _tagged("g", _grams(it["brand_text"], inside)))
 
     return F.array_distinct(let(it, keys))
 
 
 def query_keys(q: Column) -> Column:
-    """The keys of which a matching product has at least one: each word that a token may
-    be, its beginning, or its first letters if it may stand inside."""
+    """For each word that a token may be, the keys that a matching product must all
+    have: array of (word, keys)."""
     start, inside = matching.LEAST_START, matching.LEAST_INSIDE
-    first = lambda ws, n: F.transform(F.filter(ws, lambda v: F.length(v) >= n), lambda v: F.substr(v, F.lit(1), F.lit(n)))
-    keys = lambda ws: F.concat(_tagged("w", ws), _tagged("p", first(ws, start)), _tagged("g", first(ws, inside)))
-    return F.array_distinct(let(F.array_distinct(F.flatten(q["variants"])), keys))
+
+    def choice(v):
+        keys = F.when(F.length(v) < start, _tagged("w", F.array(v))).when(F.length(v) < inside, _tagged("p", F.array(v))).otherwise(_tagged("g", _grams(v, inside)))
+        return F.struct(v.alias("word"), F.array_distinct(keys).alias("keys"))
+
+    words = F.array_distinct(F.flatten(q["variants"]))
+    return F.transform(F.filter(words, lambda v: v != ""), choice)
+
+
+def key_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, ord: the products that have the rarest key of a word of a query. The
+    index holds only keys that some query may ask for; it is written once, counted, and
+    then asked."""
+    asked = queries.select("query_id", F.explode(query_keys(F.col("q"))).alias("w")).select("query_id", "w.word", F.explode("w.keys").alias("_key"))
+    keyed = items.select("ord", F.explode(item_keys(F.col("it"))).alias("_key"))
+    keyed = materialize(keyed.join(asked.select("_key").distinct(), "_key", "left_semi"), "search-keys")
+    counted = asked.join(keyed.groupBy("_key").agg(F.count("*").alias("n")), "_key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("query_id", "word").agg(F.min(F.struct("n", "_key")).alias("k")).filter("k.n > 0")
+    return keyed.join(rarest.select("query_id", "k._key").distinct(), "_key").select("query_id", "ord").distinct()
 
 
 def candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -55,10 +72,7 @@ def candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
     word of theirs: the columns of both, a row per pair. A query without words has
     none. The analyses are written to scratch, for they are read twice."""
     items, queries = materialize(items, "search-items"), materialize(queries, "search-queries")
-    asked = queries.select("query_id", F.explode(query_keys(F.col("q"))).alias("_key"))
-    keyed = items.select("ord", F.explode(item_keys(F.col("it"))).alias("_key"))
-    pairs = keyed.join(asked, "_key").select("query_id", "ord").distinct()
-    both = spread_join(pairs.join(items, "ord"), queries, ["query_id"])
+    both = spread_join(key_pairs(queries, items).join(items, "ord"), queries, ["query_id"])
     return both.filter(F.exists(matching.token_tiers(F.col("q"), F.col("it")), lambda t: t > 0))
 
 

@@ -140,7 +140,7 @@ FROM p LEFT JOIN s USING (id) GROUP BY l_suppkey"""
 
 def collections(spark, d):
     shelves = spark.createDataFrame(
-        [("cold-things", ["1", "2"], ["fastener"], None), ("tools", None, ["tool"], None), ("summer", ["3"], None, "june"), ("winter", ["4"], None, "december")],
+        [("cold-things", ["1", "2"], ["fastener"], None), ("tools", None, ["tool"], None), ("summer", ["3"], None, "june"), ("winter", ["4"], None, "december"), ("all", None, None, None)],
         "collection string, aisles array<string>, families array<string>, window string",
     )
     days = spark.createDataFrame([("june", "1998-06-01", "1998-06-30"), ("june", "1998-06-10", "1998-06-20"), ("december", "1998-12-01", "1998-12-31")], "window string, first string, last string")
@@ -151,17 +151,19 @@ def collections(spark, d):
 
 COLLECTIONS = f"""WITH p AS (SELECT p_partkey, p_partkey % 6 AS aisle, {NOUN} AS fam FROM part)
 SELECT 'cold-things' AS collection, p_partkey FROM p WHERE aisle IN (1, 2) AND fam = 'fastener' UNION ALL SELECT 'tools', p_partkey FROM p WHERE fam = 'tool'
-UNION ALL SELECT 'summer', p_partkey FROM p WHERE aisle = 3"""
+UNION ALL SELECT 'summer', p_partkey FROM p WHERE aisle = 3 UNION ALL SELECT 'all', p_partkey FROM p"""
 
 
 # watches and profiles
 
 
 def watch_checks(spark, d):
-    """A check of a watch for each query, of 8 pieces and with a target."""
+    """A check of a watch for each query, of 8 pieces and with a target; no product has
+    the size of watch 5, and none has a price for watch 8."""
     rows = items_of(spark, d).withColumns({"source": F.when(F.col("kind") == "PROMO", "flyer").otherwise("online"), "size": size.parse_size(F.concat(F.col("pieces").cast("string"), F.lit(" kg"))), "price": F.when(F.col("ord") % 9 != 0, F.col("price"))})
     found = search.candidates(matching.with_query(queries(spark), PARTS), matching.with_item(rows, PARTS))
-    pairs = found.withColumn("watch_id", F.col("query_id")).withColumn("own_size", size.parse_size(F.lit("8 kg")))
+    own = F.when(F.col("query_id") == 5, "900 kg").otherwise("8 kg")
+    pairs = found.withColumn("watch_id", F.col("query_id")).withColumn("own_size", size.parse_size(own)).withColumn("price", F.when(F.col("query_id") != 8, F.col("price")))
     judged = profiles.watch_candidates(pairs, PARTS).select("watch_id", "ord", "price", "reason")
     watches = queries(spark).select(F.col("query_id").alias("watch_id"), F.when(F.col("query_id") < 4, 10000.0).otherwise(1.0).alias("target"), (F.col("query_id") == 2).alias("below"))
     return profiles.evaluated_watches(judged, watches).select("watch_id", "price", F.col("best").alias("p_partkey"), "fires", "below", "resolution")
@@ -170,10 +172,10 @@ def watch_checks(spark, d):
 WATCH_CHECKS = f"""WITH {_STAGED},
 r AS (SELECT *, CASE WHEN n = 1 THEN 100.0 ELSE (CASE WHEN a1 OR b1 THEN 100 ELSE 0 END + CASE WHEN a2 OR b2 THEN 100 ELSE 0 END) / 2.0
   * (0.5 + 0.5 * (CAST(a1 OR b1 AS INT) + CAST(a2 OR b2 AS INT)) / 2.0) END AS rel FROM staged),
-j AS (SELECT *, CASE WHEN p_partkey % 9 = 0 THEN 'no-price' WHEN rel < 50 THEN 'relevance' WHEN abs(p_size - 8) > 2 THEN 'size'
+j AS (SELECT *, CASE WHEN p_partkey % 9 = 0 OR query_id = 8 THEN 'no-price' WHEN rel < 50 THEN 'relevance' WHEN query_id = 5 OR abs(p_size - 8) > 2 THEN 'size'
   WHEN p_type = 'PROMO' AND n > 1 AND NOT ((a1 OR b1) AND (a2 OR b2)) THEN 'name' END AS reason FROM r),
 b AS (SELECT query_id, min(p_retailprice) AS price, min_by(p_partkey, (p_retailprice, p_partkey)) AS p_partkey FROM j WHERE reason IS NULL GROUP BY 1),
-y AS (SELECT query_id, min(reason) AS why FROM j WHERE reason IS NOT NULL GROUP BY 1),
+y AS (SELECT query_id, max_by(reason, list_position(['no-price', 'relevance', 'size', 'name'], reason)) AS why FROM j WHERE reason IS NOT NULL GROUP BY 1),
 w AS (SELECT i AS watch_id, CASE WHEN i < 4 THEN 10000.0 ELSE 1.0 END AS target, i = 2 AS was FROM range(1, 9) t(i))
 SELECT CAST(watch_id AS INT) AS watch_id, price, p_partkey, coalesce(price <= target + 1e-9 AND NOT was, false) AS fires, coalesce(price <= target + 1e-9, was) AS below,
   CASE WHEN p_partkey IS NOT NULL THEN 'resolved' ELSE coalesce(why, 'no-candidate') END AS resolution

@@ -154,6 +154,59 @@ def test_search_by_beginnings_and_insides(spark):
     assert sorted((r.query_id, r.ord) for r in pairs.select("query_id", "ord").collect()) == [(1, 1), (2, 2), (2, 3)]
 
 
+def test_a_query_word_asks_by_its_rarest_key(spark):
+    """The beginning is common and the word is not: only products with the word's rarest
+    letters are paired, however many have its beginning."""
+    rows = [(i, "Milk water" if i % 2 else "Fresh milks", "Shaker") for i in range(600)] + [(1000 + i, f"Big milkshake {i}", "") for i in range(3)]
+    items = matching.with_item(spark.createDataFrame(rows, "ord int, name string, brand string"), GROCERY)
+    asked = matching.with_query(spark.createDataFrame([(1, "milkshake"), (2, "milkshakes")], "query_id int, query string"), GROCERY)
+    assert sorted(tuple(r) for r in search.key_pairs(asked, items).collect()) == [(1, 1000), (1, 1001), (1, 1002)]
+    assert sorted((r.query_id, r.ord) for r in search.candidates(asked, items).collect()) == [(1, 1000), (1, 1001), (1, 1002)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_candidates_equal_every_pair(spark, seed):
+    """By looking at all pairs: words of one to eight letters, brands, synonyms."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["milk", "حليب", "rice", "egg", "eggs", "".join(rng.choice("ab") for _ in range(rng.randint(1, 8)))])
+    text = lambda n: " ".join(word() for _ in range(rng.randint(0, n)))
+    items = spark.createDataFrame([(i, text(4), text(2)) for i in range(60)], "ord int, name string, brand string")
+    asked = spark.createDataFrame([(i, text(3)) for i in range(30)], "query_id int, query string")
+    q, it = matching.with_query(asked, GROCERY).select("query_id", "q"), matching.with_item(items, GROCERY).select("ord", "it")
+    every = q.crossJoin(it).filter(F.exists(matching.token_tiers(F.col("q"), F.col("it")), lambda t: t > 0))
+    want = {(r.query_id, r.ord) for r in every.collect()}
+    got = [(r.query_id, r.ord) for r in search.candidates(q, it).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_collections_without_limits_have_every_offer(spark):
+    offers = spark.createDataFrame([(1, "a", "f"), (2, None, None), (2, None, None)], "ord int, aisle string, family string")
+    shelves = spark.createDataFrame([("all", None, None, None), ("then", None, None, "june"), ("a", ["a", "a"], None, None), ("f", None, ["f", "f"], None)], "collection string, aisles array<string>, families array<string>, window string")
+    days = spark.createDataFrame([], "window string, first date, last date")
+    got = rails.in_collections(offers, shelves, days, F.lit("2024-01-01").cast("date")).collect()
+    assert sorted((r.collection, r.ord) for r in got) == [("a", 1), ("all", 1), ("all", 2), ("all", 2), ("f", 1)]
+
+
+def test_spots_on_missing_pages_lead_nowhere(spark):
+    held = spark.createDataFrame([(1, "s", "r", "e", "images", None)], "id long, store string, region string, edition string, source_type string, source_url string")
+    pages = spark.createDataFrame([(1, 2, "p2")], "brochure_id long, index int, page_id string")
+    spots = spark.createDataFrame([(1, 1, 7), (1, 2, 8)], "brochure_id long, index int, offer_id long")
+    offers = spark.createDataFrame([(7, "s", "r", 1, None, None, None, None), (8, "s", "r", 1, None, None, None, None)], "offer_id long, store string, region string, brochure_id long, edition string, flyer_ref string, page_ref string, page_index int")
+    assert {r.offer_id: r.page for r in brochures.landings(offers, held, pages, spots).collect()} == {7: None, 8: 2}
+
+
+def test_processing_words_are_trusted(spark):
+    rows = [("tinned",), ("مجمده",), ("xyzzy",)]
+    trusted = names.is_trusted(F.col("w"), F.array().cast("array<string>"), GROCERY)
+    assert column(spark, rows, "w string", trusted) == [True, True, False]
+
+
+def test_a_watch_names_the_gate_that_its_best_candidate_failed(spark):
+    judged = spark.createDataFrame([(1, 1, None, "no-price"), (1, 2, 5.0, "size"), (1, 3, 5.0, "relevance"), (2, 4, None, "no-price")], "watch_id int, ord int, price double, reason string")
+    watches = spark.createDataFrame([(1, 9.0, None), (2, 9.0, None), (3, 9.0, None)], "watch_id int, target double, below boolean")
+    assert {r.watch_id: r.resolution for r in profiles.evaluated_watches(judged, watches).collect()} == {1: "size", 2: "no-price", 3: "no-candidate"}
+
+
 def test_names_of_one_word_have_no_history(spark):
     none = F.lit(None)
     size = F.struct(none.cast("string").alias("unit"), none.cast("double").alias("total"))

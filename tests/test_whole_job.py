@@ -1,6 +1,7 @@
 """Queries against brute force."""
 
 import datetime as dt
+import random
 
 from pricewright.operators import resolve
 from pricewright.plans import queries as plans
@@ -45,6 +46,17 @@ def test_equal_boxes_give_the_first(spark):
     assert got == hits(points, boxes) == {1: (0, 3, True), 2: (1, 4, True)}
 
 
+def test_crowded_pages(spark):
+    """Boxes of all sizes, many on one spot, against every pair."""
+    rng = random.Random(8)
+    points = [(i, rng.randint(0, 1), rng.random() ** 2, rng.random()) for i in range(300)]
+    boxes = [(rng.randint(0, 1), i, rng.random() ** 2, rng.random(), rng.choice((0.0, 0.001, 0.01, 0.2, 1.5)) * rng.random(), 0.05 * rng.random()) for i in range(2500)]
+    p = spark.createDataFrame(points, "id int, page int, px double, py double").repartition(3)
+    b = spark.createDataFrame(boxes, "page int, box_id int, x double, y double, w double, h double")
+    got = {r.id: (r.page, r.box_id, r.direct) for r in resolve.boxes_hit(p, b, "page", 0.004).collect()}
+    assert got == hits(points, boxes, 0.004)
+
+
 def write_listings(spark, path, rows):
     """rows: order, line, product, store, quantity, price before discount, discount, day."""
     columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp"
