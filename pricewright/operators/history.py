@@ -56,11 +56,16 @@ def _last(value: str, order: list[str]) -> Column:
     return F.max_by(value, F.struct(*order))
 
 
-def change_points(rows: DataFrame, per: list[str], order: list[str], price: str) -> DataFrame:
-    """Only the observations at which the price differs from the one before."""
+def with_previous(rows: DataFrame, per: list[str], order: list[str], price: str, point: str) -> DataFrame:
+    """+ previous: the price before, and whether a row is a ``point``: differs from it."""
     rows = carried(segmented(rows, per, order), per, _price=(_last(price, order), "last"))
     rows = rows.withColumn("previous", row_before(F.col(price), "_price", order)).drop("_price", "_segment")
-    return rows.filter(F.col("previous").isNull() | (F.col("previous") != F.col(price)))
+    return rows.withColumn(point, F.col("previous").isNull() | F.coalesce(F.col("previous") != F.col(price), F.lit(False)))
+
+
+def change_points(rows: DataFrame, per: list[str], order: list[str], price: str) -> DataFrame:
+    """Only the observations at which the price differs from the one before."""
+    return with_previous(rows, per, order, price, "_point").filter("_point").drop("_point")
 
 
 def _with_lows(rows: DataFrame, order: list[str], price: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.history import change_points
+from ..operators.history import with_previous
+from ..sources.store import StateTable
 
 
 def event_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -63,26 +64,45 @@ def windowed_lows(events: DataFrame, length: str, lateness: str, key: str = "use
     )
 
 
-#: Parts in which observations lie, by a hash of their identity.
+#: Parts in which a history lies, by a hash of the identity.
 BUCKETS = 64
 
 
-def merge_history(history_path: str, per: list[str], order: list[str], price: str):
-    """A ``foreachBatch`` writer of the observations from which ``current_history``
-    derives the points. A batch writes its own rows only, below its own number, so one
-    that comes again replaces itself; late rows are observations like others. Rows lie
-    in buckets by identity."""
+def merge_history(history_path: str, per: list[str], order: list[str], price: str, lateness: float | None = None):
+    """A ``foreachBatch`` writer of a change-only history.
+
+    A batch reads and writes only the buckets of its identities: their rows and its own
+    are ordered together, and each is marked as a point or not, so late rows make the
+    points that they should and a batch that comes again changes nothing. With
+    ``lateness`` (in units of the first order column) observations older than that
+    against the newest of their identity are closed: of these only points are held, and
+    later arrivals among them are dropped. Without it all are held, for any order of
+    arrival."""
+    first, columns = order[0], list(dict.fromkeys([*per, *order, price]))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*dict.fromkeys([*per, *order, price])).distinct()
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*per), F.lit(BUCKETS)).cast("int"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{history_path}/batch={batch_id}")
+        rows = batch.select(*columns).distinct()
+        table = StateTable(batch.sparkSession, history_path, keys=tuple(per), buckets=BUCKETS)
+
+        def step(held: DataFrame | None) -> DataFrame:
+            new = rows
+            if held is not None and lateness is not None:
+                newest = held.groupBy(*per).agg(F.max(first).alias("_newest"))
+                open_ = F.col("_newest").isNull() | (F.col(first) >= F.col("_newest") - lateness)
+                new = rows.join(newest, per, "left").filter(open_).select(*columns)
+            every = new if held is None else held.select(*columns).union(new).distinct()
+            marked = with_previous(every, per, order, price, "point")
+            if lateness is None:
+                return marked
+            newest = every.groupBy(*per).agg(F.max(first).alias("_newest"))
+            return marked.join(newest, per).filter(F.col("point") | (F.col(first) >= F.col("_newest") - lateness)).drop("_newest")
+
+        table.change(step, rows)
 
     return write
 
 
 def current_history(spark, history_path: str, per: list[str], order: list[str], price: str) -> DataFrame:
-    """The change-only points of all observations so far: those at which the price
-    differs from the one before. An observation that came twice counts once."""
-    rows = spark.read.parquet(history_path).select(*dict.fromkeys([*per, *order, price])).distinct()
-    return change_points(rows, per, order, price).drop("previous")
+    """The change-only points so far: those at which the price differs from the one
+    before. A scan of the marked rows, however many batches have made them."""
+    return StateTable(spark, history_path, keys=tuple(per), buckets=BUCKETS).read().filter("point").select(*dict.fromkeys([*per, *order, price]))

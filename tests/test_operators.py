@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricewright.operators import grouping, merge, overlap, resolve, statistics, watch
 from pricewright.plans import queries as plans
 from pricewright.sources import listings
+from pricewright.sources.store import StateTable
 from pricewright.streaming import watches
 
 
@@ -164,6 +165,29 @@ def test_history_is_the_same_in_any_order_of_arrival(spark, tmp_path):
     assert sorted((r.k, r.day, r.price) for r in got) == want
 
 
+def test_closed_observations_leave_points_only(spark, tmp_path):
+    """Batches late by at most the bound give the batch twin's points from fewer rows."""
+    rng = random.Random(9)
+    rows = [(k, float(day), float(rng.randint(1, 2))) for k in range(4) for day in range(60)]
+    want, last = [], {}
+    for k, day, price in rows:
+        if last.get(k) != price:
+            want.append((k, day, price))
+        last[k] = price
+    rows.sort(key=lambda r: r[1] + rng.random() * 8)
+    path = str(tmp_path / "h")
+    write = watches.merge_history(path, ["k"], ["day"], "price", lateness=10.0)
+    make = lambda own: spark.createDataFrame(pd.DataFrame(own, columns=["k", "day", "price"]))
+    for i in range(4):
+        write(make(rows[i * 60 : i * 60 + 60]), i)
+    got = watches.current_history(spark, path, ["k"], ["day"], "price").collect()
+    assert sorted((r.k, r.day, r.price) for r in got) == want
+    held = StateTable(spark, path, keys=("k",), buckets=watches.BUCKETS).read()
+    assert held.filter("NOT point AND day < 45").count() == 0 < held.filter("NOT point").count()
+    write(make([(0, 3.0, 99.0)]), 9)  # far too late
+    assert watches.current_history(spark, path, ["k"], ["day"], "price").filter("price = 99").isEmpty()
+
+
 def test_upsert_takes_one_change_of_a_key_and_null_keys(spark):
     old = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
     new = spark.createDataFrame([(1, "c"), (1, "b"), (None, "m"), (3, "d")], "k int, v string")

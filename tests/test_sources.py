@@ -6,6 +6,8 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pricewright.sources import connectors
 from pricewright.sources.store import StateTable
 
@@ -61,6 +63,55 @@ def test_state_table_keeps_versions(spark, tmp_path):
     assert table.versions() == [1, 2] and table.read().count() == 1
 
 
+def test_two_writers_lose_no_change(spark, tmp_path):
+    """A second writer commits while the first is at work: in another bucket, where both
+    stand, and in the same, where the first makes its change again."""
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    table = StateTable(spark, str(tmp_path / "t"), "k int, v string", keys=("k",), buckets=4)
+    table.write(make([(i, "a") for i in range(40)]))
+    of = {r.k: r._bucket for r in table._bucket(table.read()).collect()}
+    other = next(k for k in of if of[k] != of[0])
+    same = next(k for k in of if k and of[k] == of[0])
+    for k in (other, same):
+        calls = []
+
+        def step(rows, k=k, calls=calls):
+            calls.append(k)
+            if len(calls) == 1:
+                second = StateTable(spark, table.path, table.schema, keys=("k",), buckets=4)
+                second.change(lambda own: own.withColumn("v", F.when(F.col("k") == k, F.concat("v", F.lit("2"))).otherwise(F.col("v"))), make([(k, "")]))
+            return rows.withColumn("v", F.when(F.col("k") == 0, F.concat("v", F.lit("1"))).otherwise(F.col("v")))
+
+        table.change(step, make([(0, "")]))
+        assert len(calls) == (1 if k == other else 2)
+    found = dict(tuple(r) for r in table.read().collect())
+    assert len(found) == 40 and (found[0], found[other], found[same]) == ("a11", "a2", "a2")
+
+
+def test_writers_at_once(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "k int, n int")
+    table = StateTable(spark, str(tmp_path / "t"), "k int, n int", keys=("k",), buckets=2)
+    table.write(make([(1, 0), (2, 0)]))
+    add = lambda rows: rows.withColumn("n", F.col("n") + 1)
+    writers = [threading.Thread(target=lambda: table.change(add, make([(1, 0), (2, 0)]), keep=100)) for _ in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert {tuple(r) for r in table.read().collect()} == {(1, 4), (2, 4)} and table.versions()[-1] == 4
+
+
+def test_a_change_writes_its_buckets_only(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    table = StateTable(spark, str(tmp_path / "t"), "k int, v string", keys=("k",), buckets=8)
+    table.write(make([(i, "a") for i in range(80)]))
+    before = table._newest()[1]["buckets"]
+    table.change(lambda rows: rows.filter("k <> 3"), make([(3, "")]))
+    after = table._newest()[1]["buckets"]
+    assert sum(before[b] != after.get(b) for b in before) == 1 and table.read().count() == 79
+    assert table.change(lambda rows: rows, make([])) == 1  # nothing touched, nothing written
+
+
 def test_the_winner_is_remembered_and_forgotten(spark, tmp_path):
     memory = connectors.StrategyMemory(StateTable(spark, str(tmp_path / "m"), connectors.StrategyMemory.SCHEMA))
     some, none = spark.range(2), spark.range(0)
