@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matching
 from ..functions.lexicon import Lexicon
+from . import pages
 
 #: Rows of the lists, and how far sizes may be apart.
 ELSEWHERE, SIMILAR, SIZE_SHARE, PAGE = 4, 10, 0.25, 24
@@ -67,28 +68,32 @@ def brands_in_order(brands: DataFrame, name: str) -> DataFrame:
     return brands.withColumn("letter", F.upper(F.substring(name, 1, 1))).withColumn("place", F.row_number().over(order))
 
 
-def browse_order(sort: str) -> list[Column]:
+def browse_keys(sort: str) -> list[tuple[str, str]]:
     """Sorts of a browse list: discount, price, newest or ending; then the key."""
-    share = F.col("discount").desc_nulls_last()
     keys = {
-        "discount": [share, F.col("price").asc()],
-        "price": [F.col("price").asc()],
-        "newest": [F.col("first_seen").desc_nulls_last()],
-        "ending": [F.col("valid_to").asc_nulls_last()],
+        "discount": [("discount", "desc"), ("price", "asc")],
+        "price": [("price", "asc")],
+        "newest": [("first_seen", "desc")],
+        "ending": [("valid_to", "asc")],
     }
     if sort not in keys:
         raise ValueError(f"no such sort: {sort}")
-    return [*keys[sort], F.col("ord").asc()]
+    return [*keys[sort], ("ord", "asc")]
 
 
-def browse_page(rows: DataFrame, filters: dict[str, str], sort: str = "discount", page: int = 0, size: int = PAGE) -> DataFrame:
-    """A page of the browse list: rows that have all of the filters' values, sorted.
-    Only the filters department, aisle, brand, store and family are known."""
+def browse_page(rows: DataFrame, filters: dict[str, str], sort: str = "discount", page: int = 0, size: int = PAGE, last: dict | None = None) -> DataFrame:
+    """A page of the browse list: rows that have all of the filters' values, in order.
+    Only the filters department, aisle, brand, store and family are known. Without
+    ``last`` the page of that number, else the one behind the row with these keys."""
     allowed = {"department", "aisle", "brand", "store", "family"}
     if unknown := set(filters) - allowed:
         raise ValueError(f"no such filter: {sorted(unknown)}")
     for name, value in filters.items():
         rows = rows.filter(F.col(name) == value)
+    keys = browse_keys(sort)
     if page < 0 or size < 1:
         raise ValueError("no such page")
-    return rows.orderBy(*browse_order(sort)).offset(page * size).limit(size)
+    if last is not None or page == 0:
+        return pages.next_page(rows, keys, size, last)
+    found = pages.numbered_pages(rows.withColumn("_list", F.lit(0)), ["_list"], keys, page * size + 1, (page + 1) * size, len(keys) - 1)
+    return found.drop("_list", "position")

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def registered() -> tuple[dict, dict]:
     """All queries, and the SQL of those that SQL can express."""
-    from . import flyers, market, oracles, queries, shelf, signals, words
+    from . import evidence, flyers, market, oracles, queries, shelf, signals, words
 
     found, sql = dict(queries.QUERIES), dict(oracles.SQL)
-    for part in (flyers, market, shelf, signals, words):
+    for part in (evidence, flyers, market, shelf, signals, words):
         found |= part.QUERIES
         sql |= part.SQL
     return found, sql

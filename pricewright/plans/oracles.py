@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import BASIS_CASES, SIZE_CASES
 from .tables import QUERIES as ASKED
 
 L = """l AS (SELECT *, l_extendedprice * (1 - l_discount) AS price,
@@ -168,9 +167,6 @@ SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, CAST(len(list_distinct(t)) AS IN
     "form_keyword": f"SELECT p_partkey, {FORM} AS form FROM part",
     "parse_sizes": """SELECT p_partkey, 'ml' AS unit, 250.0::DOUBLE AS each, p_size AS pack, 250.0::DOUBLE * p_size AS total, 'measure' AS src,
   CASE WHEN p_size > 1 THEN p_size || ' × 250 ml' ELSE '250 ml' END AS label FROM part""",
-    "size_vectors": f"SELECT label, CAST(unit AS VARCHAR) AS unit, CAST(total AS DOUBLE) AS total FROM (VALUES {_values(SIZE_CASES)}) v(label, unit, total)",
-    "price_basis_vectors": f"""SELECT name, CAST(unit_value AS DOUBLE) AS unit_value, CAST(per AS VARCHAR) AS per
-FROM (VALUES {_values([(c[0], c[3], c[4]) for c in BASIS_CASES])}) v(name, unit_value, per)""",
     "unit_price": "SELECT p_partkey, p_retailprice / (p_size * 250.0::DOUBLE / 1000) AS unit_value, 'L' AS per FROM part",
     "relevance_score": f"""WITH {STAGES} SELECT query_id, p_partkey, CAST(rel AS DOUBLE) AS rel, a1 OR b1 OR a2 OR b2 AS relevant,
   CASE WHEN n = 1 THEN a1 OR b1 ELSE (a1 OR b1) AND (a2 OR b2) END AS is_primary FROM scored""",
@@ -293,7 +289,6 @@ f AS (SELECT i.o_orderkey AS e, c.k FROM o LEFT JOIN i ON exact = i.o_orderkey L
 SELECT CASE WHEN e IS NOT NULL THEN 1 WHEN k IS NOT NULL THEN 2 END AS matched_by, count(*) AS offers, count(DISTINCT coalesce(e, k)) AS flyers FROM f GROUP BY 1""",
     "latest_upsert": """SELECT user_id, event_type, value, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
-    "size_query_tokens": f"""SELECT * FROM (VALUES {_values([(i, len(q.split()), q, _asked_row(i, q)[4]) for i, q in ASKED])}) v(query_id, n, tokens, family)""",
     "usable_prices": """SELECT event_type, count(*) FILTER (WHERE event_id % 7 = 1 OR (event_id % 7 > 1 AND value > 0)) AS usable, count(*) AS listings
 FROM events GROUP BY event_type""",
     "event_windows": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, min(value) AS low, count(*) AS n FROM events GROUP BY ALL",

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, matching, size, text
-from ..operators import gates, grouping, history, merge, ranking, resolve, statistics, watch
+from ..operators import gates, grouping, history, merge, pages, ranking, resolve, statistics, watch
 from .tables import ORDER, PARTS, candidates, listings, products, queries, table
 
 TARGET = 100.0
@@ -92,42 +92,6 @@ def unit_price(spark, d):
     return _sized(spark, d).withColumn("up", up).select("p_partkey", F.col("up.value").alias("unit_value"), F.col("up.unit").alias("per"))
 
 
-#: Size readings that must hold, as label -> unit, total.
-SIZE_CASES = (
-    ("Almarai Milk 2 L", "ml", 2000.0),
-    ("حليب ٢ لتر", "ml", 2000.0),
-    ("حليب كامل الدسم، 24 قطعة × 125مل", "ml", 3000.0),
-    ("Cola 6+2 free 250 ml", "ml", 2000.0),
-    ("عصير 9+3 × 200 مل", "ml", 2400.0),
-    ("Promo 1+2 x 200ml", "ml", 400.0),
-    ("Pepsi 6 cans x 330ml", "ml", 1980.0),
-    ("Omega 3+6+9 Fish Oil", None, None),
-    ("Indomie Noodles 6's", "pcs", 6.0),
-    ("", None, None),
-)
-#: Price basis readings: name, size field, price -> unit price, unit.
-BASIS_CASES = (
-    ("Milk 6 x 200 ml", None, 9.0, 7.5, "L"),
-    ("Apple Royal Gala Brazil", "Per Kg", 7.99, 7.99, "kg"),
-    ("Sea Bream 200-300 /Kg", None, 26.99, None, None),
-    ("Kalamata Olives", "per 500 gm", 9.95, 19.9, "kg"),
-    ("Indomie Noodles 6's", None, 5.0, None, None),
-)
-
-
-def size_vectors(spark, d):
-    rows = spark.createDataFrame([c[:1] for c in SIZE_CASES], "label string").withColumn("s", size.parse_size(F.col("label")))
-    return rows.select("label", "s.unit", "s.total")
-
-
-def price_basis_vectors(spark, d):
-    rows = spark.createDataFrame([c[:3] for c in BASIS_CASES], "name string, field string, price double")
-    rows = rows.withColumn("s", size.parse_size(F.col("name"), F.col("field")))
-    basis = size.price_basis(F.col("field"), F.col("name"), F.lit(None).cast("string"), F.col("s.unit").isNotNull())
-    up = size.unit_price(F.col("price"), size.reference_quantity(F.col("s"), basis))
-    return rows.withColumn("up", up).select("name", F.round("up.value", 6).alias("unit_value"), F.col("up.unit").alias("per"))
-
-
 def relevance_score(spark, d):
     q, it = F.col("q"), F.col("it")
     rel = matching.relevance(q, it, PARTS)
@@ -314,8 +278,8 @@ def browse_facets(spark, d):
 def browse_listing_page(spark, d):
     """The third page of 24 per department, by discount, then key."""
     rows = listings(spark, d).join(_aisles(spark, d), "l_suppkey")
-    order = Window.partitionBy("department").orderBy(F.col("l_discount").desc(), "price", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return rows.withColumn("position", F.row_number().over(order)).filter("position BETWEEN 49 AND 72").select("department", "position", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    keys = [("l_discount", "desc"), ("price", "asc"), ("l_orderkey", "asc"), ("l_linenumber", "asc"), ("l_partkey", "asc"), ("l_suppkey", "asc")]
+    return pages.numbered_pages(rows, ["department"], keys, 49, 72).select("department", "position", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def brand_mining(spark, d):
@@ -429,10 +393,6 @@ def cart_state(spark, d):
     return merge.apply_cart_events(rows)
 
 
-def size_query_tokens(spark, d):
-    return matching.with_query(queries(spark), PARTS).select("query_id", F.size("q.tokens").alias("n"), F.array_join("q.tokens", " ").alias("tokens"), F.col("q.family").alias("family"))
-
-
 def usable_prices(spark, d):
     from ..sources.listings import usable_price
 
@@ -460,8 +420,6 @@ QUERIES = {
     "family_tiers": family_tiers,
     "form_keyword": form_keyword,
     "parse_sizes": parse_sizes,
-    "size_vectors": size_vectors,
-    "price_basis_vectors": price_basis_vectors,
     "unit_price": unit_price,
     "relevance_score": relevance_score,
     "match_stage": match_stage,
@@ -502,7 +460,6 @@ QUERIES = {
     "learned_counts": learned_counts,
     "offer_to_brochure": offer_to_brochure,
     "latest_upsert": latest_upsert,
-    "size_query_tokens": size_query_tokens,
     "usable_prices": usable_prices,
     "event_windows": event_windows,
 }

@@ -137,3 +137,36 @@ def test_best_value_drops_implausible(spark):
     rows = spark.createDataFrame([(1, 6.0, 0), (1, 5.5, 1), (1, 0.19, 2), (2, 1.0, 3)], "g int, u double, ord int")
     got = statistics.best_value(rows, ["g"], "u", ["ord"]).collect()
     assert [(r.g, r.u, r.pool, r.dropped) for r in got] == [(1, 5.5, 2, 1)]
+
+
+#: Size readings that must hold, as label -> unit, total.
+SIZE_CASES = (
+    ("Almarai Milk 2 L", "ml", 2000.0),
+    ("حليب ٢ لتر", "ml", 2000.0),
+    ("حليب كامل الدسم، 24 قطعة × 125مل", "ml", 3000.0),
+    ("Cola 6+2 free 250 ml", "ml", 2000.0),
+    ("عصير 9+3 × 200 مل", "ml", 2400.0),
+    ("Promo 1+2 x 200ml", "ml", 400.0),
+    ("Pepsi 6 cans x 330ml", "ml", 1980.0),
+    ("Omega 3+6+9 Fish Oil", None, None),
+    ("Indomie Noodles 6's", "pcs", 6.0),
+    ("", None, None),
+)
+#: Price basis readings: name, size field, price -> unit price, unit.
+BASIS_CASES = (
+    ("Milk 6 x 200 ml", None, 9.0, 7.5, "L"),
+    ("Apple Royal Gala Brazil", "Per Kg", 7.99, 7.99, "kg"),
+    ("Sea Bream 200-300 /Kg", None, 26.99, None, None),
+    ("Kalamata Olives", "per 500 gm", 9.95, 19.9, "kg"),
+    ("Indomie Noodles 6's", None, 5.0, None, None),
+)
+
+
+def test_size_and_price_readings(spark):
+    rows = spark.createDataFrame([c[:1] for c in SIZE_CASES], "label string").withColumn("s", size.parse_size(F.col("label")))
+    assert {r.label: (r.unit, r.total) for r in rows.select("label", "s.unit", "s.total").collect()} == {c[0]: c[1:] for c in SIZE_CASES}
+    rows = spark.createDataFrame([c[:3] for c in BASIS_CASES], "name string, field string, price double").withColumn("s", size.parse_size(F.col("name"), F.col("field")))
+    basis = size.price_basis(F.col("field"), F.col("name"), F.lit(None).cast("string"), F.col("s.unit").isNotNull())
+    up = size.unit_price(F.col("price"), size.reference_quantity(F.col("s"), basis))
+    got = {r.name: (r.value and round(r.value, 6), r.unit) for r in rows.withColumn("up", up).select("name", "up.value", "up.unit").collect()}
+    assert got == {c[0]: c[3:] for c in BASIS_CASES}

@@ -1,6 +1,7 @@
 """The comparison model's parts that the registered query does not reach, names, and rules
 on single rows."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import display, featured, matching, names, navigation
 from pricewright.functions.lexicon import GROCERY
-from pricewright.operators import brochures, comparison, phrases, profiles, rails, registry, search
+from pricewright.operators import brochures, comparison, lists, pages, phrases, profiles, rails, registry, search
 
 
 def pool_of(spark, rows):
@@ -207,6 +208,24 @@ def test_a_watch_names_the_gate_that_its_best_candidate_failed(spark):
     assert {r.watch_id: r.resolution for r in profiles.evaluated_watches(judged, watches).collect()} == {1: "size", 2: "no-price", 3: "no-candidate"}
 
 
+@pytest.mark.parametrize("sort", ["discount", "price", "newest"])
+def test_pages_equal_the_offset_form(spark, sort):
+    """Pages 0 to 5 by number and behind the last row, with nulls and many equal keys."""
+    rng = random.Random(1)
+    rows = [(i, "s" if i % 7 else "t", rng.choice((None, 0.0, 0.1, 0.1, 0.5)), rng.choice((None, 1.0, 2.0, rng.random())), rng.choice((None, dt.date(2024, 1, rng.randint(1, 9))))) for i in range(220)]
+    df = spark.createDataFrame(rows, "ord int, store string, discount double, price double, first_seen date").repartition(3)
+    keys = lists.browse_keys(sort)
+    whole = [r.ord for r in df.filter("store = 's'").orderBy(*pages.sort_columns(keys)).collect()]
+    last = None
+    for n in range(6):
+        by_number = sorted(r.ord for r in lists.browse_page(df, {"store": "s"}, sort, n, 30).collect())
+        behind = lists.browse_page(df, {"store": "s"}, sort, n, 30, last).collect()
+        assert [r.ord for r in behind] == whole[n * 30 : n * 30 + 30]
+        assert by_number == sorted(whole[n * 30 : n * 30 + 30])
+        last = behind[-1].asDict()
+    assert lists.browse_page(df, {"store": "s"}, sort, 99, 30).count() == 0
+
+
 def test_names_of_one_word_have_no_history(spark):
     none = F.lit(None)
     size = F.struct(none.cast("string").alias("unit"), none.cast("double").alias("total"))
