@@ -1,4 +1,5 @@
-"""Streaming: stateful price crossings, windowed lows, a change-only price history."""
+"""Streaming: stateful price crossings, windowed lows, standing watches, a change-only price
+history."""
 
 from __future__ import annotations
 
@@ -9,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import matching
+from ..functions.lexicon import Lexicon
+from ..functions.size import parse_size
+from ..operators import profiles, search
 from ..operators.history import with_previous
-from ..sources.store import StateTable
+from ..sources.store import StateTable, materialize, scratch_tables, sweep
 
 
 def event_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -64,6 +69,47 @@ def windowed_lows(events: DataFrame, length: str, lateness: str, key: str = "use
     )
 
 
+#: A standing watch: what it looks for, its own size, its price, and the state of its last
+#: check: whether the price was under the target, also before that, and its number.
+WATCH = "watch_id bigint, query string, size string, target double, below boolean, was boolean, checked bigint"
+
+
+def standing_watches(table: StateTable, alerts_path: str, lexicon: Lexicon):
+    """A ``foreachBatch`` writer that checks watches against each batch of offers (ord,
+    name, brand, price, source, size: as text).
+
+    ``table`` holds the watches (``WATCH``, keyed by watch_id) and may change between
+    batches; each batch meets them as they are then, by the keys of their words. A watch
+    whose cheapest candidate falls to its target gets a row (watch_id, price, best) below
+    ``alerts_path``, under the batch's number, and the state of the watches that had a
+    candidate is committed. A batch that comes again finds the state from before it and
+    writes the same rows. Changes that others commit meanwhile stay."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with scratch_tables() as own:
+            watches = table.read().withColumn("query_id", F.col("watch_id"))
+            again = F.coalesce(F.col("checked") == batch_id, F.lit(False))
+            watches = watches.withColumns({"below": F.when(again, F.col("was")).otherwise(F.col("below")), "own_size": parse_size(F.col("size"))})
+            asked = matching.with_query(watches, lexicon).select("query_id", "q", "watch_id", "own_size")
+            offers = matching.with_item(batch.withColumn("size", parse_size(F.col("size"))), lexicon)
+            judged = profiles.watch_candidates(search.candidates(asked, offers), lexicon).select("watch_id", "ord", "price", "reason")
+            done = profiles.evaluated_watches(judged, watches.select("watch_id", "target", "below")).filter("price IS NOT NULL")
+            done = materialize(done.join(watches.select("watch_id", F.col("below").alias("was")), "watch_id"), "watch-check")
+            done.filter("fires").select("watch_id", "price", "best").write.mode("overwrite").parquet(f"{alerts_path}/check={batch_id}")
+            state = done.select("watch_id", F.col("below").alias("_below"), F.col("was").alias("_was"), F.lit(True).alias("_seen"))
+
+            def step(rows: DataFrame) -> DataFrame:
+                rows = rows.join(state, "watch_id", "left")
+                new = {"below": F.col("_below"), "was": F.col("_was"), "checked": F.lit(batch_id).cast("bigint")}
+                rows = rows.withColumns({c: F.when(F.col("_seen"), v).otherwise(F.col(c)) for c, v in new.items()})
+                return rows.drop("_below", "_was", "_seen")
+
+            table.change(step, state.select("watch_id"))
+        sweep(own)
+
+    return write
+
+
 #: Parts in which a history lies, by a hash of the identity.
 BUCKETS = 64
 

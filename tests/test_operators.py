@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewright.operators import grouping, merge, overlap, resolve, statistics, watch
 from pricewright.plans import queries as plans
+from pricewright.plans import shelf, tables
 from pricewright.sources import listings
 from pricewright.sources.store import StateTable
 from pricewright.streaming import watches
@@ -188,6 +189,40 @@ def test_closed_observations_leave_points_only(spark, tmp_path):
     assert watches.current_history(spark, path, ["k"], ["day"], "price").filter("price = 99").isEmpty()
 
 
+def test_standing_watches_on_a_stream(spark, data, tmp_path):
+    """One file is one check: the first equals the batch twin; then prices fall, a watch
+    is added between the batches, and a batch comes again."""
+    table = watches.StateTable(spark, str(tmp_path / "w"), watches.WATCH, keys=("watch_id",), buckets=4)
+    asked = [(q.query_id, q.query, "8 kg", 10000.0 if q.query_id < 4 else 1.0, q.query_id == 2, None, None) for q in tables.queries(spark).collect()]
+    table.write(spark.createDataFrame(asked, watches.WATCH))
+    offers = tables.items_of(spark, data).selectExpr(
+        "ord", "name", "brand", "CASE WHEN ord % 9 <> 0 THEN price END AS price", "CASE WHEN kind = 'PROMO' THEN 'flyer' ELSE 'online' END AS source", "pieces || ' kg' AS size"
+    )
+    write = watches.standing_watches(table, str(tmp_path / "alerts"), tables.PARTS)
+    parts = [offers, offers.withColumn("price", F.lit(0.5)), offers.withColumn("price", F.lit(0.4))]
+    for i, rows in enumerate(parts):
+        rows.coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    fired = lambda n: {r.watch_id: r.best for r in spark.read.parquet(str(tmp_path / "alerts" / f"check={n}")).collect()}
+
+    def check(i):
+        stream = spark.readStream.schema(offers.schema).parquet(str(tmp_path / f"in{i}"))
+        run = stream.writeStream.foreachBatch(lambda rows, _: write(rows, i)).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"c{i}")).start()
+        run.awaitTermination(120)
+
+    check(0)
+    want = {r.watch_id: (r.p_partkey, r.below) for r in shelf.watch_checks(spark, data).collect() if r.fires}
+    assert fired(0) == {w: best for w, (best, _) in want.items()} and fired(0)
+    table.change(lambda rows: rows.union(spark.createDataFrame([(99, "bolt", "8 kg", 0.45, False, None, None)], watches.WATCH)), spark.createDataFrame([(99,)], "watch_id bigint"))
+    check(1)
+    second = fired(1)
+    assert set(second) and not set(second) & set(fired(0)) and 2 not in second and 99 not in second
+    check(2)
+    assert set(fired(2)) == {99}
+    before = table.read().count()
+    write(parts[2], 2)
+    assert set(fired(2)) == {99} and table.read().count() == before == 9
+
+
 def test_upsert_takes_one_change_of_a_key_and_null_keys(spark):
     old = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
     new = spark.createDataFrame([(1, "c"), (1, "b"), (None, "m"), (3, "d")], "k int, v string")
