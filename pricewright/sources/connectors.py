@@ -4,12 +4,15 @@
 options ``urls`` (JSON object store -> URL), ``rows`` (name of the array in the answer),
 ``retry_ms`` and ``timeout_s``. A URL that fails is asked once more; then the task fails
 with the store's name, unless ``best_effort`` is true, which gives no rows for it.
+``listings_search`` asks for searches, a page a task, with what is wanted and how much in the request.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import urllib.error
+import urllib.parse
 import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +39,38 @@ def _number(value):
     return x if x - x == 0 and not isinstance(value, bool) else None
 
 
+def fetch_rows(url: str, rows: str = "results", retry: float = 0.4, timeout: float = 20.0) -> list[dict]:
+    """The objects in the array ``rows`` of a JSON answer, or in the answer itself. What
+    fails is asked once more; the reason that the answer states is raised."""
+    reason = None
+    for attempt in range(2):
+        if attempt:
+            time.sleep(retry)
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as answer:
+                found = json.loads(answer.read())
+            listed = found.get(rows) if isinstance(found, dict) else found
+            if not isinstance(listed, list):
+                raise ValueError(found.get("error") if isinstance(found, dict) and found.get("error") else "the answer has no rows")
+            return [r for r in listed if isinstance(r, dict)]
+        except urllib.error.HTTPError as e:
+            try:
+                reason = json.loads(e.read()).get("error") or e
+            except Exception:
+                reason = e
+        except Exception as e:  # a source may fail in any way of its own
+            reason = e
+    raise RuntimeError(str(reason))
+
+
+def listing_of(store: str, row: dict) -> tuple:
+    texts = {c: None if row.get(c) is None else str(row[c]) for c in TEXTS}
+    return (
+        store, texts["id"], texts["name"], texts["image"], _number(row.get("price")), _number(row.get("oldPrice")),
+        texts["currency"], texts["link"], texts["size"], texts["brand"], texts["discountLabel"],
+    )
+
+
 class ListingsReader(DataSourceReader):
     def __init__(self, options):
         self.urls = json.loads(options["urls"])
@@ -47,27 +82,14 @@ class ListingsReader(DataSourceReader):
         return [StorePartition(s, u) for s, u in sorted(self.urls.items())]
 
     def read(self, partition):
-        found, reason = None, None
-        for attempt in range(2):
-            if attempt:
-                time.sleep(self.retry)
-            try:
-                with urllib.request.urlopen(partition.url, timeout=self.timeout) as answer:
-                    found = json.loads(answer.read())
-                break
-            except Exception as e:  # a source may fail in any way of its own
-                reason = e
-        listed = found.get(self.rows) if isinstance(found, dict) else found
-        if not isinstance(listed, list):
+        try:
+            found = fetch_rows(partition.url, self.rows, self.retry, self.timeout)
+        except RuntimeError as reason:
             if self.best_effort:
                 return
-            raise RuntimeError(f"{partition.store}: {reason or 'the answer has no rows'}")
-        for row in (r for r in listed if isinstance(r, dict)):
-            texts = {c: None if row.get(c) is None else str(row[c]) for c in TEXTS}
-            yield (
-                partition.store, texts["id"], texts["name"], texts["image"], _number(row.get("price")), _number(row.get("oldPrice")),
-                texts["currency"], texts["link"], texts["size"], texts["brand"], texts["discountLabel"],
-            )
+            raise RuntimeError(f"{partition.store}: {reason}") from reason
+        for row in found:
+            yield listing_of(partition.store, row)
 
 
 class ListingsSource(DataSource):
@@ -91,6 +113,56 @@ def read_stores(spark: SparkSession, urls: dict[str, str], best_effort: bool = F
     return reader.load()
 
 
+class SearchPartition(InputPartition):
+    def __init__(self, store: str, query: str, page: int):
+        self.store, self.query, self.page = store, query, page
+
+
+class SearchReader(ListingsReader):
+    """Pages of searches, each a partition."""
+
+    def __init__(self, options):
+        super().__init__({**options, "urls": "{}"})
+        self.template, self.stores, self.queries = options["template"], json.loads(options["stores"]), json.loads(options["queries"])
+        self.pages, self.limit = int(options.get("pages", "1")), int(options.get("limit", "120"))
+
+    def partitions(self):
+        return [SearchPartition(s, q, p) for s in self.stores for q in dict.fromkeys(self.queries) for p in range(self.pages)]
+
+    def read(self, partition):
+        parts = {"store": partition.store, "query": urllib.parse.quote(partition.query), "page": partition.page, "limit": self.limit}
+        try:
+            found = fetch_rows(self.template.format(**parts), self.rows, self.retry, self.timeout)
+        except RuntimeError as reason:
+            if self.best_effort:
+                return
+            raise RuntimeError(f"{partition.store}: {reason}") from reason
+        for row in found[: self.limit]:
+            yield (*listing_of(partition.store, row), partition.query, partition.page)
+
+
+class SearchSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "listings_search"
+
+    def schema(self):
+        return f"{COLUMNS}, query string, page int"
+
+    def reader(self, schema):
+        return SearchReader(self.options)
+
+
+def search_stores(spark: SparkSession, template: str, stores: list[str], queries: list[str], pages: int = 1, limit: int = 120, best_effort: bool = False, **options) -> DataFrame:
+    """Listings of searches at several stores that answer in one shape: a task for each
+    store, query and page. ``template`` is a URL with {store}, {query}, {page}, {limit}:
+    what is asked and how much goes into the request. Filters on the rows do not (Spark
+    keeps a Python reader's pushed filters for every use of the same DataFrame)."""
+    spark.dataSource.register(SearchSource)
+    given = {"template": template, "stores": json.dumps(stores), "queries": json.dumps(queries), "pages": str(pages), "limit": str(limit), "best_effort": str(best_effort)}
+    return spark.read.format("listings_search").options(**given, **{k: str(v) for k, v in options.items()}).load()
+
+
 class StrategyMemory:
     """Which strategy gave rows last, by source. Where the table cannot be read or
     written nothing is remembered, and nothing fails."""

@@ -3,6 +3,7 @@
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 import pytest
 
@@ -51,6 +52,43 @@ def test_a_store_that_fails(spark, shop):
         connectors.read_stores(spark, both, retry_ms=1).collect()
 
 
+@pytest.fixture()
+def market():
+    """A server of searches by store, query and page; the store "down" says why not."""
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            asked.append((at["provider"], at["q"], int(at["page"])))
+            down = at["provider"] == "down"
+            self.send_response(503 if down else 200)
+            self.end_headers()
+            rows = [{"id": f"{at['page']}-{i}", "name": at["q"], "price": i} for i in range(int(at["limit"]))]
+            self.wfile.write(json.dumps({"error": "asleep"} if down else {"results": rows}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/search?provider={{store}}&q={{query}}&page={{page}}&limit={{limit}}", asked
+    server.shutdown()
+
+
+def test_searches_are_asked_by_page(spark, market):
+    template, asked = market
+    rows = connectors.search_stores(spark, template, ["a", "c"], ["حليب 2 L"], pages=2, limit=3)
+    got = rows.filter("price > 0").collect()
+    assert sorted((r.store, r.query, r.page, r.id) for r in got) == sorted((s, "حليب 2 L", p, f"{p}-{i}") for s in "ac" for p in (0, 1) for i in (1, 2))
+    assert sorted(set(asked)) == sorted((s, "حليب 2 L", p) for s in "ac" for p in (0, 1))
+    assert rows.filter("store = 'a'").count() == 6 and rows.count() == 12
+    named = connectors.search_stores(spark, template, ["a", "down"], ["x", "y"], limit=1, best_effort=True, retry_ms=1)
+    assert sorted((r.store, r.query) for r in named.collect()) == [("a", "x"), ("a", "y")]
+    with pytest.raises(Exception, match="down: asleep"):
+        connectors.search_stores(spark, template, ["down"], ["x"], retry_ms=1).collect()
+
+
 def test_state_table_keeps_versions(spark, tmp_path):
     table = StateTable(spark, str(tmp_path / "t"), "k int, v string")
     assert table.read().count() == 0 and table.versions() == []
