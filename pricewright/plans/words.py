@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import display, names, navigation, text
+from ..operators import brands
 from .oracles import NOUN
 from .tables import PARTS, products, table
 
@@ -190,8 +191,24 @@ l AS (SELECT *, CASE WHEN share = 1 THEN 'lowest' WHEN share = 0.9 THEN 'above-l
 SELECT p_partkey, round(p_retailprice * share, 6) AS low, array_to_string(list_filter([a, b, c, e], lambda x: x IS NOT NULL)[1:3], ',') AS lines,
   array_to_string(list_filter([m, n, o, q, r], lambda x: x IS NOT NULL)[1:2], ',') AS badges FROM l"""
 
+def read_brands(spark, d):
+    """Brands read from words with a dictionary drawn from the parts: the words joined,
+    with two letters appended, with the last doubled; the noun alone is none."""
+    parts = products(spark, d)
+    a, b, k = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1), F.col("p_partkey")
+    named = parts.groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
+    book = named.select("ord", F.concat(F.lit("R "), "p_name").alias("display"), F.array(F.concat(b, F.lit("or")), F.concat(F.lit("al "), a, b)).alias("names"))
+    joined = F.concat(a, b)
+    word = F.when(k % 4 == 0, joined).when(k % 4 == 1, F.concat(joined, F.lit("xy"))).when(k % 4 == 2, F.concat(F.upper(joined), F.substring(joined, -1, 1))).otherwise(b)
+    rows = parts.select("p_partkey", F.array(F.lit("12"), word, F.lit("odd")).alias("words"))
+    return brands.read_brands(rows, "p_partkey", "words", brands.brand_keys(book, generic=["al"])).select("p_partkey", "brand")
+
+
+READ_BRANDS = "SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN 'R ' || p_name END AS brand FROM part"
+
 QUERIES = {
     "offer_names": offer_names,
+    "read_brands": read_brands,
     "brand_matches": brand_matches,
     "present_names": present_names,
     "search_queries": search_queries,
@@ -202,6 +219,7 @@ QUERIES = {
 }
 SQL = {
     "offer_names": OFFER_NAMES,
+    "read_brands": READ_BRANDS,
     "brand_matches": BRAND_MATCHES,
     "present_names": PRESENT,
     "search_queries": SEARCH_QUERIES,

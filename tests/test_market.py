@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import display, featured, matching, names, navigation
 from pricewright.functions.lexicon import GROCERY
-from pricewright.operators import brochures, comparison, lists, pages, phrases, profiles, rails, registry, search
+from pricewright.operators import brands, brochures, comparison, lists, pages, phrases, profiles, rails, registry, search
 
 
 def pool_of(spark, rows):
@@ -80,6 +80,21 @@ def test_structured_names(spark):
     assert (got[3].en, got[3].ar, got[3].fallback) == ("", "", "")
 
 
+def test_a_table_of_brands_reads_as_the_book_does(spark):
+    rng = random.Random(2)
+    known = [("Sadia", ["Sadia", "ساديا"]), ("Al Kabeer", ["Al Kabeer", "الكبير"]), ("Aabb", ["aabb", "ab ba"]), ("Second", ["sadia", "abba foods"]), ("Nestlé", ["Nestlé"])]
+    options = {"ambiguous": ["kabeer", "fresh"], "generic": ["al", "foods"]}
+    book = names.BrandBook.of(known, **options)
+    stems = ["sadia", "ساديا", "الساديا", "kabeer", "alkabeer", "كبير", "الكبير", "aabb", "ab", "ba", "abba", "abbafoods", "nestle", "Nestlé", "foods", "fresh", "al", "zz", "", "!"]
+    words = [s + rng.choice(("", "", "x", "xy", "xyz", s[-1:])) for s in stems for _ in range(6)]
+    rows = spark.createDataFrame([(i, [w]) for i, w in enumerate(words)] + [(900, ["zz", "sadiaa", "nestle"]), (901, []), (902, None)], "k int, words array<string>")
+    table = brands.brand_keys(spark.createDataFrame([(i, d, ns) for i, (d, ns) in enumerate(known)], "ord int, display string, names array<string>"), **options)
+    got = {r.k: r.brand for r in brands.read_brands(rows, "k", "words", table, options["ambiguous"]).collect()}
+    want = column(spark, [(w,) for w in words], "w string", book.match(F.col("w")))
+    assert [got[i] for i in range(len(words))] == want and len(set(want)) > 4
+    assert (got[900], got[901], got[902]) == ("Sadia", None, None)
+
+
 def test_confidence_gate(spark):
     got = column(spark, [(0, 0), (1, 0), (2, 0), (4, 2), (5, 3)], "n int, t int", names.low_confidence(F.col("n"), F.col("t")))
     assert got == [True, False, True, True, False]
@@ -327,10 +342,10 @@ def test_phrases_of_any_length(spark):
     words = "the very long name of a rather tall red box".split()
     rows = spark.createDataFrame([(1, words, "d"), (1, words, "d"), (2, ["red"], "d"), (3, None, "d"), (4, [], None), (5, ["box", None, "red", "box", "odd", "2x", "things"], "e")], "k int, words array<string>, department string")
     known = [(" ".join(words[:8]), "Long", None, None), ("red box", "Box", ["e"], None), ("red", "Red", None, ["tall"]), ("box", "One", None, None), ("box", "Two", None, None), (None, "Null", None, None)]
-    brands = spark.createDataFrame(known, "phrase string, brand string, departments array<string>, barred array<string>")
-    got = sorted(((r.k, r.brand) for r in phrases.branded(rows, "words", brands, "department").collect()))
+    book = spark.createDataFrame(known, "phrase string, brand string, departments array<string>, barred array<string>")
+    got = sorted(((r.k, r.brand) for r in phrases.branded(rows, "words", book, "department").collect()))
     assert got == [(1, "Long"), (1, "Long"), (2, "Red"), (3, None), (4, None), (5, "Box")]
-    assert [tuple(r) for r in phrases.collisions(brands, "brand").collect()] == [("box", ["One", "Two"])]
-    heads = phrases.head_phrases(rows.dropDuplicates(["k"]), "k", "words", brands.select("phrase", F.col("brand").alias("meaning")))
+    assert [tuple(r) for r in phrases.collisions(book, "brand").collect()] == [("box", ["One", "Two"])]
+    heads = phrases.head_phrases(rows.dropDuplicates(["k"]), "k", "words", book.select("phrase", F.col("brand").alias("meaning")))
     assert {r.k: (r.phrase, r.unknown, r.refused) for r in heads.collect()} == {1: (" ".join(words[:8]), 0, False), 2: ("red", 0, False), 5: ("red box", 2, True)}
-    assert phrases.branded(rows, "words", brands.filter("false"), "department").filter("brand IS NULL").count() == 6
+    assert phrases.branded(rows, "words", book.filter("false"), "department").filter("brand IS NULL").count() == 6
