@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import history
+from ..functions.lexicon import Lexicon
+from . import gates, history
 from .resolve import spread_join
 
 
@@ -42,6 +43,16 @@ def variants(rows: DataFrame, per: list[str], price: str, day: str, store: str,
     return base.join(latest, per).join(trend, per)
 
 
+def history_read(candidates: DataFrame, observations: DataFrame, lexicon: Lexicon, price: str, day: str, store: str, order: list[str]) -> DataFrame:
+    """The price history that answers each query: of its candidate products (``ord``, with
+    ``q`` and ``it``) those that pass the gates of histories, their ``observations`` (by
+    ``ord``) together by size: query_id, size and the columns of ``variants``. Under two
+    weeks the verdict of such a record is that it is still building (``history.verdict``)."""
+    kept = gates.gate_ladder(gates.interpret(candidates, lexicon), lexicon, "history").filter("dropped_by IS NULL")
+    rows = observations.join(kept.select("query_id", "ord", size_key(F.col("it.size")).alias("size")), "ord")
+    return variants(rows, ["query_id", "size"], price, day, store, order)
+
+
 def new_this_week(rows: DataFrame, per: list[str], day: str, today: Column) -> DataFrame:
     """Products first seen in the ISO week of ``today``."""
     week = lambda c: F.date_trunc("week", c.cast("timestamp"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matching, size
 from ..operators import comparison, ranking, search
-from .oracles import _ladder, _STAGED
+from .oracles import _STAGED, ladder
 from .tables import PARTS, items_of, queries
 
 #: A flyer offer's registry product, brand, store and size, as columns of the parts.
@@ -53,7 +53,7 @@ def compare_products(spark, d):
 
 
 MEDIAN = "list_sort(list({v}))[CAST(floor(count(*) / 2) AS INT) + 1]"
-COMPARE = f"""{_ladder('exact', True, True, 'competing')},
+COMPARE = f"""{ladder('exact', True, True, 'competing')},
 covered AS (SELECT *, list_concat(CASE WHEN a1 OR b1 THEN [0] ELSE [] END, CASE WHEN a2 OR b2 THEN [1] ELSE [] END) AS cover,
   {SOURCE} AS source, 's' || (p_partkey % 9) AS store, floor(p_retailprice / 20) * 20.0::DOUBLE AS price, CASE WHEN p_type = 'PROMO' THEN b END AS product_id,
   CASE WHEN p_size % 3 = 0 THEN 'kg' ELSE 'pc' END AS unit FROM g6),

@@ -56,7 +56,7 @@ scored AS (
   FROM staged)"""
 
 
-def _ladder(one_word_band: str, infer: bool, never_empty: bool, source: str = "scored") -> str:
+def ladder(one_word_band: str, infer: bool, never_empty: bool, source: str = "scored") -> str:
     band = "CASE WHEN stage >= 4 THEN 4 ELSE stage END" if one_word_band == "primary" else "stage"
     target = "coalesce(qfam, CASE WHEN top.n >= 2 AND top.n * 2 > top.known THEN top.fam END)" if infer else "qfam"
     applied = lambda c: f"sum(CAST({c} AS INT)) OVER (PARTITION BY query_id) > 0" if never_empty else "true"
@@ -75,7 +75,7 @@ g6 AS (SELECT *, in2 AND (ok3 OR NOT ({applied('ok3')})) AS in3 FROM g5)"""
 
 
 def _counts(*policy) -> str:
-    return f"""{_ladder(*policy)}
+    return f"""{ladder(*policy)}
 SELECT query_id, count(*) FILTER (WHERE in3) AS kept, count(*) FILTER (WHERE NOT in1) AS stage_excluded,
   count(*) FILTER (WHERE in1 AND NOT in2) AS family_excluded, count(*) FILTER (WHERE in2 AND NOT in3) AS form_excluded,
   CAST(0 AS BIGINT) AS fresh_excluded, max(target) AS target_family
@@ -83,7 +83,7 @@ FROM g6 GROUP BY query_id"""
 
 
 def _ranked(keys: str) -> str:
-    return f"""{_ladder('exact', True, True)},
+    return f"""{ladder('exact', True, True)},
 kinds AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN 'kg' ELSE 'pc' END AS unit, p_retailprice / p_size AS unit_value,
   CASE WHEN qfam IS NOT NULL THEN CASE WHEN fam = qfam THEN 3 WHEN fam IS NULL THEN 2 ELSE 0 END
     WHEN rel >= 75 THEN 2 WHEN rel >= 45 THEN 1 ELSE 0 END AS fband,
@@ -174,7 +174,7 @@ SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, CAST(len(list_distinct(t)) AS IN
     "gate_ladder_summary": _counts("exact", True, True),
     "gate_ladder_alert": _counts("exact", True, False),
     "gate_ladder_history": _counts("primary", False, True),
-    "identity_lock": f"""{_ladder('exact', True, True)},
+    "identity_lock": f"""{ladder('exact', True, True)},
 covered AS (SELECT *, list_concat(CASE WHEN a1 OR b1 THEN [0] ELSE [] END, CASE WHEN a2 OR b2 THEN [1] ELSE [] END) AS cover FROM g6),
 anchor AS (SELECT query_id, cover AS acover, p_brand AS abrand FROM covered QUALIFY row_number() OVER (PARTITION BY query_id
   ORDER BY in3 DESC, rel DESC, p_type <> 'PROMO' DESC, p_retailprice, p_partkey) = 1),

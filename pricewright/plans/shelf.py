@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import matching, size
-from ..operators import lists, phrases, profiles, rails, registry, search
-from .oracles import _STAGED, L, NOUN, greedy
+from ..operators import history, lists, phrases, profiles, rails, registry, search
+from .oracles import _STAGED, L, NOUN, greedy, ladder
 from .queries import HISTORY_ORDER
 from .tables import PARTS, items_of, listings, products, queries, table
 
@@ -97,6 +97,35 @@ SELECT l_partkey, lowest, weeks, CAST(stores AS INT) AS stores, latest_low, late
 FROM g JOIN c USING (l_partkey) JOIN t USING (l_partkey) WHERE rn = 1"""
 
 
+def history_read(spark, d):
+    """What each query reads from the price history: by size, the lowest with its store
+    and day, how deep it is, and the verdict on the cheapest of today's stores."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    items = items_of(spark, d).withColumn("pack", F.concat((F.col("pieces") % 4 + 1).cast("string"), F.lit(" kg")))
+    found = search.candidates(matching.with_query(queries(spark), PARTS), matching.with_item(items, PARTS, size="pack"))
+    seen = listings(spark, d).withColumn("ord", F.col("l_partkey"))
+    out = rails.history_read(found, seen, PARTS, "unit", "day", "l_suppkey", order)
+    low = F.get("latest", F.lit(0))["price"]
+    return out.select(
+        "query_id", "size", "lowest", "lowest_store", F.col("lowest_day").cast("string").alias("lowest_day"), "highest", "weeks", "observations", F.size("latest").alias("stores"),
+        low.alias("latest_low"), history.verdict(low, F.col("lowest"), F.col("weeks")).alias("verdict"), "trend",
+    )
+
+
+HISTORY_READ = f"""{ladder("primary", False, True)},
+{L},
+o AS (SELECT query_id, 'g:' || CAST((p_size % 4 + 1) * 1000.0::DOUBLE AS VARCHAR) AS size, l.* FROM g6 JOIN l ON l_partkey = p_partkey WHERE in3),
+s AS (SELECT query_id, size, l_suppkey, unit FROM o QUALIFY row_number() OVER (PARTITION BY query_id, size, l_suppkey ORDER BY day DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC) = 1),
+c AS (SELECT query_id, size, count(*) AS stores, min(unit) AS latest_low FROM s GROUP BY ALL),
+t AS (SELECT query_id, size, unit - lead(unit) OVER w AS step, row_number() OVER w AS rn FROM o WINDOW w AS (PARTITION BY query_id, size ORDER BY day DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, unit DESC)),
+m AS (SELECT query_id, size, l_suppkey AS lowest_store, CAST(day AS VARCHAR) AS lowest_day FROM o QUALIFY row_number() OVER (PARTITION BY query_id, size ORDER BY unit, l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1),
+g AS (SELECT query_id, size, min(unit) AS lowest, max(unit) AS highest, count(DISTINCT date_trunc('week', day)) AS weeks, count(*) AS observations FROM o GROUP BY ALL)
+SELECT CAST(query_id AS INT) AS query_id, size, lowest, lowest_store, lowest_day, highest, weeks, observations, CAST(stores AS INT) AS stores, latest_low,
+  CASE WHEN weeks < 2 THEN 'building' WHEN latest_low <= lowest + 1e-9 THEN 'at-low' WHEN (latest_low - lowest) / lowest <= 0.1 THEN 'near-low' ELSE 'above-low' END AS verdict,
+  CASE WHEN step < 0 THEN 'down' WHEN step > 0 THEN 'up' WHEN step = 0 THEN 'flat' END AS trend
+FROM g JOIN c USING (query_id, size) JOIN t USING (query_id, size) JOIN m USING (query_id, size) WHERE rn = 1"""
+
+
 def new_products(spark, d):
     return rails.new_this_week(listings(spark, d), ["l_suppkey", "l_partkey"], "day", _today()).select("l_suppkey", "l_partkey", F.col("first_seen").cast("string").alias("first_seen"))
 
@@ -484,7 +513,7 @@ QUANTITIES = """SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN 'kg' END AS u
 
 QUERIES = {
     "elsewhere": elsewhere, "similar": similar, "cart_order": cart_order, "cart_counts": cart_counts, "brand_index": brand_index, "browse_newest": browse_newest,
-    "price_variants": price_variants, "new_products": new_products, "seasons": seasons, "biggest_drops": biggest_drops, "identity_badges": identity_badges, "collections": collections,
+    "price_variants": price_variants, "history_read": history_read, "new_products": new_products, "seasons": seasons, "biggest_drops": biggest_drops, "identity_badges": identity_badges, "collections": collections,
     "watch_checks": watch_checks, "identity_gates": identity_gates, "checked_watches": checked_watches, "changed_watches": changed_watches, "seen_profiles": seen_profiles,
     "reading_positions": reading_positions, "source_scopes": source_scopes, "registry_resolve": registry_resolve, "registry_lifecycle": registry_lifecycle, "registry_merges": registry_merges,
     "acceptance": acceptance, "enriched_offers": enriched_offers, "shelf_phrases": shelf_phrases, "arabic_names": arabic_names, "brand_tags": brand_tags, "brand_collisions": brand_collisions, "moved_shelves": moved_shelves,
@@ -501,6 +530,7 @@ SELECT cart, store, CAST(row_number() OVER (PARTITION BY cart, store ORDER BY bo
     "brand_index": BRAND_INDEX,
     "browse_newest": BROWSE_NEWEST,
     "price_variants": PRICE_VARIANTS,
+    "history_read": HISTORY_READ,
     "new_products": f"""WITH {L} SELECT l_suppkey, l_partkey, min(day)::VARCHAR AS first_seen FROM l GROUP BY ALL HAVING date_trunc('week', min(day)) = date_trunc('week', DATE '{TODAY}')""",
     "seasons": SEASONS,
     "biggest_drops": f"""WITH {L} SELECT l_suppkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY (l_extendedprice - price) / l_extendedprice DESC, price, l_orderkey, l_linenumber, l_partkey) AS INT) AS rank,
