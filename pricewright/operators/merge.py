@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resolve import spread_join
+from .resolve import large_join
 
 
 def latest_by_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -30,7 +30,7 @@ def ingest(offers: DataFrame, brochures: DataFrame) -> DataFrame:
     """Offers with a sane price (above 0, and not above an earlier one) and the brochure
     of their edition, null if none is held. ``brochures``: edition, brochure."""
     sane = (F.col("price") > 0) & (F.col("old_price").isNull() | (F.col("old_price") >= F.col("price")))
-    return spread_join(offers.filter(sane), brochures.dropDuplicates(["edition"]), ["edition"], "left")
+    return large_join(offers.filter(sane), brochures.dropDuplicates(["edition"]), ["edition"], "left")
 
 
 def apply_cart_events(events: DataFrame) -> DataFrame:

@@ -15,15 +15,17 @@ SALT_SHARE, LEAST_SALTS, MOST_SALTS = 8, 8, 64
 
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join ``few``, which has a row or a fixed number of them for each key, to ``many``,
-    of whose rows any share may have one key. Catalyst broadcasts ``few`` where it is
-    small; otherwise a row's part comes from a hash of its values and of the part it lies
+    of whose rows any share may have one key. Catalyst broadcasts ``few`` where its
+    copies are small: the salts are a table that multiplies its estimate, as a Parquet
+    file's size says little of its rows in the driver's memory, and what was measured
+    after the shuffle decides the rest. Otherwise a row's part comes from a hash of its values and of the part it lies
     in, so rows of one key are spread whether they differ or are repeated, and a task
     that runs again deals as before. What is still large in a part, Spark's skew join
     splits. Rows with a null key match nothing; where the join keeps them they are spread
     by the same hash."""
     parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     n = max(LEAST_SALTS, min(MOST_SALTS, parts // SALT_SHARE))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_salt")
+    salts = F.broadcast(many.sparkSession.range(0, n, 1, 1).select(F.col("id").cast("int").alias("_salt")))
     plain = [c for c, kind in many.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
     dealt = F.xxhash64(F.spark_partition_id(), *plain)
     salt = F.pmod(dealt, F.lit(n)).cast("int")
@@ -32,7 +34,22 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
         for k in keys:
             some_null = some_null | F.col(k).isNull()
         salt = F.when(some_null, (F.pmod(dealt, F.lit(1 << 16)) + n).cast("int")).otherwise(salt)
-    return many.withColumn("_salt", salt).join(few.select("*", salts), [*keys, "_salt"], how).drop("_salt")
+    return many.withColumn("_salt", salt).join(few.crossJoin(salts), [*keys, "_salt"], how).drop("_salt")
+
+
+def large_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``right``, which has at most a row for each key and grows with the input, to
+    ``left``: sorted and merged, so never in the driver's memory, however little its files
+    or columns take, and without copies. Rows with a null key match nothing; where the
+    join keeps them they are spread. A key with very many rows is split by Spark's skew
+    join."""
+    plain = [c for c, kind in left.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
+    some_null = F.lit(False)
+    for k in keys:
+        some_null = some_null | F.col(k).isNull()
+    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(1 << 16)) + 1
+    left = left.withColumn("_salt", F.when(some_null, dealt.cast("int")).otherwise(0))
+    return left.join(right.withColumn("_salt", F.lit(0)).hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def first_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], result: str, order: str) -> DataFrame:
