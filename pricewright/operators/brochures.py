@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.listings import active_on
-from .resolve import first_match, spread_join
+from .resolve import first_match, large_join
 
 
 def is_external(source_type: Column, source_url: Column) -> Column:
@@ -125,7 +125,7 @@ def landings(offers: DataFrame, brochures: DataFrame, pages: DataFrame, spots: D
     spot of theirs (spots on pages that the brochure lacks lead nowhere); null if none is certain, and for brochures that are no images."""
     found = brochures_of_offers(offers, brochures, pages)
     images = brochures.filter("source_type = 'images'").select(F.col("id").alias("held"), F.lit(True).alias("_images"))
-    found = spread_join(found, images, ["held"], "left")
+    found = large_join(found, images, ["held"], "left")
     held = F.when(F.col("_images"), F.col("held"))
     rows = found.withColumns({"_index": _keyed(held, F.col("page_index")), "_page": _keyed(held, F.col("page_ref")), "_spot": _keyed(held, F.col("offer_id"))})
     none = F.lit(None).cast("string")

@@ -59,7 +59,7 @@ def first_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
     tried = []
     for i, (a, b) in enumerate(keys):
         least = right.filter(F.col(b).isNotNull()).groupBy(F.col(b).alias(f"_k{i}")).agg(F.min(F.struct(F.col(order).alias("_order"), F.col(result).alias("_result"))).alias(f"_m{i}"))
-        left = spread_join(left.withColumn(f"_k{i}", F.col(a)), least, [f"_k{i}"], "left").drop(f"_k{i}")
+        left = large_join(left.withColumn(f"_k{i}", F.col(a)), least, [f"_k{i}"], "left").drop(f"_k{i}")
         tried.append(f"_m{i}")
     found = F.coalesce(*[F.col(m)["_result"] for m in tried])
     step = F.coalesce(*[F.when(F.col(m).isNotNull(), i + 1) for i, m in enumerate(tried)])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricewright.operators import merge, resolve
+from pricewright.operators import brochures, merge, resolve
 
 
 def planned(df):
@@ -29,3 +29,15 @@ def test_ingest_gathers_no_brochures(spark, tmp_path):
     found = merge.ingest(offers, held)
     assert "BroadcastHashJoin" not in planned(found)
     assert sorted((str(r.edition), r.brochure) for r in found.collect()) == [("None", None), ("e7", 7), ("e7", 7), ("none", None)]
+
+
+def test_landings_gather_no_pages(spark, tmp_path):
+    ids = grown(spark, tmp_path)
+    held = ids.select("id", F.lit("s").alias("store"), F.lit("r").alias("region"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("edition"), F.lit("").alias("source_url"))
+    pages = ids.select(F.col("id").alias("brochure_id"), F.lit(1).alias("index"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("page_id"))
+    columns = "store string, region string, brochure_id long, edition string, flyer_ref string, page_ref string"
+    offers = spark.createDataFrame([("s", "r", 5, None, None, None), ("s", "r", None, "e6", None, "p7"), ("s", "r", None, None, None, "p8"), ("t", "r", 5, None, None, None), ("s", "r", None, None, None, None)], columns)
+    found = brochures.brochures_of_offers(offers, held, pages)
+    assert "LeftOuter, BuildRight" not in planned(found)
+    got = [(r.held, r.matched_by) for r in found.collect()]
+    assert sorted(got, key=str) == sorted([(5, 1), (6, 2), (8, 5), (None, None), (None, None)], key=str)
