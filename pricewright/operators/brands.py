@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import strings
 from ..functions.names import fold, undoubled
 from ..functions.text import folded, strip_article
-from .resolve import spread_join
+from .resolve import dictionary_join, large_join
 
 #: Letters of a word or key from which on it may be repaired.
 LONG = 4
@@ -49,6 +49,6 @@ def read_brands(rows: DataFrame, key: str, words: str, keys: DataFrame, ambiguou
     repaired = F.array(asked(3, "doubled", undoubled(F.col("n"))), asked(4, "long", cut(1)), asked(5, "long", cut(2)))
     ways = F.when(F.length("n") >= LONG, F.concat(plain, repaired)).otherwise(plain)
     met = each.select(F.col(key).alias("_row"), "_i", F.explode(ways).alias("w")).select("_row", "_i", "w.*")
-    met = spread_join(met, keys, ["kind", "key"])
+    met = dictionary_join(met, keys, ["kind", "key"])
     best = met.groupBy("_row").agg(F.min_by("display", F.struct("_i", "no")).alias("brand"))
-    return spread_join(rows.withColumn("_row", F.col(key)), best, ["_row"], "left").drop("_row")
+    return large_join(rows.withColumn("_row", F.col(key)), best, ["_row"], "left").drop("_row")

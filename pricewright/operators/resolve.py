@@ -7,25 +7,32 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize
 
 #: Over how many parts the rows of one join key are spread: a share of the session's
 #: shuffle partitions, within bounds, for each part has its own copy of the small side.
 SALT_SHARE, LEAST_SALTS, MOST_SALTS = 8, 8, 64
+#: Rows of a dictionary that a broadcast may have.
+MOST_WORDS = 100_000
 
 
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join ``few``, which has a row or a fixed number of them for each key, to ``many``,
-    of whose rows any share may have one key. Catalyst broadcasts ``few`` where its
-    copies are small: the salts are a table that multiplies its estimate, as a Parquet
-    file's size says little of its rows in the driver's memory, and what was measured
-    after the shuffle decides the rest. Otherwise a row's part comes from a hash of its values and of the part it lies
-    in, so rows of one key are spread whether they differ or are repeated, and a task
-    that runs again deals as before. What is still large in a part, Spark's skew join
-    splits. Rows with a null key match nothing; where the join keeps them they are spread
-    by the same hash."""
+    of whose rows any share may have one key. Catalyst broadcasts a side where it is
+    small. Where only ``few`` can be (joins that are not inner) its copies must be small:
+    the salts are a table that multiplies its estimate, as a Parquet file's size says
+    little of its rows in the driver's memory, and what was measured after the shuffle
+    decides the rest. Otherwise a row's part comes from a hash of its values and of the
+    part it lies in, so rows of one key are spread whether they differ or are repeated,
+    and a task that runs again deals as before. What is still large in a part, Spark's
+    skew join splits. Rows with a null key match nothing; where the join keeps them they
+    are spread by the same hash."""
     parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     n = max(LEAST_SALTS, min(MOST_SALTS, parts // SALT_SHARE))
-    salts = F.broadcast(many.sparkSession.range(0, n, 1, 1).select(F.col("id").cast("int").alias("_salt")))
+    if how == "inner":  # a larger estimate would only make Catalyst broadcast the other side
+        copies = few.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_salt"))
+    else:
+        copies = few.crossJoin(F.broadcast(many.sparkSession.range(0, n, 1, 1).select(F.col("id").cast("int").alias("_salt"))))
     plain = [c for c, kind in many.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
     dealt = F.xxhash64(F.spark_partition_id(), *plain)
     salt = F.pmod(dealt, F.lit(n)).cast("int")
@@ -34,7 +41,7 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
         for k in keys:
             some_null = some_null | F.col(k).isNull()
         salt = F.when(some_null, (F.pmod(dealt, F.lit(1 << 16)) + n).cast("int")).otherwise(salt)
-    return many.withColumn("_salt", salt).join(few.crossJoin(salts), [*keys, "_salt"], how).drop("_salt")
+    return many.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def large_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -52,6 +59,16 @@ def large_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(right.withColumn("_salt", F.lit(0)).hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
+def dictionary_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a dictionary, which has at most a row for each key: counted, and
+    broadcast whole up to ``MOST_WORDS`` rows; beyond that both sides are sorted and
+    merged, so that neither is held, with ``few`` in copies for frequent words."""
+    few = materialize(few, "dictionary")
+    if few.count() <= MOST_WORDS:
+        return many.join(F.broadcast(few), keys)
+    return spread_join(many, few.hint("merge"), keys)
+
+
 def first_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], result: str, order: str) -> DataFrame:
     """Left rows with ``result`` of the first of the key pairs that finds one; of
     equals the least by ``order``. Each step is an equi-join on distinct keys, in which

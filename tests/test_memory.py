@@ -1,8 +1,10 @@
 """Joins that must not gather a table that grows with the input in the driver."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from pricewright.operators import brochures, merge, resolve
+from pricewright.operators import brands, brochures, merge, resolve
 
 
 def planned(df):
@@ -41,3 +43,25 @@ def test_landings_gather_no_pages(spark, tmp_path):
     assert "LeftOuter, BuildRight" not in planned(found)
     got = [(r.held, r.matched_by) for r in found.collect()]
     assert sorted(got, key=str) == sorted([(5, 1), (6, 2), (8, 5), (None, None), (None, None)], key=str)
+
+
+def joins(df):
+    """The kinds of join in a plan, the last one first."""
+    return re.findall(r"(\w*Join)\b", planned(df))
+
+
+def test_brands_gather_no_rows(spark, tmp_path):
+    rows = grown(spark, tmp_path).select("id", F.array(F.lit("12"), F.when(F.col("id") % 2 == 0, "acmexy").otherwise("odd")).alias("words"))
+    book = spark.createDataFrame([(1, "Acme", ["acme"])], "ord int, display string, names array<string>")
+    found = brands.read_brands(rows, "id", "words", brands.brand_keys(book))
+    assert joins(found) == ["SortMergeJoin", "BroadcastHashJoin"] and "BuildLeft" not in planned(found)
+    assert {(r.brand, r.n) for r in found.groupBy("brand").agg(F.count("*").alias("n")).collect()} == {("Acme", 150_000), (None, 150_000)}
+
+
+def test_long_dictionaries_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "MOST_WORDS", 2)
+    many = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)] + [(99, None)], "id int, word string")
+    few = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "word string, n int")
+    found = resolve.dictionary_join(many, few, ["word"])
+    assert joins(found) == ["SortMergeJoin"]
+    assert sorted((r.id, r.n) for r in found.collect()) == [(i, i % 2 + 1) for i in range(20)]
