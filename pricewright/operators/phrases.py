@@ -3,8 +3,8 @@ size and phrases of any length.
 
 A place in a row first meets the dictionary's first words, each of which is one row with
 the lengths of its phrases; then the row's own words of just those lengths meet the
-phrases. Both joins have one row for each key on the dictionary's side: Catalyst
-broadcasts it while it is small, and ``spread_join`` spreads frequent words beyond that.
+phrases. Both joins have one row for each key on the dictionary's side, which
+is broadcast while it is small; ``spread_join`` spreads frequent words beyond that.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resolve import spread_join
+from .resolve import dictionary_join, large_join
 
 
 def collisions(phrases: DataFrame, meaning: str) -> DataFrame:
@@ -38,11 +38,11 @@ def phrase_hits(rows: DataFrame, key: str, words: str, phrases: DataFrame) -> Da
     near = F.transform("words", lambda w, i: F.struct(F.slice("words", i + 1, F.col("most") + 1).alias("ahead"), F.when(i > 0, F.get("words", i - 1)).alias("before")))
     places = own.filter("most IS NOT NULL").select("key", "most", F.posexplode(near).alias("start", "p"))
     places = places.select("key", "start", "p.*", F.get("p.ahead", F.lit(0)).alias("word"))
-    met = spread_join(places.filter("word IS NOT NULL"), firsts, ["word"])
+    met = dictionary_join(places.filter("word IS NOT NULL"), firsts, ["word"])
     fits = F.filter("lengths", lambda n: n <= F.size("ahead"))
     met = met.select("key", "start", "before", "ahead", F.explode(fits).alias("n"))
     met = met.select("key", "start", "before", F.get("ahead", F.col("n")).alias("after"), F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("phrase"))
-    return spread_join(met, known, ["phrase"]).withColumnRenamed("key", key)
+    return dictionary_join(met, known, ["phrase"]).withColumnRenamed("key", key)
 
 
 def head_phrases(rows: DataFrame, key: str, words: str, phrases: DataFrame, trailing: int = 2) -> DataFrame:
@@ -54,7 +54,7 @@ def head_phrases(rows: DataFrame, key: str, words: str, phrases: DataFrame, trai
     hits = phrase_hits(rows, key, words, unclaimed(phrases, "meaning").select("phrase", "meaning"))
     covered = F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
     heads = hits.groupBy(key).agg(F.max_by(F.struct("phrase", "meaning", "n", F.col("start").alias("i")), F.struct("n", "start")).alias("head"), covered.alias("covered"))
-    found = spread_join(rows.select(key, F.col(words).alias("_words")), heads, [key])
+    found = large_join(rows.select(key, F.col(words).alias("_words")), heads, [key])
     end = F.col("head.n") + F.col("head.i")
     behind = F.filter(
         F.transform("_words", lambda w, i: F.when((i >= end) & ~w.rlike(r"^\p{Nd}") & ~F.exists("covered", lambda c: (c["a"] <= i) & (i < c["b"])), i)), lambda i: i.isNotNull()
@@ -78,4 +78,4 @@ def branded(rows: DataFrame, words: str, brands: DataFrame, department: str) ->
     beside = F.arrays_overlap(F.array_compact(F.array("before", "after")), F.col("barred"))
     fits = F.coalesce(allowed, F.lit(False)) & ~F.coalesce(beside, F.lit(False))
     best = hits.filter(fits).groupBy("_name").agg(F.min_by("brand", F.struct("start", -F.col("n"))).alias("brand"))
-    return spread_join(named, best, ["_name"], "left").drop("_name")
+    return large_join(named, best, ["_name"], "left").drop("_name")

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from pricewright.operators import brands, brochures, merge, resolve
+from pricewright.operators import brands, brochures, merge, phrases, resolve
 
 
 def planned(df):
@@ -58,6 +58,14 @@ def test_brands_gather_no_rows(spark, tmp_path):
     assert {(r.brand, r.n) for r in found.groupBy("brand").agg(F.count("*").alias("n")).collect()} == {("Acme", 150_000), (None, 150_000)}
 
 
+def test_heads_gather_no_rows(spark, tmp_path):
+    rows = grown(spark, tmp_path).select("id", F.array(F.lit("red"), F.when(F.col("id") % 2 == 0, "bolt").otherwise("odd")).alias("words"))
+    book = spark.createDataFrame([("red bolt", "b"), ("bolt", "c")], "phrase string, meaning string")
+    found = phrases.head_phrases(rows, "id", "words", book)
+    assert joins(found)[0] == "SortMergeJoin" and "BuildLeft" not in planned(found)
+    assert [(r.meaning, r.n, r["count"]) for r in found.groupBy("meaning", "n").count().collect()] == [("b", 2, 150_000)]
+
+
 def test_long_dictionaries_are_merged(spark, monkeypatch):
     monkeypatch.setattr(resolve, "MOST_WORDS", 2)
     many = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)] + [(99, None)], "id int, word string")
