@@ -17,7 +17,7 @@ from ..functions.size import TOLERANCE, within
 from ..functions.text import jaccard
 from ..sources.store import materialize
 from . import overlap
-from .resolve import spread_join
+from .resolve import large_join
 
 DUPLICATE = 0.7
 NAME_OVERLAP = 0.6
@@ -74,13 +74,13 @@ def group_equivalents(rows: DataFrame, block: list[str], ord_: str) -> DataFrame
     wide = kinds.select("block", "brand", F.col("cls").alias("c"), F.explode(F.array(F.col("_near") - 1, F.col("_near"), F.col("_near") + 1)).alias("_near"))
     classes = wide.join(kinds.withColumnRenamed("cls", "d"), ["block", "brand", "_near"]).filter(fits(F.col("c"), F.col("d"))).select("c", "d")
     led = overlap.leaders(nodes_of, pairs, classes)
-    known = nodes.join(led, "node").select(*[F.col(c).alias(f"_{c}") for c in same], F.col("leader.ord").alias("leader"))
+    known = nodes.join(led.hint("merge"), "node").select(*[F.col(c).alias(f"_{c}") for c in same], F.col("leader.ord").alias("leader"))
     every = rows.withColumn("_key", F.xxhash64(*same))
     known = known.withColumn("_key", F.xxhash64(*[f"_{c}" for c in same]))
     equal = F.lit(True)
     for c in same:
         equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    found = spread_join(every.filter(can), known, ["_key"]).filter(equal)
+    found = large_join(every.filter(can), known, ["_key"]).filter(equal)
     out = found.select("block", "ord", "leader").union(rows.filter(~can).select("block", "ord", F.col("ord").alias("leader")))
     return out.select(*[F.col("block")[f"k{i}"].alias(c) for i, c in enumerate(block)], F.col("ord").alias(ord_), "leader")
 

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from pricewright.operators import brands, brochures, merge, phrases, resolve
+from pricewright.operators import brands, brochures, grouping, merge, phrases, resolve
 
 
 def planned(df):
@@ -73,3 +73,11 @@ def test_long_dictionaries_are_merged(spark, monkeypatch):
     found = resolve.dictionary_join(many, few, ["word"])
     assert joins(found) == ["SortMergeJoin"]
     assert sorted((r.id, r.n) for r in found.collect()) == [(i, i % 2 + 1) for i in range(20)]
+
+
+def test_groups_gather_no_rows(spark, tmp_path):
+    k = F.col("id").cast("string")
+    rows = grown(spark, tmp_path, 60_000).select(F.lit("b").alias("block"), "id", F.lit(2.0).alias("total"), F.lit("f").alias("form"), k.alias("brand"), F.array(k).alias("words"))
+    found = grouping.group_equivalents(rows, ["block"], "id")
+    assert joins(found)[0] == "SortMergeJoin"
+    assert found.filter("id = leader").count() == found.count() == 60_000
