@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 # Arabic marks that carry no identity, and letters folded together.
 MARKS = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
 FOLD_FROM = "أإآٱىؤئةیک"
@@ -88,7 +90,10 @@ def history_query(name: Column, category: Column) -> Column:
 def trim_debris(name: Column, debris) -> Column:
     """Drop leading words that are debris or begin with a digit; the whole name
     stays if nothing else would."""
-    parts = F.split(F.trim(name), r"\s+")
-    good = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: ~(F.lower(F.get(parts, i - 1)).isin(*debris) | F.get(parts, i - 1).rlike(r"^\d")))
-    rest = F.array_join(F.slice(parts, F.coalesce(F.get(good, F.lit(0)), F.lit(1)), F.size(parts)), " ")
-    return F.when(F.size(good) > 0, rest).otherwise(name)
+
+    def of(parts):
+        good = F.filter(F.transform(parts, lambda w, i: F.when(~(F.lower(w).isin(*debris) | w.rlike(r"^\d")), i + 1)), lambda i: i.isNotNull())
+        first = F.get(good, F.lit(0))
+        return F.when(first.isNotNull(), F.array_join(F.slice(parts, F.coalesce(first, F.lit(1)), F.size(parts)), " ")).otherwise(name)
+
+    return let(F.split(F.trim(name), r"\s+"), of)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import matching
 from ..functions.lexicon import Lexicon
 from ..operators import search
+from ..sources.store import dealt
 
 #: A lexicon for the part names, which are an adjective and a noun.
 PARTS = Lexicon(
@@ -52,6 +53,11 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part")
 
 
+def dealt_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products for readings that cost much a row."""
+    return dealt(products(spark, sf_dir), "p_partkey")
+
+
 def queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUERIES, "query_id int, query string")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import display, names, navigation, text
 from ..operators import brands
 from .oracles import NOUN
-from .tables import PARTS, products, table
+from .tables import PARTS, dealt_products, products, table
 
 BOOK = names.BrandBook.of([(f"Brand#{i}", [f"Brand {chr(97 + i)}{chr(97 + i)}zor"]) for i in range(26)], ambiguous=["new"], generic=["brand"])
 SHOWN = names.Display(
@@ -26,7 +26,7 @@ def _read(spark, d):
     brand = F.concat(F.lit(""), F.element_at(F.array(*[F.lit(f"{chr(97 + i)}{chr(97 + i)}zorx") for i in range(26)]), (k % 26 + 1).cast("int")))
     good = F.concat_ws(" ", F.lit("OFFER 900g"), F.upper(b), F.lit("sale"), brand, a, F.upper(b), F.lit("24pcs"))
     bad = F.concat_ws(" ", F.lit("only 5% qwrt"), b, F.lit("zxcv bnmk %"))
-    return products(spark, d).select("p_partkey", "p_name", F.when(k % 5 == 0, bad).otherwise(good).alias("raw"), (k % 7 == 0).alias("enriched"))
+    return dealt_products(spark, d).select("p_partkey", "p_name", F.when(k % 5 == 0, bad).otherwise(good).alias("raw"), (k % 7 == 0).alias("enriched"))
 
 
 def offer_names(spark, d):

@@ -2,9 +2,15 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from pricewright import plans
 from pricewright.operators import brands, brochures, grouping, merge, phrases, resolve
+from pricewright.sources import store
+
+#: Queries that read each part at some cost.
+DEALT = ["offer_names"]
 
 
 def planned(df):
@@ -81,3 +87,16 @@ def test_groups_gather_no_rows(spark, tmp_path):
     found = grouping.group_equivalents(rows, ["block"], "id")
     assert joins(found)[0] == "SortMergeJoin"
     assert found.filter("id = leader").count() == found.count() == 60_000
+
+
+def test_thin_rows_are_dealt_to_all_tasks(spark, tmp_path):
+    rows = grown(spark, tmp_path)  # one file of a megabyte, so one task of a scan
+    found = store.dealt(rows, "id")
+    sizes = [r.n for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 300_000 / 12 and sum(sizes) == 300_000
+    assert store.dealt(rows.limit(10), "id").rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_costly_readings_are_dealt(spark, data, name):
+    assert "REPARTITION_BY_NUM" in planned(plans.registered()[0][name](spark, data))
