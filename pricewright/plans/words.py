@@ -89,7 +89,7 @@ def search_queries(spark, d):
         F.to_json(F.struct(F.concat(b, F.lit("_fresh-uht")).alias("product"), F.array(a).alias("processing"), F.col("p_brand").alias("brand")))
     )
     spec = F.to_json(F.struct(b.alias("family"), F.upper(b).alias("category"), F.lit("premium cut").alias("cut")))
-    return products(spark, d).select("p_partkey", navigation.search_query(snapshot, spec).alias("query"))
+    return dealt_products(spark, d).select("p_partkey", navigation.search_query(snapshot, spec).alias("query"))
 
 
 SEARCH_QUERIES = """WITH n AS (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
