@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import matching, size
 from ..functions.lexicon import Lexicon
 from ..operators import gates, search
-from .tables import PARTS, items_of, products
+from .tables import PARTS, dealt_products, items_of, products
 
 #: Rings and gears as produce, cut cold, processed hot, and red for a flavour.
 PRODUCE = Lexicon(
@@ -64,7 +64,7 @@ PRICE_BASIS_VECTORS = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_reta
 def adopted_unit_prices(spark, d):
     """Unit prices that came with a row, where they are usable, else those of its size."""
     k, price = F.col("p_partkey"), F.col("p_retailprice")
-    rows = products(spark, d).withColumn("s", size.parse_size(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" kg"))))
+    rows = dealt_products(spark, d).withColumn("s", size.parse_size(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" kg"))))
     value = F.when(k % 4 == 0, price / 2).when(k % 4 == 1, -price).when(k % 4 == 2, price)
     adopted = F.struct(value.alias("value"), F.when(k % 4 == 2, "box").otherwise("pc").alias("unit"))
     up = size.unit_price(price, size.reference_quantity(F.col("s"), F.lit(None).cast("struct<unit:string,quantity:double>")), adopted)
