@@ -8,7 +8,7 @@ from ..functions import matching, size
 from ..operators import history, lists, phrases, profiles, rails, registry, search
 from .oracles import _STAGED, L, NOUN, greedy, ladder
 from .queries import HISTORY_ORDER
-from .tables import PARTS, items_of, listings, products, queries, table
+from .tables import PARTS, dealt_products, items_of, listings, products, queries, table
 
 TODAY = "1998-06-15"
 
@@ -502,7 +502,7 @@ def comparable_quantities(spark, d):
     k = F.col("p_partkey")
     label = F.concat("p_name", F.when(k % 4 == 0, " 500 g").when(k % 4 == 1, " per kg").when(k % 4 == 2, " 2 kg per 500 gm").otherwise(""))
     q = size.comparable_quantity(label, F.lit(None).cast("string"))
-    rows = products(spark, d).withColumn("q", q)
+    rows = dealt_products(spark, d).withColumn("q", q)
     price = F.try_divide(F.col("p_retailprice"), F.col("q.quantity"))
     return rows.select("p_partkey", "q.unit", "q.quantity", "q.selling", "q.evidence", price.alias("unit_value"))
 

@@ -10,7 +10,7 @@ from pricewright.operators import brands, brochures, grouping, merge, phrases, r
 from pricewright.sources import store
 
 #: Queries that read each part at some cost.
-DEALT = ["offer_names", "search_queries", "adopted_unit_prices"]
+DEALT = ["offer_names", "search_queries", "adopted_unit_prices", "comparable_quantities"]
 
 
 def planned(df):
