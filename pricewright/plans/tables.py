@@ -64,7 +64,7 @@ def queries(spark: SparkSession) -> DataFrame:
 
 def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in the role of listings: ord, name, brand, maker, kind, price, pieces."""
-    return products(spark, sf_dir).select(
+    return dealt_products(spark, sf_dir).select(
         F.col("p_partkey").alias("ord"),
         F.col("p_name").alias("name"),
         F.lit("").alias("brand"),

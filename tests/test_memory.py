@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewright import plans
 from pricewright.operators import brands, brochures, grouping, merge, phrases, resolve
+from pricewright.plans import tables
 from pricewright.sources import store
 
 #: Queries that read each part at some cost.
@@ -100,3 +101,7 @@ def test_thin_rows_are_dealt_to_all_tasks(spark, tmp_path):
 @pytest.mark.parametrize("name", DEALT)
 def test_costly_readings_are_dealt(spark, data, name):
     assert "REPARTITION_BY_NUM" in planned(plans.registered()[0][name](spark, data))
+
+
+def test_searches_read_dealt_items(spark, data):
+    assert "REPARTITION_BY_NUM" in planned(tables.items_of(spark, data))
