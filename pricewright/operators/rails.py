@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.columns import let
 from ..functions.lexicon import Lexicon
 from . import gates, history
 from .resolve import spread_join
@@ -15,14 +16,17 @@ from .resolve import spread_join
 def price_identity(store: Column, region: Column, name: Column, name_ar: Column, size: Column) -> Column:
     """An id for a product of a store across weeks, from names in both languages and
     the size; null for names of fewer than two words, of which no history is kept."""
-    names = text.normalize(F.concat_ws(" ", name, name_ar))
-    key = F.concat_ws("|", F.coalesce(store, F.lit("")), F.coalesce(region, F.lit("")), names, size_key(size))
-    return F.when(F.size(F.split(names, " ")) >= 2, F.concat(F.lit("ph_"), F.substring(F.sha2(key, 256), 1, 16)))
+
+    def of(names):
+        key = F.concat_ws("|", F.coalesce(store, F.lit("")), F.coalesce(region, F.lit("")), names, size_key(size))
+        return F.when(F.size(F.split(names, " ")) >= 2, F.concat(F.lit("ph_"), F.substring(F.sha2(key, 256), 1, 16)))
+
+    return let(text.normalize(F.concat_ws(" ", name, name_ar)), of)
 
 
 def size_key(size: Column) -> Column:
     """"ml:500.0"; '' without a size."""
-    return F.coalesce(F.concat_ws(":", size["unit"], F.when(size["unit"].isNotNull(), size["total"].cast("string"))), F.lit(""))
+    return let(size, lambda s: F.coalesce(F.concat_ws(":", s["unit"], F.when(s["unit"].isNotNull(), s["total"].cast("string"))), F.lit("")))
 
 
 def variants(rows: DataFrame, per: list[str], price: str, day: str, store: str, order: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matching, size
 from ..operators import history, lists, phrases, profiles, rails, registry, search
+from ..sources.store import materialize
 from .oracles import _STAGED, L, NOUN, greedy, ladder
 from .queries import HISTORY_ORDER
 from .tables import PARTS, dealt_products, items_of, listings, products, queries, table
@@ -154,7 +155,8 @@ def identity_badges(spark, d):
     """Offers with their identity's history: single-word names have none."""
     k = F.col("p_partkey")
     name = F.when(k % 4 == 0, F.split("p_name", " ")[1]).otherwise(F.col("p_name"))
-    parts = products(spark, d).select(k.alias("l_partkey"), rails.price_identity(F.lit("s"), F.lit("r"), name, F.lit(None).cast("string"), size.parse_size(F.concat("p_size", F.lit(" kg")))).alias("identity"))
+    parts = dealt_products(spark, d).select(k.alias("l_partkey"), rails.price_identity(F.lit("s"), F.lit("r"), name, F.lit(None).cast("string"), size.parse_size(F.concat("p_size", F.lit(" kg")))).alias("identity"))
+    parts = materialize(parts, "badge-identities")  # read once; its filter would be asked before the rows are dealt
     rows = listings(spark, d).join(parts, "l_partkey")
     seen = rows.filter("identity IS NOT NULL").groupBy("identity").agg(F.min("unit").alias("lowest"), F.count_distinct(F.date_trunc("week", F.col("day").cast("timestamp"))).alias("weeks"))
     out = rails.with_history_badges(rows.select("l_suppkey", "identity", F.col("unit").alias("price")), seen)

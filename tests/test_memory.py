@@ -105,3 +105,7 @@ def test_costly_readings_are_dealt(spark, data, name):
 
 def test_searches_read_dealt_items(spark, data):
     assert "REPARTITION_BY_NUM" in planned(tables.items_of(spark, data))
+
+
+def test_identities_read_once(spark, data):
+    assert "badge-identities" in planned(plans.registered()[0]["identity_badges"](spark, data))
