@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import matching
 from ..functions.lexicon import Lexicon
 from . import pages
+from .resolve import spread_join
 
 #: Rows of the lists, and how far sizes may be apart.
 ELSEWHERE, SIMILAR, SIZE_SHARE, PAGE = 4, 10, 0.25, 24
@@ -39,15 +40,21 @@ def elsewhere(pairs: DataFrame, lexicon: Lexicon, n: int = ELSEWHERE) -> DataFra
 def similar(anchors: DataFrame, items: DataFrame, n: int = SIMILAR) -> DataFrame:
     """Per anchor (id, family, form) other items of its family, forms not in conflict,
     in source order. Anchors and items of no known family have none. Items are first
-    cut to the few that any anchor of a family and form can show, so a large family is
-    not paired with all its anchors."""
+    cut to the few that any anchor of a family and form can show, and these are one short
+    list for the family and form, so no anchor is paired with more than it shows, and
+    none is sorted. Items of no ``ord`` are never shown."""
     few = n + 1
-    known = items.filter("family IS NOT NULL")
+    known = items.filter("family IS NOT NULL AND ord IS NOT NULL")
     order = Window.partitionBy("family", "form").orderBy("ord")
     known = known.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= few).select("family", F.col("form").alias("_form"), "ord")
-    rows = anchors.filter("family IS NOT NULL").join(known, "family")
+    anchors = anchors.filter("family IS NOT NULL").select("id", "family", "form", F.coalesce("form", F.lit("")).alias("_kind"), F.col("form").isNull().alias("_any"))
+    kinds = anchors.select("family", "form", "_kind", "_any").distinct()
     fit = F.col("form").isNull() | F.col("_form").isNull() | (F.col("form") == F.col("_form"))
-    return _first(rows.filter(fit & (F.col("ord") != F.col("id"))), "id", [F.col("ord").asc()], n).select("id", "rank", "ord")
+    keys = ["family", "_kind", "_any"]
+    lists = kinds.join(known, "family").filter(fit).groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("ord")), 1, few).alias("_some"))
+    rows = spread_join(anchors, lists, keys)
+    shown = F.slice(F.filter("_some", lambda o: o != F.col("id")), 1, n)
+    return rows.select("id", F.posexplode(shown).alias("_place", "ord")).select("id", (F.col("_place") + 1).alias("rank"), "ord")
 
 
 def cart_order(items: DataFrame) -> DataFrame:

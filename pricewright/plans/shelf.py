@@ -36,6 +36,7 @@ FROM staged WHERE p_partkey % 5 <> 0 AND abs(p_size - 10) <= 2.5 QUALIFY rank <=
 
 def similar(spark, d):
     items = matching.with_item(items_of(spark, d), PARTS).select("ord", F.col("it.family").alias("family"), F.col("it.form").alias("form"))
+    items = materialize(items, "similar-items")  # read twice, and its filter would be asked before the rows are dealt
     return lists.similar(items.withColumnRenamed("ord", "id"), items).select(F.col("id").alias("p_partkey"), "rank", F.col("ord").alias("other"))
 
 

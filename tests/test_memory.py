@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewright import plans
-from pricewright.operators import brands, brochures, grouping, merge, phrases, resolve
+from pricewright.operators import brands, brochures, grouping, lists, merge, phrases, resolve
 from pricewright.plans import tables
 from pricewright.sources import store
 
@@ -109,3 +109,11 @@ def test_searches_read_dealt_items(spark, data):
 
 def test_identities_read_once(spark, data):
     assert "badge-identities" in planned(plans.registered()[0]["identity_badges"](spark, data))
+
+
+def test_similar_sorts_no_anchors(spark):
+    items = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, "a", "y"), (4, "a", "x"), (5, None, "x"), (6, "b", None)], "ord long, family string, form string")
+    found = lists.similar(items.withColumnRenamed("ord", "id"), items, 2)
+    assert not re.search(r"Window \[.*\], \[id#", planned(found))
+    got = {(r.id, r.rank): r.ord for r in found.collect()}
+    assert got == {(1, 1): 2, (1, 2): 4, (2, 1): 1, (2, 2): 3, (3, 1): 2, (4, 1): 1, (4, 2): 2}
