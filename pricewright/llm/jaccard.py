@@ -55,9 +55,14 @@ FILTER_BITS = 1 << 27
 #: Rows that a batch of exploded sets may have, beyond one set.
 BATCH_ROWS = 1 << 17
 
-#: While the join runs: shuffle files go as soon as their query has ended, and Arrow
-#: batches of texts and sets stay small.
+#: While the join runs: shuffle files go as soon as their query has ended, Arrow batches
+#: of texts and sets stay small, and a side is broadcast only if its rows, with their
+#: copies, were measured after a shuffle. A file's size says little of them: the labels of
+#: near copies are a few bytes a row in Parquet, and they and their copies grow with the
+#: input in the driver's memory.
 SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewright import plans
+from pricewright.llm import jaccard
 from pricewright.operators import brands, brochures, grouping, lists, merge, phrases, resolve
 from pricewright.plans import tables
 from pricewright.sources import store
@@ -90,6 +91,16 @@ def test_groups_gather_no_rows(spark, tmp_path):
     assert found.filter("id = leader").count() == found.count() == 60_000
 
 
+def test_jaccard_gathers_no_labels(spark, tmp_path):
+    labels = grown(spark, tmp_path).select(F.col("id").alias("b"), (F.col("id") % 7).alias("root"))
+    links = spark.range(10).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    with jaccard.session_settings(spark, jaccard.SETTINGS):
+        spread, plain = resolve.spread_join(links, labels, ["b"]), links.join(labels, "b")
+        assert joins(spread) == joins(plain) == ["SortMergeJoin"]
+        want = [(i, (i + 1) % 7) for i in range(10)]
+        assert sorted((r.a, r.root) for r in spread.collect()) == sorted((r.a, r.root) for r in plain.collect()) == want
+
+
 def test_thin_rows_are_dealt_to_all_tasks(spark, tmp_path):
     rows = grown(spark, tmp_path)  # one file of a megabyte, so one task of a scan
     found = store.dealt(rows, "id")
