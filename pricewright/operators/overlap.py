@@ -25,7 +25,7 @@ def rare_first(rows: DataFrame, key: str, words: str, counts: DataFrame | None =
     counts = word_counts(rows, words, per) if counts is None else counts
     rated = spread_join(each, counts, [*per, "word"], "left").select(key, F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word").alias("w"))
     ordered = rated.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["word"]).alias("ordered"))
-    return rows.join(ordered, key)
+    return rows.join(ordered.hint("merge"), key)
 
 
 def word_counts(rows: DataFrame, words: str, per: list[str] = []) -> DataFrame:
@@ -61,19 +61,25 @@ def alike_pairs(rows: DataFrame, key: str, share: float, per: list[str], near: C
     return met.filter(F.size(F.array_intersect("a.ordered", "b.ordered")) >= at_least(most, share)).select("a", "b")
 
 
-def contained_pairs(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
+def contained_pairs(left: DataFrame, right: DataFrame, share: float, blocks: tuple[Column, Column] | None = None) -> DataFrame:
     """Pairs (a from ``left``, b from ``right``: structs of all columns) that share
     ``share`` of the smaller set's words or more, once each. Both come from
     ``rare_first`` with the same counts. The smaller set's prefix meets all words of the
-    larger that stand early enough for so many shared ones to follow."""
+    larger that stand early enough for so many shared ones to follow. With ``blocks``
+    (arrays of a left row's and a right row's) only rows meet that have one in common,
+    once for each."""
+    keys = ["word"] if blocks is None else ["word", "_block"]
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        return rows if blocks is None else rows.withColumn("_block", F.explode(blocks[name == "b"]))
 
     def met(small, s, large, g, strictly):
         own = small.withColumn("_first", prefix(F.col("ordered"), share))
-        own = own.select(F.struct(*small.columns, "_first").alias(s), F.explode("_first").alias("word"))
-        all_ = large.select(F.struct(*large.columns).alias(g), F.posexplode("ordered").alias("_place", "word"))
+        own = dealt(own, s).select(*keys[1:], F.struct(*small.columns, "_first").alias(s), F.explode("_first").alias("word"))
+        all_ = dealt(large, g).select(*keys[1:], F.struct(*large.columns).alias(g), F.posexplode("ordered").alias("_place", "word"))
         size_s, size_g = F.size(f"{s}.ordered"), F.size(f"{g}.ordered")
         bigger = size_g > size_s if strictly else size_g >= size_s
-        found = own.join(all_, "word").filter(bigger & (F.col("_place") <= size_g - at_least(size_s, share)))
+        found = own.join(all_, keys).filter(bigger & (F.col("_place") <= size_g - at_least(size_s, share)))
         found = found.filter(F.get(F.array_intersect(f"{s}._first", f"{g}.ordered"), F.lit(0)) == F.col("word"))
         found = found.filter(F.size(F.array_intersect(f"{s}.ordered", f"{g}.ordered")) >= at_least(size_s, share))
         return found.select(F.col(s).dropFields("_first").alias(s), g).select("a", "b")

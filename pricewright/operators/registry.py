@@ -8,14 +8,18 @@ against; an exact prefix filter finds all pairs that share enough.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.size import within
+from ..functions.size import TOLERANCE, within
 from ..sources.store import materialize
 from . import overlap
-from .resolve import spread_join
+from .resolve import large_join, spread_join
 
+#: A size bucket in logarithms, a little wider than sizes that are the same can be apart.
+SIZE_BUCKET = -1.000001 * math.log(1 - TOLERANCE)
 #: The bands of the score, what another brand costs, the weeks until a
 #: product sleeps, and the bar for merging two.
 ATTACH, REVIEW, BRAND_PENALTY, DORMANT_WEEKS, MERGE = 0.6, 0.45, 0.25, 6, 0.85
@@ -97,6 +101,30 @@ def put_to_sleep(products: DataFrame, today: Column) -> DataFrame:
     return products.withColumn("state", F.when(old, "dormant").otherwise(F.col("state")))
 
 
+def _double_blocks(first: bool) -> Column:
+    """The blocks of a product (brand, unit, total, stores), of which any two that may be
+    doubles have one in common, as ``first`` and as second: the brand is the same or one
+    has none, and besides the size is the same (neighbouring buckets, a tolerance wide),
+    or a store is and one size is unknown. A total without end is near every other."""
+    known = F.col("unit").isNotNull() & F.col("total").isNotNull()
+    wild = known & (F.isnan("total") | (F.abs("total") == float("inf")))
+    none = F.array().cast("array<string>")
+    some = lambda held, *keys: F.when(held, F.array(*keys)).otherwise(none)
+    key = lambda *parts: F.concat_ws("\x00", *parts)
+    bucket = F.when(F.col("total") > 0, F.floor(F.log("total") / F.lit(SIZE_BUCKET)))
+    step = lambda n: key(F.lit("size"), F.col("unit"), F.coalesce((bucket + n).cast("string"), F.lit("0 or less")))
+    sized = some(known & ~wild, *([step(-1), step(0), step(1)] if first else [step(0)]))
+    sized = F.concat(sized, some(wild if first else known, key(F.lit("wild"), F.col("unit"))), some(known if first else wild, key(F.lit("to wild"), F.col("unit"))))
+    stores = lambda tag: F.transform(F.coalesce("stores", F.array()), lambda s: key(F.lit(tag), s.cast("string")))
+    if first:
+        placed = F.when(known, stores("to unsized")).otherwise(stores("unsized"))
+    else:
+        placed = F.concat(stores("unsized"), F.when(known, none).otherwise(stores("to unsized")))
+    own, bare = key(F.lit("brand"), F.col("brand")), F.lit("to a brand" if first else "to none")
+    brands = F.when(F.col("brand") == "", F.array(bare, F.lit("none"))).otherwise(F.array(own, F.lit("to none" if first else "to a brand")))
+    return F.flatten(F.transform(F.array_distinct(F.concat(sized, placed)), lambda k: F.transform(brands, lambda b: key(b, k))))
+
+
 def merge_targets(products: DataFrame, stores: DataFrame) -> DataFrame:
     """product_id, merged_into: products that are another's double. The bar is above
     that for a sighting, brands must not conflict, and the two have a store in common
@@ -107,18 +135,19 @@ def merge_targets(products: DataFrame, stores: DataFrame) -> DataFrame:
     held = stores.filter("store IS NOT NULL").groupBy("product_id").agg(F.array_sort(F.collect_set("store")).alias("stores"))
     kind = F.struct(F.array_sort(F.array_distinct("tokens")).alias("tokens"), F.coalesce("brand", F.lit("")).alias("brand"), "unit", "total", "stores")
     sized = F.col("unit").isNotNull() & F.coalesce(F.col("total") >= 0, F.lit(False))
-    rows = products.select("product_id", "tokens", "brand", "unit", "total").join(held, "product_id", "left")
+    rows = products.select("product_id", "tokens", "brand", "unit", "total")
+    rows = large_join(rows, held, ["product_id"], "left")
     rows = materialize(rows.filter((F.size("tokens") > 0) & (F.col("stores").isNotNull() | sized)).select("product_id", kind.alias("kind")), "merge-rows")
     nodes = materialize(rows.groupBy("kind").agg(F.min("product_id").alias("node")), "merge-nodes")
     ordered = overlap.rare_first(nodes.select("node", "kind.*"), "node", "tokens")
-    pairs = overlap.contained_pairs(ordered, ordered, MERGE)
+    pairs = overlap.contained_pairs(ordered, ordered, MERGE, (_double_blocks(True), _double_blocks(False)))
     a, b = F.col("a"), F.col("b")
     same_size = F.coalesce((a["unit"] == b["unit"]) & within(a["total"], b["total"]), F.lit(False))
     pairs = pairs.filter((a["node"] < b["node"]) & ~brand_conflicts(a["brand"], b["brand"]) & ~size_differs(a["unit"], a["total"], b["unit"], b["total"]))
     pairs = pairs.filter(F.coalesce(F.arrays_overlap(a["stores"], b["stores"]), F.lit(False)) | same_size)
     led = overlap.leaders(nodes.select("node", F.lit(None).cast("string").alias("cls")), pairs.select(a["node"].alias("a"), b["node"].alias("b")))
-    survivors = nodes.join(led, "node").select("kind", F.col("leader").alias("merged_into"))
-    return spread_join(rows, survivors, ["kind"]).filter("product_id <> merged_into").select("product_id", "merged_into")
+    survivors = nodes.join(led.hint("merge"), "node").select("kind", F.col("leader").alias("merged_into"))
+    return spread_join(rows, survivors.hint("merge"), ["kind"]).filter("product_id <> merged_into").select("product_id", "merged_into")
 
 
 def current_ids(ids: DataFrame, merged: DataFrame, column: str = "product_id") -> DataFrame:

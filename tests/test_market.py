@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import display, featured, matching, names, navigation
 from pricewright.functions.lexicon import GROCERY
-from pricewright.operators import brands, brochures, comparison, lists, pages, phrases, profiles, rails, registry, search
+from pricewright.operators import brands, brochures, comparison, lists, overlap, pages, phrases, profiles, rails, registry, search
 
 
 def pool_of(spark, rows):
@@ -338,6 +338,31 @@ def test_merges_lead_to_survivors(spark):
     assert registry.merge_targets(spark.createDataFrame(survivors, schema), held).count() == 0
 
 
+def test_doubles_meet_by_blocks(spark):
+    """Any two that may be doubles have a block in common, odd totals too; products of one
+    name that differ in brand, size and store do not meet."""
+    nan, inf = float("nan"), float("inf")
+    totals = (None, 0.0, -1.0, 1e-3, 1.0, 1.03, 1.031, 1.1, 500.0, 515.0, inf, -inf, nan)
+    rows = [(i, b, u, t, s) for i, (b, u, t, s) in enumerate((b, u, t, s) for b in ("", "x", "none") for u in ("kg", None) for t in totals for s in (["s"], ["t", "u"], None))]
+    kinds = spark.createDataFrame(rows, "node int, brand string, unit string, total double, stores array<string>")
+    side = lambda n, first: kinds.select(F.struct("*").alias(n), registry._double_blocks(first).alias(f"{n}_blocks"))
+    a, b = F.col("a"), F.col("b")
+    same = F.coalesce((a["unit"] == b["unit"]) & registry.within(a["total"], b["total"]), F.lit(False))
+    double = ~registry.brand_conflicts(a["brand"], b["brand"]) & ~registry.size_differs(a["unit"], a["total"], b["unit"], b["total"]) & (F.coalesce(F.arrays_overlap(a["stores"], b["stores"]), F.lit(False)) | same)
+    met = side("a", True).crossJoin(side("b", False)).select(double.alias("double"), F.arrays_overlap("a_blocks", "b_blocks").alias("met"))
+    n = {(r.double, r.met): r["count"] for r in met.groupBy("double", "met").count().collect()}
+    assert n[True, True] > 0 and (True, False) not in n and n[False, False] > n[False, True]
+
+
+def test_registry_pairs_do_not_grow_by_name(spark):
+    """4,000 products of one name, each of a size and brand of its own: the rows that meet
+    are counted from the join itself."""
+    rows = spark.range(4000).select("id", F.array(F.lit("red"), F.lit("bolt")).alias("ordered"), F.col("id").cast("string").alias("brand"), F.lit("kg").alias("unit"), (F.col("id") + 1.0).alias("total"), F.array(F.lit("s")).alias("stores"))
+    blocks = (registry._double_blocks(True), registry._double_blocks(False))
+    assert overlap.contained_pairs(rows, rows, registry.MERGE).count() == 4000 ** 2
+    assert overlap.contained_pairs(rows, rows, registry.MERGE, blocks).count() == 4000
+
+
 def test_phrases_of_any_length(spark):
     words = "the very long name of a rather tall red box".split()
     rows = spark.createDataFrame([(1, words, "d"), (1, words, "d"), (2, ["red"], "d"), (3, None, "d"), (4, [], None), (5, ["box", None, "red", "box", "odd", "2x", "things"], "e")], "k int, words array<string>, department string")
