@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import matching
 from ..functions.columns import let
 from ..functions.lexicon import Lexicon
-from ..sources.store import materialize
+from ..sources.store import dealt, materialize
 from .resolve import spread_join
 
 
@@ -70,9 +70,12 @@ def key_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
 def candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
     """Queries (query_id, q) with the products (ord, it) of which name or brand has a
     word of theirs: the columns of both, a row per pair. A query without words has
-    none. The analyses are written to scratch, for they are read twice."""
+    none. The analyses are written to scratch, for they are read twice. Pairs are few
+    bytes and cost much each, so they are dealt to tasks by their number, and items come
+    to them by merging."""
     items, queries = materialize(items, "search-items"), materialize(queries, "search-queries")
-    both = spread_join(key_pairs(queries, items).join(items, "ord"), queries, ["query_id"])
+    pairs = dealt(materialize(key_pairs(queries, items), "search-pairs"), "ord")
+    both = spread_join(pairs.join(items.hint("merge"), "ord"), queries, ["query_id"])
     return both.filter(F.exists(matching.token_tiers(F.col("q"), F.col("it")), lambda t: t > 0))
 
 

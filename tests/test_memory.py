@@ -118,6 +118,17 @@ def test_searches_read_dealt_items(spark, data):
     assert "REPARTITION_BY_NUM" in planned(tables.items_of(spark, data))
 
 
+def test_pairs_are_dealt(spark, data):
+    plan = planned(tables.candidates(spark, data))
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin [ord" in plan
+
+
+@pytest.mark.parametrize("name", ["elsewhere", "watch_checks"])
+def test_own_sizes_are_read_by_query(spark, data, name):
+    plan = plans.registered()[0][name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and " kg" not in plan  # sizes are read before the pairs are made
+
+
 def test_identities_read_once(spark, data):
     assert "badge-identities" in planned(plans.registered()[0]["identity_badges"](spark, data))
 
