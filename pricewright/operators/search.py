@@ -17,7 +17,7 @@ from ..functions import matching
 from ..functions.columns import let
 from ..functions.lexicon import Lexicon
 from ..sources.store import dealt, materialize
-from .resolve import spread_join
+from .resolve import dictionary_join, spread_join
 
 
 def _tagged(tag: str, values: Column) -> Column:
@@ -64,7 +64,7 @@ def key_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
     keyed = materialize(keyed.join(asked.select("_key").distinct(), "_key", "left_semi"), "search-keys")
     counted = asked.join(keyed.groupBy("_key").agg(F.count("*").alias("n")), "_key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy("query_id", "word").agg(F.min(F.struct("n", "_key")).alias("k")).filter("k.n > 0")
-    return keyed.join(rarest.select("query_id", "k._key").distinct(), "_key").select("query_id", "ord").distinct()
+    return dictionary_join(keyed, rarest.select("query_id", "k._key").distinct(), ["_key"]).select("query_id", "ord").distinct()
 
 
 def candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
