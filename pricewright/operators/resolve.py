@@ -44,19 +44,25 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
     return many.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def large_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def _deal(rows: DataFrame) -> Column:
+    """A number from 1 to 65536 for each row, by a hash of its values and of the part it
+    lies in: a task that runs again deals as before."""
+    plain = [c for c, kind in rows.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
+    return (F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(1 << 16)) + 1).cast("int")
+
+
+def large_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", deal: Column | None = None) -> DataFrame:
     """Join ``right``, which has at most a row for each key and grows with the input, to
     ``left``: sorted and merged, so never in the driver's memory, however little its files
     or columns take, and without copies. Rows with a null key match nothing; where the
-    join keeps them they are spread. A key with very many rows is split by Spark's skew
-    join."""
-    plain = [c for c, kind in left.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
+    join keeps them they are spread, by ``deal`` if the rows were dealt before. A key with
+    very many rows is split by Spark's skew join."""
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
-    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(1 << 16)) + 1
-    left = left.withColumn("_salt", F.when(some_null, dealt.cast("int")).otherwise(0))
-    return left.join(right.withColumn("_salt", F.lit(0)).hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    left = left.withColumn("_salt", F.when(some_null, _deal(left) if deal is None else deal).otherwise(0))
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")  # a literal would be folded into the condition and be no key
+    return left.join(right.withColumn("_salt", zero).hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def dictionary_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,15 +78,19 @@ def dictionary_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFra
 def first_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], result: str, order: str) -> DataFrame:
     """Left rows with ``result`` of the first of the key pairs that finds one; of
     equals the least by ``order``. Each step is an equi-join on distinct keys, in which
-    rows with a null key are spread."""
-    tried = []
+    rows with a null key, and those that have a result, are spread. Rows are dealt once,
+    before the first step, and take a result and a step along, so what is not read
+    afterwards is shuffled in no step."""
+    columns = left.columns
+    kind = right.schema[result].dataType
+    rows = left.withColumns({"_deal": _deal(left), "_found": F.lit(None).cast(kind), "_step": F.lit(None).cast("int")})
     for i, (a, b) in enumerate(keys):
-        least = right.filter(F.col(b).isNotNull()).groupBy(F.col(b).alias(f"_k{i}")).agg(F.min(F.struct(F.col(order).alias("_order"), F.col(result).alias("_result"))).alias(f"_m{i}"))
-        left = large_join(left.withColumn(f"_k{i}", F.col(a)), least, [f"_k{i}"], "left").drop(f"_k{i}")
-        tried.append(f"_m{i}")
-    found = F.coalesce(*[F.col(m)["_result"] for m in tried])
-    step = F.coalesce(*[F.when(F.col(m).isNotNull(), i + 1) for i, m in enumerate(tried)])
-    return left.withColumn(result, found).withColumn("matched_by", step).drop(*tried)
+        least = right.filter(F.col(b).isNotNull()).groupBy(F.col(b).alias("_k")).agg(F.min(F.struct(F.col(order).alias("_order"), F.col(result).alias("_result"))).alias("_m"))
+        least = least.select("_k", F.col("_m._result").alias("_r"), F.lit(i + 1).alias("_s"))
+        asked = rows.withColumn("_k", F.when(F.col("_found").isNull(), F.col(a)))
+        rows = large_join(asked, least, ["_k"], "left", F.col("_deal"))
+        rows = rows.withColumns({"_found": F.coalesce("_found", "_r"), "_step": F.coalesce("_step", "_s")}).drop("_k", "_r", "_s")
+    return rows.select(*columns, F.col("_found").alias(result), F.col("_step").alias("matched_by"))
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, share: float) -> DataFrame:

@@ -139,3 +139,41 @@ def test_similar_sorts_no_anchors(spark):
     assert not re.search(r"Window \[.*\], \[id#", planned(found))
     got = {(r.id, r.rank): r.ord for r in found.collect()}
     assert got == {(1, 1): 2, (1, 2): 4, (2, 1): 1, (2, 2): 3, (3, 1): 2, (4, 1): 1, (4, 2): 2}
+
+
+def joins(plan):
+    """The joins of an optimized plan."""
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    return [*([plan] if plan.nodeName() == "Join" else []), *[j for p in below for j in joins(p)]]
+
+
+def steps(spark, tmp_path):
+    """Rows of which most have no key in the first step, with a column nobody asks for."""
+    rows = grown(spark, tmp_path, 3000).repartition(3)
+    left = rows.select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("a"), (F.col("id") % 4).alias("b"), F.repeat(F.lit("x"), F.col("id").cast("int") % 5).alias("pad"))
+    right = spark.createDataFrame([(10, 9, 30), (20, None, None), (20, None, 40), (30, None, None), (None, 2, 5), (None, 0, 6)], "x int, y int, r int")
+    return resolve.first_match(left, right, [("a", "x"), ("b", "y")], "r", "r")
+
+
+def test_null_keys_are_spread(spark, tmp_path):
+    """The salt is a key of the join, not a condition beside it."""
+    found = steps(spark, tmp_path)
+    keys = re.findall(r"SortMergeJoin \[(.*?)\], \[", planned(found))
+    assert len(keys) == 2 and all("_salt" in k for k in keys)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        none = grown(spark, tmp_path / "none", 1000).select("id", F.when(F.col("id") < 0, F.col("id")).alias("k")).repartition(3)
+        joined = resolve.large_join(none, spark.range(5).select(F.col("id").alias("k"), F.lit(1).alias("one")), ["k"], "left")
+        assert joined.select(F.spark_partition_id().alias("p")).distinct().count() == 4 and joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_steps_shuffle_what_is_read(spark, tmp_path):
+    found = steps(spark, tmp_path)
+    plan = found.groupBy("matched_by").agg(F.count("*"))._jdf.queryExecution().optimizedPlan()
+    assert len(joins(plan)) == 2 and not any("pad" in j.output().mkString() for j in joins(plan))
+    one, two = {10: 30}, {2: 5, 0: 6}  # a null result is a match, but the search goes on
+    for r in found.collect():
+        first = r.a in (10, 20, 30)
+        assert r.r == one.get(r.a, two.get(r.b)) and r.matched_by == (1 if first else 2 if r.b in two else None)
