@@ -83,14 +83,16 @@ def first_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
     afterwards is shuffled in no step."""
     columns = left.columns
     kind = right.schema[result].dataType
-    rows = left.withColumns({"_deal": _deal(left), "_found": F.lit(None).cast(kind), "_step": F.lit(None).cast("int")})
+    tail = "_" * max((len(c) for c in columns), default=0)  # names that no column of the left has
+    deal, found, step, k, r, s = (f"_{c}{tail}" for c in ("deal", "found", "step", "k", "r", "s"))
+    rows = left.withColumns({deal: _deal(left), found: F.lit(None).cast(kind), step: F.lit(None).cast("int")})
     for i, (a, b) in enumerate(keys):
-        least = right.filter(F.col(b).isNotNull()).groupBy(F.col(b).alias("_k")).agg(F.min(F.struct(F.col(order).alias("_order"), F.col(result).alias("_result"))).alias("_m"))
-        least = least.select("_k", F.col("_m._result").alias("_r"), F.lit(i + 1).alias("_s"))
-        asked = rows.withColumn("_k", F.when(F.col("_found").isNull(), F.col(a)))
-        rows = large_join(asked, least, ["_k"], "left", F.col("_deal"))
-        rows = rows.withColumns({"_found": F.coalesce("_found", "_r"), "_step": F.coalesce("_step", "_s")}).drop("_k", "_r", "_s")
-    return rows.select(*columns, F.col("_found").alias(result), F.col("_step").alias("matched_by"))
+        least = right.filter(F.col(b).isNotNull()).groupBy(F.col(b).alias(k)).agg(F.min(F.struct(F.col(order).alias("_order"), F.col(result).alias("_result"))).alias("_m"))
+        least = least.select(k, F.col("_m._result").alias(r), F.lit(i + 1).alias(s))
+        asked = rows.withColumn(k, F.when(F.col(found).isNull(), F.col(a)))
+        rows = large_join(asked, least, [k], "left", F.col(deal))
+        rows = rows.withColumns({found: F.coalesce(found, r), step: F.coalesce(step, s)}).drop(k, r, s)
+    return rows.select(*columns, F.col(found).alias(result), F.col(step).alias("matched_by"))
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, share: float) -> DataFrame:

@@ -211,6 +211,17 @@ def test_spots_on_missing_pages_lead_nowhere(spark):
     assert {r.offer_id: r.page for r in brochures.landings(offers, held, pages, spots).collect()} == {7: None, 8: 2}
 
 
+def test_landings_keep_both_steps(spark):
+    """The step that found the brochure is not that which found the page."""
+    held = spark.createDataFrame([(1, "s", "r", "e", "images", None), (2, "s", "r", "f", "pdf", None)], "id long, store string, region string, edition string, source_type string, source_url string")
+    pages = spark.createDataFrame([(1, 2, "p2"), (1, 3, "p3")], "brochure_id long, index int, page_id string")
+    spots = spark.createDataFrame([(1, 2, 7)], "brochure_id long, index int, offer_id long")
+    rows = [(7, 1, None, None, None), (8, None, "e", None, 3), (9, None, None, "p3", None), (10, 2, None, None, None), (11, None, None, None, None)]
+    offers = spark.createDataFrame([(i, "s", "r", b, e, None, p, n) for i, b, e, p, n in rows], "offer_id long, store string, region string, brochure_id long, edition string, flyer_ref string, page_ref string, page_index int")
+    got = {r.offer_id: (r.held, r.matched_by, r.page, r.landed_by) for r in brochures.landings(offers, held, pages, spots).collect()}
+    assert got == {7: (1, 1, 2, 3), 8: (1, 2, 3, 1), 9: (1, 5, 3, 2), 10: (2, 1, None, None), 11: (None, None, None, None)}
+
+
 def test_processing_words_are_trusted(spark):
     rows = [("tinned",), ("مجمده",), ("xyzzy",)]
     trusted = names.is_trusted(F.col("w"), F.array().cast("array<string>"), GROCERY)

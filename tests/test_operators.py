@@ -297,6 +297,14 @@ def test_leaders_of_a_path_and_a_hub(spark):
     assert got == {n: n - n % 2 if n < 10 else 100 if 100 < n < 700 else n for n in nodes}
 
 
+def test_first_match_keeps_columns_of_any_name(spark):
+    names = ["_deal", "_found", "_step", "_k", "_r", "_s", "_salt_"]
+    left = spark.createDataFrame([(1, *"abcdefg"), (2, *"hijklmn")], "a int, " + ", ".join(f"{c} string" for c in names))
+    right = spark.createDataFrame([(1, 30)], "x int, r int")
+    got = resolve.first_match(left, right, [("a", "x")], "r", "r").select("a", *names, "r", "matched_by").collect()
+    assert sorted(map(tuple, got)) == [(1, *"abcdefg", 30, 1), (2, *"hijklmn", None, None)]
+
+
 def test_first_match_goes_round_null_keys(spark):
     left = spark.createDataFrame([(i, None if i % 3 else i, i % 4) for i in range(20)], "i int, a int, b int")
     right = spark.createDataFrame([(3, 2, 30), (6, None, 60), (None, 2, 5), (6, 1, 7)], "x int, y int, r int")
