@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.listings import active_on
-from .resolve import first_match, large_join
 
 
 def is_external(source_type: Column, source_url: Column) -> Column:
@@ -84,12 +83,36 @@ def page_lists(pages: DataFrame) -> DataFrame:
 
 
 def _keyed(*parts: Column) -> Column:
-    """A join key, null if a part is."""
-    known = [p.isNotNull() for p in parts]
-    every = known[0]
-    for k in known[1:]:
-        every = every & k
-    return F.when(every, F.to_json(F.struct(*[p.cast("string").alias(f"k{i}") for i, p in enumerate(parts)])))
+    """A join key, null if a part is: the parts, each but the last with its length."""
+    texts = [p.cast("string") for p in parts]
+    return F.concat(*[c for t in texts[:-1] for c in (F.length(t).cast("string"), F.lit(":"), t)], texts[-1])
+
+
+def _by_ways(offers: DataFrame, brochures: DataFrame, pages: DataFrame, other: Column) -> tuple[DataFrame, DataFrame]:
+    """Offers that name no brochure in any way, and the others with ``_found``: step, id
+    and ``other`` (of the brochure) of the first way that leads to a brochure, or null. All
+    ways of all offers are one join, so an offer is shuffled once for each key it asks by,
+    and those that ask by several once more."""
+    key = lambda way, value: _keyed(F.lit(way), F.col("store"), F.col("region"), value)
+    suffix = F.nullif(F.regexp_extract("edition", "-([0-9]+)$", 1), F.lit(""))
+    ways = [(1, "i", F.col("id")), (2, "e", F.col("edition")), (3, "f", flyer_ref(F.col("source_url"))), (4, "f", suffix)]
+    each = F.explode(F.array(*[F.struct(key(way, c).alias("key"), F.lit(step).alias("step")) for step, way, c in ways]))
+    held = brochures.select("id", other.alias("other"), each.alias("w")).select("w.key", "w.step", "id", "other").filter("key IS NOT NULL")
+    stores = brochures.select(F.col("id").alias("brochure_id"), "store", "region", other.alias("other"))
+    paged = pages.filter("brochure_id IS NOT NULL").join(stores.hint("merge"), "brochure_id")
+    held = held.union(paged.select(key("p", F.col("page_id")).alias("key"), F.lit(5), "brochure_id", "other"))
+    held = held.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("step", "id", "other")).alias("_found")).hint("merge")
+    columns = offers.columns
+    wanted = [("i", "brochure_id"), ("e", "edition"), ("f", "flyer_ref"), ("p", "page_ref")]
+    keys = [key(way, F.col(c)) for way, c in wanted]
+    number = F.lit(0)
+    for _, c in wanted:
+        number = number + (F.col("store").isNotNull() & F.col("region").isNotNull() & F.col(c).isNotNull()).cast("int")
+    one = offers.filter(number == 1).withColumn("_key", F.coalesce(*keys)).join(held, "_key", "left").select(*columns, "_found")
+    several = offers.filter(number > 1).select(*columns, F.posexplode(F.array_compact(F.array(*keys))).alias("_place", "_key"))
+    several = several.join(held, "_key", "left").groupBy(*columns).agg(F.min("_found").alias("_found"), F.count(F.when(F.col("_place") == 0, 1)).alias("_alike"))
+    several = several.withColumn("_alike", F.explode(F.sequence(F.lit(1), F.col("_alike")))).select(*columns, "_found")
+    return offers.filter(number == 0), one.unionByName(several)
 
 
 def brochures_of_offers(offers: DataFrame, brochures: DataFrame, pages: DataFrame) -> DataFrame:
@@ -97,45 +120,43 @@ def brochures_of_offers(offers: DataFrame, brochures: DataFrame, pages: DataFram
     the step that found it (``matched_by``): 1 brochure id, 2 edition, 3 flyer number
     of the source URL, 4 that at the end of the edition, 5 a page that the offer names.
     Another brochure of the same store is no match. Of equals the least id."""
-    store, region = F.col("store"), F.col("region")
-    suffix = F.nullif(F.regexp_extract("edition", "-([0-9]+)$", 1), F.lit(""))
-    held = brochures.select(
-        F.col("id"),
-        _keyed(store, region, F.col("id")).alias("by_id"),
-        _keyed(store, region, F.col("edition")).alias("by_edition"),
-        _keyed(store, region, flyer_ref(F.col("source_url"))).alias("by_flyer"),
-        _keyed(store, region, suffix).alias("by_suffix"),
-    )
-    paged = pages.filter("page_id IS NOT NULL").join(brochures.select(F.col("id").alias("brochure_id"), "store", "region"), "brochure_id")
-    held = held.withColumn("by_page", F.lit(None).cast("string")).unionByName(
-        paged.select(F.col("brochure_id").alias("id"), *[F.lit(None).cast("string").alias(c) for c in ("by_id", "by_edition", "by_flyer", "by_suffix")], _keyed(store, region, F.col("page_id")).alias("by_page"))
-    )
-    wanted = {
-        "_id": F.col("brochure_id"), "_edition": F.col("edition"), "_flyer": F.col("flyer_ref"), "_page": F.col("page_ref"),
-    }
-    rows = offers.withColumns({k: _keyed(store, region, c) for k, c in wanted.items()})
-    keys = [("_id", "by_id"), ("_edition", "by_edition"), ("_flyer", "by_flyer"), ("_flyer", "by_suffix"), ("_page", "by_page")]
-    found = first_match(rows, held, keys, "id", "id")
-    return found.withColumnRenamed("id", "held").drop(*wanted)
+    none, rows = _by_ways(offers, brochures, pages, F.lit(False))
+    found = rows.select(*offers.columns, F.col("_found.id").alias("held"), F.col("_found.step").alias("matched_by"))
+    return found.unionByName(none, allowMissingColumns=True)
 
 
-def landings(offers: DataFrame, brochures: DataFrame, pages: DataFrame, spots: DataFrame) -> DataFrame:
+def landings(offers: DataFrame, brochures: DataFrame, pages: DataFrame, spots: DataFrame, dealt: bool = False) -> DataFrame:
     """Offers with the page of their brochure to open on (``page``): the index they
     name if it is there, else that of the page they name, else the first page with a
-    spot of theirs (spots on pages that the brochure lacks lead nowhere); null if none is certain, and for brochures that are no images."""
-    found = brochures_of_offers(offers, brochures, pages)
-    images = brochures.filter("source_type = 'images'").select(F.col("id").alias("held"), F.lit(True).alias("_images"))
-    found = large_join(found, images, ["held"], "left")
-    held = F.when(F.col("_images"), F.col("held"))
-    rows = found.withColumns({"_index": _keyed(held, F.col("page_index")), "_page": _keyed(held, F.col("page_ref")), "_spot": _keyed(held, F.col("offer_id"))})
-    none = F.lit(None).cast("string")
-    places = pages.select("index", _keyed(F.col("brochure_id"), F.col("index")).alias("by_index"), _keyed(F.col("brochure_id"), F.col("page_id")).alias("by_page"), none.alias("by_spot"))
-    spots = spots.join(pages.select("brochure_id", "index").distinct(), ["brochure_id", "index"], "left_semi")
-    places = places.unionByName(spots.select("index", none.alias("by_index"), none.alias("by_page"), _keyed(F.col("brochure_id"), F.col("offer_id")).alias("by_spot")))
-    keys = [("_index", "by_index"), ("_page", "by_page"), ("_spot", "by_spot")]
-    rows = rows.withColumnRenamed("matched_by", "_step")
-    landed = first_match(rows, places, keys, "index", "index").withColumnRenamed("index", "page").withColumnRenamed("matched_by", "landed_by")
-    return landed.withColumnRenamed("_step", "matched_by").drop("_images", "_index", "_page", "_spot")
+    spot of theirs (spots on pages that the brochure lacks lead nowhere); null if none is
+    certain, and for brochures that are no images. Offers are dealt to the tasks of their
+    brochures and meet its pages and spots by windows, so that each is shuffled once, and
+    not at all if ``dealt`` says that pages and spots lie by brochure already. Offers
+    whose brochure is not opened are spread, those that name none stay where they are."""
+    if not dealt:
+        pages, spots = pages.repartition("brochure_id"), spots.repartition("brochure_id")
+    none, rows = _by_ways(offers, brochures, pages, F.coalesce(F.col("source_type") != "images", F.lit(True)))
+    at, page = brochures.schema["id"].dataType, pages.schema["index"].dataType
+    text = lambda c: F.col(c).cast("string")
+    opened = F.when(~F.col("_found.other"), F.col("_found.id"))
+    any_at = F.pmod(F.xxhash64(F.spark_partition_id(), "offer_id"), F.lit((1 << 31) - 1)).cast(at)
+    rows = rows.select(*offers.columns, F.col("_found.id").alias("held"), F.col("_found.step").alias("matched_by"), opened.isNotNull().alias("_opens"), F.coalesce(opened, any_at).alias("_at"))
+    rows = rows.repartition("_at").withColumns({"_kind": F.lit(0), "_place": F.lit(None).cast(page), "_index": text("page_index"), "_page": text("page_ref"), "_offer": text("offer_id")})
+    for kind, places, ids in ((1, pages, {"_page": text("page_id")}), (2, spots, {"_offer": text("offer_id")})):
+        own = {"_at": F.col("brochure_id").cast(at), "_kind": F.lit(kind), "_place": F.col("index"), "_index": text("index"), **ids}
+        places = places.filter("brochure_id IS NOT NULL")
+        rows = rows.union(places.select(*[own.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema]))
+    alike = lambda c: Window.partitionBy("_at", c)
+    least = lambda kept, c: F.when(F.col(c).isNotNull(), F.min(F.when(kept, F.col("_place"))).over(alike(c)))
+    rows = rows.withColumn("_there", F.max(F.col("_kind") == 1).over(alike("_index")) & F.col("_index").isNotNull())
+    rows = rows.withColumn("_paged", least(F.col("_kind") == 1, "_page"))
+    rows = rows.withColumn("_spot", least((F.col("_kind") == 2) & F.col("_there"), "_offer"))
+    named = F.when(F.col("_there"), F.col("page_index").cast(page))
+    step = F.when(F.col("_there"), 1).when(F.col("_paged").isNotNull(), 2).when(F.col("_spot").isNotNull(), 3)
+    found = rows.filter("_kind = 0").select(
+        *offers.columns, "held", "matched_by", F.when(F.col("_opens"), F.coalesce(named, "_paged", "_spot")).alias("page"), F.when(F.col("_opens"), step).alias("landed_by")
+    )
+    return found.unionByName(none, allowMissingColumns=True)
 
 
 def reading_sequence(pages: DataFrame, spots: DataFrame, offers: DataFrame) -> DataFrame:

@@ -31,11 +31,16 @@ def _brochures(spark, d):
     )
 
 
+def _lines(spark, d):
+    """Line items dealt by order: one shuffle for all that is asked of an order's lines."""
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct()
+
+
 def _pages(spark, d):
-    rows = table(spark, d, "lineitem").select(
+    rows = _lines(spark, d).select(
         F.col("l_orderkey").alias("brochure_id"), F.col("l_linenumber").alias("index"), F.concat(F.lit("p"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("page_id")
     )
-    return rows.withColumn("page_id", F.when(F.col("index") != 6, F.col("page_id"))).distinct()
+    return rows.withColumn("page_id", F.when(F.col("index") != 6, F.col("page_id")))
 
 
 def _spots(spark, d):
@@ -46,8 +51,8 @@ def _spots(spark, d):
 
 def _offers(spark, d):
     """Offers that know their brochure by id, edition, flyer, page or not at all."""
-    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    rows = line.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    rows = _lines(spark, d).join(orders.hint("merge"), "l_orderkey")
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     edition = F.concat(F.lit("e"), F.when(k % 2 == 0, k.cast("string")).otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit("-"), k.cast("string"))))
     return rows.select(
@@ -111,7 +116,8 @@ def page_lists(spark, d):
 
 
 def offer_landing(spark, d):
-    rows = brochures.landings(_offers(spark, d), _brochures(spark, d), _pages(spark, d), _spots(spark, d))
+    spots = _pages(spark, d).select("brochure_id", "index", (F.col("brochure_id") * 10 + F.col("index")).alias("offer_id"))  # those of _spots, without places
+    rows = brochures.landings(_offers(spark, d), _brochures(spark, d), _pages(spark, d), spots, dealt=True)
     return rows.select("offer_id", "held", "matched_by", "page", "landed_by")
 
 

@@ -222,6 +222,55 @@ def test_landings_keep_both_steps(spark):
     assert got == {7: (1, 1, 2, 3), 8: (1, 2, 3, 1), 9: (1, 5, 3, 2), 10: (2, 1, None, None), 11: (None, None, None, None)}
 
 
+def landed(offers, held, pages, spots):
+    """Landings by looking at all rows."""
+    found = []
+    for o in offers:
+        offer, store, region, brochure, edition, flyer, page_ref, page_index = o
+        asked = [None if v is None or store is None or region is None else (store, region, str(v)) for v in (brochure, edition, flyer, flyer, page_ref)]
+        ways = {}
+        for b, s, r, e, kind, url in held:
+            number = url.split("/")[-2] if "/offers/" in url else None
+            tail = e.split("-")[-1] if "-" in e else None
+            own = [[b], [e], [number], [tail], [p for k, _, p in pages if k == b]]
+            for step, values in enumerate(own):
+                if asked[step] and any(v is not None and (s, r, str(v)) == asked[step] for v in values):
+                    ways[step + 1] = min(ways.get(step + 1, (b, kind)), (b, kind))
+        step = min(ways, default=None)
+        b, kind = ways[step] if step else (None, None)
+        mine = [(i, p) for k, i, p in pages if k == b and i is not None and kind == "images"]
+        at = [
+            {i for i, _ in mine if i == page_index},
+            {i for i, p in mine if p is not None and p == page_ref},
+            {i for k, i, n in spots if k == b and n == offer and n is not None and i in [j for j, _ in mine]},
+        ]
+        by = next((n for n, some in enumerate(at) if some), None)
+        found.append((*o, b, step, None if by is None else min(at[by]), None if by is None else by + 1))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("dealt", [False, True])
+def test_landings_of_odd_rows(spark, seed, dealt):
+    """Offers that ask in several ways, repeated rows, missing parts, keys of other stores."""
+    rng = random.Random(seed)
+    some = lambda *values: rng.choice([None, *values])
+    held = [(b, rng.choice("st"), rng.choice(["r", "1:r"]), rng.choice(["e", "e-2", f"e-{b}"]), rng.choice(["images", "images", "pdf"]), rng.choice(["", f"https://x.example/offers/a/{b % 5}/p"])) for b in range(12)]
+    pages = [(some(*range(13)), some(1, 2, 3), some("p1", "p2", "p3")) for _ in range(40)]
+    spots = [(some(*range(13)), some(1, 2, 3, 4), some(*range(20))) for _ in range(80)]
+    offers = [(some(*range(20)), some("s", "t"), some("r", "1:r", "1:r"), some(*range(14)), some("e", "e-2"), some("1", "2", "3"), some("p1", "p2"), some(1, 2, 9)) for _ in range(300)]
+    offers = offers + offers[:60] + [(n, None, None, None, None, None, None, None) for n in (1, 1)]
+    frames = [
+        spark.createDataFrame(offers, "offer_id long, store string, region string, brochure_id long, edition string, flyer_ref string, page_ref string, page_index int"),
+        spark.createDataFrame(held, "id long, store string, region string, edition string, source_type string, source_url string"),
+        spark.createDataFrame(pages, "brochure_id long, index int, page_id string"),
+        spark.createDataFrame(spots, "brochure_id long, index int, offer_id long"),
+    ]
+    got = brochures.landings(*frames, dealt=dealt)
+    assert got.columns == [*frames[0].columns, "held", "matched_by", "page", "landed_by"]
+    assert sorted(map(tuple, got.collect()), key=str) == landed(offers, held, pages, spots)
+
+
 def test_processing_words_are_trusted(spark):
     rows = [("tinned",), ("مجمده",), ("xyzzy",)]
     trusted = names.is_trusted(F.col("w"), F.array().cast("array<string>"), GROCERY)

@@ -177,3 +177,18 @@ def test_steps_shuffle_what_is_read(spark, tmp_path):
     for r in found.collect():
         first = r.a in (10, 20, 30)
         assert r.r == one.get(r.a, two.get(r.b)) and r.matched_by == (1 if first else 2 if r.b in two else None)
+
+
+def shuffled(spark):
+    """Rows that the session's stages have written to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_landing_shuffles_an_offer_few_times(spark, data):
+    """Twenty rows an offer were written when each way to a brochure or page was a join."""
+    before = shuffled(spark)
+    offers = len(plans.registered()[0]["offer_landing"](spark, data).collect())
+    rows = sum(n for s, n in shuffled(spark).items() if s not in before)
+    assert offers > 4000 and offers < rows < 6 * offers
